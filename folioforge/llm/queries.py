@@ -13,5 +13,17 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op9_token_counts": op9_token_counts}
+def op5_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .token_binary import read_tokens, write_tokens
+
+    return read_tokens(write_tokens(table(spark, sf_dir, "documents")))
+
+
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .packing import pack
+
+    return pack(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op5_token_binary": op5_token_binary, "op6_packing": op6_packing, "op9_token_counts": op9_token_counts}
 ORACLES: dict[str, str] = {}
