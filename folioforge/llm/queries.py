@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import quality
 from .common import table
 
 
@@ -13,6 +14,12 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"))
 
 
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import quality_report
+
+    return quality_report(table(spark, sf_dir, "documents"))
+
+
 def op5_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .token_binary import read_tokens, write_tokens
 
@@ -25,5 +32,5 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op5_token_binary": op5_token_binary, "op6_packing": op6_packing, "op9_token_counts": op9_token_counts}
-ORACLES: dict[str, str] = {}
+QUERIES = {"op1_quality_rules": op1_quality_rules, "op5_token_binary": op5_token_binary, "op6_packing": op6_packing, "op9_token_counts": op9_token_counts}
+ORACLES: dict[str, str] = {"op1_quality_rules": quality.oracle()}
