@@ -44,5 +44,17 @@ def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shingle_components(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op7_ngram_jaccard_join": op7_ngram_jaccard_join, "op10_toxicity": op10_toxicity, "op1_quality_rules": op1_quality_rules, "op5_token_binary": op5_token_binary, "op6_packing": op6_packing, "op9_token_counts": op9_token_counts}
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontam import contaminated
+
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+QUERIES = {"pipeline": pipeline, "op2_decontamination": op2_decontamination, "op7_ngram_jaccard_join": op7_ngram_jaccard_join, "op10_toxicity": op10_toxicity, "op1_quality_rules": op1_quality_rules, "op5_token_binary": op5_token_binary, "op6_packing": op6_packing, "op9_token_counts": op9_token_counts}
 ORACLES: dict[str, str] = {"op1_quality_rules": quality.oracle()}
