@@ -60,14 +60,16 @@ def mix(x: np.ndarray) -> np.ndarray:
 def shingle_sets(texts: pa.Array, k: int) -> list[np.ndarray]:
     """Sorted distinct shingle hashes of every text."""
     texts = pc.ascii_lower(pc.fill_null(texts.cast(pa.large_string()), ""))
-    lists = pc.ascii_split_whitespace(texts)
+    for space in "\t\n\v\f\r":
+        texts = pc.replace_substring(texts, space, " ")
+    lists = pc.split_pattern(texts, " ")
     coded = lists.flatten().dictionary_encode()
     table = np.array([xxhash.xxh3_64_intdigest(w) for w in coded.dictionary.to_pylist()], np.uint64)
     empty = pc.equal(coded.dictionary, "").to_numpy(zero_copy_only=False) if len(coded.dictionary) else np.zeros(0, bool)
     codes = coded.indices.to_numpy(zero_copy_only=False)
     counts = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
     owner = np.repeat(np.arange(len(counts)), counts)
-    if empty.any():  # white space at an end leaves empty words
+    if empty.any():  # runs of white space leave empty words
         real = ~empty[codes]
         codes, owner = codes[real], owner[real]
         counts = np.bincount(owner, minlength=len(counts))
