@@ -59,7 +59,8 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 def shingle_sets(texts: pa.Array, k: int) -> list[np.ndarray]:
     """Sorted distinct shingle hashes of every text."""
-    texts = pc.ascii_lower(pc.fill_null(texts.cast(pa.large_string()), ""))
+    # bytes.lower() changes A-Z alone, whatever the locale
+    texts = pa.array([(t or "").encode().lower().decode() for t in texts.to_pylist()], pa.large_string())
     for space in "\t\n\v\f\r":
         texts = pc.replace_substring(texts, space, " ")
     lists = pc.split_pattern(texts, " ")
