@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import quality
+from . import quality, warc
 from .common import table
 
 
@@ -56,5 +56,37 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {"pipeline": pipeline, "op2_decontamination": op2_decontamination, "op7_ngram_jaccard_join": op7_ngram_jaccard_join, "op10_toxicity": op10_toxicity, "op1_quality_rules": op1_quality_rules, "op5_token_binary": op5_token_binary, "op6_packing": op6_packing, "op9_token_counts": op9_token_counts}
-ORACLES: dict[str, str] = {"op1_quality_rules": quality.oracle()}
+#: (verdict, host/path) of the URL query.
+URL_RULES = [("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/")]
+
+
+def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .url_filters import judge_urls
+
+    return judge_urls(table(spark, sf_dir, "pages"), URL_RULES)
+
+
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .warc import read_archives, write_archives
+
+    return read_archives(write_archives(table(spark, sf_dir, "pages")))
+
+
+#: Addresses by form as in url_filters; pages of the tables hold no canonical links or refreshes, which SQL leaves out.
+URL_ORACLE = r"""
+with p as (select page_id, url, case when instr(url, '://') > 0 then substr(url, instr(url, '://') + 3) else '' end as rest from pages),
+h as (select page_id, url, coalesce(lower(regexp_extract(rest, '^[^/?#]*', 0)), '') as host, coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') as path from p),
+a as (select *, regexp_replace(regexp_replace(regexp_replace(regexp_extract(coalesce(url, ''), '^[^?#]*\?([^#]*)', 1), '(?:utm_[a-z]+|ref|fbclid|gclid)=[^&#]*', '', 'g'), '&&+', '&', 'g'), '^&|&$', '', 'g') as query,
+  case when (host = 'example.com' or suffix(host, '.example.com')) and prefix(path, '/en/7') then 'example.com/en/7'
+       when (host = 'example.net' or suffix(host, '.example.net')) and prefix(path, '/de/8') then 'example.net/de/8'
+       when (host = 'com' or suffix(host, '.com')) and prefix(path, '/en/') then 'com/en/'
+       when (host = 'net' or suffix(host, '.net')) and prefix(path, '/de/') then 'net/de/'
+       when (host = 'org' or suffix(host, '.org')) and prefix(path, '/es/') then 'org/es/' end as rule from h),
+v as (select *, case when rule in ('com/en/', 'example.net/de/8', 'org/es/') then 'block' when rule is not null then 'allow' end as said,
+  case when host <> '' then host || regexp_replace(path, '/+$', '') || case when query <> '' then '?' || query else '' end end as address from a),
+c as (select address, bool_or(said = 'block') and not bool_or(said = 'allow') as blocked from v where said is not null and address is not null group by address)
+select page_id, host, path, rule, coalesce(said, case when blocked then 'block' else 'allow' end) as verdict from v left join c using (address)
+"""
+
+QUERIES = {"op3_url_filters": op3_url_filters, "op8_warc": op8_warc, "pipeline": pipeline, "op2_decontamination": op2_decontamination, "op7_ngram_jaccard_join": op7_ngram_jaccard_join, "op10_toxicity": op10_toxicity, "op1_quality_rules": op1_quality_rules, "op5_token_binary": op5_token_binary, "op6_packing": op6_packing, "op9_token_counts": op9_token_counts}
+ORACLES: dict[str, str] = {"op1_quality_rules": quality.oracle(), "op3_url_filters": URL_ORACLE, "op8_warc": warc.ORACLE}
