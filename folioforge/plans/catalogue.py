@@ -2,5 +2,485 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .. import rng
+from ..functions import arrays, text
+from ..operators import batchapi, dataset, elements, layout, noise, ordering
+from ..rng import sql_h as h
+from ..rng import sql_u as u
+from ..sources.readers import table
+
 QUERIES: dict = {}
 ORACLES: dict = {}
+
+
+def query(oracle: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if oracle:
+            ORACLES[f.__name__] = oracle
+        return f
+
+    return add
+
+
+def _corpus(spark: SparkSession, sf: str) -> DataFrame:
+    return elements.corpus_from_documents(table(spark, sf, "documents"))
+
+
+def _elements(spark, sf) -> DataFrame:
+    return elements.to_elements(_corpus(spark, sf), "\n")
+
+
+def _placed(spark, sf) -> DataFrame:
+    return elements.place_images(elements.image_slots(_elements(spark, sf)))
+
+
+def _image_size(key):
+    pick = (rng.h("size", key) % len(batchapi.IMAGE_SIZES)).cast("int")
+    return tuple(F.get(F.array(*[F.lit(s[i]) for s in batchapi.IMAGE_SIZES]), pick) for i in (0, 1))
+
+
+CORPUS = f"""corpus as (select printf('%06d', doc_id) as id, text, {h('vert', "printf('%06d', doc_id)")} % 2 = 0 as is_vertical,
+  (1 + {h('col', "printf('%06d', doc_id)")} % 3)::int as num_columns from documents)"""
+PARTS = f"""{CORPUS}, parts as (select *, string_split(text, chr(10)) as p from corpus),
+el as (select id, is_vertical, num_columns, unnest(p) as content, (generate_subscripts(p, 1) - 1)::int as pos from parts)"""
+SLOTS = f"""{PARTS}, imgs as (select id, is_vertical, num_columns, len(p) as n, {h('images', 'id')} % (len(p) // 2 + 1) as c from parts),
+drawn as (select id, is_vertical, num_columns, ({h('slot', "id || '/' || k")} % (n + 1))::int as slot from (select *, unnest(range(c)) as k from imgs)),
+slots as (select *, (row_number() over (partition by id order by slot) - 1)::int as k from drawn)"""
+PLACED = f"""{SLOTS}, merged as (select id, is_vertical, num_columns, pos as slot, 1 as kind, pos as ord, 'text' as type, content, null as src from el
+  union all select id, is_vertical, num_columns, slot, 0, k, 'image', null, substr(id, 1, 3) || '/' || id || '_' || printf('%03d', k) || '.jpg' from slots),
+placed as (select id, is_vertical, num_columns, (row_number() over (partition by id order by slot, kind, ord) - 1)::int as pos, type, content, src from merged)"""
+_SIZE = lambda i: "[" + ", ".join(str(s[i]) for s in batchapi.IMAGE_SIZES) + f"][1 + {h('size', 'src')} % {len(batchapi.IMAGE_SIZES)}]"
+SPANNED = f"""{PLACED}, sized as (select *, {_SIZE(0)} as width, {_SIZE(1)} as height from placed),
+spanned as (select *, case when type = 'image' then ((is_vertical and height > width) or (not is_vertical and width > height)) and {u('span', 'src')} < 0.5 end as span_all from sized)"""
+
+
+@query(f"with {PARTS} select id, pos, content from el")
+def elements_explode(spark, sf):
+    return elements.exploded(_elements(spark, sf)).select("id", "pos", "content")
+
+
+@query(f"with {PARTS} select id, len(p)::bigint as n_elements, len(text)::bigint as n_chars, replace(text, chr(10), '') as title_text, (select count(*) from corpus) as n_documents from parts")
+def elements_count(spark, sf):
+    docs = _elements(spark, sf)
+    total = docs.agg(F.count("*").alias("n_documents"))
+    contents = F.transform("elements", lambda e: e["content"])
+    chars = F.aggregate(contents, F.lit(0).cast("bigint"), lambda a, c: a + F.length(c)) + F.size("elements") - 1
+    rows = docs.select("id", F.size("elements").cast("bigint").alias("n_elements"), chars.cast("bigint").alias("n_chars"), F.array_join(contents, "").alias("title_text"))
+    return rows.withColumn("n_documents", total.scalar())
+
+
+@query(f"with {CORPUS} select id, '{batchapi.TITLE_PROMPT[0]}' || replace(text, chr(10), '') || '{batchapi.TITLE_PROMPT[1]}' as prompt from corpus")
+def title_text(spark, sf):
+    joined = F.array_join(F.transform(F.filter("elements", lambda e: e["type"] == "text"), lambda e: e["content"]), "")
+    return _elements(spark, sf).select("id", F.concat(F.lit(batchapi.TITLE_PROMPT[0]), joined, F.lit(batchapi.TITLE_PROMPT[1])).alias("prompt"))
+
+
+@query(f"with {SLOTS} select id, k, slot, substr(id, 1, 3) || '/' || id || '_' || printf('%03d', k) || '.jpg' as src from slots")
+def image_slots(spark, sf):
+    slotted = elements.image_slots(_elements(spark, sf))
+    rows = slotted.select("id", F.posexplode("slots").alias("k", "slot"))
+    return rows.withColumn("src", elements.image_source(F.col("id"), F.col("k")))
+
+
+@query(f"with {PLACED} select id, pos, type, content, src from placed")
+def elements_placed(spark, sf):
+    return elements.exploded(_placed(spark, sf)).select("id", "pos", "type", "content", "src")
+
+
+@query()
+def image_text_match(spark, sf):
+    return elements.match_images(_placed(spark, sf))
+
+
+@query()
+def image_prompt_inputs(spark, sf):
+    placed = _placed(spark, sf)
+    rows = elements.exploded(elements.with_matches(placed, elements.match_images(placed)))
+    images, texts = rows.where("type <> 'text'").alias("i"), rows.where("type = 'text'").alias("t")
+    joined = images.join(texts, (F.col("i.id") == F.col("t.id")) & (F.col("i.text_index") == F.col("t.pos")))
+    return joined.select(F.col("i.src").alias("src"), F.concat(F.lit(batchapi.IMAGE_PROMPT), F.col("t.content")).alias("prompt"))
+
+
+@query(f"with {CORPUS}, n as (select id, row_number() over (order by id) - 1 as ordinal from corpus) select * from n where ordinal >= 100 and ordinal < 200")
+def prompt_slice(spark, sf):
+    return ordering.with_ordinal(_corpus(spark, sf).select("id"), F.substring("id", 1, 3), F.col("id")).where("ordinal >= 100 and ordinal < 200")
+
+
+@query(f"with {SLOTS}, s as (select substr(id, 1, 3) || '/' || id || '_' || printf('%03d', k) || '.jpg' as src from slots) select src, {u('caption_prompt', 'src')} < 0.9 as short_prompt from s")
+def caption_prompt_choice(spark, sf):
+    return image_slots(spark, sf).select("src", (rng.u("caption_prompt", F.col("src")) < 0.9).alias("short_prompt"))
+
+
+@query(f"with {SLOTS}, s as (select substr(id, 1, 3) || '/' || id || '_' || printf('%03d', k) || '.jpg' as src from slots) select src, {_SIZE(0)} as width, {_SIZE(1)} as height from s")
+def image_size_choice(spark, sf):
+    width, height = _image_size(F.col("src"))
+    return image_slots(spark, sf).select("src", width.alias("width"), height.alias("height"))
+
+
+def _kanji_sql(n: str) -> str:
+    part = lambda p, s: f"case ({n} // {p}) % 10 when 0 then '' when 1 then '{s}' else translate((({n} // {p}) % 10)::varchar, '{text.HALF}', '{text.KANJI_DIGITS}') || '{s}' end"
+    return f"{part(1000, '千')} || {part(100, '百')} || {part(10, '十')} || case when {n} % 10 = 0 and {n} > 0 then '' else translate(({n} % 10)::varchar, '{text.HALF}', '{text.KANJI_DIGITS}') end"
+
+
+_TEMPLATES = lambda i: "[" + ", ".join(f"'{t[i]}'" for t in text.CAPTION_TEMPLATES) + "]"
+CAPTIONS = f"""{CORPUS}, c as (select id, is_vertical, 1 + {h('figure', 'id')} % 305 as n, 1 + {h('caption', 'id')} % 22 as s from corpus),
+t as (select *, case when is_vertical then {_TEMPLATES(0)}[s] else {_TEMPLATES(1)}[s] end as f from c)
+select id, replace(replace(replace(replace(f, '{{h}}', n::varchar), '{{f}}', translate(n::varchar, '{text.HALF}', '{text.FULL}')), '{{k}}', {_kanji_sql('n')}), '{{t}}', '猫の図') as caption from t"""
+
+
+@query("with " + CAPTIONS)
+def caption_styles(spark, sf):
+    number = 1 + rng.h("figure", F.col("id")) % 305
+    style = rng.h("caption", F.col("id")) % 22
+    bare = text.strip_figure_prefix(F.concat(F.lit("図"), text.to_fullwidth(number), F.lit("：　猫の図")))
+    return _corpus(spark, sf).select("id", text.caption(style, F.col("is_vertical"), number, bare).alias("caption"))
+
+
+BRACKETED = ["「A」", "「A」と「B」", "「「A」B」", "「」", "　「A」\n", "「A", "A」", "", " x ", "「A「B」C」", "」「"]
+
+
+def _values(spark, values: list[str], name: str = "t") -> DataFrame:
+    return spark.range(len(values)).select(F.col("id").alias("i"), F.get(F.array(*[F.lit(v) for v in values]), F.col("id").cast("int")).alias(name))
+
+
+@query(
+    "with v as (select * from (values "
+    + ", ".join(f"({i}::bigint, '{v}')" for i, v in enumerate(BRACKETED))
+    + r""") x(i, t)), s as (select i, regexp_replace(t, '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g') as t from v),
+c as (select i, t, k, sum(case substr(t, k, 1) when '「' then 1 when '」' then -1 else 0 end) over (partition by i order by k) as depth from (select i, t, unnest(range(1, len(t))) as k from s)),
+d as (select i, bool_or(depth = 0 and k > 1) as closed from c group by i)
+select s.i, case when t like '「%」' and not coalesce(closed, false) then substr(t, 2, len(t) - 2) else t end as inner_text from s left join d using (i)"""
+)
+def strip_outer_brackets(spark, sf):
+    return _values(spark, BRACKETED).select("i", text.remove_outer_brackets(F.col("t")).alias("inner_text"))
+
+
+FIGURES = ["図1: 猫", "図１：猫", "図　2　犬", "図鳥", "A図1: x", "図: 魚", "図12. 34"]
+
+
+@query("select i, regexp_replace(t, '^図[\\s\\p{Z}]*(?:\\p{Nd}+[：:.\\s\\p{Z}]*|[：:.\\s\\p{Z}]+)', '') as bare from (values " + ", ".join(f"({i}::bigint, '{v}')" for i, v in enumerate(FIGURES)) + ") x(i, t)")
+def figure_prefix(spark, sf):
+    return _values(spark, FIGURES).select("i", text.strip_figure_prefix(F.col("t")).alias("bare"))
+
+
+@query(
+    """select i, r from (values (0::bigint, '<span class="tcy">12</span>月'), (1, 'a12月'), (2, '年<span class="tcy">12</span>月<span class="tcy">5</span>日'), (3, 'は1234月'), (4, 'は12')) x(i, r)"""
+)
+def vertical_digits(spark, sf):
+    return _values(spark, ["12月", "a12月", "年12月５日", "は1234月", "は12"]).select("i", text.vertical_digits(F.col("t")).alias("r"))
+
+
+def _pick(purpose: str, values: list) -> str:
+    return "[" + ", ".join(f"'{v}'" for v in values) + f"][1 + {h(purpose, 'id')} % {len(values)}]"
+
+
+def _quoted(values: list) -> list:
+    return [str(v).replace("'", "''") for v in values]
+
+
+_BG = _pick("bg", layout.BACKGROUNDS)
+STYLE = f"""{CORPUS}, st as (select id, is_vertical, num_columns as column_count, case when is_vertical then 'vertical-rl' else 'horizontal-tb' end as writing_mode,
+  (30 + {h('padding', 'id')} % 31)::int as padding, '''' || {_pick('font', [f for f, _ in layout.FONTS])} || ''', ' || {_pick('font', [g for _, g in layout.FONTS])} as font_family,
+  'https://fonts.googleapis.com/css2?family=' || replace({_pick('font', [f for f, _ in layout.FONTS])}, ' ', '+') || ':wght@400&display=swap' as font_url,
+  (18 + {h('font_size', 'id')} % 7)::int as base_font_size, round(({h('line_height', 'id')} * 4000 / 4294967296.0 + 16000) / 10000, 1)::double as line_height,
+  {_BG} as bg_color, case when {u('figure_bg', 'id')} > 0.5 then {_pick('figure_color', layout.FIGURE_BACKGROUNDS)} else {_BG} end as figure_bg_color,
+  {_pick('text_color', layout.TEXT_COLORS)} as text_color, (35 + {h('gap', 'id')} % 26)::int as column_gap,
+  case when {h('rule_cols', 'id')} % 3 > 0 and {h('rule_width', 'id')} % 3 > 0 then ({h('rule_width', 'id')} % 3)::varchar || 'px solid ' || {_pick('rule_color', layout.RULE_COLORS)} else 'none' end as rule_style,
+  {_pick('h1', layout.DECORATIONS)} as h1_decoration, {_pick('h1_border', layout.BORDERS)} as h1_border_style, (2 + {h('h1_width', 'id')} % 5)::int as h1_border_width,
+  {_pick('align', layout.ALIGNMENTS)} as image_alignment, {h('show_title', 'id')} % 4 = 0 as show_title, 800 + 200 * (num_columns - 1) as side from corpus),
+lim as (select *, side // 3 as a, ((side - 2 * padding - column_gap * (column_count - 1)) * (column_count + 1)) // (3 * column_count) as b from st),
+style as (select * exclude (a, b, side), (least(a, b) + {h('img_limit', 'id')} % (greatest(a, b) - least(a, b) + 1))::int as max_img_limit,
+  (case when is_vertical then 100 else side end)::int as viewport_width, (case when is_vertical then side else 100 end)::int as viewport_height from lim)"""
+
+
+@query(f"with {STYLE} select * from style")
+def style_config(spark, sf):
+    return layout.with_style(_corpus(spark, sf).select("id", "is_vertical", F.col("num_columns").alias("column_count")))
+
+
+def _spanned(spark, sf) -> DataFrame:
+    width, height = _image_size(F.col("src"))
+    span = layout.span_all(F.col("is_vertical"), F.col("width"), F.col("height"), F.col("src"))
+    rows = elements.exploded(_placed(spark, sf)).withColumn("width", width).withColumn("height", height)
+    return rows.withColumn("span_all", F.when(F.col("type") == "image", span))
+
+
+@query(f"with {SPANNED} select id, pos, src, width, height, span_all from spanned where type = 'image'")
+def span_all(spark, sf):
+    return _spanned(spark, sf).where("type = 'image'").select("id", "pos", "src", "width", "height", "span_all")
+
+
+@query(
+    f"""with {SPANNED}, f as (select *, (is_vertical and type = 'image' and coalesce(span_all, false))::int as fw from spanned),
+i as (select *, 2 * sum(fw) over (partition by id order by pos) - fw as island from f)
+select id, pos, type, (dense_rank() over (partition by id order by island) - 1)::int as block, case when fw = 1 then 'fullwidth' else 'multicolumn' end as kind from i"""
+)
+def layout_blocks(spark, sf):
+    return layout.layout_blocks(_spanned(spark, sf)).select("id", "pos", "type", "block", "kind")
+
+
+CHARS = f"""{PARTS}, chars as (select id, pos, (k - 1)::int as ord, ((k - 1) % 20 * 10)::double as x, ((k - 1) // 20 * 10)::double as y, 10.0::double as width, 10.0::double as height, substr(content, k, 1) as text
+  from (select *, unnest(range(1, len(content) + 1)) as k from el where content <> ''))"""
+
+
+def _char_boxes(spark, sf):
+    return layout.grid_boxes(elements.exploded(_elements(spark, sf)).select("id", "pos", "content"))
+
+
+def _line_boxes(spark, sf):
+    return layout.grid_lines(elements.exploded(_elements(spark, sf)).select("id", "pos", "content"))
+
+
+@query(f"with {CHARS} select id, pos, count(*) as n_boxes, sum(x)::double as sum_x, sum(y)::double as sum_y, string_agg(text, '' order by ord) as text from chars group by id, pos")
+def char_boxes(spark, sf):
+    boxes = _char_boxes(spark, sf).where("width > 0 and height > 0")
+    ordered = F.array_sort(F.collect_list(F.struct("ord", "text")))
+    return boxes.groupBy("id", "pos").agg(F.count("*").alias("n_boxes"), F.sum("x").alias("sum_x"), F.sum("y").alias("sum_y"), F.array_join(F.transform(ordered, lambda o: o["text"]), "").alias("text"))
+
+
+@query(f"with {CHARS} select id, pos, (y // 10)::int as line, string_agg(text, '' order by ord) as text from chars group by all")
+def char_to_line(spark, sf):
+    return layout.line_texts(layout.char_to_line(_char_boxes(spark, sf), _line_boxes(spark, sf)))
+
+
+@query(f"with {CHARS} select id, pos, (y // 10)::int as line, min(x) as x, min(y) as y, max(x) + 10 - min(x) as width, 10.0::double as height from chars group by id, pos, y // 10")
+def line_tight_box(spark, sf):
+    return layout.tight_lines(_char_boxes(spark, sf), _line_boxes(spark, sf))
+
+
+@query(f"with {CHARS} select id, pos, min(x) as x, min(y) as y, max(x) + 10 - min(x) as width, max(y) + 10 - min(y) as height from chars group by id, pos")
+def caption_union_box(spark, sf):
+    return layout.union_box(layout.tight_lines(_char_boxes(spark, sf), _line_boxes(spark, sf)), "id", "pos")
+
+
+LABELLED = f"""{PLACED}, lab as (select p.*, case when type = 'image' then 'caption of ' || src end as caption, {h('show_title', 'id')} % 4 = 0 as show_title from placed p)"""
+
+
+def _labels(spark, sf) -> DataFrame:
+    """Label documents: titles and captions (of the stand-in backend) joined by key, boxes by place."""
+    placed = _placed(spark, sf)
+    captions = image_slots(spark, sf).select("src", F.concat(F.lit("caption of "), "src").alias("value"))
+    titles = _corpus(spark, sf).select("id", F.concat(F.lit("Title "), "id").alias("title"))
+    by_src = elements.exploded(placed).where("type = 'image'").join(captions, "src").groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("src", "value"))).alias("captions"))
+    joined = placed.drop("title").join(titles, "id").join(by_src, "id", "left")
+    filled = F.transform("elements", lambda e: F.when(e["type"] == "image", e.withField("caption", F.try_element_at(F.col("captions"), e["src"]))).otherwise(e))
+    return joined.select("id", "title", filled.alias("elements"), "is_vertical", "column_count", (rng.h("show_title", F.col("id")) % 4 == 0).alias("show_title"))
+
+
+@query(f"with {LABELLED} select id, pos, type, content, caption from lab")
+def label_documents(spark, sf):
+    return elements.exploded(_labels(spark, sf)).select("id", "pos", "type", "content", "caption")
+
+
+GROUND = f"""{LABELLED}, gt as (select id, is_vertical, num_columns, regexp_replace((case when any_value(show_title) then 'Title ' || id else '' end) || string_agg(chr(10) || chr(10) || coalesce(content, caption), '' order by pos), '^[\\s\\p{{Z}}]+|[\\s\\p{{Z}}]+$', '', 'g') as text
+  from lab group by id, is_vertical, num_columns)"""
+
+
+@query(f"with {GROUND} select id, text, is_vertical, num_columns from gt")
+def ground_truth_text(spark, sf):
+    return dataset.ground_truth(_labels(spark, sf))
+
+
+NOISE = f"""{CORPUS}, q as (select *, row_number() over (order by md5('noise:' || id), id) - 1 as r, count(*) over () as n from corpus),
+noise as (select id, text, is_vertical, num_columns, case when r < n - 2 * floor(n * 0.3) then 0 when r < n - floor(n * 0.3) then 1 else 2 end::int as noise_type from q)"""
+_PATH = "'{0}/' || case noise_type when 0 then 'image' when 1 then 'image_noise_scan' else 'image_noise_augraphy' end || '/' || substr(id, 1, 3) || '/' || id || case noise_type when 0 then '.png' when 1 then '_scan.png' else '_augraphy.png' end"
+
+
+@query(f"with {NOISE} select id, noise_type from noise")
+def noise_assignment(spark, sf):
+    return dataset.assign_noise(_corpus(spark, sf).select("id"))
+
+
+@query(
+    f"""with {NOISE}, s as (select id, noise_type, case when {h('split', 'id')} % 10 < 8 then 'train' when {h('split', 'id')} % 10 = 8 then 'validation' else 'test' end as split from noise)
+select id, noise_type, split, case split when 'train' then {_PATH.format('train')} when 'validation' then {_PATH.format('validation')} else {_PATH.format('test')} end as image_path from s"""
+)
+def image_paths(spark, sf):
+    rows = dataset.assign_noise(_corpus(spark, sf).select("id"))
+    part = rng.h("split", F.col("id")) % 10
+    splits = {name: rows.where(test) for name, test in (("train", part < 8), ("validation", part == 8), ("test", part == 9))}
+    return dataset.union_splits(**splits).withColumn("image_path", dataset.image_path(F.col("split"), F.col("noise_type"), F.col("id")))
+
+
+@query(f"with {NOISE} select id, noise_type from noise where noise_type in (1, 2)")
+def noise_id_lists(spark, sf):
+    return dataset.assign_noise(_corpus(spark, sf).select("id")).where(F.col("noise_type").isin(1, 2))
+
+
+@query(f"with {NOISE} select id, {_PATH.format('train')} as image, '{dataset.QUESTION}' as question, text, is_vertical, num_columns, noise_type from noise")
+def published_rows(spark, sf):
+    rows = dataset.assign_noise(_corpus(spark, sf))
+    return dataset.publish(rows.withColumn("image_path", dataset.image_path(F.lit("train"), F.col("noise_type"), F.col("id"))))
+
+
+REQUESTS = f"""{CORPUS}, req as (select id as key, (row_number() over (order by id) - 1) // {batchapi.BATCH_SIZE} as batch_id,
+  '{batchapi.DOCUMENT_PROMPT[0]}' || case when is_vertical then '縦書き' else '横書き' end || 'で' || num_columns::varchar || '{batchapi.DOCUMENT_PROMPT[1]}' || text || '{batchapi.DOCUMENT_PROMPT[2]}' as prompt from corpus)"""
+
+
+def _requests(spark, sf) -> DataFrame:
+    rows = ordering.with_ordinal(_corpus(spark, sf), F.substring("id", 1, 3), F.col("id"))
+    prompt = batchapi.document_prompt(F.col("is_vertical"), F.col("num_columns"), F.col("text"))
+    return rows.select(F.col("id").alias("key"), ordering.batch_id(F.col("ordinal"), batchapi.BATCH_SIZE).alias("batch_id"), batchapi.request_json(F.col("id"), prompt).alias("line"))
+
+
+@query(f"with {REQUESTS} select key, batch_id, prompt, 'IMAGE' as second_modality from req")
+def api_requests(spark, sf):
+    r = F.from_json("line", "struct<key:string,request:struct<contents:array<struct<parts:array<struct<text:string>>>>,generation_config:struct<responseModalities:array<string>>>>")
+    rows = _requests(spark, sf).select("batch_id", r.alias("r"))
+    return rows.select(F.col("r.key").alias("key"), "batch_id", F.col("r.request.contents")[0]["parts"][0]["text"].alias("prompt"), F.col("r.request.generation_config.responseModalities")[1].alias("second_modality"))
+
+
+RESPONSES = [
+    '{"key":"a","response":{"candidates":[{"content":{"parts":[{"text":""},{"text":"hi"},{"inlineData":{"mimeType":"image/jpeg","data":"AQID"}}]}}]}}',
+    '{"key":"b","error":{"code":3}}',
+    '{"key":"c"}',
+]
+
+
+@query(
+    """select * from (values ('a', 0::int, 'empty', null, null, null), ('a', 1, 'text', 'hi', null, null), ('a', 2, 'image', null, 'jpeg', '010203'),
+('b', -1, 'error', '{"code":3}', null, null), ('c', -1, 'unknown', null, null, null)) t(key, index, status, text, extension, data_hex)"""
+)
+def api_parts(spark, sf):
+    return batchapi.response_parts(_values(spark, RESPONSES, "line")).withColumn("data_hex", F.hex("data")).withColumn("index", F.coalesce("index", F.lit(-1))).drop("data")
+
+
+@query(f"with {REQUESTS} select key, batch_id from req where key not in (select printf('%06d', doc_id) from labels where quality = 1)")
+def retry_requests(spark, sf):
+    done = table(spark, sf, "labels").where("quality = 1").select(text.zero_pad(F.col("doc_id"), 6).alias("key"))
+    return dataset.without(_requests(spark, sf), done, "key").select("key", "batch_id")
+
+
+@query(f"with {CORPUS} select id from corpus where not (id in (select printf('%06d', doc_id) from labels) and {h('col', 'id')} % 3 > 0 and {h('vert', 'id')} % 2 = 0)")
+def resume_pending(spark, sf):
+    docs = _corpus(spark, sf)
+    images = table(spark, sf, "labels").select(text.zero_pad(F.col("doc_id"), 6).alias("id"))
+    done = dataset.done_everywhere("id", images, docs.where("num_columns > 1"), docs.where("is_vertical"))
+    return dataset.without(docs, done, "id").select("id")
+
+
+@query(f"with {CORPUS} select id from corpus where id not in (select printf('%06d', doc_id) from labels where toxic = 1)")
+def deny_listed(spark, sf):
+    return dataset.without(_corpus(spark, sf), table(spark, sf, "labels").where("toxic = 1").select(text.zero_pad(F.col("doc_id"), 6).alias("id")), "id").select("id")
+
+
+@query(f"with {CORPUS} select id, case when id in (select printf('%06d', doc_id) from labels) then 'ok' else 'missing' end as status from corpus")
+def require_images(spark, sf):
+    return dataset.require_all(_corpus(spark, sf).select("id"), table(spark, sf, "labels").select(text.zero_pad(F.col("doc_id"), 6).alias("id")), "id")
+
+
+STATES = [*batchapi.TERMINAL, "JOB_STATE_RUNNING", "JOB_STATE_PENDING"]
+
+
+@query("select event_id, case event_id % 6 when 0 then 'succeeded' when 1 then 'failed' when 2 then 'failed' when 3 then 'failed' else 'pending' end as status from events")
+def job_states(spark, sf):
+    state = F.get(F.array(*[F.lit(s) for s in STATES]), (F.col("event_id") % 6).cast("int"))
+    return table(spark, sf, "events").select("event_id", batchapi.job_status(state).alias("status"))
+
+
+@query("select conv_id, string_agg('<|im_start|>' || role || chr(10) || text || '<|im_end|>' || chr(10), '' order by turn) || '<|im_start|>assistant' || chr(10) as prompt from conversations group by conv_id")
+def chat_template(spark, sf):
+    return batchapi.chat_template(table(spark, sf, "conversations"), "conv_id", "turn")
+
+
+TOKENS = "tok as (select doc_id, list_transform(string_split(text[1:200], ''), lambda c: unicode(c)) as ids from documents)"
+
+
+def _tokens(spark, sf) -> DataFrame:
+    """Token arrays: code points of the first 200 characters (a token window, as collators truncate)."""
+    return table(spark, sf, "documents").select("doc_id", F.transform(F.filter(F.split(F.substring("text", 1, 200), ""), lambda c: c != ""), lambda c: F.conv(F.hex(F.encode(c, "UTF-32")), 16, 10).cast("int")).alias("ids"))
+
+
+@query(f"with {TOKENS} select doc_id, [i - 1 for i in range(1, len(ids)) if ids[i] = 116 and ids[i + 1] = 104]::int[] as starts from tok")
+def subsequence_positions(spark, sf):
+    return _tokens(spark, sf).select("doc_id", arrays.subsequence_positions(F.col("ids"), [116, 104]).alias("starts"))
+
+
+@query(
+    f"""with {TOKENS}, f as (select *, list_min([i for i in range(1, len(ids)) if ids[i] = 116 and ids[i + 1] = 104]) as first from tok)
+select doc_id, case when first is not null then [case when i < first + 2 or ids[i] in (32, 10) then -100 else ids[i] end for i in range(1, len(ids) + 1)]::int[] end as labels from f"""
+)
+def label_mask(spark, sf):
+    masked = arrays.mask_special(F.col("ids"), [32, 10])
+    return _tokens(spark, sf).select("doc_id", arrays.mask_prefix(masked, F.col("ids"), [116, 104]).alias("labels"))
+
+
+@query(f"with {TOKENS}, b as (select doc_id, doc_id // 8 as batch, [2, 2] || ids as ids from tok), g as (select batch, bool_and(ids[1] = 2 and ids[2] = 2) as doubled from b group by batch) select doc_id, (case when doubled then ids[2:] else ids end)::int[] as ids from b join g using (batch)")
+def drop_double_bos(spark, sf):
+    rows = _tokens(spark, sf).select("doc_id", F.floor(F.col("doc_id") / 8).alias("batch"), F.concat(F.array(F.lit(2), F.lit(2)), "ids").alias("ids"))
+    doubled = rows.groupBy("batch").agg(F.bool_and((F.get("ids", F.lit(0)) == 2) & (F.get("ids", F.lit(1)) == 2)).alias("doubled"))
+    return rows.join(doubled, "batch").select("doc_id", F.when(F.col("doubled"), arrays.drop_first(F.col("ids"))).otherwise(F.col("ids")).alias("ids"))
+
+
+@query(f"with {TOKENS}, m as (select doc_id // 8 as batch, max(len(ids)) as n from tok group by 1) select doc_id, (ids || [0 for i in range(n - len(ids))])::int[] as ids from tok join m on doc_id // 8 = batch")
+def pad_batch(spark, sf):
+    rows = _tokens(spark, sf).withColumn("batch", F.floor(F.col("doc_id") / 8))
+    longest = rows.groupBy("batch").agg(F.max(F.size("ids")).alias("n"))
+    return rows.join(longest, "batch").select("doc_id", arrays.pad_to(F.col("ids"), F.col("n"), 0).alias("ids"))
+
+
+@query("select page_id, rtrim('page_' || (page_id % 7) || 'g.jpg', '.jpg') as charset_id, 'page_' || (page_id % 7) || 'g' as suffix_id from pages")
+def prediction_ids(spark, sf):
+    name = F.concat(F.lit("page_"), (F.col("page_id") % 7).cast("string"), F.lit("g.jpg"))
+    return table(spark, sf, "pages").select("page_id", text.rstrip_charset(name, ".jpg").alias("charset_id"), text.remove_suffix(name, ".jpg").alias("suffix_id"))
+
+
+def _noise_sql() -> str:
+    scaled = lambda n, a, b: f"({a} + {h(n, 'id')} % {b - a + 1}) / 1000.0::double"
+    out = [f"(case when {u('bg_side', 'id')} < 0.5 then 235 + {h(f'bg_{c}', 'id')} % 21 else {h(f'bg_{c}', 'id')} % 21 end)::int as bg_{c}" for c in "bgr"]
+    out += [f"{h('texture', 'id')} as texture_seed", f"{scaled('angle', -1500, 1500)} as angle"]
+    out += [f"(-5 + {h(f'delta{i}', 'id')} % 16)::int as delta_{i}" for i in range(8)]
+    for s in "hv":
+        on = f"{u(f'{s}_on', 'id')} < 0.7"
+        out += [f"case when {on} then {scaled(f'{s}_limit', 700, 900)} end as {s}_limit", f"case when {on} then {u(f'{s}_flip', 'id')} < 0.5 end as {s}_flipped"]
+    on = f"{u('vignette', 'id')} < 0.333"
+    out += [f"(333 + {h('cx', 'id')} % 334)::int as center_x", f"(266 + {h('cy', 'id')} % 268)::int as center_y"]
+    out += [f"case when {on} then {scaled('strength', 200, 500)} end as strength", f"{u('blur', 'id')} < 0.5 as blur"]
+    return ", ".join(out)
+
+
+NOISE_FIELDS = f"{CORPUS}, nf as (select id, {_noise_sql()} from corpus)"
+
+
+@query(f"with {NOISE_FIELDS} select * from nf")
+def noise_config(spark, sf):
+    fields = noise.noise_fields(F.col("id"), F.lit(1000), F.lit(800))
+    return _corpus(spark, sf).select("id", *[c.alias(k) for k, c in fields.items()])
+
+
+@query(
+    f"""with {NOISE_FIELDS}, g as (select nf.*, x, y from nf, (select unnest([0, 250, 500, 999]) as x), (select unnest([0, 400, 799]) as y)),
+m as (select id, x, y, coalesce(h_limit + (1 - h_limit) * (case when h_flipped then 999 - x else x end) / 999.0, 1.0) as a,
+  coalesce(v_limit + (1 - v_limit) * (case when v_flipped then 799 - y else y end) / 799.0, 1.0) as b,
+  coalesce(least(greatest(1 - ((x - center_x) * (x - center_x) + (y - center_y) * (y - center_y)) / 820000.0 * strength, 0.0), 1.0), 1.0) as c from g)
+select id, x::int as x, y::int as y, round((a * b * c)::double, 6)::double as brightness from m"""
+)
+def lighting_mask(spark, sf):
+    n = noise_config(spark, sf).withColumn("x", F.explode(F.array(*map(F.lit, (0, 250, 500, 999))))).withColumn("y", F.explode(F.array(*map(F.lit, (0, 400, 799)))))
+    a, b = (noise.gradient_value(F.col(f"{s}_limit"), F.col(f"{s}_flipped"), F.col(p), size) for s, p, size in (("h", "x", 1000), ("v", "y", 800)))
+    c = noise.vignette_value(F.col("x"), F.col("y"), F.col("center_x"), F.col("center_y"), F.col("strength"), 1000, 800)
+    return n.select("id", "x", "y", F.round(a * b * c, 6).alias("brightness"))
+
+
+@query(f"with {CHARS} select id, min(x)::int as x1, min(y)::int as y1, (max(x) + 10)::int as x2, (max(y) + 10)::int as y2 from chars where pos = 0 and text <> ' ' group by id")
+def mask_rects(spark, sf):
+    boxes = _char_boxes(spark, sf).where("pos = 0 and text <> ' '")
+    rects = noise.mask_targets(boxes, "cap")
+    return rects.groupBy("id").agg(F.min("x1").alias("x1"), F.min("y1").alias("y1"), F.max("x2").alias("x2"), F.max("y2").alias("y2"))
+
+
+@query()
+def render_html(spark, sf):
+    labels = _labels(spark, sf)
+    return layout.render_html(layout.with_style(labels.drop("show_title")))
+
+
+@query(f"with {CORPUS}, n as (select id, row_number() over (order by id) - 1 as r, count(*) over () as c from corpus) select id, r // ((c + 6) // 7) as chunk from n")
+def worker_chunks(spark, sf):
+    rows = ordering.with_ordinal(_corpus(spark, sf).select("id"), F.substring("id", 1, 3), F.col("id"))
+    total = rows.agg(F.count("*").alias("total"))
+    return rows.withColumn("total", total.scalar()).select("id", ordering.worker_chunk(F.col("ordinal"), F.col("total"), 7).alias("chunk"))
