@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import quality, warc
+from . import licenses, quality, warc
 from .common import table
 
 
@@ -56,6 +56,12 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
+def op4_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .licenses import documents_as_files, scan_licenses
+
+    return scan_licenses(documents_as_files(table(spark, sf_dir, "documents")), id_col="doc_id")
+
+
 #: (verdict, host/path) of the URL query.
 URL_RULES = [("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/")]
 
@@ -88,5 +94,5 @@ c as (select address, bool_or(said = 'block') and not bool_or(said = 'allow') as
 select page_id, host, path, rule, coalesce(said, case when blocked then 'block' else 'allow' end) as verdict from v left join c using (address)
 """
 
-QUERIES = {"op3_url_filters": op3_url_filters, "op8_warc": op8_warc, "pipeline": pipeline, "op2_decontamination": op2_decontamination, "op7_ngram_jaccard_join": op7_ngram_jaccard_join, "op10_toxicity": op10_toxicity, "op1_quality_rules": op1_quality_rules, "op5_token_binary": op5_token_binary, "op6_packing": op6_packing, "op9_token_counts": op9_token_counts}
-ORACLES: dict[str, str] = {"op1_quality_rules": quality.oracle(), "op3_url_filters": URL_ORACLE, "op8_warc": warc.ORACLE}
+QUERIES = {"op4_license_scans": op4_license_scans, "op3_url_filters": op3_url_filters, "op8_warc": op8_warc, "pipeline": pipeline, "op2_decontamination": op2_decontamination, "op7_ngram_jaccard_join": op7_ngram_jaccard_join, "op10_toxicity": op10_toxicity, "op1_quality_rules": op1_quality_rules, "op5_token_binary": op5_token_binary, "op6_packing": op6_packing, "op9_token_counts": op9_token_counts}
+ORACLES: dict[str, str] = {"op1_quality_rules": quality.oracle(), "op3_url_filters": URL_ORACLE, "op4_license_scans": licenses.oracle(), "op8_warc": warc.ORACLE}
