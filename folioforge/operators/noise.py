@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -141,15 +141,15 @@ def mask_targets(boxes: DataFrame, target: str = "img_cap") -> DataFrame:
 def noisy_images(images: DataFrame) -> DataFrame:
     """id, pixels of images (id, width, height, pixels: raw BGR bytes, config); replay passes the logged config, masks may come as boxes."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            rows = batch.to_pylist()
             done = []
-            for row in batch.to_dict("records"):
+            for row in rows:
                 image = np.frombuffer(row["pixels"], np.uint8).reshape(row["height"], row["width"], 3)
-                boxes = row.get("boxes")
-                if boxes is not None and len(boxes):
-                    image = mask_rectangles(image, list(boxes))
+                if row.get("boxes"):
+                    image = mask_rectangles(image, row["boxes"])
                 done.append(apply_noise(image, row["config"]).tobytes())
-            yield pd.DataFrame({"id": batch["id"], "pixels": done})
+            yield pa.RecordBatch.from_arrays([pa.array([r["id"] for r in rows], pa.string()), pa.array(done, pa.binary())], names=["id", "pixels"])
 
-    return images.mapInPandas(run, "id string, pixels binary")
+    return images.mapInArrow(run, "id string, pixels binary")
