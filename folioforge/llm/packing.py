@@ -57,28 +57,29 @@ def knapsack(values: np.ndarray, lengths: np.ndarray, capacity: int) -> dict[int
 def configurations(lengths: np.ndarray, counts: np.ndarray, capacity: int, rounds: int = ROUNDS, rate: float = 2.0) -> list[tuple[dict[int, int], float]]:
     """Fractional solution of the covering LP: configurations (index -> copies) with the number of sequences of each.
 
-    Weights of lengths fall with their cover, so later rounds price what is still bare.
+    A length starts with the price of its share of a sequence, or of the number of
+    its kind that fit one where that is more; prices fall with a length's cover, so
+    later rounds price what is still bare.
     """
     cover = np.zeros(len(lengths))
     found: list[tuple[dict[int, int], float]] = []
-    step = max(1.0, float((lengths * counts).sum()) / capacity / rounds)
+    step = max(1.0, float((lengths * counts).sum()) / capacity / max(1, rounds))
+    start = np.maximum(lengths / capacity, 1.0 / (capacity // lengths))
     for _ in range(rounds):
         left = np.maximum(counts - cover, 0)
         if not left.any():
             break
-        weights = lengths * np.exp(-rate * cover / counts) * (left > 0)
-        chosen = knapsack(weights, lengths, capacity)
+        chosen = knapsack(start * np.exp(-rate * cover / counts) * (left > 0), lengths, capacity)
         if not chosen:
             break
-        amount = min(step, min(left[k] / n for k, n in chosen.items() if left[k] > 0))
-        amount = max(amount, 1.0)
+        amount = max(1.0, min(step, min(left[k] / n for k, n in chosen.items())))
         for k, n in chosen.items():
             cover[k] += n * amount
         found.append((chosen, amount))
     return found
 
 
-def _best_fit(groups: dict[int, list], length: int, n: int, capacity: int, first: int) -> int:
+def _best_fit(groups: dict[int, list], length: int, n: int, capacity: int) -> None:
     """Place n pieces of a length into groups of equal bins, keyed by the room left; fullest bins first."""
     while n:
         room = next((r for r in range(length, capacity + 1) if groups.get(r)), None)
@@ -89,41 +90,55 @@ def _best_fit(groups: dict[int, list], length: int, n: int, capacity: int, first
                 groups.setdefault(capacity - fit * length, []).append(({length: fit}, bins))
             if n % fit:
                 groups.setdefault(capacity - n % fit * length, []).append(({length: n % fit}, 1))
-            return first
+            return
         content, bins = groups[room].pop()
         used = min(bins, n)
         if bins > used:
             groups[room].append((content, bins - used))
         groups.setdefault(room - length, []).append(({**content, length: content.get(length, 0) + 1}, used))
         n -= used
-    return first
+
+
+#: Shares of the fractional solution that rounding tries; what a share leaves goes best-fit.
+SHARES = (1.0, 0.9, 0.75, 0.5, 0.25, 0.1)
+
+
+def _rounded(found: list, lengths: np.ndarray, counts: np.ndarray, capacity: int, share: float) -> dict[tuple, int]:
+    out: dict[tuple, int] = {}
+    remain = counts.astype(np.int64)
+    for chosen, amount in found:
+        times = min(int(amount * share), min(int(remain[k]) // n for k, n in chosen.items()))
+        if times > 0 and sum(int(lengths[k]) * n for k, n in chosen.items()) >= 0.99 * capacity:  # emptier ones are better filled by best-fit
+            for k, n in chosen.items():
+                remain[k] -= n * times
+            key = tuple(sorted((int(lengths[k]), n) for k, n in chosen.items()))
+            out[key] = out.get(key, 0) + times
+    groups: dict[int, list] = {}
+    for k in range(len(lengths) - 1, -1, -1):
+        if remain[k]:
+            _best_fit(groups, int(lengths[k]), int(remain[k]), capacity)
+    for members in groups.values():
+        for content, bins in members:
+            key = tuple(sorted(content.items()))
+            out[key] = out.get(key, 0) + bins
+    return out
 
 
 def solve(histogram: dict[int, int], capacity: int = CAPACITY, rounds: int = ROUNDS) -> list[tuple[dict[int, int], int]]:
-    """Packing of a length histogram: (length -> copies, number of sequences) for every configuration used."""
+    """Packing of a length histogram: (length -> copies, number of sequences) for every configuration used.
+
+    The fractional solution is rounded down at several shares, the rest placed
+    best-fit decreasing; the share with the fewest sequences is taken.
+    """
     out: dict[tuple, int] = {}
     left = {x: n for x, n in histogram.items() if n and x < capacity}
-    if histogram.get(capacity):
-        out[((capacity, 1),)] = histogram[capacity]
     if left:
         lengths = np.array(sorted(left), np.int64)
         counts = np.array([left[int(x)] for x in lengths], np.float64)
-        remain = counts.astype(np.int64)
-        for chosen, amount in configurations(lengths, counts, capacity, rounds):
-            times = min(int(amount), min(int(remain[k]) // n for k, n in chosen.items()))
-            if times > 0 and sum(int(lengths[k]) * n for k, n in chosen.items()) >= 0.998 * capacity:  # fuller ones only; the rest goes best-fit
-                for k, n in chosen.items():
-                    remain[k] -= n * times
-                key = tuple(sorted((int(lengths[k]), n) for k, n in chosen.items()))
-                out[key] = out.get(key, 0) + times
-        groups: dict[int, list] = {}
-        for k in range(len(lengths) - 1, -1, -1):
-            if remain[k]:
-                _best_fit(groups, int(lengths[k]), int(remain[k]), capacity, 0)
-        for members in groups.values():
-            for content, bins in members:
-                key = tuple(sorted(content.items()))
-                out[key] = out.get(key, 0) + bins
+        found = configurations(lengths, counts, capacity, rounds)
+        out = min((_rounded(found, lengths, counts, capacity, share) for share in SHARES), key=lambda r: sum(r.values()))
+    if histogram.get(capacity):
+        out[((capacity, 1),)] = histogram[capacity]
     return [(dict(key), n) for key, n in sorted(out.items())]
 
 
