@@ -8,17 +8,18 @@ wholly in one segment at least (pigeonhole). A set is indexed under the hash of
 its subset in every segment, for its own band and for lower bands that can hold
 partners.
 
-Allocation by cost: a key that more than `hot` distinct sets share is not used
-alone. Its budget moves to the next segment, which is matched up to one element:
+Allocation by cost: the key of a segment of `LIGHT` elements or fewer, or one that
+more than `hot` distinct sets share, is not used alone. Its budget moves to the next segment, which is matched up to one element:
 the key is refined by the one-deletion neighbourhood of that segment. This loses
-no link: let z of the agreeing segments be hot and none cold. If every follower
+no link: let z of the agreeing segments be refined and no other agree. If every follower
 of those differs in two elements or more, the difference is at least
 2z + (m - 2z) = m > H.
 
 Candidates are never listed as pairs of a bucket. Each set is first verified
-with its least bucket neighbour; components of these links settle most buckets.
+with the bucket hub that it shares most keys with; components of these links settle most buckets.
 In buckets that still hold several components the sets themselves meet, in
-blocks of bounded size, and only links that join components leave the task.
+blocks of bounded size (first by counts per hash bin, which bound the difference
+from below, then whole), and only links that join components leave the task.
 Exact copies collapse to one set beforehand, inside each task and over all.
 
 Defined cases: null texts and texts without words have an empty set, link with
@@ -41,10 +42,16 @@ from pyspark.sql import functions as F
 from .common import save, slices
 from .components import connected_components
 
-HOT = 48
+#: Sets that may share a key before it is refined: meeting in blocks costs their square, refining about ten rows for each.
+HOT = 1024
 #: Most sets, and most shingles, of one block that meets others in a task.
 BLOCK_SETS, BLOCK_SHINGLES = 256, 1_000_000
+#: Segments of up to this many elements are never keys alone.
+LIGHT = 1
+#: Most sets that one group verifies against its hub.
+STAR_SETS = 4000
 _BAND = 1.25
+_BINS = 256
 
 _M1, _M2, _A = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 _S30, _S27, _S31 = np.uint64(30), np.uint64(27), np.uint64(31)
@@ -136,6 +143,25 @@ def segment_keys(sums: np.ndarray, band: int) -> np.ndarray:
         return mix(sums * _A + mix(np.arange(len(sums), dtype=np.uint64) + (np.uint64(band + 1) << np.uint64(40))))
 
 
+def bins(tokens: np.ndarray) -> bytes:
+    """Elements per bin of a fixed hash, at most 255 each: the sum of differences bounds the symmetric difference from below."""
+    return np.minimum(np.bincount((mix(tokens + _M2) % np.uint64(_BINS)).astype(np.int64), minlength=_BINS), 255).astype(np.uint8).tobytes()
+
+
+def index_keys(tokens: np.ndarray, band: int, m: int) -> np.ndarray:
+    """Keys of a set under a band. Segments of at most `LIGHT` elements say too little to stand alone: they are refined at once."""
+    where, sums = segments(tokens, m)
+    own = segment_keys(sums, band)
+    light = np.bincount(where, minlength=m) <= LIGHT
+    if m == 1 or not light.any():
+        return own
+    with np.errstate(over="ignore"):
+        follower = np.roll(sums, -1)
+        behind = light[where - 1]  # elements whose segment follows a light one; -1 is the last
+        near = mix(own[where[behind] - 1] + mix(sums[where[behind]] - mix(tokens[behind] ^ _M1) + _M2))
+        return np.concatenate([own[~light], mix(own[light] + mix(follower[light] + _M2)), near])
+
+
 def _classes(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -156,9 +182,8 @@ def _keys(k: int, bands: Bands):
                 if len(seen) < 500_000:
                     seen.add(me)
                 for band in bands.of(len(tokens)):
-                    _, sums = segments(tokens, int(bands.budget[band]) + 1)
-                    keys.append(segment_keys(sums, band))
-                    owners.append(np.full(len(sums), me, np.int64))
+                    keys.append(np.unique(index_keys(tokens, band, int(bands.budget[band]) + 1)))
+                    owners.append(np.full(len(keys[-1]), me, np.int64))
             if keys:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(owners))], names=["key", "set"])
 
@@ -198,35 +223,67 @@ def _index(rows: DataFrame, name: str) -> DataFrame:
     return save(rows.repartition("key").sortWithinPartitions("key", "set").mapInArrow(_shared, "key long, set long, hub long"), name)
 
 
-def _tokens(k: int):
+def _candidates(k: int):
+    """Texts of the wanted sets with their sizes and bins; texts travel instead of shingles, which don't compress."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        done: set[int] = set()
         for batch in slices(batches, rows=500):
-            sets = shingle_sets(batch.column(0), k)
-            right = [i for i, (s, want) in enumerate(zip(sets, batch.column(1).to_pylist())) if set_id(s) == want]
-            yield pa.RecordBatch.from_arrays([batch.column(1).take(pa.array(right, pa.int64())), pa.array([len(sets[i]) for i in right], pa.int64()), pa.array([sets[i].view(np.int64) for i in right], pa.list_(pa.int64()))], names=["set", "n", "tokens"])
+            sets, wanted = shingle_sets(batch.column(0), k), batch.column(1).to_pylist()
+            right = []
+            for i, want in enumerate(wanted):
+                if want not in done and set_id(sets[i]) == want:
+                    right.append(i)
+                    if len(done) < 500_000:
+                        done.add(want)
+            at = pa.array(right, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(1).take(at), pa.array([len(sets[i]) for i in right], pa.int64()), pa.array([bins(sets[i]) for i in right], pa.binary()), batch.column(0).take(at)], names=["set", "n", "bins", "text"])
 
     return run
 
 
-def _refine(bands: Bands):
+def _star(k: int, num: int, den: int):
+    """Links of sets with their hub; columns group, hub, set, text, each group sorted so that the hub comes first."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, center = None, None
+        for batch in slices(batches, rows=500):
+            a, b = [], []
+            for g, hub, me, tokens in zip(*(batch.column(i).to_pylist() for i in range(3)), shingle_sets(batch.column(3), k)):
+                if me == hub:
+                    group, center = g, tokens
+                elif g == group:
+                    both = len(np.intersect1d(center, tokens, assume_unique=True))
+                    if den * both >= num * (len(center) + len(tokens) - both):
+                        a.append(me), b.append(hub)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    return run
+
+
+def _refine(k: int, bands: Bands):
     """Hot keys of a set, each joined with the one-deletion neighbourhood of the following segment."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, rows=200):
             keys, owners = [], []
-            for me, hot, values in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
-                tokens = values.values.to_numpy().view(np.uint64)
+            for me, hot, tokens in zip(batch.column(0).to_pylist(), batch.column(1), shingle_sets(batch.column(2), k)):
                 wanted = hot.values.to_numpy().view(np.uint64)
+                known = []
                 for band in bands.of(len(tokens)):
                     m = int(bands.budget[band]) + 1
                     where, sums = segments(tokens, m)
                     own = segment_keys(sums, band)
+                    known.append(own)
                     for i in np.flatnonzero(np.isin(own, wanted)):
                         j = (int(i) + 1) % m
                         with np.errstate(over="ignore"):
                             near = np.concatenate([sums[j : j + 1], sums[j] - mix(tokens[where == j] ^ _M1)])
                             keys.append(mix(own[i] + mix(near + _M2)))
                         owners.append(np.full(len(near), me, np.int64))
+                refined = wanted[~np.isin(wanted, np.concatenate(known))] if known else wanted  # keys of light segments, refined before
+                keys.append(refined)
+                owners.append(np.full(len(refined), me, np.int64))
             if keys:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(owners))], names=["key", "set"])
 
@@ -273,44 +330,78 @@ def _links(ids: np.ndarray, parts: np.ndarray, sets: list[np.ndarray], num: int,
     return out
 
 
-def _meet(num: int, den: int):
-    """Links inside buckets; input sorted by bucket, columns bucket, side, set, part, tokens."""
+def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tuple]]]:
+    """Rows of every bucket; input sorted by bucket. The batch's end, too, is told (bucket None)."""
+    bucket, held = None, []
+    for batch in batches:
+        for row in zip(*(c.to_pylist() for c in batch.columns)):
+            if row[0] != bucket:
+                if len(held) > 1:
+                    yield bucket, held
+                bucket, held = row[0], []
+            held.append(row)
+        yield None, []
+    if len(held) > 1:
+        yield bucket, held
+
+
+def _promising(num: int, den: int):
+    """Of sets that meet, those with a partner in another component that sizes and bins do not rule out; columns bucket, side, set, part, n, bins."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
-        bucket = None
-        edges: list[tuple[int, int]] = []
+        out: list[tuple] = []
+        for bucket, rows in _buckets(batches):
+            if bucket is None:
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int32(), pa.int64(), pa.int64()))], names=["bucket", "side", "set", "part"])
+                    out = []
+                continue
+            side, part, n = (np.array([r[i] for r in rows], np.int64) for i in (1, 3, 4))
+            counts = np.frombuffer(b"".join(r[5] for r in rows), np.uint8).reshape(len(rows), _BINS).astype(np.int16)
+            two = side.min() != side.max()
+            keep = np.zeros(len(rows), bool)
+            for i in range(len(rows) - 1):
+                later = slice(i + 1, None)
+                least = np.abs(counts[later] - counts[i]).sum(axis=1, dtype=np.int64)
+                good = ((den + num) * least <= (den - num) * (n[later] + n[i])) & (part[later] != part[i])
+                if two:
+                    good &= side[later] != side[i]
+                if good.any():
+                    keep[i] = True
+                    keep[later] |= good
+            out += [rows[i][:4] for i in np.flatnonzero(keep)]
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int32(), pa.int64(), pa.int64()))], names=["bucket", "side", "set", "part"])
 
-        def settle() -> None:
-            if len(held) > 1:
-                once = {h[0]: h for h in held}
-                rows = list(once.values())
-                edges.extend(_links(np.array([r[0] for r in rows]), np.array([r[1] for r in rows]), [r[2] for r in rows], num, den, np.array([r[3] for r in rows])))
-            held.clear()
+    return run
+
+
+def _meet(k: int, num: int, den: int):
+    """Links inside buckets; columns bucket, side, set, part, text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        edges: list[tuple[int, int]] = []
 
         def table() -> pa.RecordBatch:
             got = pa.RecordBatch.from_arrays([pa.array([a for a, _ in edges], pa.int64()), pa.array([b for _, b in edges], pa.int64())], names=["a", "b"])
             edges.clear()
             return got
 
-        for batch in batches:
-            buckets, sides, sets, parts = (batch.column(i).to_pylist() for i in range(4))
-            for i, b in enumerate(buckets):
-                if b != bucket:
-                    settle()
-                    bucket = b
-                held.append((sets[i], parts[i], batch.column(4)[i].values.to_numpy().view(np.uint64), sides[i]))
-            yield table()
-        settle()
+        for bucket, rows in _buckets(batches):
+            if bucket is None:
+                yield table()
+                continue
+            rows = list({r[2]: r for r in rows}.values())
+            edges.extend(_links(np.array([r[2] for r in rows]), np.array([r[3] for r in rows]), shingle_sets(pa.array([r[4] for r in rows], pa.large_string()), k), num, den, np.array([r[1] for r in rows])))
         yield table()
 
     return run
 
 
-def _settle(index: DataFrame, parts: DataFrame, tokens: DataFrame, num: int, den: int) -> DataFrame:
+def _settle(index: DataFrame, parts: DataFrame, texts: DataFrame, k: int, num: int, den: int) -> DataFrame:
     """Links (a, b) inside buckets of the index (key, set) that still hold several components."""
     rows = index.select("key", "set").join(parts, "set", "left").select("key", "set", F.coalesce("part", "set").alias("part"))
-    rows = rows.join(tokens.select("set", "n"), "set")
+    rows = rows.join(texts.select("set", "n"), "set")
     totals = rows.groupBy("key").agg(F.count("*").alias("sets"), F.sum("n").alias("shingles"), F.min("part").alias("lo"), F.max("part").alias("hi"), F.sum(F.xxhash64("set").cast("decimal(38,0)")).alias("sum"), F.bit_xor(F.xxhash64(F.col("set"), F.lit(7))).alias("xor")).where("lo <> hi")
     # buckets of the same members are settled once
     one = totals.groupBy("sum", "xor", "sets").agg(F.min("key").alias("key"), F.first("shingles").alias("shingles"))
@@ -319,8 +410,13 @@ def _settle(index: DataFrame, parts: DataFrame, tokens: DataFrame, num: int, den
     met = dealt.select("key", "set", "part", "mine", F.explode(F.sequence(F.lit(0), F.col("c") - 1)).alias("other"))
     bucket = F.xxhash64("key", F.least("mine", "other"), F.greatest("mine", "other"))
     side = (F.col("mine") > F.col("other")).cast("int")
-    full = met.select(bucket.alias("bucket"), side.alias("side"), "set", "part").join(tokens.select("set", "tokens"), "set").select("bucket", "side", "set", "part", "tokens")
-    return full.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_meet(num, den), "a long, b long")
+    binned = met.select(bucket.alias("bucket"), side.alias("side"), "set", "part").join(texts.select("set", "n", "bins"), "set").select("bucket", "side", "set", "part", "n", "bins")
+    likely = save(binned.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_promising(num, den), "bucket long, side int, set long, part long"), "likely")
+    # what is left of different buckets is often the same few sets
+    marks = likely.groupBy("bucket").agg(F.count("*").alias("c"), F.sum(F.xxhash64("set", "side").cast("decimal(38,0)")).alias("sum"), F.bit_xor(F.xxhash64(F.col("set"), F.col("side"), F.lit(7))).alias("xor"))
+    once = marks.groupBy("c", "sum", "xor").agg(F.min("bucket").alias("bucket")).select("bucket")
+    full = likely.join(once, "bucket").join(texts.select("set", "text"), "set").select("bucket", "side", "set", "part", "text")
+    return full.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_meet(k, num, den), "a long, b long")
 
 
 def shingle_components(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100, hot: int = HOT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -331,25 +427,27 @@ def shingle_components(docs: DataFrame, k: int = 3, num: int = 90, den: int = 10
     index = _index(texts.select("text").mapInArrow(_keys(k, bands), "key long, set long"), "segment-index")
     first = classes.where("n > 0").groupBy("set").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"))
     wanted = index.select("set").distinct().join(first.select("set", F.col("doc_id").alias("_rep")), "set")
-    tokens = save(texts.join(wanted, F.col("doc_id") == F.col("_rep")).select("text", "set").mapInArrow(_tokens(k), "set long, n long, tokens array<long>").dropDuplicates(["set"]), "shingles")
-
-    # every set with its least bucket neighbour
-    near = index.where("set <> hub").groupBy("set").agg(F.min("hub").alias("hub"))
-    other = tokens.select(F.col("set").alias("hub"), F.col("n").alias("n2"), F.col("tokens").alias("t2"))
-    both = F.size(F.array_intersect("tokens", "t2"))
-    pairs = near.join(tokens, "set").join(other, "hub").where(den * F.least("n", "n2") >= num * F.greatest("n", "n2"))
-    links = save(pairs.where(den * both >= num * (F.col("n") + F.col("n2") - both)).select(F.col("set").alias("a"), F.col("hub").alias("b")), "links")
+    found = save(texts.join(wanted, F.col("doc_id") == F.col("_rep")).select("text", "set").mapInArrow(_candidates(k), "set long, n long, bins binary, text string"), "candidate-texts")
+
+    # every set with the hub (least set of a bucket) that it shares most keys with; a hub of many sets is met in several groups
+    shared = index.where("set <> hub").groupBy("set", "hub").agg(F.count("*").alias("keys"))
+    near = shared.groupBy("set").agg(F.max_by("hub", F.struct("keys", -F.col("hub"))).alias("hub"))
+    hubs = near.groupBy("hub").agg(F.ceil(F.count("*") / STAR_SETS).cast("int").alias("c"))
+    members = near.join(hubs, "hub").select("hub", "set", F.pmod(F.xxhash64("set"), F.col("c")).cast("int").alias("g"))
+    centers = hubs.select("hub", F.col("hub").alias("set"), F.explode(F.sequence(F.lit(0), F.col("c") - 1)).alias("g"))
+    stars = members.union(centers).join(found.select("set", "text"), "set").select(F.xxhash64("hub", "g").alias("group"), "hub", "set", "text")
+    links = save(stars.repartition("group").sortWithinPartitions("group", F.col("set") != F.col("hub")).mapInArrow(_star(k, num, den), "a long, b long"), "links")
     parts = save(connected_components(links).select(F.col("node").alias("set"), F.col("component").alias("part")), "parts")
 
     sizes = index.groupBy("key").agg(F.count("*").alias("c"))
     cold = index.join(sizes.where(F.col("c") <= hot), "key", "left_semi")
-    links = save(links.union(_settle(cold, parts, tokens, num, den)), "links")
+    links = save(links.union(_settle(cold, parts, found, k, num, den)), "links")
     open_hot = index.join(parts, "set", "left").withColumn("part", F.coalesce("part", "set")).groupBy("key").agg(F.count("*").alias("c"), F.min("part").alias("lo"), F.max("part").alias("hi")).where((F.col("c") > hot) & (F.col("lo") != F.col("hi")))
     hot_sets = index.join(open_hot, "key", "left_semi").groupBy("set").agg(F.collect_set("key").alias("hot"))
-    refined = _index(hot_sets.join(tokens.select("set", "tokens"), "set").select("set", "hot", "tokens").mapInArrow(_refine(bands), "key long, set long"), "refined-index")
+    refined = _index(hot_sets.join(found.select("set", "text"), "set").select("set", "hot", "text").mapInArrow(_refine(k, bands), "key long, set long"), "refined-index")
     if not refined.isEmpty():
         parts = save(connected_components(links).select(F.col("node").alias("set"), F.col("component").alias("part")), "parts")
-        links = links.union(_settle(refined, parts, tokens, num, den))
+        links = links.union(_settle(refined, parts, found, k, num, den))
     parts = connected_components(links).select(F.col("node").alias("set"), F.col("component").alias("part"))
 
     named = first.join(parts, "set", "left").select("set", "doc_id", F.coalesce("part", "set").alias("part"))
