@@ -319,7 +319,7 @@ def test_toxicity_learns_and_leaves_clean_alone(spark):
     r = random.Random(9)
     texts, labels = [], []
     for d in range(500):
-        words = [f"{r.choice('bcdfg')}{r.choice('aeiou')}w{r.randrange(60)}" for _ in range(60)]
+        words = ["".join(r.choices("bcdfgaeiou", k=5)) for _ in range(60)]
         toxic = d % 5 == 0
         if toxic:
             for _ in range(3):
