@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -22,6 +23,8 @@ _ODD_SPACE = re.compile(r" (?:[\s\x1c-\x1f\x85᠎​﻿]|\Z)")
 _CHUNK_SPACE = re.compile(r" (?=[^\s\x1c-\x1f\x85᠎​﻿])")
 #: Chunks of these characters are split here; every engine classes them alike. Others go through the library's own splitter.
 _PLAIN = re.compile(r"[ \n!-~À-ÖØ-öø-ſ]*")
+#: The usual chunk, one word and perhaps ASCII punctuation: its pre-tokens are the two groups.
+_WORD_CHUNK = re.compile(r"( ?[A-Za-zÀ-ÖØ-öø-ſ]+)([!-/:-@\[-`{-~]+)?")
 _PRE_TOKENS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-zÀ-ÖØ-öø-ſ]+| ?[0-9]+| ?[^\sA-Za-z0-9À-ÖØ-öø-ſ]+|\s+(?!\S)|\s+")
 
 
@@ -44,7 +47,7 @@ def _byte_alphabet() -> list[str]:
 class ChunkEncoder:
     """Ids of chunks by way of a growing table: chunk -> row of a ragged id array."""
 
-    def __init__(self, path: str, most: int = 700_000):
+    def __init__(self, path: str, most: int = 900_000):
         os_parallel_off()
         from tokenizers import Tokenizer
 
@@ -52,41 +55,51 @@ class ChunkEncoder:
         self.added = tuple(t.content for t in self.tokenizer.get_added_tokens_decoder().values())
         self.model = self.tokenizer.model
         self.simple = type(self.model).__name__ == "BPE" and self.tokenizer.normalizer is None
+        # a word chunk has no letter behind its punctuation, so it can't hold such special tokens
+        self.usual = self.simple and all(re.search(r"[!-/:-@\[-`{-~][A-Za-z]", a) for a in self.added)
         self.alphabet = _byte_alphabet()
         self.clear()
 
     def clear(self) -> None:
         self.rows: dict[str, int] = {}
         self.words: dict[str, list[int]] = {}
-        self.flat, self.used = np.zeros(1 << 16, np.uint32), 0
-        self.starts, self.lengths = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64)
+        self._flat, self._lengths = array("I"), array("q")
+        self.flat, self.starts, self.lengths = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def _piece(self, piece: str) -> list[int]:
+        ids = self.words.get(piece)
+        if ids is None:
+            shown = piece.replace(" ", self.alphabet[32]) if piece.isascii() and piece.isprintable() else "".join([self.alphabet[b] for b in piece.encode()])
+            ids = [t.id for t in self.model.tokenize(shown)]
+            if len(piece) <= 9 and len(self.words) < 300_000:
+                self.words[piece] = ids
+        return ids
 
     def _encode(self, chunk: str) -> list[int]:
+        if self.usual and (found := _WORD_CHUNK.fullmatch(chunk)):
+            word, mark = found.groups()
+            return self._piece(word) + self._piece(mark) if mark else self._piece(word)
         if not self.simple or not _PLAIN.fullmatch(chunk) or any(a in chunk for a in self.added):
             return self.tokenizer.encode(chunk, add_special_tokens=False).ids
-        out: list[int] = []
-        for piece in _PRE_TOKENS.findall(chunk):
-            ids = self.words.get(piece)
-            if ids is None:
-                ids = [t.id for t in self.model.tokenize("".join([self.alphabet[b] for b in piece.encode()]))]
-                if len(piece) <= 8 and len(self.words) < self.most:
-                    self.words[piece] = ids
-            out += ids
-        return out
+        return [i for piece in _PRE_TOKENS.findall(chunk) for i in self._piece(piece)]
 
     def _row(self, chunk: str) -> int:
         ids = self._encode(chunk)
-        row, n = len(self.rows), len(ids)
-        if row == len(self.starts):
-            self.starts, self.lengths = (np.concatenate([x, np.zeros_like(x)]) for x in (self.starts, self.lengths))
-        while self.used + n > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        self.flat[self.used : self.used + n] = ids
-        self.starts[row], self.lengths[row] = self.used, n
-        self.used += n
+        row = len(self._lengths)
+        self._flat.extend(ids)
+        self._lengths.append(len(ids))
         self.rows[chunk] = row
         return row
 
+    def _settle(self) -> None:
+        """The table as arrays, after new rows; only what is new is copied."""
+        if len(self._lengths) > len(self.lengths):
+            new = np.array(self._lengths[len(self.lengths) :], np.int64)
+            ends = len(self.flat) + np.cumsum(new)
+            self.starts = np.concatenate([self.starts, ends - new])
+            self.lengths = np.concatenate([self.lengths, new])
+            self.flat = np.concatenate([self.flat, np.array(self._flat[len(self.flat) :], np.uint32)])
+
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of a batch end to end, and the number of ids of each text."""
         if len(self.rows) > self.most:
@@ -112,6 +125,7 @@ class ChunkEncoder:
         for at, text in zip(firsts, words.take(pa.array(firsts)).to_pylist()):  # the first chunk has no space before it
             row = get(text)
             rows[at] = self._row(text) if row is None else row
+        self._settle()
         lengths = self.lengths[rows]
         ends = np.cumsum(lengths)
         at = np.repeat(self.starts[rows] - (ends - lengths), lengths)
