@@ -26,8 +26,10 @@ def mask_special(ids: Column, special: list[int]) -> Column:
 
 def mask_prefix(labels: Column, ids: Column, marker: list[int]) -> Column:
     """Ignore everything up to and including the first marker; null where there is none."""
-    first = F.array_min(subsequence_positions(ids, marker))
-    return F.when(first.isNotNull(), F.transform(labels, lambda v, i: F.when(i < first + len(marker), IGNORE).otherwise(v)))
+    # bound once per row: inside the inner lambda the search would run for every element
+    first = F.array(F.array_min(subsequence_positions(ids, marker)))
+    masked = lambda f: F.when(f.isNotNull(), F.transform(labels, lambda v, i: F.when(i < f + len(marker), IGNORE).otherwise(v)))
+    return F.get(F.transform(first, masked), F.lit(0))
 
 
 def drop_first(ids: Column) -> Column:
