@@ -47,7 +47,7 @@ def _byte_alphabet() -> list[str]:
 class ChunkEncoder:
     """Ids of chunks by way of a growing table: chunk -> row of a ragged id array."""
 
-    def __init__(self, path: str, most: int = 900_000):
+    def __init__(self, path: str, most: int = 400_000):
         os_parallel_off()
         from tokenizers import Tokenizer
 
@@ -71,7 +71,7 @@ class ChunkEncoder:
         if ids is None:
             shown = piece.replace(" ", self.alphabet[32]) if piece.isascii() and piece.isprintable() else "".join([self.alphabet[b] for b in piece.encode()])
             ids = [t.id for t in self.model.tokenize(shown)]
-            if len(piece) <= 9 and len(self.words) < 300_000:
+            if len(piece) <= 9 and len(self.words) < 150_000:
                 self.words[piece] = ids
         return ids
 
