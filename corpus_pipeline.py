@@ -49,7 +49,7 @@ STAGES = [
     ("best_fit_packing", best_fit_packing),
 ]
 
-#: SQL can't express the grammar, the embedding and the linear program; tests hold the stages against brute force.
+#: SQL can't express the grammar, the word edits and the linear program; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 

@@ -1,18 +1,15 @@
 """Operator 2, benchmark decontamination with edited passages.
 
-Every window of an item's length in a document is a candidate for containing the
-item within an edit distance (in words) of `rate` of its length. Windows pass
-three tests:
-
-1. A lossless q-gram count: a window within e edits of an n-word item shares at
-   least n - 1 - 2e of its n - 1 word pairs, so windows that share fewer pairs
-   with an item of their length are dropped before any embedding.
-2. Repeated bit-sampling LSH: CGK random-walk embeddings (a walk that copies a
-   word and moves on or stays by a random bit of the place and the word) map edit
-   distance to Hamming distance; `repeats` walks with `bits` sampled places each
-   give keys that windows and items must share. The number of repeats follows
-   from the target recall.
-3. The edit distance itself, between the item and any part of the window.
+A document contains an item if some part of it is within an edit distance (in
+words) of `rate` of the item's length. The answer is exact; two steps find it:
+
+1. A lossless q-gram count: a part within e edits of an n-word item holds at
+   least n - 1 - 2e of its n - 1 word pairs within n + e words, and the first of
+   them lies at most 2e words behind the part's start. Only places around a pair
+   that begins such a span can hold the item; places that overlap are joined.
+   Items too short for the count are looked for around each of their words.
+2. The edit distance itself, between the item and any part of such a place, by
+   a bit-parallel recurrence: one step a word, whatever the item's length.
 
 The benchmark is the small side: its size is checked against `max_items` before
 it is broadcast; a larger one is applied in chunks of that size.
@@ -25,7 +22,6 @@ empty results (an empty benchmark removes nothing); extra columns are kept.
 
 from __future__ import annotations
 
-import math
 import re
 from collections import defaultdict
 from collections.abc import Iterator
@@ -34,14 +30,12 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import slices
 
 RATE = 0.15
-BITS, RECALL = 2, 0.98
 MAX_ITEMS = 50_000
 
 _EDGES = re.compile(r"^\W+|\W+$")
@@ -52,71 +46,63 @@ def words_of(text: str) -> list[str]:
     return [w for x in text.lower().split() if (w := _EDGES.sub("", x))]
 
 
-def _hash(word: str, seed: int) -> int:
-    return xxhash.xxh3_64_intdigest(word, seed)
-
-
-def cgk(windows: np.ndarray, lengths: np.ndarray, bits: np.ndarray) -> np.ndarray:
-    """Embeddings of rows of word codes, 3 * length places each; -1 beyond a row's length.
-
-    bits[place, code % len] is the random bit that moves the walk on.
-    """
-    rows, most = windows.shape
-    at = np.zeros(rows, np.int64)
-    padded = np.concatenate([windows, np.full((rows, 1), -1, windows.dtype)], axis=1)
-    padded[np.arange(most + 1) >= lengths[:, None]] = -1
-    out = np.empty((rows, 3 * most), windows.dtype)
-    line = np.arange(rows)
-    for place in range(3 * most):
-        code = padded[line, at]
-        out[:, place] = code
-        at += np.where(code >= 0, bits[place, code % bits.shape[1]], 0)
+def masks_of(item: list[int]) -> dict[int, int]:
+    """The places of every word of an item, as bits."""
+    out: dict[int, int] = {}
+    for i, c in enumerate(item):
+        out[c] = out.get(c, 0) | 1 << i
     return out
 
 
-def repeats_for(recall: float, differing: float, bits: int) -> int:
-    """Walks that are needed so that a pair whose embeddings differ in this share of places shares a key with the wanted probability."""
-    share = max(1e-3, (1 - differing) ** bits)
-    return max(1, math.ceil(math.log(1 - recall) / math.log(1 - share)))
+def masks_within(masks: dict[int, int], n: int, window: list[int], most: int) -> bool:
+    """edit_within for the masks of an n-word item (Myers' bit vectors of Sellers' columns)."""
+    if n <= most:
+        return True
+    full, top, distance = (1 << n) - 1, 1 << (n - 1), n
+    up, down = full, 0  # where a column rises or falls by one
+    for w in window:
+        same = masks.get(w, 0)
+        across = (((same & up) + up) ^ up) | same
+        rise, fall = down | ~(across | up) & full, up & across
+        if rise & top:
+            distance += 1
+        elif fall & top:
+            distance -= 1
+            if distance <= most:
+                return True
+        rise, fall = rise << 1 & full, fall << 1 & full
+        same |= down
+        up, down = fall | ~(same | rise) & full, rise & same
+    return False
 
 
 def edit_within(item: list[int], window: list[int], most: int) -> bool:
-    """Whether some contiguous part of window is within `most` word edits of item (Sellers' recurrence)."""
-    row = list(range(len(item) + 1))
-    for w in window:
-        diagonal, row[0] = row[0], 0
-        for i, c in enumerate(item, 1):
-            above = row[i]
-            row[i] = min(diagonal + (c != w), above + 1, row[i - 1] + 1)
-            diagonal = above
-        if row[-1] <= most:
-            return True
-    return row[-1] <= most
+    """Whether some contiguous part of window is within `most` word edits of item."""
+    return masks_within(masks_of(item), len(item), window, most)
+
+
+def spans(at: np.ndarray, before: int, after: int) -> list[tuple[int, int]]:
+    """The places from `before` words before to `after` words after each of the sorted positions, joined where they overlap."""
+    cuts = np.flatnonzero(np.diff(at) > before + after) + 1
+    first, last = at[np.concatenate([[0], cuts])], at[np.concatenate([cuts, [len(at)]]) - 1]
+    return [(max(0, a - before), b + after) for a, b in zip(first.tolist(), last.tolist())]
 
 
 @dataclass
 class Index:
-    """LSH index of benchmark items, built once and broadcast."""
+    """Word pairs and bit masks of benchmark items, built once and broadcast."""
 
     rate: float
-    bits: int
-    recall: float
     codes: dict[str, int] = field(default_factory=dict)
     items: list[tuple[int, list[int]]] = field(default_factory=list)
 
     @classmethod
-    def build(cls, items: list[tuple[int, str]], rate: float, bits: int, recall: float) -> Index:
-        self = cls(rate, bits, recall)
+    def build(cls, items: list[tuple[int, str]], rate: float) -> Index:
+        self = cls(rate)
         for item_id, text in items:
             words = words_of(text or "")
             if words:
                 self.items.append((item_id, [self.codes.setdefault(w, len(self.codes)) for w in words]))
-        # a walk of an edited pair differs in about three places for every edit of the 3n, and in a short detour after each
-        self.repeats = repeats_for(recall, min(0.5, 2.5 * rate), bits)
-        generator = np.random.default_rng(20240607)
-        most = max((len(c) for _, c in self.items), default=1)
-        self.walks = generator.integers(0, 2, (self.repeats, 3 * most, 1021), dtype=np.int8)
-        self.samples = generator.random((self.repeats, bits))
         holders: dict[int, list[int]] = defaultdict(list)
         for i, (_, c) in enumerate(self.items):
             for pair in {x * len(self.codes) + y for x, y in zip(c, c[1:])}:
@@ -128,29 +114,9 @@ class Index:
         self.sizes = np.array([len(c) for _, c in self.items], np.int64)
         self.need = np.array([self.least(len(c)) for _, c in self.items], np.int64)
         self.tiny = [i for i, (_, c) in enumerate(self.items) if self.least(len(c)) == 0]
-        self.most = most
-        self.buckets: dict[int, list[int]] = defaultdict(list)
-        if self.items:
-            padded = np.full((len(self.items), most), -1, np.int64)
-            for i, (_, c) in enumerate(self.items):
-                padded[i, : len(c)] = c
-            for row in self.keys(padded, np.array([len(c) for _, c in self.items], np.int64)):
-                for i, key in enumerate(row.tolist()):
-                    self.buckets[key].append(i)
+        self.masks = [masks_of(c) for _, c in self.items]
         return self
 
-    def keys(self, windows: np.ndarray, lengths: np.ndarray) -> list[np.ndarray]:
-        """One key per walk and row: the hash of the sampled places, which lie in the part that walks of whole windows reach."""
-        out, line = [], np.arange(len(windows))
-        for r in range(self.repeats):
-            embedded = cgk(windows, lengths, self.walks[r])
-            key = lengths * 64 + r
-            for sample in self.samples[r]:
-                code = embedded[line, (sample * 2 * lengths).astype(np.int64)]
-                key = (key * 1_000_003 + code + 7) & 0x7FFFFFFFFFFFFFFF
-            out.append(key)
-        return out
-
     def edits(self, n: int) -> int:
         return int(self.rate * n)
 
@@ -158,14 +124,17 @@ class Index:
         """Word pairs that a window within the edits of an n-word item shares with it."""
         return max(0, n - 1 - 2 * self.edits(n))
 
-    def candidates(self, docs: list[np.ndarray]) -> list[tuple[int, int, int]]:
-        """(document, item, start of a window) wherever enough word pairs of an item lie within its length and edits."""
-        out: list[tuple[int, int, int]] = []
-        for d, codes in enumerate(docs):  # one-word items have no pairs
-            for i in self.tiny:
-                out += [(d, i, s) for s in np.flatnonzero(codes == self.items[i][1][0]).tolist()[:1]]
+    def candidates(self, docs: list[np.ndarray]) -> Iterator[tuple[int, int, list[tuple[int, int]]]]:
+        """(document, item, places) wherever enough word pairs of an item lie within its length and edits."""
+        for i in self.tiny:
+            words = np.array(self.items[i][1], np.int64)
+            around = len(words) + self.edits(len(words))
+            for d, codes in enumerate(docs):
+                at = np.flatnonzero(np.isin(codes, words))
+                if len(at):
+                    yield d, i, spans(at, around, around)
         if not len(self.pair_table) or not docs:
-            return out
+            return
         flat = np.concatenate([x for codes in docs for x in (codes, np.array([-3]))])
         begins = np.cumsum([0] + [len(c) + 1 for c in docs])
         pair = flat[:-1] * len(self.codes) + flat[1:]
@@ -182,39 +151,24 @@ class Index:
         key, places = key[order], places[order]
         cuts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
         counts = np.diff(np.concatenate([cuts, [len(key)]]))
-        enough = counts >= self.need[key[cuts] % len(self.items)] if len(cuts) else np.zeros(0, bool)
+        need = self.need[key[cuts] % len(self.items)]
+        enough = (counts >= need) & (need > 0)
         for cut, count in zip(cuts[enough].tolist(), counts[enough].tolist()):
             d, i = divmod(int(key[cut]), len(self.items))
             p = places[cut : cut + count] - begins[d]
             e, size = self.edits(int(self.sizes[i])), int(self.sizes[i])
             inside = np.searchsorted(p, p + size - 1 + e, side="left") - np.arange(count)
             good = np.flatnonzero(inside >= self.need[i])
-            if len(good):  # the first of every run, and the fullest
-                runs = good[np.concatenate([[True], np.diff(good) > 1])]
-                heads = {*p[runs].tolist(), *p[good[inside[good] == inside[good].max()]][:4].tolist()}
-                out += [(d, i, s) for s in sorted({max(0, h - x) for h in heads for x in range(e + 1)})]
-        return out
+            if len(good):
+                yield d, i, spans(p[good], 2 * e, size + e)
 
     def matches(self, docs: list[np.ndarray]) -> list[set[int]]:
-        """Item numbers in every document of word codes (-1: no benchmark word); windows of all documents are embedded together."""
+        """Item numbers in every document of word codes (-1: no benchmark word)."""
         found: list[set[int]] = [set() for _ in docs]
-        wanted = self.candidates(docs) if self.items else []
-        for low in range(0, len(wanted), 20_000):
-            part = wanted[low : low + 20_000]
-            windows = np.full((len(part), self.most), -1, np.int64)
-            lengths = self.sizes[[i for _, i, _ in part]]
-            for row, (d, i, start) in enumerate(part):
-                piece = docs[d][start : start + int(lengths[row])]
-                windows[row, : len(piece)] = np.where(piece < 0, len(self.codes), piece)  # words that no item has share one code
-            tested: set[tuple[int, int, int]] = set()
-            for keys in self.keys(windows, lengths):
-                for (d, _, start), key in zip(part, keys.tolist()):
-                    for item in self.buckets.get(key, ()):
-                        if item not in found[d] and (d, item, start) not in tested:
-                            tested.add((d, item, start))
-                            n, e = int(self.sizes[item]), self.edits(int(self.sizes[item]))
-                            if edit_within(self.items[item][1], docs[d][max(0, start - e) : start + n + e].tolist(), e):
-                                found[d].add(item)
+        for d, i, places in self.candidates(docs):
+            n = int(self.sizes[i])
+            if any(masks_within(self.masks[i], n, docs[d][a:b].tolist(), self.edits(n)) for a, b in places):
+                found[d].add(i)
         return found
 
 
@@ -246,12 +200,12 @@ def _chunks(benchmark: DataFrame, item_col: str, text_col: str, max_items: int)
     return [[(r.i, r.t) for r in rows.where(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == j).collect()] for j in range(n)]
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, bits: int = BITS, recall: float = RECALL, max_items: int = MAX_ITEMS, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, max_items: int = MAX_ITEMS, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """doc_id, item_id of every benchmark item that a document contains."""
     spark = docs.sparkSession
     out = None
     for items in _chunks(benchmark, item_col, item_text_col, max_items):
-        sent = spark.sparkContext.broadcast(Index.build(items, rate, bits, recall))
+        sent = spark.sparkContext.broadcast(Index.build(items, rate))
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             index, known = sent.value, {}
@@ -267,12 +221,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, bits
     return out
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, bits: int = BITS, recall: float = RECALL, max_items: int = MAX_ITEMS, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, max_items: int = MAX_ITEMS, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """The documents that contain no benchmark item, with their own columns."""
     spark, at = docs.sparkSession, docs.columns.index(text_col)
     out = docs
     for items in _chunks(benchmark, item_col, item_text_col, max_items):
-        sent = spark.sparkContext.broadcast(Index.build(items, rate, bits, recall))
+        sent = spark.sparkContext.broadcast(Index.build(items, rate))
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             index, known = sent.value, {}

@@ -271,6 +271,47 @@ def test_decontamination_finds_edited_passages(spark):
     assert decontam.decontaminate(rows, benchmark.limit(0)).count() == 92 and decontam.contaminated(rows.limit(0), benchmark).count() == 0
 
 
+def test_decontamination_misses_nothing_behind_stray_pairs(spark):
+    r = random.Random(12)
+    items, docs, planted = [], [], set()
+    for i in range(150):
+        n = r.choice([15, 20, 38, 59])
+        e, words = int(0.15 * n), [f"i{i}w{j}" for j in range(n)]
+        part, at = words[:], r.randrange(n - 1)
+        if i % 2:  # e edits, at places of their own
+            for p in sorted(r.sample(range(n), e), reverse=True):
+                part[p : p + 1] = r.choice([[], ["x"], [part[p], "x"]])
+        gap = r.randint(e, 2 * e) - 2  # words between the stray pair and the passage
+        items.append((i, " ".join(words)))
+        docs.append((i, " ".join([*"abcdefgh", *words[at : at + 2], *["y"] * max(0, gap), *part, *"klmnop"])))
+        planted.add((i, i))
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    found = {(x.doc_id, x.item_id) for x in decontam.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), benchmark).collect()}
+    assert found == planted  # recall 1
+
+
+def test_decontamination_equals_brute_force(spark):
+    r = random.Random(13)
+    items = [[f"w{r.randrange(4)}" for _ in range(r.randint(1, 16))] for _ in range(40)]
+    docs = [[f"w{r.randrange(5)}" for _ in range(r.randint(0, 40))] for _ in range(60)] + [edited(r, i, 0.15) for i in items]
+    rows = frame(spark, [" ".join(d) for d in docs])
+    benchmark = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(items)], "item_id long, text string")
+    for rate in (0.15, 0.4):
+        got = {(x.doc_id, x.item_id) for x in decontam.contaminated(rows, benchmark, rate=rate).collect()}
+        code = lambda words: [int(w[1:]) if w[0] == "w" else 99 for w in words]
+
+        def least(item, text):  # Sellers' recurrence
+            row, best = list(range(len(item) + 1)), len(item)
+            for w in text:
+                new = [0]
+                for j, c in enumerate(item, 1):
+                    new.append(min(row[j - 1] + (c != w), row[j] + 1, new[j - 1] + 1))
+                row, best = new, min(best, new[-1])
+            return best
+
+        assert got == {(d, i) for d, text in enumerate(docs) for i, item in enumerate(items) if least(code(item), code(text)) <= int(rate * len(item))}
+
+
 RULES = queries.URL_RULES
 PAGES = [
     (1, None, "a", "block"), (2, "no scheme", None, "allow"), (3, "HTTP://A.Example.NET/de/81?x#y", "b", "block"), (4, "http://example.com/en/7", "c", "allow"),
