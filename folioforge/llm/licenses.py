@@ -1,8 +1,10 @@
 """Operator 4, licence scans (native: SQL functions only).
 
-Header lines (lines with a licence marker) and licence files (whole texts) become
-sparse TF-IDF vectors; terms meet the template terms in a join, and the cosine
-to each template is a grouped sum. Files without a licence of their own take that
+Header lines (lines with a licence marker), the paragraphs that hold them, all from
+the first such line to the last, and licence files (whole texts) become sparse
+TF-IDF vectors; terms meet the template terms in a join, and the cosine to each
+template is a grouped sum. A licence has several templates (notice, headers, titles,
+SPDX lines, whole text); its score is the best of them. Files without a licence of their own take that
 of the nearest ancestor directory with a licence file: directories are made
 distinct, their ancestors exploded and joined to the licensed directories, the
 deepest wins, and files join their directory's result.
@@ -15,14 +17,17 @@ its own; an empty table gives an empty result; extra columns are not read.
 
 from __future__ import annotations
 
+import json
 import math
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import save
+from .license_wordings import HEADERS, spdx, whole_texts
 
-# Fixed templates: the usual notice of each licence.
+# Fixed templates: the usual notice of each licence. The SQL oracle knows these only: all licence lines of
+# the tables are such notices, which score 1 whatever further templates there are.
 TEMPLATES = {
     "AGPL-3.0": "This work is licensed under the GNU Affero General Public License, version 3.",
     "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
@@ -41,9 +46,16 @@ TEMPLATES = {
 }
 MARKER = r"(?i)licen[sc]e|spdx|copyright|public domain"
 TERM = r"[a-z0-9]+(?:[.-][a-z0-9]+)*"
+BLANK = r"\n(?:[^\p{L}\p{N}\n]*\n)+"  # lines of white space or comment signs between paragraphs
 LEAST = 0.6
 
 
+def wordings() -> dict[str, list[str]]:
+    """All templates of each licence."""
+    texts = whole_texts()
+    return {k: [*([TEMPLATES[k]] if k in TEMPLATES else []), *v, *spdx(k), *([texts[k]] if k in texts else [])] for k, v in HEADERS.items()}
+
+
 def _terms(text: str) -> dict[str, int]:
     import re
 
@@ -69,33 +81,42 @@ def weights(templates: dict[str, str] = TEMPLATES) -> tuple[dict[str, float], fl
     return idf, round(math.log(1 + n) + 1, 6), rows
 
 
-def _tables(spark: SparkSession, templates: dict[str, str]) -> tuple[DataFrame, DataFrame, float]:
+def _tables(spark: SparkSession, templates: dict[str, list[str]]) -> tuple[DataFrame, DataFrame, float]:
     """Template weights and idf as literal tables: as many rows as the templates have terms."""
-    idf, other, rows = weights(templates)
-    literal = lambda values, names: spark.range(1).select(F.explode(F.array(*[F.struct(*[F.lit(x).alias(n) for x, n in zip(v, names)]) for v in values])).alias("v")).select("v.*")
-    return literal(rows, ("term", "license", "weight")), literal(sorted(idf.items()), ("term", "idf")), other
+    numbered = {f"{k}#{i}": (k, t) for k, v in sorted(templates.items()) for i, t in enumerate(v)}
+    idf, other, rows = weights({n: t for n, (_, t) in numbered.items()})
+
+    def literal(values: list[tuple], schema: str) -> DataFrame:  # one string, as thousands of literals are slow to plan
+        names = [c.split()[0] for c in schema.split(", ")]
+        text = json.dumps([dict(zip(names, v)) for v in values])
+        return spark.range(1).select(F.inline(F.from_json(F.lit(text), f"array<struct<{schema.replace(' ', ':')}>>".replace(",:", ","))))
+
+    return literal([(t, n, numbered[n][0], w) for t, n, w in rows], "term string, template string, license string, weight double"), literal(sorted(idf.items()), "term string, idf double"), other
 
 
-def scan_licenses(files: DataFrame, templates: dict[str, str] = TEMPLATES, least: float = LEAST, id_col: str = "id", path_col: str = "path", text_col: str = "text", file_col: str = "is_license_file") -> DataFrame:
+def scan_licenses(files: DataFrame, templates: dict[str, list[str]] | None = None, least: float = LEAST, id_col: str = "id", path_col: str = "path", text_col: str = "text", file_col: str = "is_license_file") -> DataFrame:
     """id, path, license, score, origin (own or inherited), from_path of every row; file_col marks licence files."""
     spark = files.sparkSession
-    template, idf, other = _tables(spark, templates)
+    template, idf, other = _tables(spark, wordings() if templates is None else templates)
     rows = files.select(F.col(id_col).alias("id"), F.col(path_col).alias("path"), F.col(text_col).alias("text"), F.coalesce(F.col(file_col), F.lit(False)).alias("whole"))
     marked = rows.where(F.col("text").rlike(MARKER))
-    lines = F.filter(F.split("text", "\n", -1), lambda x: x.rlike(MARKER))
-    units = marked.select("id", "path", "whole", F.posexplode(F.when(F.col("whole"), F.array_append(lines, F.col("text"))).otherwise(lines)).alias("unit", "t"))
-    terms = units.select("id", "path", "whole", "unit", F.explode(F.regexp_extract_all(F.lower("t"), F.lit(TERM), F.lit(0))).alias("term"))
-    counts = terms.groupBy("id", "path", "whole", "unit", "term").agg(F.count("*").alias("tf"))
+    marked = marked.withColumn("lines", F.split("text", "\n", -1)).withColumn("hits", F.transform("lines", lambda x: x.rlike(MARKER)))
+    first, size = F.array_position("hits", True).cast("int"), F.size("hits")
+    span = F.array_join(F.slice("lines", first, size - F.array_position(F.reverse("hits"), True).cast("int") + 2 - first), "\n")
+    blocks = F.filter(F.concat("lines", F.split("text", BLANK, -1)), lambda x: x.rlike(MARKER))
+    parts = F.array_distinct(F.concat(blocks, F.array(span), F.when(F.col("whole"), F.array("text")).otherwise(F.array().cast("array<string>"))))
+    units = save(marked.select("id", "path", "whole", F.explode(parts).alias("t")).withColumn("unit", F.md5("t")), "license-units")
+    # equal units are scored once; all sums stay within the partition of their unit
+    texts = units.groupBy("unit").agg(F.first("t").alias("t"))
+    terms = texts.select("unit", F.explode(F.regexp_extract_all(F.lower("t"), F.lit(TERM), F.lit(0))).alias("term"))
+    counts = terms.groupBy("unit", "term").agg(F.count("*").alias("tf"))
     weighted = counts.join(F.broadcast(idf), "term", "left").withColumn("w", F.col("tf") * F.coalesce("idf", F.lit(other)))
-    norms = weighted.withColumn("square", F.col("w") * F.col("w"))
-    key = ["id", "path", "whole", "unit"]
-    weighted = save(norms.select(*key, "term", "w", "square"), "license-terms")
-    norm = weighted.groupBy(*key).agg(F.sqrt(F.sum("square")).alias("norm")).alias("n")
-    dots = weighted.join(F.broadcast(template), "term").groupBy(*key, "license").agg(F.sum(F.col("w") * F.col("weight")).alias("dot")).alias("d")
-    scored = dots.join(norm, (F.col("d.id").eqNullSafe(F.col("n.id"))) & (F.col("d.path").eqNullSafe(F.col("n.path"))) & (F.col("d.whole") == F.col("n.whole")) & (F.col("d.unit") == F.col("n.unit")))
-    scored = scored.select("d.id", "d.path", "d.whole", "d.license", F.round(F.col("dot") / F.col("norm"), 6).alias("score")).where(F.col("score") >= least)
+    normed = weighted.select("unit", "term", "w", F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("unit"))).alias("norm"))
+    dots = normed.join(F.broadcast(template), "term").groupBy("unit", "template", "license").agg(F.sum(F.col("w") * F.col("weight")).alias("dot"), F.first("norm").alias("norm"))
+    scored = dots.select("unit", "license", F.round(F.col("dot") / F.col("norm"), 6).alias("score")).where(F.col("score") >= least)
     best = F.min_by(F.struct("license", "score"), F.struct(-F.col("score"), F.col("license")))
-    own = save(scored.groupBy("id", "path", "whole").agg(best.alias("b")).select("id", "path", "whole", "b.license", "b.score"), "own-licenses")
+    of_unit = scored.groupBy("unit").agg(best.alias("b")).select("unit", "b.license", "b.score")
+    own = save(units.select("id", "path", "whole", "unit").join(of_unit, "unit").groupBy("id", "path", "whole").agg(best.alias("b")).select("id", "path", "whole", "b.license", "b.score"), "own-licenses")
 
     folder = F.regexp_extract("path", r"^(.*)/[^/]*$", 1)
     licensed = own.where("whole and path is not null").groupBy(folder.alias("dir")).agg(F.min_by(F.struct("license", "score", "path"), F.struct(-F.col("score"), F.col("path"), F.col("license"))).alias("l"))

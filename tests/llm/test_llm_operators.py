@@ -10,7 +10,7 @@ import pyarrow as pa
 import pytest
 from conftest import rows_of_duck, rows_of_spark
 
-from folioforge.llm import components, decontam, licenses, ngram_join, packing, quality, queries, token_binary, token_counts, tokenizing, toxicity, url_filters, warc
+from folioforge.llm import components, decontam, license_wordings, licenses, ngram_join, packing, quality, queries, token_binary, token_counts, tokenizing, toxicity, url_filters, warc
 
 ODD = [None, "", " ", "  a  b ", "a\n b", "é\t x", "▁a ▁ b", "</s> x <s>", "a   the  of  ", "\n", "　x y", "it's <|endoftext|> don't 12,3  \n\n x", "日本 語  x", "ab日 cd。 a×b", "The cat " * 300]
 
@@ -347,6 +347,24 @@ def test_license_inheritance(spark):
     assert licenses.scan_licenses(rows.limit(0)).count() == 0
 
 
+LICENSE_HEADERS = [
+    ("MIT", "// SPDX-License-Identifier: MIT\nint x;"), ("Apache-2.0", "# SPDX-License-Identifier: Apache-2.0"), ("GPL-2.0", "/* SPDX-License-Identifier: GPL-2.0-only */"),
+    ("GPL-3.0", "# Copyright (C) 2011 A. Writer\n#\n# This program is free software: you can redistribute it and/or modify\n# it under the terms of the GNU General Public License as published by\n# the Free Software Foundation, either version 3 of the License, or\n# (at your option) any later version.\n\nimport os\n"),
+    ("GPL-2.0", " * This program is free software; you can redistribute it and/or\n * modify it under the terms of the GNU General Public License\n * as published by the Free Software Foundation; either version 2\n * of the License, or (at your option) any later version.\n */\n\n\nmain() {}"),
+    ("LGPL-2.1", "This library is free software; you can redistribute it and/or\nmodify it under the terms of the GNU Lesser General Public\nLicense as published by the Free Software Foundation; either\nversion 2.1 of the License, or (at your option) any later version."),
+    ("MPL-2.0", "Mozilla Public License Version 2.0\n==================\n"), ("GPL-2.0", "                    GNU GENERAL PUBLIC LICENSE\n                       Version 2, June 1991\n\n Copyright (C) 1989"),
+    ("MIT", "This source code is licensed under the MIT license, see LICENSE file in the project root."), ("CC-BY-4.0", "Creative Commons Attribution 4.0 International License"), ("CC-BY-NC-SA-4.0", "Licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License."),
+    ("MIT", "Copyright 2021 The X Authors\n\n" + " ".join(license_wordings.whole_texts()["MIT"].split()) + "\n\ncode"), ("BSD-3-Clause", "Copyright (c) 2001, B\n" + license_wordings.whole_texts()["BSD-3-Clause"]), ("BSD-2-Clause", "Copyright (c) 2001, B\n" + license_wordings.whole_texts()["BSD-2-Clause"]),
+    (None, "Copyright (c) 2020 John Doe"), (None, "See the LICENSE file for details."), (None, "A driving licence is required of everyone. " * 40), (None, "SPDX-License-Identifier: Zlib"),
+]
+
+
+def test_license_headers(spark):
+    rows = spark.createDataFrame([(i, f"{i}/x", t, False) for i, (_, t) in enumerate(LICENSE_HEADERS)], "id long, path string, text string, is_license_file boolean")
+    got = {r.id: r.license for r in licenses.scan_licenses(rows).collect()}
+    assert [got[i] for i in range(len(LICENSE_HEADERS))] == [want for want, _ in LICENSE_HEADERS]
+
+
 def test_archives_round_trip_and_repeat(spark):
     rows = spark.createDataFrame([(1, "http://a b\n", "x"), (2, None, None), (3, "u", ""), (4, "v", "é" * 999), (5, "w", "x"), (5, "z", "x"), (6, "t", "own")], "page_id long, url string, html string")
     one, two = (warc.write_archives(rows.repartition(n), file_bytes=600) for n in (1, 3))
