@@ -48,6 +48,7 @@ MARKER = r"(?i)licen[sc]e|spdx|copyright|public domain"
 TERM = r"[a-z0-9]+(?:[.-][a-z0-9]+)*"
 BLANK = r"\n(?:[^\p{L}\p{N}\n]*\n)+"  # lines of white space or comment signs between paragraphs
 LEAST = 0.6
+FILE_SHARE = 0.8
 
 
 def wordings() -> dict[str, list[str]]:
@@ -137,10 +138,19 @@ def scan_licenses(files: DataFrame, templates: dict[str, list[str]] | None = Non
     )
 
 
+def text_share(text):
+    """The greatest share of a text's distinct terms that one licence's whole text holds."""
+    terms = F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(TERM), F.lit(0)))
+    known = [F.from_json(F.lit(json.dumps(sorted(_terms(t)))), "array<string>") for t in whole_texts().values()]
+    return F.greatest(*[F.size(F.array_intersect(terms, k)) for k in known]) / F.size(terms)
+
+
 def documents_as_files(docs: DataFrame) -> DataFrame:
-    """Documents as a tree source/lang/id; short ones with a marker (under 400 characters) stand for licence files."""
+    """Documents as a tree source/lang/id; those with a marker stand for licence files if they are short (under 400 characters, as in the SQL) or, at any length, mostly a licence's text."""
     path = F.concat_ws("/", F.coalesce("source", F.lit("")), F.coalesce("lang", F.lit("")), F.col("doc_id").cast("string"))
-    return docs.select(F.col("doc_id"), path.alias("path"), "text", (F.col("text").rlike(MARKER) & (F.length("text") < 400)).alias("is_license_file"))
+    text = F.col("text")
+    whole = F.when(text.rlike(MARKER), F.when(F.length(text) < 400, True).otherwise(text_share(text) >= FILE_SHARE)).otherwise(False)
+    return docs.select(F.col("doc_id"), path.alias("path"), "text", whole.alias("is_license_file"))
 
 
 def oracle() -> str:

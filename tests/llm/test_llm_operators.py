@@ -365,6 +365,17 @@ def test_license_headers(spark):
     assert [got[i] for i in range(len(LICENSE_HEADERS))] == [want for want, _ in LICENSE_HEADERS]
 
 
+def test_license_texts_of_any_length_pass_on(spark):
+    texts = license_wordings.whole_texts()
+    prose = "The committee of the town met in the old hall and spoke of a licence for the market. " * 9 + " ".join(f"word{i} of the" for i in range(99))
+    rows = [(i, "Copyright (c) 1999, Someone Else\n\n" + t, "en", name) for i, (name, t) in enumerate(sorted(texts.items()))]
+    rows += [(100 + i, "nothing", "en", name) for i, name in enumerate(sorted(texts))] + [(200, prose, "en", "town"), (201, prose + "\nReleased under the MIT License.", "en", "town"), (202, "nothing", "en", "town"), (203, None, "en", "town")]
+    assert all(len(t) >= 400 for t in texts.values())
+    got = {r.doc_id: (r.license, r.origin) for r in licenses.scan_licenses(licenses.documents_as_files(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")), id_col="doc_id").collect()}
+    assert all(got[i] == (name, "own") and got[100 + i] == (name, "inherited") for i, name in enumerate(sorted(texts)))
+    assert [got[i] for i in range(200, 204)] == [(None, None), ("MIT", "own"), (None, None), (None, None)]
+
+
 def test_archives_round_trip_and_repeat(spark):
     rows = spark.createDataFrame([(1, "http://a b\n", "x"), (2, None, None), (3, "u", ""), (4, "v", "é" * 999), (5, "w", "x"), (5, "z", "x"), (6, "t", "own")], "page_id long, url string, html string")
     one, two = (warc.write_archives(rows.repartition(n), file_bytes=600) for n in (1, 3))
