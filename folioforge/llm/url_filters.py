@@ -5,7 +5,8 @@ URLs that redirect or point by a canonical link to one another, or that differ
 only in scheme, fragment, trailing slash or tracking parameters, form a class:
 connected components over those edges. A URL that no rule fits takes its class's
 decision: allow where any member is explicitly allowed, else block where any is
-blocked, else allow.
+blocked, else allow. Link targets are decoded and resolved against the page's URL
+or its base element; those of schemes without :// (mailto:) link nothing.
 
 Defined cases: a null URL or one without :// has an empty host and path, fits no
 rule, is in no class and is allowed; rules of equal length prefer allow; repeated
@@ -58,14 +59,60 @@ def _targets(html):
     refresh = F.filter(F.regexp_extract_all(html, F.lit(r"(?is)<meta\b[^>]*>"), F.lit(0)), lambda t: t.rlike(r"(?i)http-equiv\s*=\s*[\"']?refresh"))
     a = F.transform(links, lambda t: F.regexp_extract(t, r"(?i)\bhref\s*=\s*[\"']?([^\"'\s>]+)", 1))
     b = F.transform(refresh, lambda t: F.regexp_extract(t, r"(?i)url\s*=\s*[\"']?([^\"'\s>]+)", 1))
-    return F.when(html.rlike(r"(?i)canonical|http-equiv"), F.filter(F.concat(a, b), lambda t: t != "")).otherwise(F.array().cast("array<string>"))
+    return F.when(html.rlike(r"(?i)canonical|http-equiv"), F.transform(F.filter(F.concat(a, b), lambda t: t != ""), _decoded)).otherwise(F.array().cast("array<string>"))
 
 
-def _resolve(target, host):
+def _let(value, use):
+    """use(value) with the value computed once, so that nested uses do not multiply the plan."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def _decoded(text):
+    """Text of an attribute with its character references decoded: numbers and the five of XML."""
+    out = F.regexp_replace(text, r"(?i)&(?:amp|#0*38|#x0*26);", "\u0001")  # an ampersand that comes from a reference begins no other
+    for name, sign in (("lt", "<"), ("gt", ">"), ("quot", '"'), ("apos", "'")):
+        out = F.regexp_replace(out, f"(?i)&{name};", sign)
+    number = lambda r: F.when(F.lower(r).startswith("x"), F.lower(r.substr(2, 9))).otherwise(F.hex(r.cast("int")))
+    sign = lambda r: F.decode(F.unhex(F.lpad(number(r), 8, "0")), "UTF-32")
+    codes = lambda t: F.array_distinct(F.regexp_extract_all(t, F.lit(r"&#([0-9]{1,6}|[xX]0{0,3}[0-9a-fA-F]{1,5});"), F.lit(1)))
+    out = _let(out, lambda t: F.aggregate(codes(t), t, lambda x, r: F.replace(x, F.concat(F.lit("&#"), r, F.lit(";")), sign(r))))
+    return F.replace(out, F.lit("\u0001"), F.lit("&"))
+
+
+def _base(html):
+    """The target of the first base element; empty without one."""
+    tag = F.regexp_extract(html, r"(?is)<base\b[^>]*\bhref\s*=[^>]*>", 0)
+    return F.regexp_extract(tag, r"(?i)\bhref\s*=\s*[\"']?([^\"'\s>]+)", 1)
+
+
+def _without_dots(path):
+    """A path from the root with its . and .. steps taken."""
+    steps = F.aggregate(
+        F.split(path, "/", -1),
+        F.array().cast("array<string>"),
+        lambda kept, s: F.when(s == "..", F.slice(kept, 1, F.greatest(F.size(kept) - 1, F.lit(1)))).when(s == ".", kept).otherwise(F.array_append(kept, s)),
+    )
+    return F.concat(F.lit("/"), F.regexp_replace(F.array_join(steps, "/"), "^/", ""))
+
+
+def _resolve(target, url):
+    """A target seen from a URL; null where it has a scheme without ://."""
+    return _let(target, lambda t: _let(url, lambda u: _resolved(t, u)))
+
+
+def _resolved(target, url):
+    host, path = host_of(url), path_of(url)
+    rest, tail = F.regexp_extract(target, "^[^?#]*", 0), F.regexp_extract(target, "^[^?#]*(.*)", 1)
+    folder = F.when(path == "", F.lit("/")).otherwise(F.regexp_extract(path, "^.*/", 0))
+    root = F.concat(F.lit("http://"), host)
     return (
-        F.when(F.instr(target, "://") > 0, target)
+        F.when(target.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), target)
         .when(target.startswith("//"), F.concat(F.lit("http:"), target))
-        .when(target.startswith("/"), F.concat(F.lit("http://"), host, target))
+        .when(target.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), F.lit(None).cast("string"))
+        .when(target.startswith("/"), F.concat(root, _without_dots(rest), tail))
+        .when(target.startswith("?"), F.concat(root, path, tail))
+        .when(target.startswith("#") | (target == ""), url)
+        .otherwise(F.concat(root, _without_dots(F.concat(folder, rest)), tail))
     )
 
 
@@ -94,11 +141,13 @@ def with_rules(pages: DataFrame, rules: list[tuple[str, str]]) -> DataFrame:
 def judge_urls(pages: DataFrame, rules: list[tuple[str, str]], edges: DataFrame | None = None, id_col: str = "page_id", url_col: str = "url", html_col: str | None = "html") -> DataFrame:
     """id, host, path, rule, verdict of every row; edges: further redirects (from_url, to_url)."""
     url = F.col(f"`{url_col}`")
-    targets = _targets(F.coalesce(F.col(f"`{html_col}`"), F.lit(""))) if html_col else F.array().cast("array<string>")
-    rows = pages.select(F.col(f"`{id_col}`").alias("_id"), host_of(url).alias("host"), path_of(url).alias("path"), address(url).alias("address"), targets.alias("targets"))
+    html = F.coalesce(F.col(f"`{html_col}`"), F.lit("")) if html_col else F.lit("")
+    targets = _targets(html) if html_col else F.array().cast("array<string>")
+    aims = F.when(F.size(targets) > 0, F.struct(url.alias("url"), _decoded(_base(html)).alias("base")))
+    rows = pages.select(F.col(f"`{id_col}`").alias("_id"), host_of(url).alias("host"), path_of(url).alias("path"), address(url).alias("address"), targets.alias("targets"), aims.alias("aims"))
     rows = save(with_rules(rows, rules), "judged-urls")
-    aimed = rows.where("size(targets) > 0 and address is not null").select("address", "host", F.explode("targets").alias("to"))
-    links = aimed.select(F.col("address").alias("a"), address(_resolve(F.col("to"), F.col("host"))).alias("b"))
+    aimed = rows.where("size(targets) > 0 and address is not null").select("address", F.coalesce(_resolve(F.col("aims.base"), F.col("aims.url")), "aims.url").alias("base"), F.explode("targets").alias("to"))
+    links = aimed.select(F.col("address").alias("a"), _let(_resolve(F.col("to"), F.col("base")), address).alias("b")).where("b is not null")
     if edges is not None:
         links = links.union(edges.select(address(F.col("from_url")), address(F.col("to_url"))))
     classes = connected_components(links)

@@ -330,6 +330,23 @@ def test_url_classes(spark, literal, monkeypatch):
     assert url_filters.judge_urls(rows.limit(0), RULES).count() == 0
 
 
+LINKS = [  # a page that links, its mark-up, the blocked address it means
+    ("http://r.test/a/b/c", '<meta http-equiv="refresh" content="0; url=page.html">', "http://r.test/a/b/page.html"), ("http://r.test/a/b/d", "<link rel=canonical href='../x/./y'>", "http://r.test/a/x/y"),
+    ("http://r.test/a/e?p=2", '<link rel="canonical" href="?p=1">', "http://r.test/a/e?p=1"), ("http://r.test", '<link rel="canonical" href="home">', "http://r.test/home"), ("http://r.test/f", '<link rel="canonical" href="../../top/../g">', "http://r.test/g"),
+    ("http://r.test/h", '<link rel="canonical" href="http://r.test/q?a=1&amp;b=2">', "http://r.test/q?a=1&b=2"), ("http://r.test/i", '<link rel="canonical" href="/q?c=1&#38;d=&#x41;&#233;">', "http://r.test/q?c=1&d=Aé"), ("http://r.test/j", '<link rel="canonical" href="/out?u=http://free.test/z">', "http://r.test/out?u=http://free.test/z"),
+    ("http://r.test/k/l", '<base href="/m/n/"><link rel="canonical" href="o">', "http://r.test/m/n/o"), ("http://r.test/p", '<BASE target=_top href="http://s.test/t/u"><link rel="canonical" href="v">', "http://s.test/t/v"), ("http://r.test/w", '<link rel="canonical" href="/q?e=&amp;lt;">', "http://r.test/q?e=&lt;"),
+    ("http://r.test/free", '<link rel="canonical" href="mailto:a@r.test">', None), ("http://r.test/self", '<link rel="canonical" href="#top">', None),
+]
+
+
+def test_relative_and_encoded_targets(spark):
+    rules = [("block", meant.partition("//")[2].partition("?")[0]) for _, _, meant in LINKS if meant]
+    rows = [(i, url, html) for i, (url, html, _) in enumerate(LINKS)] + [(100 + i, meant, "") for i, (_, _, meant) in enumerate(LINKS) if meant and "?p=1" not in meant]
+    rows.append((300, "http://blocked.test/1", '<link rel="canonical" href="http://r.test/a/e?p=1">'))
+    got = {r.page_id: r.verdict for r in url_filters.judge_urls(spark.createDataFrame(rows, "page_id long, url string, html string"), [*[r for r in rules if r[1] != "r.test/a/e"], ("block", "blocked.test/")]).collect()}
+    assert [got[i] for i in range(len(LINKS))] == ["block" if meant else "allow" for _, _, meant in LINKS]
+
+
 def test_allow_precedes_block_in_a_class(spark):
     edges = spark.createDataFrame([("http://x.com/en/1", "http://mid.test/"), ("http://mid.test/", "http://example.com/en/7")], "from_url string, to_url string")
     rows = spark.createDataFrame([(1, "http://mid.test"), (2, "http://x.com/en/1")], "page_id long, url string")
