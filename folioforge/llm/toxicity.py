@@ -166,7 +166,7 @@ class Model:
 
     def score(self, text: str) -> float:
         found = self.matches(text)
-        z = self.prior + (sum(sorted((w for w, _ in found), reverse=True)[:8]) if found else self.absent)
+        z = self.prior + (sum(w for w, _ in found) if found else self.absent)
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
 
 

@@ -432,6 +432,14 @@ def test_grammar_contexts():
     assert m.score("you are an idiot") > m.score("she said you are an idiot") > m.score("")
 
 
+def test_every_clause_adds_its_weight():
+    m = toxicity.Model(prior=-6.0)
+    for n in (1, 8, 9, 20):
+        text = "she said he is not an idiot. " * n
+        z = m.prior + sum(w for w, _ in m.matches(text))
+        assert len(m.matches(text)) == n and abs(m.score(text) - 1 / (1 + np.exp(-z))) < 1e-12
+
+
 def test_pipeline_stages(spark, sf):
     import corpus_pipeline
     from folioforge.llm.common import save, table
