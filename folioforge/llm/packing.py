@@ -2,9 +2,9 @@
 
 Only the histogram of piece lengths reaches the driver: at most `capacity` rows,
 whatever the input. There a covering LP over configurations (multisets of lengths
-that fit one sequence) is solved approximately by multiplicative weights; each
-round prices the best configuration by a knapsack dynamic program. The fractional
-solution is rounded down and what is left is placed best-fit decreasing, again on
+that fit one sequence) is begun by multiplicative weights, for ROUNDS rounds and
+without a gap that is guaranteed; each round prices the best configuration by a
+knapsack dynamic program. This partial cover is rounded down and what is left is placed best-fit decreasing, again on
 counts. The result, intervals of ranks per length, is applied to all pieces in
 one vectorised pass.
 
@@ -55,7 +55,7 @@ def knapsack(values: np.ndarray, lengths: np.ndarray, capacity: int) -> dict[int
 
 
 def configurations(lengths: np.ndarray, counts: np.ndarray, capacity: int, rounds: int = ROUNDS, rate: float = 2.0) -> list[tuple[dict[int, int], float]]:
-    """Fractional solution of the covering LP: configurations (index -> copies) with the number of sequences of each.
+    """Partial cover of the covering LP after so many rounds: configurations (index -> copies) with the number of sequences of each.
 
     A length starts with the price of its share of a sequence, or of the number of
     its kind that fit one where that is more; prices fall with a length's cover, so
