@@ -1,31 +1,40 @@
 """Operator 7, exact n-gram Jaccard join by universe partition.
 
 A document's set is its distinct k-word shingles (64-bit hashes). Two sets of
-sizes r and s with Jaccard similarity of at least num/den differ in at most
+sizes r <= s with Jaccard similarity of at least num/den differ in at most
 H = (den - num)(r + s) / (den + num) elements. Sizes fall into bands; for each
-band the hash universe is cut into m = H + 1 segments, so two linked sets agree
-wholly in one segment at least (pigeonhole). A set is indexed under the hash of
-its subset in every segment, for its own band and for lower bands that can hold
-partners.
-
-Allocation by cost: the key of a segment of `LIGHT` elements or fewer, or one that
-more than `hot` distinct sets share, is not used alone. Its budget moves to the next segment, which is matched up to one element:
-the key is refined by the one-deletion neighbourhood of that segment. This loses
-no link: let z of the agreeing segments be refined and no other agree. If every follower
-of those differs in two elements or more, the difference is at least
-2z + (m - 2z) = m > H.
-
-Candidates are never listed as pairs of a bucket. Each set is first verified
-with the bucket hub that it shares most keys with; components of these links settle most buckets.
-In buckets that still hold several components the sets themselves meet, in
-blocks of bounded size (first by counts per hash bin, which bound the difference
-from below, then whole), and only links that join components leave the task.
+band the hash universe is cut into m segments. A set of n elements is indexed
+under the hashes of its subsets in the first K segments, K = H + 1 for the
+largest partner that n allows, for its own band and for lower bands that can
+hold partners. Linked sets have min(K) >= H + 1 segments in common and so agree
+wholly in one of them (pigeonhole).
+
+Allocation by cost: a key whose c sets would meet costs about c * c / 2 sketch
+comparisons, refining it about 1 + n / m rows for each set. Segments of `LIGHT`
+elements or fewer are met by chance, so they are refined at once; other keys
+when more than `hot` sets share them. The budget of a refined segment moves to
+the next segment, which is matched up to one element: the key is joined with the
+one-deletion neighbourhood of that segment. This loses no link: let z of the K'
+common segments agree and be refined, and no other agree. If every follower of
+those differs in two elements or more, the difference is at least
+2z + (K' - 2z) = K' > H.
+
+Candidates are never listed as pairs of a bucket. First, each set is verified
+with the bucket hub that it shares most keys with; components of these links
+settle most buckets. Then blocks of bounded size meet in buckets that still hold
+several components: odd sketches (parity bitmaps, whose Hamming distance bounds
+the symmetric difference from below) tell which sets may still link, and a
+spanning forest of those pairs over the components is verified with the texts;
+pairs that fail are left out of the next round. The last round verifies all pairs
+that are left, so no link between components is lost. Each block has a set once:
+a bucket of several blocks is dealt anew every round, and refined if it stays open.
 Exact copies collapse to one set beforehand, inside each task and over all.
 
 Defined cases: null texts and texts without words have an empty set, link with
 nothing and are their own component; a text of fewer than k words has one
-shingle, the whole sequence; repeated rows and ids fall into one component; an
-empty table gives an empty result; other columns are not read by the join.
+shingle, the whole sequence; repeated rows and ids fall into one component; rows
+without an id take part, and a component of such rows alone has no id; an empty
+table gives an empty result; other columns are not read by the join. Ids are integers.
 """
 
 from __future__ import annotations
@@ -42,16 +51,17 @@ from pyspark.sql import functions as F
 from .common import save, slices
 from .components import connected_components
 
-#: Sets that may share a key before it is refined: meeting in blocks costs their square, refining about ten rows for each.
-HOT = 1024
-#: Most sets, and most shingles, of one block that meets others in a task.
-BLOCK_SETS, BLOCK_SHINGLES = 256, 1_000_000
+#: Sets that may share a key before it is refined, and most sets of a block that meets in a task: 130,000 comparisons of sketches.
+HOT = 512
 #: Segments of up to this many elements are never keys alone.
-LIGHT = 1
+LIGHT = 0
 #: Most sets that one group verifies against its hub.
-STAR_SETS = 4000
+STAR_SETS = 250
+#: Rounds of forests before all pairs that are left are verified.
+ROUNDS = 2
+#: Rows without an id are numbered from here by a hash of their text, behind all ids.
+NO_ID = 1 << 62
 _BAND = 1.25
-_BINS = 256
 
 _M1, _M2, _A = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 _S30, _S27, _S31 = np.uint64(30), np.uint64(27), np.uint64(31)
@@ -121,12 +131,16 @@ class Bands:
         self.highs = np.array(highs, np.int64)
         self.budget = (den - num) * (self.highs + self.highs * den // num) // (den + num)
 
-    def of(self, n: int) -> list[int]:
-        """The bands under which a set of n elements is indexed."""
+    def of(self, n: int) -> list[tuple[int, int, int]]:
+        """The bands under which a set of n elements is indexed: (band, its segments m, those K that the set uses)."""
         own = int(np.searchsorted(self.highs, n))
         least = -(-n * self.num // self.den)
-        first = int(np.searchsorted(self.highs, least))
-        return [b for b in range(first, own + 1) if self.budget[b] > 0]
+        out = []
+        for b in range(int(np.searchsorted(self.highs, least)), own + 1):
+            if self.budget[b] > 0:
+                pair = n + n * self.den // self.num if b == own else int(self.highs[b]) + n
+                out.append((b, int(self.budget[b]) + 1, (self.den - self.num) * pair // (self.den + self.num) + 1))
+        return out
 
 
 def segments(tokens: np.ndarray, m: int) -> tuple[np.ndarray, np.ndarray]:
@@ -143,23 +157,26 @@ def segment_keys(sums: np.ndarray, band: int) -> np.ndarray:
         return mix(sums * _A + mix(np.arange(len(sums), dtype=np.uint64) + (np.uint64(band + 1) << np.uint64(40))))
 
 
-def bins(tokens: np.ndarray) -> bytes:
-    """Elements per bin of a fixed hash, at most 255 each: the sum of differences bounds the symmetric difference from below."""
-    return np.minimum(np.bincount((mix(tokens + _M2) % np.uint64(_BINS)).astype(np.int64), minlength=_BINS), 255).astype(np.uint8).tobytes()
+def sketch(tokens: np.ndarray) -> bytes:
+    """Odd sketch: parities of the elements in 4 to 8 times as many bits as there are elements."""
+    bits = 1 << max(6, (4 * len(tokens) - 1).bit_length())
+    odd = np.bincount((mix(tokens + _M2) & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
 
 
-def index_keys(tokens: np.ndarray, band: int, m: int) -> np.ndarray:
+def index_keys(tokens: np.ndarray, band: int, m: int, used: int) -> np.ndarray:
     """Keys of a set under a band. Segments of at most `LIGHT` elements say too little to stand alone: they are refined at once."""
     where, sums = segments(tokens, m)
     own = segment_keys(sums, band)
     light = np.bincount(where, minlength=m) <= LIGHT
+    light[used:] = False
     if m == 1 or not light.any():
-        return own
+        return own[:used]
     with np.errstate(over="ignore"):
         follower = np.roll(sums, -1)
         behind = light[where - 1]  # elements whose segment follows a light one; -1 is the last
         near = mix(own[where[behind] - 1] + mix(sums[where[behind]] - mix(tokens[behind] ^ _M1) + _M2))
-        return np.concatenate([own[~light], mix(own[light] + mix(follower[light] + _M2)), near])
+        return np.concatenate([own[:used][~light[:used]], mix(own[light] + mix(follower[light] + _M2)), near])
 
 
 def _classes(k: int):
@@ -179,10 +196,10 @@ def _keys(k: int, bands: Bands):
             for tokens in shingle_sets(batch.column(0), k):
                 if not len(tokens) or (me := set_id(tokens)) in seen:
                     continue
-                if len(seen) < 500_000:
+                if len(seen) < 200_000:
                     seen.add(me)
                 for band in bands.of(len(tokens)):
-                    keys.append(np.unique(index_keys(tokens, band, int(bands.budget[band]) + 1)))
+                    keys.append(np.unique(index_keys(tokens, *band)))
                     owners.append(np.full(len(keys[-1]), me, np.int64))
             if keys:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(owners))], names=["key", "set"])
@@ -224,7 +241,7 @@ def _index(rows: DataFrame, name: str) -> DataFrame:
 
 
 def _candidates(k: int):
-    """Texts of the wanted sets with their sizes and bins; texts travel instead of shingles, which don't compress."""
+    """Texts of the wanted sets with their sizes and sketches; texts travel instead of shingles, which don't compress."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         done: set[int] = set()
@@ -234,29 +251,28 @@ def _candidates(k: int):
             for i, want in enumerate(wanted):
                 if want not in done and set_id(sets[i]) == want:
                     right.append(i)
-                    if len(done) < 500_000:
+                    if len(done) < 200_000:
                         done.add(want)
             at = pa.array(right, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(1).take(at), pa.array([len(sets[i]) for i in right], pa.int64()), pa.array([bins(sets[i]) for i in right], pa.binary()), batch.column(0).take(at)], names=["set", "n", "bins", "text"])
+            yield pa.RecordBatch.from_arrays([batch.column(1).take(at), pa.array([len(sets[i]) for i in right], pa.int64()), pa.array([sketch(sets[i]) for i in right], pa.binary()), batch.column(0).take(at)], names=["set", "n", "sketch", "text"])
 
     return run
 
 
 def _star(k: int, num: int, den: int):
-    """Links of sets with their hub; columns group, hub, set, text, each group sorted so that the hub comes first."""
+    """Sets with their hub, and whether the two link; columns group, hub, set, text, each group sorted so that the hub comes first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group, center = None, None
         for batch in slices(batches, rows=500):
-            a, b = [], []
+            a, b, same = [], [], []
             for g, hub, me, tokens in zip(*(batch.column(i).to_pylist() for i in range(3)), shingle_sets(batch.column(3), k)):
                 if me == hub:
                     group, center = g, tokens
                 elif g == group:
                     both = len(np.intersect1d(center, tokens, assume_unique=True))
-                    if den * both >= num * (len(center) + len(tokens) - both):
-                        a.append(me), b.append(hub)
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+                    a.append(me), b.append(hub), same.append(den * both >= num * (len(center) + len(tokens) - both))
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(same, pa.bool_())], names=["a", "b", "same"])
 
     return run
 
@@ -270,10 +286,9 @@ def _refine(k: int, bands: Bands):
             for me, hot, tokens in zip(batch.column(0).to_pylist(), batch.column(1), shingle_sets(batch.column(2), k)):
                 wanted = hot.values.to_numpy().view(np.uint64)
                 known = []
-                for band in bands.of(len(tokens)):
-                    m = int(bands.budget[band]) + 1
+                for band, m, used in bands.of(len(tokens)):
                     where, sums = segments(tokens, m)
-                    own = segment_keys(sums, band)
+                    own = segment_keys(sums, band)[:used]
                     known.append(own)
                     for i in np.flatnonzero(np.isin(own, wanted)):
                         j = (int(i) + 1) % m
@@ -290,167 +305,209 @@ def _refine(k: int, bands: Bands):
     return run
 
 
-def _links(ids: np.ndarray, parts: np.ndarray, sets: list[np.ndarray], num: int, den: int, sides: np.ndarray) -> list[tuple[int, int]]:
-    """Links that join components among sets that meet; sides: pairs on one side 0 or 1 of two blocks belong to another task."""
-    parent = {int(p): int(p) for p in parts}
+class _Groups:
+    """Disjoint sets of components."""
 
-    def root(x: int) -> int:
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
+    def __init__(self, parts):
+        self.parent = {p: p for p in parts}
+        self.left = len(self.parent)
+
+    def root(self, x: int) -> int:
+        while self.parent[x] != x:
+            self.parent[x] = self.parent[self.parent[x]]
+            x = self.parent[x]
         return x
 
-    out: list[tuple[int, int]] = []
-    if len(parent) < 2:
-        return out
-    sizes = np.array([len(s) for s in sets], np.int64)
-    _, flat = np.unique(np.concatenate(sets), return_inverse=True)
-    starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-    mark = np.zeros(int(flat.max()) + 1, np.int64)
-    two = len(set(sides.tolist())) > 1
-    groups = len(parent)
-    for i in range(len(ids)):
-        others = (den * np.minimum(sizes, sizes[i]) >= num * np.maximum(sizes, sizes[i])) & (np.arange(len(ids)) > i)
-        if two:
-            others &= sides != sides[i]
-        if not others.any():
+    def join(self, x: int, y: int) -> bool:
+        x, y = self.root(x), self.root(y)
+        if x == y:
+            return False
+        self.parent[x] = y
+        self.left -= 1
+        return True
+
+
+def possible(n: np.ndarray, sketches: list[bytes], num: int, den: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For each set but the last (in order of size) the later ones that it may link with, and their least differences; n sorted."""
+    held: dict[int, np.ndarray] = {}  # folded to the width of the smaller set
+    for i in range(len(n) - 1):
+        stop = int(np.searchsorted(n, int(n[i]) * den // num, side="right"))
+        if stop <= i + 1:
             continue
-        mine = flat[starts[i] : starts[i] + sizes[i]]
-        mark[mine] = 1
-        both = np.add.reduceat(mark[flat], starts)
-        mark[mine] = 0
-        for j in np.flatnonzero(others & (den * both >= num * (sizes + sizes[i] - both))):
-            a, b = root(int(parts[i])), root(int(parts[j]))
-            if a != b:
-                parent[a] = b
-                groups -= 1
-                out.append((int(ids[i]), int(ids[j])))
-        if groups == 1:
-            break
-    return out
-
-
-def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tuple]]]:
-    """Rows of every bucket; input sorted by bucket. The batch's end, too, is told (bucket None)."""
-    bucket, held = None, []
-    for batch in batches:
-        for row in zip(*(c.to_pylist() for c in batch.columns)):
-            if row[0] != bucket:
-                if len(held) > 1:
-                    yield bucket, held
-                bucket, held = row[0], []
-            held.append(row)
-        yield None, []
-    if len(held) > 1:
-        yield bucket, held
-
-
-def _promising(num: int, den: int):
-    """Of sets that meet, those with a partner in another component that sizes and bins do not rule out; columns bucket, side, set, part, n, bins."""
+        width = len(sketches[i])
+        if width not in held:
+            held = {width: np.zeros((len(n), width // 8), np.uint64)}
+            for j in range(i, len(n)):
+                words = np.frombuffer(sketches[j], np.uint64)
+                held[width][j] = np.bitwise_xor.reduce(words.reshape(-1, width // 8), axis=0)
+        rows = held[width]
+        least = np.bitwise_count(rows[i + 1 : stop] ^ rows[i]).sum(axis=1, dtype=np.int64)
+        good = np.flatnonzero((den + num) * least <= (den - num) * (n[i + 1 : stop] + n[i]))
+        if len(good):
+            yield i, good + i + 1, least[good]
+
+
+def forest(sets: list[int], parts: list[int], n: list[int], sketches: list[bytes], failed: list, sides: list[int] | None, num: int, den: int, whole: bool) -> list[tuple[int, int]]:
+    """Pairs of a block to verify: a spanning forest over its components of pairs that may link, the likeliest first, or all such pairs (whole). Sides, if given: only pairs of both sides."""
+    order = np.argsort(np.array(n, np.int64), kind="stable")
+    size = np.array(n, np.int64)[order]
+    part = np.array(parts, np.int64)[order]
+    side = np.array(sides, np.int64)[order] if sides is not None else None
+    bad = {(sets[i], x) for i in range(len(sets)) for x in (failed[i] or ())}
+    found: list[tuple[int, int, int]] = []
+    for i, others, least in possible(size, [sketches[j] for j in order], num, den):
+        open_ = part[others] != part[i]
+        if side is not None:
+            open_ &= side[others] != side[i]
+        for j, d in zip(others[open_].tolist(), least[open_].tolist()):
+            a, b = sets[order[i]], sets[order[j]]
+            if a != b and (a, b) not in bad and (b, a) not in bad:
+                found.append((d, i, j))
+    if not found:
+        return []
+    if not whole:
+        found.sort()
+        groups = _Groups(part.tolist())
+        found = [f for f in found if groups.left > 1 and groups.join(int(part[f[1]]), int(part[f[2]]))]
+    pairs = [(sets[order[i]], sets[order[j]]) for _, i, j in found]
+    return [(max(p), min(p)) for p in pairs]
+
+
+def _pairs(num: int, den: int, whole: bool, sided: bool):
+    """(set, hub) pairs to verify; columns bucket, side, set, part, n, sketch, failed, sorted by bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out: list[tuple] = []
-        for bucket, rows in _buckets(batches):
-            if bucket is None:
-                if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int32(), pa.int64(), pa.int64()))], names=["bucket", "side", "set", "part"])
-                    out = []
-                continue
-            side, part, n = (np.array([r[i] for r in rows], np.int64) for i in (1, 3, 4))
-            counts = np.frombuffer(b"".join(r[5] for r in rows), np.uint8).reshape(len(rows), _BINS).astype(np.int16)
-            two = side.min() != side.max()
-            keep = np.zeros(len(rows), bool)
-            for i in range(len(rows) - 1):
-                later = slice(i + 1, None)
-                least = np.abs(counts[later] - counts[i]).sum(axis=1, dtype=np.int64)
-                good = ((den + num) * least <= (den - num) * (n[later] + n[i])) & (part[later] != part[i])
-                if two:
-                    good &= side[later] != side[i]
-                if good.any():
-                    keep[i] = True
-                    keep[later] |= good
-            out += [rows[i][:4] for i in np.flatnonzero(keep)]
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int32(), pa.int64(), pa.int64()))], names=["bucket", "side", "set", "part"])
-
-    return run
-
+        bucket, held, out = None, [], []
 
-def _meet(k: int, num: int, den: int):
-    """Links inside buckets; columns bucket, side, set, part, text."""
+        def close() -> None:
+            if len(held) > 1:
+                _, sides, *columns = zip(*held)
+                out.extend(forest(*columns, sides if sided else None, num, den, whole))
+            held.clear()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        edges: list[tuple[int, int]] = []
-
-        def table() -> pa.RecordBatch:
-            got = pa.RecordBatch.from_arrays([pa.array([a for a, _ in edges], pa.int64()), pa.array([b for _, b in edges], pa.int64())], names=["a", "b"])
-            edges.clear()
+        def flush() -> pa.RecordBatch:
+            got = pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], names=["set", "hub"])
+            out.clear()
             return got
 
-        for bucket, rows in _buckets(batches):
-            if bucket is None:
-                yield table()
-                continue
-            rows = list({r[2]: r for r in rows}.values())
-            edges.extend(_links(np.array([r[2] for r in rows]), np.array([r[3] for r in rows]), shingle_sets(pa.array([r[4] for r in rows], pa.large_string()), k), num, den, np.array([r[1] for r in rows])))
-        yield table()
+        for batch in batches:
+            for row in zip(*(c.to_pylist() for c in batch.columns)):
+                if row[0] != bucket:
+                    close()
+                    bucket = row[0]
+                held.append(row)
+            yield flush()
+        close()
+        yield flush()
 
     return run
 
 
-def _settle(index: DataFrame, parts: DataFrame, texts: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """Links (a, b) inside buckets of the index (key, set) that still hold several components."""
-    rows = index.select("key", "set").join(parts, "set", "left").select("key", "set", F.coalesce("part", "set").alias("part"))
-    rows = rows.join(texts.select("set", "n"), "set")
-    totals = rows.groupBy("key").agg(F.count("*").alias("sets"), F.sum("n").alias("shingles"), F.min("part").alias("lo"), F.max("part").alias("hi"), F.sum(F.xxhash64("set").cast("decimal(38,0)")).alias("sum"), F.bit_xor(F.xxhash64(F.col("set"), F.lit(7))).alias("xor")).where("lo <> hi")
-    # buckets of the same members are settled once
-    one = totals.groupBy("sum", "xor", "sets").agg(F.min("key").alias("key"), F.first("shingles").alias("shingles"))
-    blocks = F.greatest(F.ceil(F.col("sets") / BLOCK_SETS), F.ceil(F.col("shingles") / BLOCK_SHINGLES)).cast("int")
-    dealt = rows.join(one.select("key", blocks.alias("c")), "key").withColumn("mine", F.pmod(F.xxhash64("set"), F.col("c")).cast("int"))
-    met = dealt.select("key", "set", "part", "mine", F.explode(F.sequence(F.lit(0), F.col("c") - 1)).alias("other"))
-    bucket = F.xxhash64("key", F.least("mine", "other"), F.greatest("mine", "other"))
-    side = (F.col("mine") > F.col("other")).cast("int")
-    binned = met.select(bucket.alias("bucket"), side.alias("side"), "set", "part").join(texts.select("set", "n", "bins"), "set").select("bucket", "side", "set", "part", "n", "bins")
-    likely = save(binned.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_promising(num, den), "bucket long, side int, set long, part long"), "likely")
-    # what is left of different buckets is often the same few sets
-    marks = likely.groupBy("bucket").agg(F.count("*").alias("c"), F.sum(F.xxhash64("set", "side").cast("decimal(38,0)")).alias("sum"), F.bit_xor(F.xxhash64(F.col("set"), F.col("side"), F.lit(7))).alias("xor"))
-    once = marks.groupBy("c", "sum", "xor").agg(F.min("bucket").alias("bucket")).select("bucket")
-    full = likely.join(once, "bucket").join(texts.select("set", "text"), "set").select("bucket", "side", "set", "part", "text")
-    return full.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_meet(k, num, den), "a long, b long")
+class _Join:
+    """The join's state: texts and sketches of candidate sets, links found, pairs that failed, components."""
+
+    def __init__(self, found: DataFrame, k: int, num: int, den: int, hot: int):
+        self.found, self.k, self.num, self.den, self.hot = found, k, num, den, hot
+        self.checked: DataFrame | None = None
+        self.parts: DataFrame | None = None
+
+    def verify(self, pairs: DataFrame) -> None:
+        """Verify (set, hub) pairs with the texts; a hub of many sets is met in several groups."""
+        hubs = pairs.groupBy("hub").agg(F.ceil(F.count("*") / STAR_SETS).cast("int").alias("c"))
+        members = pairs.join(hubs, "hub").select("hub", "set", F.pmod(F.xxhash64("set"), F.col("c")).cast("int").alias("g"))
+        centers = hubs.select("hub", F.col("hub").alias("set"), F.explode(F.sequence(F.lit(0), F.col("c") - 1)).alias("g"))
+        stars = members.union(centers).join(self.found.select("set", "text"), "set").select(F.xxhash64("hub", "g").alias("group"), "hub", "set", "text")
+        new = save(stars.repartition("group").sortWithinPartitions("group", F.col("set") != F.col("hub")).mapInArrow(_star(self.k, self.num, self.den), "a long, b long, same boolean"), "verified")
+        self.checked = new if self.checked is None else self.checked.union(new)
+        links = self.checked.where("same").select("a", "b")
+        self.parts = save(connected_components(links).select(F.col("node").alias("set"), F.col("component").alias("part")), "parts")
+
+    def still_open(self, index: DataFrame) -> DataFrame:
+        """Rows (key, set, part, c) of the buckets of c sets that hold several components."""
+        rows = index.select("key", "set").join(self.parts, "set", "left").select("key", "set", F.coalesce("part", "set").alias("part"))
+        totals = rows.groupBy("key").agg(
+            F.count("*").alias("c"), F.min("part").alias("lo"), F.max("part").alias("hi"), F.sum(F.xxhash64("set").cast("decimal(38,0)")).alias("sum"), F.bit_xor(F.xxhash64(F.col("set"), F.lit(7))).alias("xor")
+        )
+        # buckets of the same members are settled once
+        one = totals.where("lo <> hi").groupBy("sum", "xor", "c").agg(F.min("key").alias("key")).select("key", "c")
+        return save(rows.join(one, "key"), "open-buckets")
+
+    def meet(self, rows: DataFrame, seed: int, whole: bool) -> bool:
+        """Verify what blocks of open buckets propose; whether there was anything."""
+        block = F.xxhash64("key", F.pmod(F.xxhash64("set", F.lit(seed)), F.ceil(F.col("c") / self.hot)))
+        return self._propose(rows.select(block.alias("bucket"), F.lit(0).alias("side"), "set", "part"), whole, False)
+
+    def _propose(self, dealt: DataFrame, whole: bool, sided: bool) -> bool:
+        bad = self.checked.where("not same")
+        bad = bad.select(F.col("a").alias("set"), F.col("b").alias("x")).union(bad.select("b", "a")).groupBy("set").agg(F.collect_set("x").alias("failed"))
+        rows = dealt.join(self.found.select("set", "n", "sketch"), "set").join(bad, "set", "left").select("bucket", "side", "set", "part", "n", "sketch", "failed")
+        pairs = save(rows.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_pairs(self.num, self.den, whole, sided), "set long, hub long").distinct(), "proposed-pairs")
+        if pairs.isEmpty():
+            return False
+        self.verify(pairs)
+        return True
+
+    def settle(self, index: DataFrame) -> DataFrame:
+        """Rounds over an index's open buckets; returns those of several blocks that stay open."""
+        rows = self.still_open(index)
+        for seed in range(ROUNDS):
+            if not self.meet(rows, seed, False):
+                break
+            rows = self.still_open(rows)
+        small, large = rows.where(F.col("c") <= self.hot), rows.where(F.col("c") > self.hot)
+        if self.meet(small, 0, True):
+            large = self.still_open(large)
+        return large
+
+    def cross(self, rows: DataFrame) -> None:
+        """The exact end for large open buckets: every block of sets outside a bucket's largest component meets the whole bucket, in blocks."""
+        if rows.isEmpty():
+            return
+        count = rows.groupBy("key", "part").agg(F.count("*").alias("k"))
+        main = count.groupBy("key").agg(F.max_by("part", F.struct("k", -F.col("part"))).alias("main"), (F.sum("k") - F.max("k")).alias("few"))
+        at = rows.join(main, "key").withColumn("blocks", F.ceil(F.col("few") / self.hot).cast("int"))
+        mine = F.pmod(F.xxhash64("set"), F.col("blocks")).cast("int")
+        others = F.pmod(F.xxhash64("set", F.lit(3)), F.ceil(F.col("c") / self.hot)).cast("int")
+        left = at.where("part <> main").select("key", "set", "part", mine.alias("x"), F.explode(F.sequence(F.lit(0), F.ceil(F.col("c") / self.hot).cast("int") - 1)).alias("y"), F.lit(0).alias("side"))
+        right = at.select("key", "set", "part", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("x"), others.alias("y"), F.lit(1).alias("side"))
+        self._propose(left.union(right).select(F.xxhash64("key", "x", "y").alias("bucket"), "side", "set", "part"), True, True)
+
+
+def _numbered_id(id_col: str, text_col: str):
+    """A row's id; rows without one are numbered by their text."""
+    return F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(NO_ID) + F.shiftrightunsigned(F.xxhash64(F.col(f"`{text_col}`")), 2))
+
+
+def _numbered(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(_numbered_id(id_col, text_col).alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
 
 
 def shingle_components(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100, hot: int = HOT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id of every row of docs."""
+    out = _components(_numbered(docs, id_col, text_col), k, num, den, hot)
+    known = lambda c: F.when(F.col(c) < NO_ID, F.col(c)).alias(c)
+    return out.select(known("doc_id"), "n_shingles", known("component_id"))
+
+
+def _components(texts: DataFrame, k: int, num: int, den: int, hot: int = HOT) -> DataFrame:
     bands = Bands(num, den)
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     classes = save(texts.mapInArrow(_classes(k), "doc_id long, n long, set long"), "sets")
     index = _index(texts.select("text").mapInArrow(_keys(k, bands), "key long, set long"), "segment-index")
     first = classes.where("n > 0").groupBy("set").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"))
     wanted = index.select("set").distinct().join(first.select("set", F.col("doc_id").alias("_rep")), "set")
-    found = save(texts.join(wanted, F.col("doc_id") == F.col("_rep")).select("text", "set").mapInArrow(_candidates(k), "set long, n long, bins binary, text string"), "candidate-texts")
+    found = save(texts.join(wanted, F.col("doc_id") == F.col("_rep")).select("text", "set").mapInArrow(_candidates(k), "set long, n long, sketch binary, text string"), "candidate-texts")
 
-    # every set with the hub (least set of a bucket) that it shares most keys with; a hub of many sets is met in several groups
+    # every set with the hub (least set of a bucket) that it shares most keys with
+    state = _Join(found, k, num, den, hot)
     shared = index.where("set <> hub").groupBy("set", "hub").agg(F.count("*").alias("keys"))
-    near = shared.groupBy("set").agg(F.max_by("hub", F.struct("keys", -F.col("hub"))).alias("hub"))
-    hubs = near.groupBy("hub").agg(F.ceil(F.count("*") / STAR_SETS).cast("int").alias("c"))
-    members = near.join(hubs, "hub").select("hub", "set", F.pmod(F.xxhash64("set"), F.col("c")).cast("int").alias("g"))
-    centers = hubs.select("hub", F.col("hub").alias("set"), F.explode(F.sequence(F.lit(0), F.col("c") - 1)).alias("g"))
-    stars = members.union(centers).join(found.select("set", "text"), "set").select(F.xxhash64("hub", "g").alias("group"), "hub", "set", "text")
-    links = save(stars.repartition("group").sortWithinPartitions("group", F.col("set") != F.col("hub")).mapInArrow(_star(k, num, den), "a long, b long"), "links")
-    parts = save(connected_components(links).select(F.col("node").alias("set"), F.col("component").alias("part")), "parts")
-
-    sizes = index.groupBy("key").agg(F.count("*").alias("c"))
-    cold = index.join(sizes.where(F.col("c") <= hot), "key", "left_semi")
-    links = save(links.union(_settle(cold, parts, found, k, num, den)), "links")
-    open_hot = index.join(parts, "set", "left").withColumn("part", F.coalesce("part", "set")).groupBy("key").agg(F.count("*").alias("c"), F.min("part").alias("lo"), F.max("part").alias("hi")).where((F.col("c") > hot) & (F.col("lo") != F.col("hi")))
-    hot_sets = index.join(open_hot, "key", "left_semi").groupBy("set").agg(F.collect_set("key").alias("hot"))
-    refined = _index(hot_sets.join(found.select("set", "text"), "set").select("set", "hot", "text").mapInArrow(_refine(k, bands), "key long, set long"), "refined-index")
-    if not refined.isEmpty():
-        parts = save(connected_components(links).select(F.col("node").alias("set"), F.col("component").alias("part")), "parts")
-        links = links.union(_settle(refined, parts, found, k, num, den))
-    parts = connected_components(links).select(F.col("node").alias("set"), F.col("component").alias("part"))
-
-    named = first.join(parts, "set", "left").select("set", "doc_id", F.coalesce("part", "set").alias("part"))
+    state.verify(shared.groupBy("set").agg(F.max_by("hub", F.struct("keys", -F.col("hub"))).alias("hub")))
+    large = state.settle(index.select("key", "set"))
+    if not large.isEmpty():
+        hot_sets = large.groupBy("set").agg(F.collect_set("key").alias("hot"))
+        refined = _index(hot_sets.join(found.select("set", "text"), "set").select("set", "hot", "text").mapInArrow(_refine(k, bands), "key long, set long"), "refined-index")
+        state.cross(state.settle(refined.select("key", "set")))
+
+    named = first.join(state.parts, "set", "left").select("set", "doc_id", F.coalesce("part", "set").alias("part"))
     least = named.groupBy("part").agg(F.min("doc_id").alias("component_id"))
     of_set = save(named.join(least, "part").select("set", "component_id"), "set-components")
     joined = classes.join(of_set, "set", "left")
@@ -459,9 +516,15 @@ def shingle_components(docs: DataFrame, k: int = 3, num: int = 90, den: int = 10
 
 
 def near_duplicate_filter(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One document (the least id) of each component, with its own columns; rows that repeat an id and its text count once."""
-    found = shingle_components(docs, k, num, den, id_col=id_col, text_col=text_col)
-    keep = save(found.where((F.col("doc_id") == F.col("component_id")) | F.col("doc_id").isNull()).select(F.col("doc_id").alias("_keep")), "kept-ids")
-    ids = keep.groupBy("_keep").agg(F.count("*").alias("_times"))
-    out = docs.join(ids.select("_keep"), F.col(id_col).cast("long").eqNullSafe(F.col("_keep")), "left_semi")
-    return out if ids.where("_times > 1").isEmpty() else out.dropDuplicates([id_col, text_col])
+    """One document (the least id) of each component, with its own columns.
+
+    Rows that repeat an id and its text count once; rows without an id stay only
+    where no row with an id is in their component, equal texts of them once; null
+    and empty texts stay. Input columns may have any names.
+    """
+    found = _components(_numbered(docs, id_col, text_col), k, num, den)
+    kept = save(found.where(F.col("doc_id") == F.col("component_id")).select("doc_id"), "kept-ids")
+    ids = kept.groupBy("doc_id").agg(F.count("*").alias("times"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), _numbered_id(id_col, text_col).alias("at"))
+    out = rows.join(ids.select(F.col("doc_id").alias("at")), "at", "left_semi").select("row.*")
+    return out if ids.where("times > 1").isEmpty() else out.dropDuplicates([id_col, text_col])

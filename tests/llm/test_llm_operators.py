@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 from conftest import rows_of_duck, rows_of_spark
+from pyspark.sql import functions as F
 
 from folioforge.llm import components, decontam, license_wordings, licenses, ngram_join, packing, quality, queries, token_binary, token_counts, tokenizing, toxicity, url_filters, warc
 
@@ -187,9 +188,9 @@ def edited(r, words, rate):
     return out
 
 
-@pytest.mark.parametrize("k,num,hot,block", [(3, 90, 2, 256), (3, 90, 48, 256), (5, 80, 4, 8)])
-def test_join_equals_brute_force(spark, k, num, hot, block, monkeypatch):
-    monkeypatch.setattr(ngram_join, "BLOCK_SETS", block)
+@pytest.mark.parametrize("k,num,hot,light", [(3, 90, 2, 0), (3, 90, 48, 1), (5, 80, 4, 0), (5, 80, 512, 0)])
+def test_join_equals_brute_force(spark, k, num, hot, light, monkeypatch):
+    monkeypatch.setattr(ngram_join, "LIGHT", light)
     monkeypatch.setattr(ngram_join, "STAR_SETS", 16)
     r = random.Random(5)
     rows = list(enumerate([None, "", "a", "A", "a b", " a  b\t", "  ", "À b c", "à b c"]))
@@ -197,10 +198,36 @@ def test_join_equals_brute_force(spark, k, num, hot, block, monkeypatch):
         base = [f"w{r.randrange(300)}" for _ in range(r.choice([4, 9, 12, 15, 30, 80, 200]))]
         for _ in range(r.choice([3, 20, 50])):
             rows.append((len(rows), " ".join(edited(r, base, r.choice([0.01, 0.03, 0.06])))))
+    passage = [f"p{i}" for i in range(40)]  # one passage in many texts of their own
+    for _ in range(40):
+        rows.append((len(rows), " ".join(passage + [f"w{r.randrange(300)}" for _ in range(r.choice([1, 3, 9, 60]))])))
     got = {x.doc_id: (x.n_shingles, x.component_id) for x in ngram_join.shingle_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), k, num, 100, hot=hot).collect()}
     assert got == components_brute(rows, k, num, 100)
 
 
+def test_sketches_rule_out_no_link():
+    r = random.Random(8)
+    for n in (1, 5, 17, 64, 400):
+        base = np.array(r.sample(range(1 << 60), n), np.uint64)
+        sets = [np.unique(np.concatenate([base[: n - j], np.array(r.sample(range(1 << 60), j), np.uint64)])) for j in (0, 0, 1, 2, n // 10, n // 5, n // 2) if j <= n]
+        sets.sort(key=len)
+        found = {(i, int(j)) for i, others, _ in ngram_join.possible(np.array([len(x) for x in sets]), [ngram_join.sketch(x) for x in sets], 80, 100) for j in others}
+        for i, a in enumerate(sets):
+            for j in range(i + 1, len(sets)):
+                both = len(np.intersect1d(a, sets[j]))
+                assert 100 * both < 80 * (len(a) + len(sets[j]) - both) or (i, j) in found
+
+
+def test_near_duplicates_without_ids_and_with_clashing_columns(spark):
+    base = " ".join(f"w{i}" for i in range(60))
+    rows = [(None, base, 1), (4, base + " x", 2), (None, "alone without an id here", 3), (None, "alone without an id here", 3), (None, None, 4), (9, base, 5), (9, base, 5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _keep int").withColumn("set", F.lit("s")).withColumn("at", F.lit(1)).withColumn("row", F.lit(2))
+    kept = ngram_join.near_duplicate_filter(docs)
+    assert kept.columns == docs.columns and sorted((r.doc_id or 0, r._keep) for r in kept.collect()) == [(0, 3), (0, 4), (4, 2)]
+    found = sorted((r.doc_id or 0, r.component_id or 0) for r in ngram_join.shingle_components(docs, 5, 80, 100).collect())
+    assert found == [(0, 0), (0, 0), (0, 0), (0, 4), (4, 4), (9, 4), (9, 4)]
+
+
 def test_near_duplicate_filter_keeps_one(spark):
     base = " ".join(f"w{i}" for i in range(60))
     rows = spark.createDataFrame([(3, base, 1), (1, base + " x", 2), (2, None, 3), (5, base, 4), (6, "other text of its own here", 5), (2, None, 3)], "doc_id long, text string, set int")
