@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -17,20 +18,22 @@ WORD = r"[^\x20\x09-\x0D]+"
 def shared_dir(spark: SparkSession) -> str:
     """URI of the folder that driver and executors share.
 
-    Taken from spark.checkpoint.dir; only where that is unset (local tests) a
-    temporary folder is chosen and registered as the checkpoint folder.
+    Taken from spark.checkpoint.dir; only where that is unset on a local master
+    (tests) a temporary folder is chosen and registered as the checkpoint folder.
     """
     sc = spark.sparkContext
     found = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="folioforge-shared-")
-        sc.setCheckpointDir(found)
+        if not (sc.master == "local" or sc.master.startswith("local[")):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        sc.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="folioforge-shared-"))
         found = sc.getCheckpointDir()
     return found.rstrip("/") if "://" in found or found.startswith("file:") else "file://" + found.rstrip("/")
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/folioforge/{name}-{uuid.uuid4().hex}"
+    """A place of its own in the shared folder, below a folder of this application."""
+    return f"{shared_dir(spark)}/folioforge-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
 
 
 def save(df: DataFrame, name: str) -> DataFrame:
@@ -46,8 +49,8 @@ def save(df: DataFrame, name: str) -> DataFrame:
 
 
 def remove_tables(spark: SparkSession) -> None:
-    """Delete every table that save() left in the shared folder; call when results are stored."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/folioforge")
+    """Delete what this application's operators left in the shared folder, once their results are stored elsewhere."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/folioforge-{spark.sparkContext.applicationId}")
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
@@ -67,6 +70,42 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = 2000, bytes_: int = 8
             at += n
 
 
+def lean(run: Callable) -> Callable:
+    """An Arrow function whose worker gives its memory back when a task ends, since workers outlive tasks and share a machine with the JVM."""
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pa.set_memory_pool(pa.system_memory_pool())
+        try:
+            yield from run(batches)
+        finally:
+            trim()
+
+    return wrapped
+
+
+def trim() -> None:
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library has no such call
+        pass
+
+
+def of_text(function: Callable, kind: str):
+    """A column function of texts: function makes, per task, a function from an array of texts to an Arrow array. Only the text goes to Python."""
+
+    def run(arrays: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        pa.set_memory_pool(pa.system_memory_pool())
+        try:
+            apply = function()
+            for array in arrays:
+                batch = pa.RecordBatch.from_arrays([array], names=["text"])
+                yield pa.concat_arrays([apply(part.column(0)) for part in slices([batch])]) if len(array) else apply(array)
+        finally:
+            trim()
+
+    return F.arrow_udf(run, kind)
+
+
 def row_uid() -> int:
     """High bits of a row id that a retried task repeats: the partition's number."""
     from pyspark import TaskContext
