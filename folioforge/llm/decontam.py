@@ -1,31 +1,41 @@
 """Operator 2, benchmark decontamination with edited passages.
 
 A document contains an item if some part of it is within an edit distance (in
-words) of `rate` of the item's length. The answer is exact; two steps find it:
+words) of `rate` of the item's length. Item-sized windows pass three tests:
 
 1. A lossless q-gram count: a part within e edits of an n-word item holds at
    least n - 1 - 2e of its n - 1 word pairs within n + e words, and the first of
-   them lies at most 2e words behind the part's start. Only places around a pair
-   that begins such a span can hold the item; places that overlap are joined.
-   Items too short for the count are looked for around each of their words.
-2. The edit distance itself, between the item and any part of such a place, by
-   a bit-parallel recurrence: one step a word, whatever the item's length.
-
-The benchmark is the small side: its size is checked against `max_items` before
-it is broadcast; a larger one is applied in chunks of that size.
+   them lies at most 2e words behind the part's start. Every window that begins
+   0 to 2e words before such a pair counts; windows that follow one another form a
+   place, of which every (1 + e / 8)-th window is embedded. Items too short for the count are looked for around each of their words.
+2. Repeated bit-sampling LSH: a CGK random walk (it copies a word, then moves on
+   or stays by a random bit of the step, the word and the walk) maps edit distance
+   to Hamming distance; a window and the item meet in a walk's bucket if the
+   sampled steps agree. The number of walks for a length follows from the target
+   recall and from the agreement of simulated pairs with all edits allowed.
+3. The edit distance itself, between the item and any part of the place, by a
+   bit-parallel recurrence: one step a word, whatever the item's length.
+
+Walks are hashes, not tables, and windows are embedded in groups of equal length
+and bounded size, so a very long item costs no more memory than its own length.
+The benchmark is the small side: its rows and bytes are checked before it is
+broadcast; a larger one is applied in chunks, one after the other.
 
 Defined cases: null and empty texts contain nothing; items without words are
 ignored; an item shorter than the window of a text may match the whole text;
 repeated rows and items give repeated or merged results; empty tables give
-empty results (an empty benchmark removes nothing); extra columns are kept.
+empty results (an empty benchmark removes nothing); extra columns are kept,
+whatever their names. Ids are integers.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -33,10 +43,18 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import lean, of_text, slices
+from .ngram_join import mix
 
 RATE = 0.15
-MAX_ITEMS = 50_000
+#: Sampled steps of a bucket key, and the share of contained items, with all edits allowed, that the walks have to find.
+BITS, RECALL = 2, 0.9999
+#: Simulated pairs for the number of walks of a length.
+TRIALS = 32
+#: Words of the windows that are embedded together.
+CELLS = 1 << 20
+#: Most rows and bytes of one chunk of the benchmark.
+MAX_ITEMS, MAX_BYTES = 50_000, 64 << 20
 
 _EDGES = re.compile(r"^\W+|\W+$")
 
@@ -81,6 +99,57 @@ def edit_within(item: list[int], window: list[int], most: int) -> bool:
     return masks_within(masks_of(item), len(item), window, most)
 
 
+def walk(windows: np.ndarray, number: int, steps: np.ndarray) -> np.ndarray:
+    """What CGK walk `number` copies at the given steps (sorted) from each row of word codes; -1 once a row is used up."""
+    rows, n = windows.shape
+    padded = np.concatenate([windows, np.full((rows, 1), -1, windows.dtype)], axis=1)
+    line, at, out = np.arange(rows), np.zeros(rows, np.int64), np.empty((rows, len(steps)), np.int64)
+    wanted = {int(x): i for i, x in enumerate(steps)}
+    for step in range(int(steps[-1]) + 1):
+        code = padded[line, at]
+        if step in wanted:
+            out[:, wanted[step]] = code
+        with np.errstate(over="ignore"):
+            bit = mix(code.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(step << 20 | number)) >> np.uint64(63)
+        at = np.minimum(at + bit.astype(np.int64), n)
+    return out
+
+
+def steps_of(n: int, number: int) -> np.ndarray:
+    """The steps that walk `number` samples for items of n words, in the part that walks of whole windows reach."""
+    draws = np.random.default_rng([20240607, n, number]).permutation(2 * n)[: min(BITS, n)]
+    return np.sort(draws)
+
+
+def stride_of(edits: int) -> int:
+    """Every so many starts of a place are embedded: a window that begins a little before a passage counts as a few edits more."""
+    return 1 + edits // 8
+
+
+@lru_cache(maxsize=4096)
+def walks_for(n: int, edits: int, recall: float = RECALL) -> int:
+    """Walks after which a window of a place with all edits allowed has met its item with the target recall: from the least agreement among simulated pairs, a tenth of them aside."""
+    if not edits:
+        return 1
+    draw = np.random.default_rng([n, edits])
+    items, windows = np.arange(TRIALS * n).reshape(TRIALS, n), np.empty((TRIALS, n), np.int64)
+    for t in range(TRIALS):
+        words = items[t].tolist()
+        for _ in range(edits):
+            at, how = int(draw.integers(len(words) + 1)), int(draw.integers(3))
+            words[at : at + (how > 0)] = [] if how == 1 else [-5]
+        windows[t] = ([-5] * int(draw.integers(stride_of(edits))) + words + [-5] * n)[:n]
+    steps = np.unique(np.linspace(0, 2 * n - 1, 128).astype(np.int64))
+    met = np.mean([(walk(items, r, steps) == walk(windows, r, steps)).mean(axis=1) for r in range(2)], axis=0)
+    share = float(np.quantile(met, 0.1)) ** min(BITS, n)
+    return max(1, math.ceil(math.log(1 - recall) / math.log(1 - min(0.999, max(0.02, share)))))
+
+
+def on_grid(n: int) -> int:
+    """The next of the lengths, a tenth apart, for which walks are counted."""
+    return n if n < 20 else int(round(20 * 1.1 ** math.ceil(math.log(n / 20, 1.1))))
+
+
 def spans(at: np.ndarray, before: int, after: int) -> list[tuple[int, int]]:
     """The places from `before` words before to `after` words after each of the sorted positions, joined where they overlap."""
     cuts = np.flatnonzero(np.diff(at) > before + after) + 1
@@ -90,15 +159,16 @@ def spans(at: np.ndarray, before: int, after: int) -> list[tuple[int, int]]:
 
 @dataclass
 class Index:
-    """Word pairs and bit masks of benchmark items, built once and broadcast."""
+    """Word pairs, walks and bit masks of benchmark items, built once and broadcast."""
 
     rate: float
+    recall: float = RECALL
     codes: dict[str, int] = field(default_factory=dict)
     items: list[tuple[int, list[int]]] = field(default_factory=list)
 
     @classmethod
-    def build(cls, items: list[tuple[int, str]], rate: float) -> Index:
-        self = cls(rate)
+    def build(cls, items: list[tuple[int, str]], rate: float, recall: float = RECALL) -> Index:
+        self = cls(rate, recall)
         for item_id, text in items:
             words = words_of(text or "")
             if words:
@@ -115,6 +185,7 @@ class Index:
         self.need = np.array([self.least(len(c)) for _, c in self.items], np.int64)
         self.tiny = [i for i, (_, c) in enumerate(self.items) if self.least(len(c)) == 0]
         self.masks = [masks_of(c) for _, c in self.items]
+        self.walks = {n: walks_for(on_grid(n), self.edits(on_grid(n)), recall) for n in set(self.sizes.tolist())}
         return self
 
     def edits(self, n: int) -> int:
@@ -165,12 +236,50 @@ class Index:
     def matches(self, docs: list[np.ndarray]) -> list[set[int]]:
         """Item numbers in every document of word codes (-1: no benchmark word)."""
         found: list[set[int]] = [set() for _ in docs]
-        for d, i, places in self.candidates(docs):
-            n = int(self.sizes[i])
-            if any(masks_within(self.masks[i], n, docs[d][a:b].tolist(), self.edits(n)) for a, b in places):
-                found[d].add(i)
+        places: list[tuple[int, int, int, int]] = []
+        of_size: dict[int, list[int]] = defaultdict(list)
+        for d, i, spans_ in self.candidates(docs):
+            for a, b in spans_:
+                of_size[int(self.sizes[i])].append(len(places))
+                places.append((d, i, a, b))
+        for n, numbers in of_size.items():
+            e = self.edits(n)
+            every = stride_of(e)
+            firsts = np.array([places[p][2] for p in numbers], np.int64)
+            lasts = np.array([max(places[p][2], min(places[p][3] - n - e, len(docs[places[p][0]]) - 1)) for p in numbers], np.int64)
+            counts = 1 + (lasts - firsts) // every
+            owner = np.repeat(np.array(numbers, np.int64), counts)
+            start = np.repeat(firsts, counts) + every * (np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts))
+            step, verified = max(1, CELLS // n), set()
+            for low in range(0, len(owner), step):
+                self._meet(docs, n, places, owner[low : low + step], start[low : low + step], found, verified)
         return found
 
+    def _meet(self, docs, n: int, places: list, owner: np.ndarray, start: np.ndarray, found: list[set[int]], verified: set[int]) -> None:
+        """Walk by walk: windows that share a bucket with their item have their place verified; each place is verified once."""
+        left = np.array([p not in verified and places[p][1] not in found[places[p][0]] for p in owner.tolist()])
+        owner, start = owner[left], start[left]
+        windows = np.full((len(owner), n), -1, np.int64)
+        for row, (p, a) in enumerate(zip(owner.tolist(), start.tolist())):
+            piece = docs[places[p][0]][a : a + n]
+            windows[row, : len(piece)] = np.where(piece < 0, len(self.codes), piece)  # words that no item has share one code
+        item = np.array([places[p][1] for p in owner.tolist()], np.int64)
+        for number in range(self.walks[n]):
+            if not len(owner):
+                return
+            steps = steps_of(n, number)
+            known, at = np.unique(item, return_inverse=True)
+            keys = walk(np.array([self.items[i][1] for i in known.tolist()], np.int64), number, steps)
+            before = len(verified)
+            for p in dict.fromkeys(owner[(walk(windows, number, steps) == keys[at]).all(axis=1)].tolist()):
+                d, i, a, b = places[p]
+                verified.add(p)
+                if i not in found[d] and masks_within(self.masks[i], n, docs[d][a:b].tolist(), self.edits(n)):
+                    found[d].add(i)
+            if len(verified) > before:
+                left = np.array([p not in verified and places[p][1] not in found[places[p][0]] for p in owner.tolist()])
+                windows, owner, item = windows[left], owner[left], item[left]
+
 
 def _text_codes(texts: pa.Array, index: Index, known: dict[str, int]) -> list[np.ndarray]:
     """Word codes of every text of a batch; words of a batch are looked up once."""
@@ -191,48 +300,47 @@ def _text_codes(texts: pa.Array, index: Index, known: dict[str, int]) -> list[np
     return [c[c != -2] for c in out]
 
 
-def _chunks(benchmark: DataFrame, item_col: str, text_col: str, max_items: int) -> list[list[tuple[int, str]]]:
-    rows = benchmark.select(F.col(item_col).cast("long").alias("i"), F.col(text_col).alias("t")).where("t is not null")
-    size = rows.count()
-    n = max(1, -(-size // max_items))
-    if n == 1:
-        return [[(r.i, r.t) for r in rows.collect()]]  # checked to be small
-    return [[(r.i, r.t) for r in rows.where(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == j).collect()] for j in range(n)]
+def _chunks(benchmark: DataFrame, item_col: str, text_col: str, max_items: int) -> Iterator[list[tuple[int, str]]]:
+    """Items in chunks whose rows and bytes are bounded, one at a time."""
+    rows = benchmark.select(F.col(f"`{item_col}`").cast("long").alias("i"), F.col(f"`{text_col}`").alias("t")).where("t is not null")
+    size = rows.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("t")), F.lit(0)).alias("b")).first()
+    n = max(1, -(-size.n // max_items), -(-size.b // MAX_BYTES))
+    for j in range(n):
+        part = rows if n == 1 else rows.where(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == j)
+        yield [(r.i, r.t) for r in part.collect()]  # checked to be small
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, max_items: int = MAX_ITEMS, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """doc_id, item_id of every benchmark item that a document contains."""
     spark = docs.sparkSession
+    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
     out = None
     for items in _chunks(benchmark, item_col, item_text_col, max_items):
         sent = spark.sparkContext.broadcast(Index.build(items, rate))
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             index, known = sent.value, {}
-            for batch in slices(batches, rows=20_000, bytes_=64 << 20):
+            for batch in slices(batches, rows=20_000, bytes_=32 << 20):
                 ids, found = [], []
                 for doc, items in zip(batch.column(0).to_pylist(), index.matches(_text_codes(batch.column(1), index, known))):
-                    for i in sorted({index.items[m][0] for m in items}):
+                    for i in sorted({index.items[m][0] for m in items}, key=lambda x: (x is None, x)):
                         ids.append(doc), found.append(i)
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(found, pa.int64())], names=["doc_id", "item_id"])
 
-        part = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, item_id long")
+        part = rows.mapInArrow(lean(run), "doc_id long, item_id long")
         out = part if out is None else out.union(part)
     return out
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, max_items: int = MAX_ITEMS, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """The documents that contain no benchmark item, with their own columns."""
-    spark, at = docs.sparkSession, docs.columns.index(text_col)
-    out = docs
+    spark = docs.sparkSession
     for items in _chunks(benchmark, item_col, item_text_col, max_items):
         sent = spark.sparkContext.broadcast(Index.build(items, rate))
 
-        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+        def judge(sent=sent):
             index, known = sent.value, {}
-            for batch in slices(batches, rows=20_000, bytes_=64 << 20):
-                clean = [not items for items in index.matches(_text_codes(batch.column(at), index, known))]
-                yield batch.filter(pa.array(clean, pa.bool_()))
+            return lambda texts: pa.array([not x for x in index.matches(_text_codes(texts, index, known))], pa.bool_())
 
-        out = out.mapInArrow(run, docs.schema)
-    return out
+        docs = docs.where(of_text(judge, "boolean")(F.col(f"`{text_col}`")))
+    return docs
