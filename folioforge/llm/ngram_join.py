@@ -48,7 +48,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import save, slices
+from .common import lean, save, slices
 from .components import connected_components
 
 #: Sets that may share a key before it is refined, and most sets of a block that meets in a task: 130,000 comparisons of sketches.
@@ -237,7 +237,7 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _index(rows: DataFrame, name: str) -> DataFrame:
     """The shared keys of (key, set) rows: one shuffle by key."""
-    return save(rows.repartition("key").sortWithinPartitions("key", "set").mapInArrow(_shared, "key long, set long, hub long"), name)
+    return save(rows.repartition("key").sortWithinPartitions("key", "set").mapInArrow(lean(_shared), "key long, set long, hub long"), name)
 
 
 def _candidates(k: int):
@@ -417,7 +417,7 @@ class _Join:
         members = pairs.join(hubs, "hub").select("hub", "set", F.pmod(F.xxhash64("set"), F.col("c")).cast("int").alias("g"))
         centers = hubs.select("hub", F.col("hub").alias("set"), F.explode(F.sequence(F.lit(0), F.col("c") - 1)).alias("g"))
         stars = members.union(centers).join(self.found.select("set", "text"), "set").select(F.xxhash64("hub", "g").alias("group"), "hub", "set", "text")
-        new = save(stars.repartition("group").sortWithinPartitions("group", F.col("set") != F.col("hub")).mapInArrow(_star(self.k, self.num, self.den), "a long, b long, same boolean"), "verified")
+        new = save(stars.repartition("group").sortWithinPartitions("group", F.col("set") != F.col("hub")).mapInArrow(lean(_star(self.k, self.num, self.den)), "a long, b long, same boolean"), "verified")
         self.checked = new if self.checked is None else self.checked.union(new)
         links = self.checked.where("same").select("a", "b")
         self.parts = save(connected_components(links).select(F.col("node").alias("set"), F.col("component").alias("part")), "parts")
@@ -441,7 +441,7 @@ class _Join:
         bad = self.checked.where("not same")
         bad = bad.select(F.col("a").alias("set"), F.col("b").alias("x")).union(bad.select("b", "a")).groupBy("set").agg(F.collect_set("x").alias("failed"))
         rows = dealt.join(self.found.select("set", "n", "sketch"), "set").join(bad, "set", "left").select("bucket", "side", "set", "part", "n", "sketch", "failed")
-        pairs = save(rows.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_pairs(self.num, self.den, whole, sided), "set long, hub long").distinct(), "proposed-pairs")
+        pairs = save(rows.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(lean(_pairs(self.num, self.den, whole, sided)), "set long, hub long").distinct(), "proposed-pairs")
         if pairs.isEmpty():
             return False
         self.verify(pairs)
@@ -491,11 +491,11 @@ def shingle_components(docs: DataFrame, k: int = 3, num: int = 90, den: int = 10
 
 def _components(texts: DataFrame, k: int, num: int, den: int, hot: int = HOT) -> DataFrame:
     bands = Bands(num, den)
-    classes = save(texts.mapInArrow(_classes(k), "doc_id long, n long, set long"), "sets")
-    index = _index(texts.select("text").mapInArrow(_keys(k, bands), "key long, set long"), "segment-index")
+    classes = save(texts.mapInArrow(lean(_classes(k)), "doc_id long, n long, set long"), "sets")
+    index = _index(texts.select("text").mapInArrow(lean(_keys(k, bands)), "key long, set long"), "segment-index")
     first = classes.where("n > 0").groupBy("set").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"))
     wanted = index.select("set").distinct().join(first.select("set", F.col("doc_id").alias("_rep")), "set")
-    found = save(texts.join(wanted, F.col("doc_id") == F.col("_rep")).select("text", "set").mapInArrow(_candidates(k), "set long, n long, sketch binary, text string"), "candidate-texts")
+    found = save(texts.join(wanted, F.col("doc_id") == F.col("_rep")).select("text", "set").mapInArrow(lean(_candidates(k)), "set long, n long, sketch binary, text string"), "candidate-texts")
 
     # every set with the hub (least set of a bucket) that it shares most keys with
     state = _Join(found, k, num, den, hot)
@@ -504,7 +504,7 @@ def _components(texts: DataFrame, k: int, num: int, den: int, hot: int = HOT) ->
     large = state.settle(index.select("key", "set"))
     if not large.isEmpty():
         hot_sets = large.groupBy("set").agg(F.collect_set("key").alias("hot"))
-        refined = _index(hot_sets.join(found.select("set", "text"), "set").select("set", "hot", "text").mapInArrow(_refine(k, bands), "key long, set long"), "refined-index")
+        refined = _index(hot_sets.join(found.select("set", "text"), "set").select("set", "hot", "text").mapInArrow(lean(_refine(k, bands)), "key long, set long"), "refined-index")
         state.cross(state.settle(refined.select("key", "set")))
 
     named = first.join(state.parts, "set", "left").select("set", "doc_id", F.coalesce("part", "set").alias("part"))

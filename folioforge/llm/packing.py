@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import save, slices
+from .common import lean, save, slices
 from .tokenizing import crc32, encoder, tokenizer_path, with_end
 
 CAPACITY = 2048
@@ -210,7 +210,7 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str = "byte_bpe_5
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    pieces = save(rows.mapInArrow(_cutter(tokenizer_path(tokenizer), capacity, end_id), _PIECES), "pieces")
+    pieces = save(rows.mapInArrow(lean(_cutter(tokenizer_path(tokenizer), capacity, end_id)), _PIECES), "pieces")
     counts = pieces.groupBy("length", "part").agg(F.count("*").alias("n"))
     before = F.sum("n").over(Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
     firsts = counts.withColumn("before", F.coalesce(before, F.lit(0))).drop("n")
@@ -218,4 +218,4 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str = "byte_bpe_5
     plan = spark.sparkContext.broadcast(intervals(solve(histogram, capacity, rounds)))
     ranked = pieces.join(firsts, ["length", "part"]).withColumn("rank", F.col("before") + F.col("place"))
     out = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
-    return ranked.select("doc_id", "piece", "start", "length", "ids_crc32", "rank").mapInArrow(_placer(plan), out)
+    return ranked.select("doc_id", "piece", "start", "length", "ids_crc32", "rank").mapInArrow(lean(_placer(plan)), out)

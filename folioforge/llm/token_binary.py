@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import new_path, save, slices
+from .common import lean, new_path, save, slices
 from .files import committed, reading
 from .tokenizing import crc32, encoder, tokenizer_path, with_end
 
@@ -227,7 +227,7 @@ def write_tokens(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", end_id:
     folder = folder or new_path(spark, "token-shards")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     ordered = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    return save(ordered.mapInArrow(_writer(tokenizer_path(tokenizer), folder, end_id), _MANIFEST), "token-manifest")
+    return save(ordered.mapInArrow(lean(_writer(tokenizer_path(tokenizer), folder, end_id)), _MANIFEST), "token-manifest")
 
 
 def read_tokens(manifest: DataFrame) -> DataFrame:
@@ -239,4 +239,4 @@ def read_tokens(manifest: DataFrame) -> DataFrame:
     before = F.sum("n_tokens").over(Window.orderBy("part", "piece").rowsBetween(Window.unboundedPreceding, -1))
     located = manifest.withColumn("before", F.coalesce(before, F.lit(0)))
     files = max(1, manifest.count())
-    return located.repartition(files).mapInArrow(_reader, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return located.repartition(files).mapInArrow(lean(_reader), "doc_id long, start long, n_tokens long, ids_crc32 long")

@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import row_uid, save, slices
+from .common import lean, row_uid, save, slices
 from .tokenizing import tokenizer_path
 
 #: Most distinct pre-tokens that are broadcast, and the longest one in characters: together they bound the broadcast.
@@ -122,12 +122,12 @@ def count_tokens(docs: DataFrame, model: str = "piece_bpe_32k.model", limit: int
     """doc_id, n_bytes, n_tokens, over_limit for every row of docs."""
     spark, path = docs.sparkSession, tokenizer_path(model)
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    freq = texts.select("text").mapInArrow(_frequencies, "piece string, n long").groupBy("piece").agg(F.sum("n").alias("n"))
-    vocabulary = save(freq.mapInArrow(_piece_counter(path), "piece string, n long, n_pieces long"), "piece-counts")
+    freq = texts.select("text").mapInArrow(lean(_frequencies), "piece string, n long").groupBy("piece").agg(F.sum("n").alias("n"))
+    vocabulary = save(freq.mapInArrow(lean(_piece_counter(path)), "piece string, n long, n_pieces long"), "piece-counts")
     top = vocabulary.where(F.length("piece") <= HEAD_CHARS).orderBy(F.desc("n"), "piece").limit(head)
     known = {r.piece: r.n_pieces for r in top.select("piece", "n_pieces").toLocalIterator()} if head else {}
     sent = spark.sparkContext.broadcast(known)
-    per_doc = save(texts.mapInArrow(_per_document(path, sent), _PER_DOC), "piece-frequencies")
+    per_doc = save(texts.mapInArrow(lean(_per_document(path, sent)), _PER_DOC), "piece-frequencies")
     rest = (
         per_doc.select("uid", F.explode("rest").alias("r"))
         .select("uid", "r.piece", "r.n")

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import new_path, save
+from .common import lean, new_path, save
 from .files import committed, reading
 
 FILE_BYTES = 64 << 20
@@ -192,13 +192,13 @@ def write_archives(pages: DataFrame, min_payload: int = 0, file_bytes: int = FIL
     meta = sums.join(shared, "sha1").select("page_id", F.lit(0).alias("kind"), "sha1", F.col("response").alias("refers_to"), F.lit(None).cast("string").alias("url"), F.lit(None).cast("string").alias("html")).dropDuplicates(["page_id", "sha1"])
     records = rows.select("page_id", F.lit(1).alias("kind"), F.lit(None).cast("string").alias("sha1"), F.lit(None).cast("long").alias("refers_to"), "url", "html")
     ordered = meta.union(records).repartitionByRange("page_id").sortWithinPartitions("page_id", "kind", "url")
-    return save(ordered.mapInArrow(_writer(folder, file_bytes), _MANIFEST), "archive-manifest")
+    return save(ordered.mapInArrow(lean(_writer(folder, file_bytes)), _MANIFEST), "archive-manifest")
 
 
 def read_archives(manifest: DataFrame) -> DataFrame:
     """page_id, payload_bytes, payload_digest, record_type, refers_to of every record, digests checked."""
     files = max(1, manifest.count())
-    return manifest.select("uri").repartition(files).mapInArrow(_reader, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
+    return manifest.select("uri").repartition(files).mapInArrow(lean(_reader), "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
 
 
 ORACLE = """

@@ -37,6 +37,19 @@ def test_quality_edges(spark):
     assert quality.quality_report(rows.limit(0)).count() == 0
 
 
+def test_quality_fences_follow_the_group(spark):
+    r = random.Random(4)
+    rows = []
+    for source, capitals, words in (("prose", 1, 120), ("notes", 1, 300)):
+        for d in range(300):
+            rows.append((len(rows), " ".join("W" * r.randint(0, capitals) + f"word{r.randrange(9999)}x{i}" for i in range(words + r.randrange(20))), "en", source))
+    signs = " ".join(f"word{1000 + i}x{i}" + ("#" if i % 4 == 0 else "") for i in range(120))
+    rows += [(9003, signs, "en", "prose"), (9004, signs, "en", "notes"), (9005, signs.replace("#", ""), "en", "notes")]
+    kept = {x.doc_id: x.kept for x in quality.quality_report(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"), pull=0).collect()}
+    assert [kept[9003], kept[9004], kept[9005]] == [True, False, True]  # equal ratios, other verdicts
+    assert sum(kept[i] for i in range(600)) >= 590
+
+
 @pytest.mark.parametrize("head", [0, 5, 1000])
 def test_token_counts_equal_library(spark, head):
     import sentencepiece
@@ -317,6 +330,35 @@ def test_decontamination_misses_nothing_behind_stray_pairs(spark):
     assert found == planted  # recall 1
 
 
+def test_decontamination_of_rotated_copies_and_very_long_items(spark):
+    r = random.Random(21)
+    item = [f"b{i}" for i in range(20)]
+    rotated = item[10:] + item[:10]
+    three = ["x", *item[1:9], *item[10:15], "y", *item[16:]]
+    long = [f"l{r.randrange(4000)}" for _ in range(12_000)]
+    near = [w if r.random() > 0.05 else "z" for w in long]
+    texts = [rotated * 3 + item, rotated + item, rotated * 3 + three, rotated, ["a"] * 50 + near + ["b"] * 9, long[:9000], item[:16]]
+    rows = frame(spark, [" ".join(t) for t in texts])
+    benchmark = spark.createDataFrame([(1, " ".join(item)), (2, " ".join(long)), (1, " ".join(item))], "item_id long, text string")
+    assert {(x.doc_id, x.item_id) for x in decontam.contaminated(rows, benchmark).collect()} == {(0, 1), (1, 1), (2, 1), (4, 2)}
+
+
+def test_walks_reach_their_recall():
+    r, misses = random.Random(5), 0
+    items = [[r.randrange(900) for _ in range(r.randint(12, 60))] for _ in range(300)]
+    index = decontam.Index.build([(i, " ".join(f"w{x}" for x in t)) for i, t in enumerate(items)], 0.15)
+    for i, (_, codes) in enumerate(index.items):
+        n, part = len(codes), codes[:]
+        for _ in range(index.edits(n)):
+            p = r.randrange(len(part) + 1)
+            part[p : p + r.randint(0, 1)] = r.choice([[], [-1]])
+        window = np.array((part + [-1] * n)[:n])
+        window[window < 0] = len(index.codes)
+        steps = [decontam.steps_of(n, k) for k in range(index.walks[n])]
+        misses += not any((decontam.walk(window[None], k, x) == decontam.walk(np.array([codes]), k, x)).all() for k, x in enumerate(steps))
+    assert misses <= 3
+
+
 def test_decontamination_equals_brute_force(spark):
     r = random.Random(13)
     items = [[f"w{r.randrange(4)}" for _ in range(r.randint(1, 16))] for _ in range(40)]
@@ -455,10 +497,65 @@ def test_grammar_contexts():
     m = toxicity.Model()
     assert m.matches("you are an idiot")[0][1] == "targeted" and m.matches("an idiot")[0][1] == "plain"
     assert m.matches("you are not an idiot")[0][1] == "negated" and m.matches("she said you are an idiot")[0][1] == "reported"
-    assert m.matches("i will kill you") and not m.matches("kill the process")
+    assert [c for _, c in m.matches("i will kill you; they never kill you. he said i kill him")] == ["threat", "negated threat", "reported threat"]
+    assert not m.matches("kill the process") and not m.matches("kill the whole process, you") and m.matches("kill\nyou") == []
     assert m.score("you are an idiot") > m.score("she said you are an idiot") > m.score("")
 
 
+def interpreted(model, text):
+    """The grammar read word by word, clause by clause, by its description: no tables, no transducers."""
+    out = []
+    for clause in re.split(r"[.!?;:,\n()\"«»“”]+", text.lower()):
+        words, best = re.findall(r"[^\W\d_]+(?:'[^\W\d_]+)?", clause), None
+        kinds = [model.kinds.get(w) or ("I" if model.weight(w) else "O") for w in words]
+        threat = None  # the last verb that still waits for a target
+        for i, kind in enumerate(kinds):
+            negated, reported = "N" in kinds[max(0, i - 3) : i], "R" in kinds[:i]
+            match = None
+            if kind == "I":
+                match = model.weight(words[i]), "negated" if negated else "reported" if reported else "targeted" if "T" in kinds[max(0, i - 4) : i] else "plain"
+            elif kind == "K":
+                threat = i, "negated threat" if negated else "reported threat" if reported else "threat"
+            elif kind == "T" and threat and i - threat[0] <= 3:
+                match, threat = (toxicity.THREAT, threat[1]), None
+            if match and (value := match[0] * model.factors[match[1]]) > (best[0] if best else 0):
+                best = value, match[1]
+        out += [best] if best else []
+    return out
+
+
+def test_grammar_equals_interpreter():
+    r, m = random.Random(3), toxicity.Model()
+    words = ["idiot", "scum", "kill", "hurt", "you", "them", "not", "never", "said", "a", "b", "c", "d."]
+    texts = [" ".join(r.choices(words, k=r.randint(0, 40))) + r.choice(["", ",", "\n you idiot"]) for _ in range(1500)] + ["idiot " * 5000]
+    scanner = toxicity.Scanner(m, most=40)
+    owner, values, contexts, _ = scanner.matches(pa.array([*texts, None, ""]))
+    found = defaultdict(list)
+    for o, v, c in zip(owner, values, contexts):
+        found[int(o)].append((float(v), toxicity.CONTEXTS[c]))
+    for i, text in enumerate(texts):
+        want = interpreted(m, text)
+        assert found[i] == m.matches(text) and [c for _, c in found[i]] == [c for _, c in want] and np.allclose([v for v, _ in found[i]], [v for v, _ in want])
+    scores = scanner.scores(pa.array([*texts, None, ""]))
+    assert all(abs(x - m.score(t or "")) < 1e-12 for x, t in zip(scores, [*texts, None, ""]))
+
+
+def test_context_weights_are_learned(spark):
+    """Insults that are denied or told of are clean here, threats toxic; the weights of their contexts move accordingly."""
+    r = random.Random(2)
+    rows, labels = [], []
+    for d in range(900):
+        words = " ".join("".join(r.choices("bcdfgaeiou", k=6)) for _ in range(20))
+        part, toxic = r.choice([("you idiot", 1), ("he is not an idiot", 0), ("she said scum", 0), ("i will kill you", 1), ("", 0)])
+        rows.append((d, f"{words}. {part}. {words}"))
+        labels.append((d, toxic))
+    docs, marks = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    model = toxicity.fit(docs, marks)
+    assert model.factors["negated"] < 0.15 and model.factors["reported"] < 0.25 and model.factors["threat"] > 1.2 > model.factors["negated"] * 5
+    got = {x.doc_id: x.predicted for x in toxicity.toxicity_scores(docs.union(docs.limit(5)), marks).collect()}
+    assert np.mean([got[d] == t for d, t in labels if zlib.crc32(str(d).encode()) % 3 == 1]) >= 0.97
+
+
 def test_every_clause_adds_its_weight():
     m = toxicity.Model(prior=-6.0)
     for n in (1, 8, 9, 20):
