@@ -546,7 +546,7 @@ def test_context_weights_are_learned(spark):
     rows, labels = [], []
     for d in range(900):
         words = " ".join("".join(r.choices("bcdfgaeiou", k=6)) for _ in range(20))
-        part, toxic = r.choice([("you idiot", 1), ("he is not an idiot", 0), ("she said scum", 0), ("i will kill you", 1), ("", 0)])
+        part, toxic = r.choice([("you idiot", 1), ("he is not an idiot", 0), ("she said scum", 0), ("i kill you", 1), ("", 0)])
         rows.append((d, f"{words}. {part}. {words}"))
         labels.append((d, toxic))
     docs, marks = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
