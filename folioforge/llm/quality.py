@@ -138,10 +138,15 @@ def _kept(judged: DataFrame, fences: DataFrame, lang_col: str, source_col: str)
     return judged.join(fences, same, "left").select("row", "stats", F.coalesce(~F.col("stats.base_failed") & inside, F.lit(False)).alias("kept"))
 
 
-def judge(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source", pull: float = PULL) -> DataFrame:
-    """row (all columns but the text), stats and kept of every document. The counts are computed once and saved beside the key columns."""
+def _saved_stats(docs: DataFrame, text_col: str) -> DataFrame:
+    """row (all columns but the text) and stats, stored: the sketches read a few of its columns."""
     row = F.struct(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns if c != text_col])
-    judged = save(with_stats(docs, text_col).select(row.alias("row"), "stats"), "quality-stats")
+    return save(with_stats(docs, text_col).select(row.alias("row"), "stats"), "quality-stats")
+
+
+def judge(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source", pull: float = PULL) -> DataFrame:
+    """row (all columns but the text), stats and kept of every document."""
+    judged = _saved_stats(docs, text_col)
     return _kept(judged, thresholds(judged, lang_col, source_col, pull), lang_col, source_col)
 
 
@@ -150,8 +155,8 @@ def quality_filter(docs: DataFrame, text_col: str = "text", lang_col: str = "lan
 
     Counts are computed twice, for the sketches and for the filter, instead of writing whole texts between.
     """
-    judged = with_stats(docs, text_col)
-    return _kept(judged, thresholds(judged, lang_col, source_col, pull), lang_col, source_col).where("kept").select("row.*")
+    fences = thresholds(_saved_stats(docs.select(*dict.fromkeys((f"`{lang_col}`", f"`{source_col}`", f"`{text_col}`"))), text_col), lang_col, source_col, pull)
+    return _kept(with_stats(docs, text_col), fences, lang_col, source_col).where("kept").select("row.*")
 
 
 def quality_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **kw) -> DataFrame:
