@@ -82,7 +82,7 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 URL_ORACLE = r"""
 with p as (select page_id, url, case when instr(url, '://') > 0 then substr(url, instr(url, '://') + 3) else '' end as rest from pages),
 h as (select page_id, url, coalesce(lower(regexp_extract(rest, '^[^/?#]*', 0)), '') as host, coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') as path from p),
-a as (select *, regexp_replace(regexp_replace(regexp_replace(regexp_extract(coalesce(url, ''), '^[^?#]*\?([^#]*)', 1), '(?:utm_[a-z]+|ref|fbclid|gclid)=[^&#]*', '', 'g'), '&&+', '&', 'g'), '^&|&$', '', 'g') as query,
+a as (select *, regexp_replace(regexp_replace(regexp_replace(regexp_extract(coalesce(url, ''), '^[^?#]*\?([^#]*)', 1), '(^|&)(?:utm_[a-z]+|ref|fbclid|gclid)=[^&#]*', '\1', 'g'), '&&+', '&', 'g'), '^&|&$', '', 'g') as query,
   case when (host = 'example.com' or suffix(host, '.example.com')) and prefix(path, '/en/7') then 'example.com/en/7'
        when (host = 'example.net' or suffix(host, '.example.net')) and prefix(path, '/de/8') then 'example.net/de/8'
        when (host = 'com' or suffix(host, '.com')) and prefix(path, '/en/') then 'com/en/'

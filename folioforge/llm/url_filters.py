@@ -6,7 +6,9 @@ only in scheme, fragment, trailing slash or tracking parameters, form a class:
 connected components over those edges. A URL that no rule fits takes its class's
 decision: allow where any member is explicitly allowed, else block where any is
 blocked, else allow. Link targets are decoded and resolved against the page's URL
-or its base element; those of schemes without :// (mailto:) link nothing.
+or its base element; those of schemes without :// (mailto:) link nothing. Rules
+are asked about every URL of a class, whether a row has it or only a link or a
+redirect.
 
 Defined cases: a null URL or one without :// has an empty host and path, fits no
 rule, is in no class and is allowed; rules of equal length prefer allow; repeated
@@ -26,7 +28,7 @@ from .components import connected_components
 
 #: Rules up to this number go into the plan as literals; more are joined by host suffix.
 MAX_LITERAL_RULES = 500
-TRACKING = r"(?:utm_[a-z]+|ref|fbclid|gclid)=[^&#]*"
+TRACKING = r"(^|&)(?:utm_[a-z]+|ref|fbclid|gclid)=[^&#]*"
 
 
 def _lower(column):
@@ -47,7 +49,7 @@ def path_of(url):
 
 def address(url):
     """What URLs of one class by form have in common; null without a host."""
-    query = F.regexp_replace(F.regexp_extract(url, r"^[^?#]*\?([^#]*)", 1), TRACKING, "")
+    query = F.regexp_replace(F.regexp_extract(url, r"^[^?#]*\?([^#]*)", 1), TRACKING, "$1")
     query = F.regexp_replace(F.regexp_replace(query, "&&+", "&"), "^&|&$", "")
     base = F.concat(host_of(url), F.regexp_replace(path_of(url), "/+$", ""))
     return F.when(host_of(url) != "", F.when(query != "", F.concat(base, F.lit("?"), query)).otherwise(base))
@@ -147,11 +149,18 @@ def judge_urls(pages: DataFrame, rules: list[tuple[str, str]], edges: DataFrame
     rows = pages.select(F.col(f"`{id_col}`").alias("_id"), host_of(url).alias("host"), path_of(url).alias("path"), address(url).alias("address"), targets.alias("targets"), aims.alias("aims"))
     rows = save(with_rules(rows, rules), "judged-urls")
     aimed = rows.where("size(targets) > 0 and address is not null").select("address", F.coalesce(_resolve(F.col("aims.base"), F.col("aims.url")), "aims.url").alias("base"), F.explode("targets").alias("to"))
-    links = aimed.select(F.col("address").alias("a"), _let(_resolve(F.col("to"), F.col("base")), address).alias("b")).where("b is not null")
+    aimed = aimed.select("address", _resolve(F.col("to"), F.col("base")).alias("to"))
+    links, ends = aimed.select(F.col("address").alias("a"), address(F.col("to")).alias("b")), aimed.select("to")
     if edges is not None:
         links = links.union(edges.select(address(F.col("from_url")), address(F.col("to_url"))))
+        ends = ends.union(edges.select("from_url")).union(edges.select("to_url"))
+    links = links.where("a is not null and b is not null")
     classes = connected_components(links)
-    said = rows.where("address is not null and rule_verdict is not null").groupBy("address").agg(F.max((F.col("rule_verdict") == "allow")).alias("allowed"), F.max((F.col("rule_verdict") == "block")).alias("blocked"))
+    # URLs that only a link names have their own decision by the rules, as rows do
+    to = F.col("to")
+    named = with_rules(ends.select(host_of(to).alias("host"), path_of(to).alias("path"), address(to).alias("address")), rules)
+    decisions = rows.select("address", "rule_verdict").union(named.select("address", "rule_verdict"))
+    said = decisions.where("address is not null and rule_verdict is not null").groupBy("address").agg(F.max((F.col("rule_verdict") == "allow")).alias("allowed"), F.max((F.col("rule_verdict") == "block")).alias("blocked"))
     of_class = said.join(classes, said.address == classes.node, "left").groupBy(F.coalesce("component", "address").alias("class")).agg(F.max("allowed").alias("allowed"), F.max("blocked").alias("blocked"))
     decided = of_class.where("blocked and not allowed").select("class")
     # back to addresses: members of the classes with edges, and classes without any

@@ -422,6 +422,43 @@ def test_allow_precedes_block_in_a_class(spark):
     assert {r.page_id: r.verdict for r in url_filters.judge_urls(rows, RULES, edges, html_col=None).collect()} == {1: "allow", 2: "block"}
 
 
+def test_tracking_parameters_end_at_their_names(spark):
+    rows = spark.createDataFrame([(1, "http://h.test/a?xref=1"), (2, "http://h.test/a?xref=2"), (3, "http://h.test/a?utm_q=1&ref=5"), (4, "http://h.test/a")], "page_id long, url string")
+    got = rows.select("page_id", url_filters.address(F.col("url")).alias("a")).collect()
+    assert {r.page_id: r.a for r in got} == {1: "h.test/a?xref=1", 2: "h.test/a?xref=2", 3: "h.test/a", 4: "h.test/a"}
+
+
+def test_url_classes_equal_brute_force(spark):
+    """Random redirects between pages and URLs that no page has: chains, hubs, equal rules, allow before block."""
+    r = random.Random(14)
+    hosts = ["example.com/en/7", "a.com/en/", "b.net/de/", "example.net/de/8", "c.org/es/", "d.test/", "e.test/x/", "f.test/y/"]
+    urls = [f"http://{r.choice(hosts)}{i}" for i in range(160)]
+    pages = [(i, u) for i, u in enumerate(urls[:90])] + [(200, urls[0]), (201, None)]
+    edges = [(r.choice(urls), r.choice(urls)) for _ in range(70)] + [(urls[5], u) for u in urls[100:112]] + [(None, urls[3])]
+
+    def rule(url):
+        host, _, path = url[7:].partition("/")
+        fits = [(-len(x), v != "allow", v) for v, x in RULES if (host == x.partition("/")[0] or host.endswith("." + x.partition("/")[0])) and ("/" + path).startswith("/" + x.partition("/")[2])]
+        return min(fits)[2] if fits else None
+
+    parent = {u: u for u in urls}
+
+    def root(u):
+        while parent[u] != u:
+            u = parent[u]
+        return u
+
+    for a, b in edges:
+        if a and b:
+            parent[root(a)] = root(b)
+    said = defaultdict(set)
+    for u in {u for i, u in pages if u} | {u for e in edges for u in e if u}:
+        said[root(u)].add(rule(u))
+    want = {i: "allow" if not u else rule(u) or ("block" if "block" in said[root(u)] and "allow" not in said[root(u)] else "allow") for i, u in pages}
+    got = url_filters.judge_urls(spark.createDataFrame(pages, "page_id long, url string"), RULES, spark.createDataFrame(edges, "from_url string, to_url string"), html_col=None)
+    assert {x.page_id: x.verdict for x in got.collect()} == want and len(set(want.values())) == 2
+
+
 def test_license_inheritance(spark):
     rows = spark.createDataFrame(
         [(1, "a/LICENSE", "Released under the MIT License.", True), (2, "a/b/x", "print", False), (3, "a/b/c/LICENSE", "# Licensed under the Apache License, Version 2.0", True), (4, "a/b/c/d/y", None, None),
