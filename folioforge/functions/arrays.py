@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -15,9 +18,9 @@ def windows(ids: Column, k: int) -> Column:
 
 def subsequence_positions(ids: Column, target: list[int]) -> Column:
     """0-based starts of every occurrence of target."""
-    k, want = len(target), F.array(*[F.lit(t) for t in target])
+    k = len(target)
     starts = F.when(F.size(ids) >= k, F.sequence(F.lit(0), F.size(ids) - k)).otherwise(F.array().cast("array<int>"))
-    return F.filter(starts, lambda i: F.slice(ids, i + 1, k) == want)
+    return F.filter(starts, lambda i: reduce(and_, [F.get(ids, i + j) == t for j, t in enumerate(target)]))
 
 
 def mask_special(ids: Column, special: list[int]) -> Column:

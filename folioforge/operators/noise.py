@@ -17,7 +17,7 @@ def noise_fields(key: Column, width: Column, height: Column) -> dict[str, Column
     """Every draw as a flat column; angles and limits in fixed decimals, so all engines agree."""
     scaled = lambda name, a, b, unit: (F.lit(a) + rng.h(name, key) % (b - a + 1)) / F.lit(float(unit))
     bright = rng.u("bg_side", key) < 0.5
-    out = {f"bg_{c}": F.when(bright, rng.randint(f"bg_{c}", key, 235, 255)).otherwise(rng.randint(f"bg_{c}", key, 0, 20)).cast("int") for c in "bgr"}
+    out = {f"bg_{c}": F.when(bright, rng.randint(f"bg_{c}", key, 245, 255)).otherwise(rng.randint(f"bg_{c}", key, 0, 10)).cast("int") for c in "bgr"}
     out["texture_seed"] = rng.h("texture", key)
     out["angle"] = scaled("angle", -1500, 1500, 1000)
     for i in range(8):
@@ -106,7 +106,7 @@ def apply_noise(image: np.ndarray, config: dict) -> np.ndarray:
     texture = config["paper_texture"]
     out = np.clip(out + np.random.default_rng(texture["seed"]).normal(0, 10, image.shape) * texture["intensity"], 0, 255)
     x, y = np.meshgrid(np.arange(width, dtype=float), np.arange(height, dtype=float))
-    angle, cx, cy = np.deg2rad(config["rotation"]["angle"]), width / 2, height / 2
+    angle, cx, cy = np.deg2rad(config["rotation"]["angle"]), width // 2, height // 2
     out = _sample(out, np.cos(angle) * (x - cx) - np.sin(angle) * (y - cy) + cx, np.sin(angle) * (x - cx) + np.cos(angle) * (y - cy) + cy, config["rotation"]["bg_color"])
     corners = np.array([[0, 0], [width, 0], [0, height], [width, height]], float)
     moved = corners + np.array(config["perspective_transform"]["deltas"], float)
@@ -124,22 +124,24 @@ def apply_noise(image: np.ndarray, config: dict) -> np.ndarray:
 
 
 def mask_rectangles(image: np.ndarray, boxes: list[dict], color=(255, 255, 255)) -> np.ndarray:
+    """Boxes filled with a colour, both ends included."""
     out = image.copy()
     for b in boxes:
         x, y = int(b["x"]), int(b["y"])
-        out[max(0, y) : int(b["y"] + b["height"]), max(0, x) : int(b["x"] + b["width"])] = color
+        out[max(0, y) : max(0, int(b["y"] + b["height"]) + 1), max(0, x) : max(0, int(b["x"] + b["width"]) + 1)] = color
     return out
 
 
 def mask_targets(boxes: DataFrame, target: str = "img_cap") -> DataFrame:
-    """Boxes to mask: images (empty text), captions (other text) or both, as whole-number rectangles."""
+    """Boxes to mask, of image elements only where the element's type is given: images (empty text), captions (other text) or both, as whole-number rectangles."""
+    boxes = boxes.where("type = 'image'") if "type" in boxes.columns else boxes
     kept = boxes.where("text = ''") if target == "img" else boxes.where("text <> ''") if target == "cap" else boxes
     x, y = F.floor("x").cast("int"), F.floor("y").cast("int")
     return kept.select("id", x.alias("x1"), y.alias("y1"), F.floor(F.col("x") + F.col("width")).cast("int").alias("x2"), F.floor(F.col("y") + F.col("height")).cast("int").alias("y2"), "text")
 
 
 def noisy_images(images: DataFrame) -> DataFrame:
-    """id, pixels of images (id, width, height, pixels: raw BGR bytes, config); replay passes the logged config, masks may come as boxes."""
+    """id, pixels of images (id, width, height, pixels: raw BGR bytes, config); replay passes the logged config, masks may come as boxes, filled with figure_color (BGR) where that is given."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -148,7 +150,7 @@ def noisy_images(images: DataFrame) -> DataFrame:
             for row in rows:
                 image = np.frombuffer(row["pixels"], np.uint8).reshape(row["height"], row["width"], 3)
                 if row.get("boxes"):
-                    image = mask_rectangles(image, row["boxes"])
+                    image = mask_rectangles(image, row["boxes"], row.get("figure_color") or (255, 255, 255))
                 done.append(apply_noise(image, row["config"]).tobytes())
             yield pa.RecordBatch.from_arrays([pa.array([r["id"] for r in rows], pa.string()), pa.array(done, pa.binary())], names=["id", "pixels"])
 

@@ -387,12 +387,12 @@ def chat_template(spark, sf):
     return batchapi.chat_template(table(spark, sf, "conversations"), "conv_id", "turn")
 
 
-TOKENS = "tok as (select doc_id, list_transform(string_split(text[1:200], ''), lambda c: unicode(c)) as ids from documents)"
+TOKENS = "tok as (select doc_id, list_transform(string_split(coalesce(text, ''), ''), lambda c: unicode(c)) as ids from documents)"
 
 
 def _tokens(spark, sf) -> DataFrame:
-    """Token arrays: code points of the first 200 characters (a token window, as collators truncate)."""
-    return table(spark, sf, "documents").select("doc_id", F.transform(F.filter(F.split(F.substring("text", 1, 200), ""), lambda c: c != ""), lambda c: F.conv(F.hex(F.encode(c, "UTF-32")), 16, 10).cast("int")).alias("ids"))
+    """Token arrays: the code points of whole texts."""
+    return table(spark, sf, "documents").select("doc_id", F.transform(F.filter(F.split(F.coalesce("text", F.lit("")), ""), lambda c: c != ""), F.ascii).alias("ids"))
 
 
 @query(f"with {TOKENS} select doc_id, [i - 1 for i in range(1, len(ids)) if ids[i] = 116 and ids[i + 1] = 104]::int[] as starts from tok")
@@ -431,7 +431,7 @@ def prediction_ids(spark, sf):
 
 def _noise_sql() -> str:
     scaled = lambda n, a, b: f"({a} + {h(n, 'id')} % {b - a + 1}) / 1000.0::double"
-    out = [f"(case when {u('bg_side', 'id')} < 0.5 then 235 + {h(f'bg_{c}', 'id')} % 21 else {h(f'bg_{c}', 'id')} % 21 end)::int as bg_{c}" for c in "bgr"]
+    out = [f"(case when {u('bg_side', 'id')} < 0.5 then 245 + {h(f'bg_{c}', 'id')} % 11 else {h(f'bg_{c}', 'id')} % 11 end)::int as bg_{c}" for c in "bgr"]
     out += [f"{h('texture', 'id')} as texture_seed", f"{scaled('angle', -1500, 1500)} as angle"]
     out += [f"(-5 + {h(f'delta{i}', 'id')} % 16)::int as delta_{i}" for i in range(8)]
     for s in "hv":

@@ -111,7 +111,7 @@ def test_noise_replays_and_masks(spark):
     first, again = (noise.noisy_images(logged).first().pixels for _ in range(2))
     assert first == again and len(first) == image.size and bytes(first) != image.tobytes()
     masked = noise.mask_rectangles(image, [{"x": 1.5, "y": 2.0, "width": 3.0, "height": 2.0}])
-    assert (masked != image).any(axis=2).sum() == 3 * 2
+    assert (masked != image).any(axis=2).sum() == 4 * 3  # both ends of a rectangle are filled
 
 
 def test_backend(spark):
