@@ -1,21 +1,27 @@
 """Operator 6, best-fit packing by a configuration linear program.
 
 Only the histogram of piece lengths reaches the driver: at most `capacity` rows,
-whatever the input. There a covering LP over configurations (multisets of lengths
-that fit one sequence) is begun by multiplicative weights, for ROUNDS rounds and
-without a gap that is guaranteed; each round prices the best configuration by a
-knapsack dynamic program. This partial cover is rounded down and what is left is placed best-fit decreasing, again on
-counts. The result, intervals of ranks per length, is applied to all pieces in
-one vectorised pass.
+whatever the input. There the covering LP over configurations (multisets of
+lengths that fit one sequence) is solved by multiplicative weights: a length's
+price is its share of a sequence times a weight that falls as it gets covered; a
+knapsack dynamic program prices, in one pass, the best configuration with each
+length; those near the best price and (at first wholly) full enter the solution
+by a share of what is left of their scarcest length. The cover is rounded down, and
+the same steps with whole amounts cover what rounding left; single pieces that no
+round placed go best-fit. The prices' dual bound, a lower limit for any packing,
+is reported beside the result. The result, intervals of ranks per length, is
+applied to all pieces in one vectorised pass.
 
 Defined cases: a null or empty text is one piece with the end id; a text longer
 than the capacity is cut so that only its first piece may be shorter; repeated
-rows and ids are packed each on its own; an empty table gives an empty result.
+rows and ids are packed each on its own; an empty table gives an empty result;
+rows without an id keep a null id; other columns are not read. Ids are integers.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -27,56 +33,78 @@ from .common import lean, save, slices
 from .tokenizing import crc32, encoder, tokenizer_path, with_end
 
 CAPACITY = 2048
-ROUNDS = 160
+#: Rounds of prices for the fractional cover, and for the whole one.
+ROUNDS = 120
+#: Share of a length's uncovered pieces that a configuration takes in one round.
+STEP = 0.25
+#: How full configurations have to be; the next share holds once a round places little of what is left.
+FILLS = (1.0, 0.9995, 0.998, 0.995, 0.99, 0.98, 0.95, 0.0)
 
+#: Shares of the cover that are rounded, and the part of the fewest sequences that a greater share may cost.
+SHARES, SLACK = (1.0, 0.9, 0.5, 0.1), 0.0005
 
-def knapsack(values: np.ndarray, lengths: np.ndarray, capacity: int) -> dict[int, int]:
-    """Indices of lengths, with multiplicity, of greatest total value that fit; unbounded, by dynamic programming."""
+
+def knapsack(values: np.ndarray, lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
+    """Best total value of lengths, with multiplicity, that fit each capacity up to this one, and the last length chosen (-1: none); by dynamic programming."""
     best = np.zeros(capacity + 1)
     choice = np.full(capacity + 1, -1, np.int64)
     stops = np.searchsorted(lengths, np.arange(capacity + 1), side="right")
     for c in range(1, capacity + 1):
-        best[c], choice[c] = best[c - 1], -1
+        best[c] = best[c - 1]
         if stops[c]:
             totals = best[c - lengths[: stops[c]]] + values[: stops[c]]
             k = int(totals.argmax())
             if totals[k] > best[c]:
                 best[c], choice[c] = totals[k], k
+    return best, choice
+
+
+def content_of(choice: np.ndarray, lengths: np.ndarray, capacity: int) -> dict[int, int]:
+    """Indices of the lengths, with multiplicity, of the best content of a capacity."""
     out: dict[int, int] = {}
-    c = capacity
-    while c > 0:
-        k = int(choice[c])
+    while capacity > 0:
+        k = int(choice[capacity])
         if k < 0:
-            c -= 1
+            capacity -= 1
         else:
             out[k] = out.get(k, 0) + 1
-            c -= int(lengths[k])
+            capacity -= int(lengths[k])
     return out
 
 
-def configurations(lengths: np.ndarray, counts: np.ndarray, capacity: int, rounds: int = ROUNDS, rate: float = 2.0) -> list[tuple[dict[int, int], float]]:
-    """Partial cover of the covering LP after so many rounds: configurations (index -> copies) with the number of sequences of each.
-
-    A length starts with the price of its share of a sequence, or of the number of
-    its kind that fit one where that is more; prices fall with a length's cover, so
-    later rounds price what is still bare.
-    """
-    cover = np.zeros(len(lengths))
-    found: list[tuple[dict[int, int], float]] = []
-    step = max(1.0, float((lengths * counts).sum()) / capacity / max(1, rounds))
-    start = np.maximum(lengths / capacity, 1.0 / (capacity // lengths))
+def configurations(lengths: np.ndarray, counts: np.ndarray, capacity: int, rounds: int = ROUNDS, whole: bool = False) -> tuple[dict[tuple, float], np.ndarray, float]:
+    """Amounts of configurations (index, copies pairs), what they leave of each length, and the prices' dual bound; whole: whole amounts only."""
+    left, out, bound, fill = counts.astype(float), {}, float((lengths * counts).sum()) / capacity, 0
+    enough = 0.5 if whole else np.maximum(1e-3 * counts, 1e-6)
     for _ in range(rounds):
-        left = np.maximum(counts - cover, 0)
-        if not left.any():
-            break
-        chosen = knapsack(start * np.exp(-rate * cover / counts) * (left > 0), lengths, capacity)
-        if not chosen:
+        bare = left > enough
+        if not bare.any():
             break
-        amount = max(1.0, min(step, min(left[k] / n for k, n in chosen.items())))
-        for k, n in chosen.items():
-            cover[k] += n * amount
-        found.append((chosen, amount))
-    return found
+        share = left / counts
+        prices = np.where(bare, lengths / capacity * np.exp(share - share[bare].max()), 0.0)
+        best, choice = knapsack(prices, lengths, capacity)
+        bound = max(bound, float(counts @ prices) / best[capacity])  # prices by the best one are feasible for the dual
+        placed = 0.0
+        for k in np.argsort(-share, kind="stable").tolist():
+            if left[k] <= (enough if whole else enough[k]) or prices[k] + best[capacity - lengths[k]] < (0.8 if fill < len(FILLS) - 1 else 0.0) * best[capacity]:
+                continue
+            content = content_of(choice, lengths, capacity - int(lengths[k]))
+            content[k] = content.get(k, 0) + 1
+            if sum(int(lengths[j]) * n for j, n in content.items()) < FILLS[fill] * capacity:
+                continue
+            amount = min(left[j] / n for j, n in content.items())
+            amount = float(max(int(amount * STEP), min(1, int(amount)))) if whole else amount * STEP
+            if amount > 0:
+                key = tuple(sorted(content.items()))
+                out[key] = out.get(key, 0.0) + amount
+                for j, n in content.items():
+                    left[j] -= n * amount
+                placed += amount
+        if placed < 0.002 * float((lengths * left)[bare].sum()) / capacity:
+            if fill == len(FILLS) - 1 and not placed:
+                break
+            fill = min(fill + 1, len(FILLS) - 1)
+    return out, left, bound
 
 
 def _best_fit(groups: dict[int, list], length: int, n: int, capacity: int) -> None:
@@ -99,47 +127,63 @@ def _best_fit(groups: dict[int, list], length: int, n: int, capacity: int) -> No
         n -= used
 
 
-#: Shares of the fractional solution that rounding tries; what a share leaves goes best-fit.
-SHARES = (1.0, 0.9, 0.75, 0.5, 0.25, 0.1)
+@dataclass
+class Solution:
+    """Configurations (length -> copies) with their numbers of sequences, how many of those the linear program priced, and a lower limit for any packing."""
 
+    packing: list[tuple[dict[int, int], int]]
+    priced: int
+    bound: float
 
-def _rounded(found: list, lengths: np.ndarray, counts: np.ndarray, capacity: int, share: float) -> dict[tuple, int]:
+    @property
+    def sequences(self) -> int:
+        return sum(n for _, n in self.packing)
+
+
+def _rounded(lengths: np.ndarray, counts: np.ndarray, cover: dict[tuple, float], share: float, capacity: int, rounds: int) -> tuple[dict[tuple, int], int]:
+    """Configurations (length, copies pairs) with whole amounts: a share of the fractional cover rounded down, with all of it whole amounts after, then best-fit. Also how many sequences were priced."""
     out: dict[tuple, int] = {}
-    remain = counts.astype(np.int64)
-    for chosen, amount in found:
-        times = min(int(amount * share), min(int(remain[k]) // n for k, n in chosen.items()))
-        if times > 0 and sum(int(lengths[k]) * n for k, n in chosen.items()) >= 0.99 * capacity:  # emptier ones are better filled by best-fit
-            for k, n in chosen.items():
-                remain[k] -= n * times
-            key = tuple(sorted((int(lengths[k]), n) for k, n in chosen.items()))
-            out[key] = out.get(key, 0) + times
+    remain, priced = counts.copy(), 0
+
+    def take(found: dict[tuple, float], at: np.ndarray, part: float) -> None:
+        nonlocal priced
+        for content, amount in found.items():
+            if (times := int(amount * part)) > 0:
+                for j, n in content:
+                    remain[at[j]] -= n * times
+                key = tuple((int(lengths[at[j]]), n) for j, n in content)
+                out[key] = out.get(key, 0) + times
+                priced += times
+
+    take(cover, np.arange(len(lengths)), share)
+    if share == 1 and len(at := np.flatnonzero(remain)):
+        take(configurations(lengths[at], remain[at], capacity, rounds, True)[0], at, 1.0)
     groups: dict[int, list] = {}
     for k in range(len(lengths) - 1, -1, -1):
         if remain[k]:
             _best_fit(groups, int(lengths[k]), int(remain[k]), capacity)
-    for members in groups.values():
-        for content, bins in members:
-            key = tuple(sorted(content.items()))
-            out[key] = out.get(key, 0) + bins
-    return out
-
+    for content, bins in (m for members in groups.values() for m in members):
+        key = tuple(sorted(content.items()))
+        out[key] = out.get(key, 0) + bins
+    return out, priced
 
-def solve(histogram: dict[int, int], capacity: int = CAPACITY, rounds: int = ROUNDS) -> list[tuple[dict[int, int], int]]:
-    """Packing of a length histogram: (length -> copies, number of sequences) for every configuration used.
 
-    The fractional solution is rounded down at several shares, the rest placed
-    best-fit decreasing; the share with the fewest sequences is taken.
-    """
+def solve(histogram: dict[int, int], capacity: int = CAPACITY, rounds: int = ROUNDS) -> Solution:
+    """Packing of a length histogram: the greatest share of the linear program's cover that comes within `SLACK` of the fewest sequences of any share."""
     out: dict[tuple, int] = {}
-    left = {x: n for x, n in histogram.items() if n and x < capacity}
-    if left:
-        lengths = np.array(sorted(left), np.int64)
-        counts = np.array([left[int(x)] for x in lengths], np.float64)
-        found = configurations(lengths, counts, capacity, rounds)
-        out = min((_rounded(found, lengths, counts, capacity, share) for share in SHARES), key=lambda r: sum(r.values()))
+    priced, bound = 0, 0.0
+    some = {x: n for x, n in histogram.items() if n and x < capacity}
+    if some:
+        lengths = np.array(sorted(some), np.int64)
+        counts = np.array([some[int(x)] for x in lengths], np.int64)
+        cover, _, bound = configurations(lengths, counts, capacity, rounds)
+        tried = [_rounded(lengths, counts, cover, share, capacity, rounds) for share in SHARES]
+        least = min(sum(t[0].values()) for t in tried)
+        out, priced = next(t for t in tried if sum(t[0].values()) <= least + int(least * SLACK))
     if histogram.get(capacity):
         out[((capacity, 1),)] = histogram[capacity]
-    return [(dict(key), n) for key, n in sorted(out.items())]
+        priced, bound = priced + histogram[capacity], bound + histogram[capacity]
+    return Solution([(dict(key), n) for key, n in sorted(out.items())], priced, bound)
 
 
 def intervals(packing: list[tuple[dict[int, int], int]]) -> dict[str, np.ndarray]:
@@ -209,13 +253,13 @@ def _placer(plan):
 def pack(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str = "byte_bpe_50k.json", end_id: int = 0, rounds: int = ROUNDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
     spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
     pieces = save(rows.mapInArrow(lean(_cutter(tokenizer_path(tokenizer), capacity, end_id)), _PIECES), "pieces")
     counts = pieces.groupBy("length", "part").agg(F.count("*").alias("n"))
     before = F.sum("n").over(Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
     firsts = counts.withColumn("before", F.coalesce(before, F.lit(0))).drop("n")
     histogram = {r.length: r.n for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most `capacity` rows
-    plan = spark.sparkContext.broadcast(intervals(solve(histogram, capacity, rounds)))
+    plan = spark.sparkContext.broadcast(intervals(solve(histogram, capacity, rounds).packing))
     ranked = pieces.join(firsts, ["length", "part"]).withColumn("rank", F.col("before") + F.col("place"))
     out = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
     return ranked.select("doc_id", "piece", "start", "length", "ids_crc32", "rank").mapInArrow(lean(_placer(plan)), out)

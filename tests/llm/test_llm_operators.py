@@ -158,12 +158,51 @@ def test_packing_near_the_bound():
         histogram = {r.randint(1, 2048): r.randint(1, 40) * scale for _ in range(300)}
         solved = packing.solve(histogram)
         packed = Counter()
-        for content, n in solved:
+        for content, n in solved.packing:
             assert sum(k * v for k, v in content.items()) <= 2048
             for k, v in content.items():
                 packed[k] += v * n
         assert packed == Counter(histogram)
-        assert sum(n for _, n in solved) <= least_sequences(histogram, 2048) * 1.02 + 2
+        assert solved.bound <= solved.sequences <= least_sequences(histogram, 2048) * 1.02 + 2
+    lengths = [min(2047, 20 + int(r.expovariate(1 / 350))) for _ in range(20_000)]  # as documents have them
+    solved = packing.solve(Counter(lengths))
+    assert solved.priced >= 0.9 * solved.sequences and solved.sequences <= solved.bound * 1.002 + 1
+
+
+def test_packing_equals_exact_optima():
+    """Every packing of small histograms, by exhaustive search over the pieces."""
+    r = random.Random(11)
+    for _ in range(25):
+        capacity = 20
+        pieces = [r.randint(3, 20) for _ in range(r.randint(1, 8))]
+
+        def least(rest, bins, best):
+            if len(bins) >= best:
+                return best
+            if not rest:
+                return len(bins)
+            for i in range(len(bins)):
+                if bins[i] + rest[0] <= capacity:
+                    best = min(best, least(rest[1:], bins[:i] + [bins[i] + rest[0]] + bins[i + 1 :], best))
+            return min(best, least(rest[1:], [*bins, rest[0]], best))
+
+        optimum = least(sorted(pieces, reverse=True), [], len(pieces) + 1)
+        solved = packing.solve(Counter(pieces), capacity)
+        assert solved.bound <= optimum + 1e-9 and optimum <= solved.sequences <= optimum + 1
+
+
+def test_multiplicative_weights_cover_and_bound():
+    r = random.Random(7)
+    lengths = np.array(sorted(r.sample(range(20, 2047), 200)))
+    counts = np.array([r.randint(500, 4000) for _ in lengths])
+    found, left, bound = packing.configurations(lengths, counts, 2048)
+    used = np.zeros(len(lengths))
+    for content, amount in found.items():
+        assert sum(int(lengths[j]) * n for j, n in content) <= 2048
+        for j, n in content:
+            used[j] += n * amount
+    assert np.allclose(used + left, counts) and (left >= -1e-6).all() and left.sum() <= 0.01 * counts.sum()
+    assert (lengths * counts).sum() / 2048 - 1e-6 <= bound <= sum(found.values()) * 1.01 + 1  # every length is covered but for a hundredth
 
 
 def components_brute(rows, k, num, den):
