@@ -123,10 +123,14 @@ def thresholds(judged: DataFrame, lang_col: str = "lang", source_col: str = "sou
     groups = save(passed.groupBy("lang", "source").agg(F.count("*").alias("n"), *[sketch(x) for x in SKETCHED]), "quality-sketches")
     merged = [F.sum("n").alias("n"), *[F.kll_merge_agg_double(x).alias(x) for x in SKETCHED]]
     quantiles = lambda df, tag: df.withColumn(tag, _quantiles(F.col("n"), {x: F.col(x) for x in SKETCHED})).drop("n", *SKETCHED)
-    whole = quantiles(groups.agg(*merged).where("n > 0"), "top")  # one row at most
-    by_lang = quantiles(groups.groupBy("lang").agg(*merged), "wide").crossJoin(whole).select(F.col("lang").alias("of"), _drawn("wide", "top", pull).alias("wide"))  # a row for each language beside one row
-    own = quantiles(groups, "own").join(by_lang, F.col("lang").eqNullSafe(F.col("of")))
-    return save(own.select("lang", "source", _drawn("own", "wide", pull).alias("q")).select("lang", "source", _fences("q").alias("f")), "quality-fences")
+    whole = quantiles(groups.agg(*merged).where("n > 0"), "top").first()  # one row at most
+    own = quantiles(groups, "own")
+    if whole is None:
+        return own.select("lang", "source", _fences("own").alias("f"))
+    top = F.struct(*[F.lit(v).cast("double").alias(k) for k, v in whole.top.asDict().items()])
+    by_lang = quantiles(groups.groupBy("lang").agg(*merged), "wide").withColumn("top", top).select(F.col("lang").alias("of"), _drawn("wide", "top", pull).alias("wide"))
+    drawn = save(own.join(by_lang, F.col("lang").eqNullSafe(F.col("of"))).select("lang", "source", _drawn("own", "wide", pull).alias("q")), "quality-quantiles")
+    return drawn.select("lang", "source", _fences("q").alias("f"))
 
 
 def _kept(judged: DataFrame, fences: DataFrame, lang_col: str, source_col: str) -> DataFrame:
