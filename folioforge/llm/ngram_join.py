@@ -410,17 +410,23 @@ class _Join:
         self.found, self.k, self.num, self.den, self.hot = found, k, num, den, hot
         self.checked: DataFrame | None = None
         self.parts: DataFrame | None = None
+        self.moved = False
 
-    def verify(self, pairs: DataFrame) -> None:
-        """Verify (set, hub) pairs with the texts; a hub of many sets is met in several groups."""
+    def verify(self, pairs: DataFrame) -> bool:
+        """Verify (set, hub) pairs with the texts; a hub of many sets is met in several groups. Whether components may have changed."""
         hubs = pairs.groupBy("hub").agg(F.ceil(F.count("*") / STAR_SETS).cast("int").alias("c"))
         members = pairs.join(hubs, "hub").select("hub", "set", F.pmod(F.xxhash64("set"), F.col("c")).cast("int").alias("g"))
         centers = hubs.select("hub", F.col("hub").alias("set"), F.explode(F.sequence(F.lit(0), F.col("c") - 1)).alias("g"))
         stars = members.union(centers).join(self.found.select("set", "text"), "set").select(F.xxhash64("hub", "g").alias("group"), "hub", "set", "text")
         new = save(stars.repartition("group").sortWithinPartitions("group", F.col("set") != F.col("hub")).mapInArrow(lean(_star(self.k, self.num, self.den)), "a long, b long, same boolean"), "verified")
         self.checked = new if self.checked is None else self.checked.union(new)
-        links = self.checked.where("same").select("a", "b")
+        links = new.where("same").select("a", "b")
+        if self.parts is not None:
+            if links.isEmpty():
+                return False
+            links = links.union(self.parts.select("set", "part"))
         self.parts = save(connected_components(links).select(F.col("node").alias("set"), F.col("component").alias("part")), "parts")
+        return True
 
     def still_open(self, index: DataFrame) -> DataFrame:
         """Rows (key, set, part, c) of the buckets of c sets that hold several components."""
@@ -442,9 +448,10 @@ class _Join:
         bad = bad.select(F.col("a").alias("set"), F.col("b").alias("x")).union(bad.select("b", "a")).groupBy("set").agg(F.collect_set("x").alias("failed"))
         rows = dealt.join(self.found.select("set", "n", "sketch"), "set").join(bad, "set", "left").select("bucket", "side", "set", "part", "n", "sketch", "failed")
         pairs = save(rows.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(lean(_pairs(self.num, self.den, whole, sided)), "set long, hub long").distinct(), "proposed-pairs")
+        self.moved = False
         if pairs.isEmpty():
             return False
-        self.verify(pairs)
+        self.moved = self.verify(pairs)
         return True
 
     def settle(self, index: DataFrame) -> DataFrame:
@@ -453,11 +460,10 @@ class _Join:
         for seed in range(ROUNDS):
             if not self.meet(rows, seed, False):
                 break
-            rows = self.still_open(rows)
+            rows = self.still_open(rows) if self.moved else rows
         small, large = rows.where(F.col("c") <= self.hot), rows.where(F.col("c") > self.hot)
-        if self.meet(small, 0, True):
-            large = self.still_open(large)
-        return large
+        self.meet(small, 0, True)
+        return self.still_open(large) if self.moved else large
 
     def cross(self, rows: DataFrame) -> None:
         """The exact end for large open buckets: every block of sets outside a bucket's largest component meets the whole bucket, in blocks."""

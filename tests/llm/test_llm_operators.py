@@ -288,9 +288,13 @@ def test_near_duplicate_filter_keeps_one(spark):
     assert ngram_join.near_duplicate_filter(rows.limit(0)).count() == 0
 
 
-def test_components(spark):
+@pytest.mark.parametrize("chunk,turns", [(250_000, 32), (7, 2), (1, 1)])
+def test_components(spark, chunk, turns, monkeypatch):
+    monkeypatch.setattr(components, "CHUNK", chunk)
+    monkeypatch.setattr(components, "TURNS", turns)
     r = random.Random(6)
-    edges = [(r.randrange(80), r.randrange(80)) for _ in range(60)] + [(100, i) for i in range(101, 160)] + [(200 + i, 201 + i) for i in range(40)] + [(7, 7)]
+    one_sided = [*range(301, 340, 2), *reversed(range(300, 340, 2))]  # rises and falls: one local maximum at a time
+    edges = list(zip(one_sided, one_sided[1:])) + [(499, i) for i in range(400, 499)] + [(r.randrange(80), r.randrange(80)) for _ in range(60)] + [(100, i) for i in range(101, 160)] + [(200 + i, 201 + i) for i in range(40)] + [(7, 7)]
     got = {x.node: x.component for x in components.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
     parent = {x: x for e in edges for x in e}
 
@@ -303,6 +307,9 @@ def test_components(spark):
         a, b = root(a), root(b)
         parent[max(a, b)] = min(a, b)
     assert got == {x: root(x) for e in edges if e[0] != e[1] for x in e}
+    assert components.connected_components(spark.createDataFrame([(1, 1), (None, 2)], "a long, b long")).count() == 0
+    named = components.connected_components(spark.createDataFrame([("é", "z"), ("z", "a"), ("𝔘", "\uffee"), ("z", None)], "a string, b string"))
+    assert {(x.node, x.component) for x in named.collect()} == {("a", "a"), ("z", "a"), ("é", "a"), ("\uffee", "\uffee"), ("𝔘", "\uffee")}
 
 
 def test_edit_verification_equals_brute_force():
