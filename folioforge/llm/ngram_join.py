@@ -417,7 +417,9 @@ class _Join:
         hubs = pairs.groupBy("hub").agg(F.ceil(F.count("*") / STAR_SETS).cast("int").alias("c"))
         members = pairs.join(hubs, "hub").select("hub", "set", F.pmod(F.xxhash64("set"), F.col("c")).cast("int").alias("g"))
         centers = hubs.select("hub", F.col("hub").alias("set"), F.explode(F.sequence(F.lit(0), F.col("c") - 1)).alias("g"))
-        stars = members.union(centers).join(self.found.select("set", "text"), "set").select(F.xxhash64("hub", "g").alias("group"), "hub", "set", "text")
+        # stored first: their size is known when the join with the texts is planned, so that the texts of all candidates aren't dealt by set for few pairs
+        ends = save(members.union(centers), "pair-ends")
+        stars = ends.join(self.found.select("set", "text"), "set").select(F.xxhash64("hub", "g").alias("group"), "hub", "set", "text")
         new = save(stars.repartition("group").sortWithinPartitions("group", F.col("set") != F.col("hub")).mapInArrow(lean(_star(self.k, self.num, self.den)), "a long, b long, same boolean"), "verified")
         self.checked = new if self.checked is None else self.checked.union(new)
         links = new.where("same").select("a", "b")
