@@ -158,8 +158,8 @@ def segment_keys(sums: np.ndarray, band: int) -> np.ndarray:
 
 
 def sketch(tokens: np.ndarray) -> bytes:
-    """Odd sketch: parities of the elements in 4 to 8 times as many bits as there are elements."""
-    bits = 1 << max(6, (4 * len(tokens) - 1).bit_length())
+    """Odd sketch: parities of the elements in 2 to 4 times as many bits as there are elements."""
+    bits = 1 << max(6, (2 * len(tokens) - 1).bit_length())
     odd = np.bincount((mix(tokens + _M2) & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
 
@@ -374,7 +374,7 @@ def forest(sets: list[int], parts: list[int], n: list[int], sketches: list[bytes
 
 
 def _pairs(num: int, den: int, whole: bool, sided: bool):
-    """(set, hub) pairs to verify; columns bucket, side, set, part, n, sketch, failed, sorted by bucket."""
+    """(set, hub) pairs to verify with their bucket; columns bucket, side, set, part, n, sketch, failed, sorted by bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bucket, held, out = None, [], []
@@ -382,11 +382,12 @@ def _pairs(num: int, den: int, whole: bool, sided: bool):
         def close() -> None:
             if len(held) > 1:
                 _, sides, *columns = zip(*held)
-                out.extend(forest(*columns, sides if sided else None, num, den, whole))
+                out.extend((a, b, bucket) for a, b in forest(*columns, sides if sided else None, num, den, whole))
             held.clear()
 
         def flush() -> pa.RecordBatch:
-            got = pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], names=["set", "hub"])
+            columns = list(zip(*out)) or [(), (), ()]
+            got = pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["set", "hub", "bucket"])
             out.clear()
             return got
 
@@ -440,29 +441,39 @@ class _Join:
         one = totals.where("lo <> hi").groupBy("sum", "xor", "c").agg(F.min("key").alias("key")).select("key", "c")
         return save(rows.join(one, "key"), "open-buckets")
 
-    def meet(self, rows: DataFrame, seed: int, whole: bool) -> bool:
-        """Verify what blocks of open buckets propose; whether there was anything."""
+    def meet(self, rows: DataFrame, seed: int, whole: bool) -> DataFrame | None:
+        """Verify what blocks of open buckets propose; the rows that may still propose, or none if there was nothing.
+
+        A bucket of one block that proposes nothing is settled for good: no sets of
+        different components in it can link, and components only grow.
+        """
         block = F.xxhash64("key", F.pmod(F.xxhash64("set", F.lit(seed)), F.ceil(F.col("c") / self.hot)))
-        return self._propose(rows.select(block.alias("bucket"), F.lit(0).alias("side"), "set", "part"), whole, False)
+        pairs = self._propose(rows.select(block.alias("bucket"), F.lit(0).alias("side"), "set", "part"), whole, False)
+        if pairs is None:
+            return None
+        alive = rows.where(F.col("c") <= self.hot).withColumn("bucket", block).join(pairs.select("bucket").distinct(), "bucket", "left_semi")
+        return alive.select(*rows.columns).union(rows.where(F.col("c") > self.hot))
 
-    def _propose(self, dealt: DataFrame, whole: bool, sided: bool) -> bool:
+    def _propose(self, dealt: DataFrame, whole: bool, sided: bool) -> DataFrame | None:
         bad = self.checked.where("not same")
         bad = bad.select(F.col("a").alias("set"), F.col("b").alias("x")).union(bad.select("b", "a")).groupBy("set").agg(F.collect_set("x").alias("failed"))
         rows = dealt.join(self.found.select("set", "n", "sketch"), "set").join(bad, "set", "left").select("bucket", "side", "set", "part", "n", "sketch", "failed")
-        pairs = save(rows.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(lean(_pairs(self.num, self.den, whole, sided)), "set long, hub long").distinct(), "proposed-pairs")
+        pairs = save(rows.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(lean(_pairs(self.num, self.den, whole, sided)), "set long, hub long, bucket long"), "proposed-pairs")
         self.moved = False
         if pairs.isEmpty():
-            return False
-        self.moved = self.verify(pairs)
-        return True
+            return None
+        self.moved = self.verify(pairs.select("set", "hub").distinct())
+        return pairs
 
     def settle(self, index: DataFrame) -> DataFrame:
         """Rounds over an index's open buckets; returns those of several blocks that stay open."""
         rows = self.still_open(index)
         for seed in range(ROUNDS):
-            if not self.meet(rows, seed, False):
+            alive = self.meet(rows, seed, False)
+            if alive is None:
+                rows = rows.where(F.col("c") > self.hot)
                 break
-            rows = self.still_open(rows) if self.moved else rows
+            rows = self.still_open(alive) if self.moved else save(alive, "open-buckets")
         small, large = rows.where(F.col("c") <= self.hot), rows.where(F.col("c") > self.hot)
         self.meet(small, 0, True)
         return self.still_open(large) if self.moved else large
