@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 #: Words of every text operator: maximal runs without ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
+#: Setting under which Spark removes an execution's shuffle files at its end.
+CLEAN_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -41,10 +43,16 @@ def save(df: DataFrame, name: str) -> DataFrame:
 
     Unlike checkpoint() this computes the plan once, compresses by column and
     lets later reads prune columns; unlike localCheckpoint it survives lost executors.
+    The shuffle files of the write go when it ends, since nothing reads them again.
     """
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.parquet(path)
+    before = spark.conf.get(CLEAN_SHUFFLES, None)
+    spark.conf.set(CLEAN_SHUFFLES, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.unset(CLEAN_SHUFFLES) if before is None else spark.conf.set(CLEAN_SHUFFLES, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -513,7 +513,8 @@ def _components(texts: DataFrame, k: int, num: int, den: int, hot: int = HOT) ->
     classes = save(texts.mapInArrow(lean(_classes(k)), "doc_id long, n long, set long"), "sets")
     index = _index(texts.select("text").mapInArrow(lean(_keys(k, bands)), "key long, set long"), "segment-index")
     first = classes.where("n > 0").groupBy("set").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"))
-    wanted = index.select("set").distinct().join(first.select("set", F.col("doc_id").alias("_rep")), "set")
+    # stored first, as the ends of pairs are: while its size is unknown, all texts are dealt by id beside it
+    wanted = save(index.select("set").distinct().join(first.select("set", F.col("doc_id").alias("_rep")), "set"), "wanted-sets")
     found = save(texts.join(wanted, F.col("doc_id") == F.col("_rep")).select("text", "set").mapInArrow(lean(_candidates(k)), "set long, n long, sketch binary, text string"), "candidate-texts")
 
     # every set with the hub (least set of a bucket) that it shares most keys with
