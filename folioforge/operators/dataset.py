@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from fractions import Fraction
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import rng
 from ..functions.text import strip
-from .ordering import with_ordinal
+from .ordering import kth_keys
 
 QUESTION = "この画像内のテキストを日本語の読み順に従って全て出力してください。出力は画像内のテキストのみとしてください。"
 NOISE_SUFFIX = {0: ".png", 1: "_scan.png", 2: "_augraphy.png"}
@@ -22,14 +24,21 @@ def ground_truth(labels: DataFrame) -> DataFrame:
 
 
 def assign_noise(rows: DataFrame, share: float = 0.3) -> DataFrame:
-    """Exact quotas: floor(share * n) rows of class 1 and of class 2 in keyed random order, the rest class 0."""
-    key = rng.shuffle_key("noise", F.col("id"))
-    total = rows.agg(F.count("*").alias("_total"))
-    numbered = with_ordinal(rows.withColumn("_key", key), F.substring("_key", 1, 3), F.col("_key"), F.col("id")).drop("_key")
-    quota = F.floor(F.col("_total") * share)
-    clean = F.col("_total") - 2 * quota
-    kind = F.when(F.col("ordinal") < clean, 0).when(F.col("ordinal") < clean + quota, 1).otherwise(2)
-    return numbered.withColumn("_total", total.scalar()).withColumn("noise_type", kind.cast("int")).drop("ordinal", "_total")
+    """Exact quotas: floor(share * n) rows of class 1 and of class 2 in keyed random order, the rest class 0.
+
+    The two keys at the quotas' borders are found first; rows then take their class by
+    comparison, without a shuffle. Rows are told apart by id, so ids should be unique
+    (rows of one id share a class); null ids count as empty ones.
+    """
+    ident = F.coalesce(F.col("id").cast("string"), F.lit(""))
+    key = F.concat(rng.shuffle_key("noise", ident), ident)
+    keys = rows.select(key.alias("key"))
+    total = keys.count()
+    quota = int(total * Fraction(str(share)))
+    if not quota:
+        return rows.withColumn("noise_type", F.lit(0))
+    first, second = kth_keys(keys, "key", [total - 2 * quota, total - quota])
+    return rows.withColumn("noise_type", F.when(key < first, 0).when(key < second, 1).otherwise(2))
 
 
 def image_path(split: Column, noise: Column, doc_id: Column) -> Column:

@@ -107,7 +107,7 @@ def image_prompt_inputs(spark, sf):
 
 @query(f"with {CORPUS}, n as (select id, row_number() over (order by id) - 1 as ordinal from corpus) select * from n where ordinal >= 100 and ordinal < 200")
 def prompt_slice(spark, sf):
-    return ordering.with_ordinal(_corpus(spark, sf).select("id"), F.substring("id", 1, 3), F.col("id")).where("ordinal >= 100 and ordinal < 200")
+    return ordering.ordinals(_corpus(spark, sf).select("id"), "id").where("ordinal >= 100 and ordinal < 200")
 
 
 @query(f"with {SLOTS}, s as (select substr(id, 1, 3) || '/' || id || '_' || printf('%03d', k) || '.jpg' as src from slots) select src, {u('caption_prompt', 'src')} < 0.9 as short_prompt from s")
@@ -322,7 +322,7 @@ REQUESTS = f"""{CORPUS}, req as (select id as key, (row_number() over (order by
 
 
 def _requests(spark, sf) -> DataFrame:
-    rows = ordering.with_ordinal(_corpus(spark, sf), F.substring("id", 1, 3), F.col("id"))
+    rows = ordering.with_ordinal(_corpus(spark, sf))
     prompt = batchapi.document_prompt(F.col("is_vertical"), F.col("num_columns"), F.col("text"))
     return rows.select(F.col("id").alias("key"), ordering.batch_id(F.col("ordinal"), batchapi.BATCH_SIZE).alias("batch_id"), batchapi.request_json(F.col("id"), prompt).alias("line"))
 
@@ -481,6 +481,6 @@ def render_html(spark, sf):
 
 @query(f"with {CORPUS}, n as (select id, row_number() over (order by id) - 1 as r, count(*) over () as c from corpus) select id, r // ((c + 6) // 7) as chunk from n")
 def worker_chunks(spark, sf):
-    rows = ordering.with_ordinal(_corpus(spark, sf).select("id"), F.substring("id", 1, 3), F.col("id"))
+    rows = ordering.ordinals(_corpus(spark, sf).select("id"), "id")
     total = rows.agg(F.count("*").alias("total"))
     return rows.withColumn("total", total.scalar()).select("id", ordering.worker_chunk(F.col("ordinal"), F.col("total"), 7).alias("chunk"))

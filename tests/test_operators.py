@@ -90,12 +90,6 @@ def test_collate(spark):
     assert got[2].labels == [-100, -100, -100, 8, 9]
 
 
-def test_ordinals(spark):
-    rows = spark.range(1000).select(F.format_string("%06d", F.col("id")).alias("k"))
-    got = ordering.with_ordinal(rows, F.substring("k", 1, 5), F.col("k")).collect()
-    assert all(r.ordinal == int(r.k) for r in got)
-
-
 def test_quota_of_few_rows(spark):
     from folioforge.operators import dataset
 
