@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import licenses, periodic_runs, quality, warc
+from . import curriculum, licenses, periodic_runs, quality, rolling, warc
 from .common import table
 
 
@@ -94,5 +94,5 @@ c as (select address, bool_or(said = 'block') and not bool_or(said = 'allow') as
 select page_id, host, path, rule, coalesce(said, case when blocked then 'block' else 'allow' end) as verdict from v left join c using (address)
 """
 
-QUERIES = {"op4_license_scans": op4_license_scans, "op3_url_filters": op3_url_filters, "op8_warc": op8_warc, "pipeline": pipeline, "op2_decontamination": op2_decontamination, "op7_ngram_jaccard_join": op7_ngram_jaccard_join, "op10_toxicity": op10_toxicity, "op1_quality_rules": op1_quality_rules, "op5_token_binary": op5_token_binary, "op6_packing": op6_packing, "op9_token_counts": op9_token_counts, "op11_periodic_runs": periodic_runs.op11_periodic_runs}
-ORACLES: dict[str, str] = {"op1_quality_rules": quality.oracle(), "op3_url_filters": URL_ORACLE, "op4_license_scans": licenses.oracle(), "op8_warc": warc.ORACLE, "op11_periodic_runs": periodic_runs.ORACLE}
+QUERIES = {"op4_license_scans": op4_license_scans, "op3_url_filters": op3_url_filters, "op8_warc": op8_warc, "pipeline": pipeline, "op2_decontamination": op2_decontamination, "op7_ngram_jaccard_join": op7_ngram_jaccard_join, "op10_toxicity": op10_toxicity, "op1_quality_rules": op1_quality_rules, "op5_token_binary": op5_token_binary, "op6_packing": op6_packing, "op9_token_counts": op9_token_counts, "op11_periodic_runs": periodic_runs.op11_periodic_runs, "op12_source_mix": curriculum.op12_source_mix, "op13_rolling_features": rolling.op13_rolling_features}
+ORACLES: dict[str, str] = {"op1_quality_rules": quality.oracle(), "op3_url_filters": URL_ORACLE, "op4_license_scans": licenses.oracle(), "op8_warc": warc.ORACLE, "op11_periodic_runs": periodic_runs.ORACLE, "op12_source_mix": curriculum.ORACLE, "op13_rolling_features": rolling.ORACLE}
