@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..storage import CLEAN_SHUFFLES, new_path, remove_tables, save, shared_dir  # noqa: F401
+from ..storage import new_path, remove_tables, save, shared_dir  # noqa: F401
 
 #: Words of every text operator: maximal runs without ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
