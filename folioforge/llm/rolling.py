@@ -2,7 +2,7 @@
 
 The values of a window are a multiset in an indexable skip list: every link knows
 how many values it skips, so a rank is found by walking spans. Time is cut into
-slices, and a slice gets the rows of the slice before it as its look-back; hence
+slices, and a slice gets the rows of the slices before it as its look-back; hence
 one group's rows spread over as many tasks as there are slices.
 """
 
@@ -166,20 +166,20 @@ def _slide(windows: Sequence[int], shares: Sequence[tuple[int, int]], span: int)
     return run
 
 
-def rolling_features(events: DataFrame, windows: Sequence[int], shares: Sequence[tuple[int, int]], id: Column, group: Column, time: Column, value: Column, kind: Column) -> DataFrame:
+def rolling_features(events: DataFrame, windows: Sequence[int], shares: Sequence[tuple[int, int]], id: Column, group: Column, time: Column, value: Column, kind: Column, slices: int = 4) -> DataFrame:
     """For every row and every window of w seconds: id, window_s, event_s, n_events, total, n_kinds and share_0, share_1, ...
 
     The window holds all rows of the row's group (null is one group) with event_s - w <= time < event_s, so rows
     of one time do not see each other. total sums the non-null values (0 if there are none), n_kinds counts distinct non-null kinds, and
     share (num, den) is the value of rank ceil(num * m / den) among the m non-null values in order, repeats kept (null if m = 0).
     ids, times in seconds and values are whole numbers. Rows without a time are in no window and see empty ones. Repeated rows count
-    and are answered each on its own; other columns are left out. Every row goes to its slice of time and to the next one, so a
-    task holds the events of a group in the longest window, whatever the group's rows in all.
+    and are answered each on its own; other columns are left out. The longest window is cut into a number of slices; every row goes to its slice of time and to as many after it, so
+    that a task has little more than the events of a group in the longest window, whatever the group's rows in all.
     """
-    span = max(windows)
+    span = -(-max(windows) // slices)
     rows = events.select(id.cast("bigint").alias("id"), group.alias("group"), time.cast("bigint").alias("time"), value.cast("bigint").alias("value"), kind.alias("kind"))
     own = F.floor(F.col("time") / span).cast("bigint")
-    dealt = rows.where("time is not null").withColumn("slice", F.explode(F.array(own, own + 1))).withColumn("own", F.col("slice") == own)
+    dealt = rows.where("time is not null").withColumn("slice", F.explode(F.sequence(own, own + slices))).withColumn("own", F.col("slice") == own)
     sorted_ = dealt.select("id", "group", "slice", "time", "value", "kind", "own").repartition("group", "slice").sortWithinPartitions("group", "slice", "time")
     columns = "id bigint, window_s bigint, event_s bigint, n_events bigint, total bigint, n_kinds bigint, " + ", ".join(f"share_{k} bigint" for k in range(len(shares)))
     found = sorted_.mapInArrow(lean(_slide(windows, shares, span)), columns)
