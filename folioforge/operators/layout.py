@@ -1,4 +1,4 @@
-"""Styles, column blocks, a grid layout and rectangle joins."""
+"""Styles, column blocks and pages."""
 
 from __future__ import annotations
 
@@ -85,53 +85,6 @@ def layout_blocks(elements: DataFrame) -> DataFrame:
     return keyed.withColumn("block", block).withColumn("kind", F.when(F.col("full") == 1, "fullwidth").otherwise("multicolumn")).drop("full", "island")
 
 
-def grid_boxes(elements: DataFrame, columns: int = 20, cell: int = 10) -> DataFrame:
-    """A deterministic stand-in for a browser: every character of content takes a cell of an integer grid."""
-    chars = elements.where("content is not null and content <> ''").select("id", "pos", F.posexplode(F.split("content", "")).alias("ord", "text")).where("text <> ''")
-    x, y = (F.col("ord") % columns) * cell, F.floor(F.col("ord") / columns) * cell
-    return chars.select("id", "pos", "ord", x.cast("double").alias("x"), y.cast("double").alias("y"), F.lit(float(cell)).alias("width"), F.lit(float(cell)).alias("height"), "text")
-
-
-def grid_lines(elements: DataFrame, columns: int = 20, cell: int = 10) -> DataFrame:
-    lines = F.sequence(F.lit(0), F.floor((F.length("content") - 1) / columns).cast("int"))
-    rows = elements.where("content is not null and content <> ''").select("id", "pos", F.explode(lines).alias("line"))
-    return rows.select("id", "pos", "line", F.lit(0.0).alias("x"), (F.col("line") * cell).cast("double").alias("y"), F.lit(float(columns * cell)).alias("width"), F.lit(float(cell)).alias("height"))
-
-
-def positive(boxes: DataFrame) -> DataFrame:
-    return boxes.where("width > 0 and height > 0")
-
-
-def char_to_line(chars: DataFrame, lines: DataFrame) -> DataFrame:
-    """First line that holds each character's centre, borders included: an equi-join on (id, pos) with a range residual."""
-    c, ln = positive(chars).alias("c"), positive(lines).alias("l")
-    cx, cy = F.col("c.x") + F.col("c.width") / 2, F.col("c.y") + F.col("c.height") / 2
-    inside = (cx >= F.col("l.x")) & (cx <= F.col("l.x") + F.col("l.width")) & (cy >= F.col("l.y")) & (cy <= F.col("l.y") + F.col("l.height"))
-    joined = c.join(ln, (F.col("c.id") == F.col("l.id")) & (F.col("c.pos") == F.col("l.pos")) & inside)
-    return joined.groupBy("c.id", "c.pos", "c.ord").agg(F.min("l.line").alias("line"), F.first("c.text").alias("text"))
-
-
-def line_texts(assigned: DataFrame) -> DataFrame:
-    ordered = F.array_sort(F.collect_list(F.struct("ord", "text")))
-    return assigned.groupBy("id", "pos", "line").agg(F.array_join(F.transform(ordered, lambda x: x["text"]), "").alias("text"))
-
-
-def tight_lines(chars: DataFrame, lines: DataFrame) -> DataFrame:
-    """Least box over the characters that a line's box cuts; lines without any keep their own."""
-    c, ln = positive(chars).alias("c"), positive(lines).alias("l")
-    cut = (F.col("c.x") < F.col("l.x") + F.col("l.width")) & (F.col("c.x") + F.col("c.width") > F.col("l.x")) & (F.col("c.y") < F.col("l.y") + F.col("l.height")) & (F.col("c.y") + F.col("c.height") > F.col("l.y"))
-    joined = ln.join(c, (F.col("c.id") == F.col("l.id")) & (F.col("c.pos") == F.col("l.pos")) & cut, "left")
-    own = {k: F.first(f"l.{k}") for k in ("x", "y", "width", "height")}
-    x0, y0 = F.min("c.x"), F.min("c.y")
-    x1, y1 = F.max(F.col("c.x") + F.col("c.width")), F.max(F.col("c.y") + F.col("c.height"))
-    return joined.groupBy("l.id", "l.pos", "l.line").agg(F.coalesce(x0, own["x"]).alias("x"), F.coalesce(y0, own["y"]).alias("y"), F.coalesce(x1 - x0, own["width"]).alias("width"), F.coalesce(y1 - y0, own["height"]).alias("height"))
-
-
-def union_box(lines: DataFrame, *keys: str) -> DataFrame:
-    x0, y0 = F.min("x"), F.min("y")
-    return lines.groupBy(*keys).agg(x0.alias("x"), y0.alias("y"), (F.max(F.col("x") + F.col("width")) - x0).alias("width"), (F.max(F.col("y") + F.col("height")) - y0).alias("height"))
-
-
 def render_html(style: DataFrame) -> DataFrame:
     """id and html of styled documents with elements; contents are inserted unescaped, the heading has twice the base size."""
     body = F.array_join(F.transform("elements", lambda e: F.when(e["type"] == "text", F.concat(F.lit("<p>"), e["content"], F.lit("</p>"))).otherwise(F.concat(F.lit('<figure><img src="'), e["src"], F.lit('"><figcaption>'), F.coalesce(e["caption"], F.lit("")), F.lit("</figcaption></figure>")))), "\n")

@@ -132,14 +132,6 @@ def mask_rectangles(image: np.ndarray, boxes: list[dict], color=(255, 255, 255))
     return out
 
 
-def mask_targets(boxes: DataFrame, target: str = "img_cap") -> DataFrame:
-    """Boxes to mask, of image elements only where the element's type is given: images (empty text), captions (other text) or both, as whole-number rectangles."""
-    boxes = boxes.where("type = 'image'") if "type" in boxes.columns else boxes
-    kept = boxes.where("text = ''") if target == "img" else boxes.where("text <> ''") if target == "cap" else boxes
-    x, y = F.floor("x").cast("int"), F.floor("y").cast("int")
-    return kept.select("id", x.alias("x1"), y.alias("y1"), F.floor(F.col("x") + F.col("width")).cast("int").alias("x2"), F.floor(F.col("y") + F.col("height")).cast("int").alias("y2"), "text")
-
-
 def noisy_images(images: DataFrame) -> DataFrame:
     """id, pixels of images (id, width, height, pixels: raw BGR bytes, config); replay passes the logged config, masks may come as boxes, filled with figure_color (BGR) where that is given."""
 

@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 
 from .. import rng
 from ..functions import arrays, text
-from ..operators import batchapi, dataset, elements, layout, noise, ordering
+from ..operators import batchapi, boxes, dataset, elements, layout, noise, ordering, replay
 from ..rng import sql_h as h
 from ..rng import sql_u as u
 from ..sources.readers import table
+from . import derived
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -183,7 +184,7 @@ def _quoted(values: list) -> list:
 
 
 _BG = _pick("bg", layout.BACKGROUNDS)
-STYLE = f"""{CORPUS}, st as (select id, is_vertical, num_columns as column_count, case when is_vertical then 'vertical-rl' else 'horizontal-tb' end as writing_mode,
+STYLES = f"""st as (select id, is_vertical, num_columns as column_count, case when is_vertical then 'vertical-rl' else 'horizontal-tb' end as writing_mode,
   (30 + {h('padding', 'id')} % 31)::int as padding, '''' || {_pick('font', [f for f, _ in layout.FONTS])} || ''', ' || {_pick('font', [g for _, g in layout.FONTS])} as font_family,
   'https://fonts.googleapis.com/css2?family=' || replace({_pick('font', [f for f, _ in layout.FONTS])}, ' ', '+') || ':wght@400&display=swap' as font_url,
   (18 + {h('font_size', 'id')} % 7)::int as base_font_size, round(({h('line_height', 'id')} * 4000 / 4294967296.0 + 16000) / 10000, 1)::double as line_height,
@@ -195,6 +196,7 @@ STYLE = f"""{CORPUS}, st as (select id, is_vertical, num_columns as column_count
 lim as (select *, side // 3 as a, ((side - 2 * padding - column_gap * (column_count - 1)) * (column_count + 1)) // (3 * column_count) as b from st),
 style as (select * exclude (a, b, side), (least(a, b) + {h('img_limit', 'id')} % (greatest(a, b) - least(a, b) + 1))::int as max_img_limit,
   (case when is_vertical then 100 else side end)::int as viewport_width, (case when is_vertical then side else 100 end)::int as viewport_height from lim)"""
+STYLE = f"{CORPUS}, {STYLES}"
 
 
 @query(f"with {STYLE} select * from style")
@@ -223,57 +225,114 @@ def layout_blocks(spark, sf):
     return layout.layout_blocks(_spanned(spark, sf)).select("id", "pos", "type", "block", "kind")
 
 
-CHARS = f"""{PARTS}, chars as (select id, pos, (k - 1)::int as ord, ((k - 1) % 20 * 10)::double as x, ((k - 1) // 20 * 10)::double as y, 10.0::double as width, 10.0::double as height, substr(content, k, 1) as text
-  from (select *, unnest(range(1, len(content) + 1)) as k from el where content <> ''))"""
+TEXT_BOXES = f"{PARTS}, node as (select id, pos::varchar as element, content, 0.0 as y0 from el), {derived.SQL}"
 
 
-def _char_boxes(spark, sf):
-    return layout.grid_boxes(elements.exploded(_elements(spark, sf)).select("id", "pos", "content"))
+def _text_nodes(spark, sf) -> DataFrame:
+    return elements.exploded(_elements(spark, sf)).select("id", F.col("pos").cast("string").alias("element"), "content", F.lit(0.0).alias("y0"))
 
 
-def _line_boxes(spark, sf):
-    return layout.grid_lines(elements.exploded(_elements(spark, sf)).select("id", "pos", "content"))
+def _text_boxes(spark, sf) -> tuple[DataFrame, DataFrame]:
+    nodes = _text_nodes(spark, sf)
+    return derived.char_boxes(nodes), derived.line_boxes(nodes)
 
 
-@query(f"with {CHARS} select id, pos, count(*) as n_boxes, sum(x)::double as sum_x, sum(y)::double as sum_y, string_agg(text, '' order by ord) as text from chars group by id, pos")
+@query(f"with {TEXT_BOXES} select id, element, count(*) as n_boxes, sum(x)::double as sum_x, sum(y)::double as sum_y, string_agg(text, '' order by ord) as text from chars group by id, element")
 def char_boxes(spark, sf):
-    boxes = _char_boxes(spark, sf).where("width > 0 and height > 0")
+    chars = boxes.positive(_text_boxes(spark, sf)[0])
     ordered = F.array_sort(F.collect_list(F.struct("ord", "text")))
-    return boxes.groupBy("id", "pos").agg(F.count("*").alias("n_boxes"), F.sum("x").alias("sum_x"), F.sum("y").alias("sum_y"), F.array_join(F.transform(ordered, lambda o: o["text"]), "").alias("text"))
+    return chars.groupBy("id", "element").agg(F.count("*").alias("n_boxes"), F.sum("x").alias("sum_x"), F.sum("y").alias("sum_y"), F.array_join(F.transform(ordered, lambda o: o["text"]), "").alias("text"))
 
 
-@query(f"with {CHARS} select id, pos, (y // 10)::int as line, string_agg(text, '' order by ord) as text from chars group by all")
+@query(f"with {TEXT_BOXES} select id, element, line, text from line_text")
 def char_to_line(spark, sf):
-    return layout.line_texts(layout.char_to_line(_char_boxes(spark, sf), _line_boxes(spark, sf)))
+    return boxes.line_texts(boxes.chars_to_lines(*_text_boxes(spark, sf)))
 
 
-@query(f"with {CHARS} select id, pos, (y // 10)::int as line, min(x) as x, min(y) as y, max(x) + 10 - min(x) as width, 10.0::double as height from chars group by id, pos, y // 10")
+@query(f"with {TEXT_BOXES} select id, element, line, x, y, width, height from tight")
 def line_tight_box(spark, sf):
-    return layout.tight_lines(_char_boxes(spark, sf), _line_boxes(spark, sf))
+    return boxes.tight_lines(*_text_boxes(spark, sf))
 
 
-@query(f"with {CHARS} select id, pos, min(x) as x, min(y) as y, max(x) + 10 - min(x) as width, max(y) + 10 - min(y) as height from chars group by id, pos")
+@query(f"with {TEXT_BOXES} select id, element, line, x, y, width, height, coalesce(text, '') as text from tight left join line_text using (id, element, line)")
+def line_records(spark, sf):
+    return boxes.line_records(*_text_boxes(spark, sf))
+
+
+CAPTIONED = f"{SPANNED}, node as (select id, pos::varchar as element, 'caption of ' || src as content, height::double as y0 from spanned where type = 'image'), {derived.SQL}"
+CAPTION = """whole as (select id, element, min(x) as x, min(y) as y, max(x + width) as x2, max(y + height) as y2 from lines group by id, element),
+caption_text as (select id, element, string_agg(text, '' order by line) as text from line_text group by id, element),
+caption as (select w.id, w.element, coalesce(min(c.x), any_value(w.x)) as x, coalesce(min(c.y), any_value(w.y)) as y, coalesce(max(c.x + c.width) - min(c.x), any_value(w.x2 - w.x)) as width,
+  coalesce(max(c.y + c.height) - min(c.y), any_value(w.y2 - w.y)) as height, coalesce(any_value(t.text), '') as text
+  from whole w left join chars c on c.id = w.id and c.element = w.element and c.x < w.x2 and c.x + c.width > w.x and c.y < w.y2 and c.y + c.height > w.y
+  left join caption_text t on t.id = w.id and t.element = w.element group by w.id, w.element)"""
+
+
+def _caption_nodes(spark, sf) -> DataFrame:
+    """Captions of images, below the image."""
+    images = elements.exploded(_placed(spark, sf)).where("type = 'image'")
+    return images.select("id", F.col("pos").cast("string").alias("element"), F.concat(F.lit("caption of "), "src").alias("content"), _image_size(F.col("src"))[1].cast("double").alias("y0"))
+
+
+@query(f"with {CAPTIONED}, {CAPTION} select * from caption")
 def caption_union_box(spark, sf):
-    return layout.union_box(layout.tight_lines(_char_boxes(spark, sf), _line_boxes(spark, sf)), "id", "pos")
+    nodes = _caption_nodes(spark, sf)
+    return boxes.caption_records(derived.char_boxes(nodes), derived.line_boxes(nodes)).drop("line")
 
 
 LABELLED = f"""{PLACED}, lab as (select p.*, case when type = 'image' then 'caption of ' || src end as caption, {h('show_title', 'id')} % 4 = 0 as show_title from placed p)"""
 
 
 def _labels(spark, sf) -> DataFrame:
-    """Label documents: titles and captions (of the stand-in backend) joined by key, boxes by place."""
-    placed = _placed(spark, sf)
+    """Label documents: titles and captions joined by key; a caption's document is part of its key, so captions are gathered by it before they meet the elements."""
     captions = image_slots(spark, sf).select("src", F.concat(F.lit("caption of "), "src").alias("value"))
     titles = _corpus(spark, sf).select("id", F.concat(F.lit("Title "), "id").alias("title"))
-    by_src = elements.exploded(placed).where("type = 'image'").join(captions, "src").groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("src", "value"))).alias("captions"))
-    joined = placed.drop("title").join(titles, "id").join(by_src, "id", "left")
+    by_id = captions.groupBy(F.regexp_extract("src", r"([^/]*)_[0-9]+\.[^.]*$", 1).alias("id")).agg(F.map_from_entries(F.collect_list(F.struct("src", "value"))).alias("captions"))
+    joined = _placed(spark, sf).drop("title").join(titles, "id").join(by_id, "id", "left")
     filled = F.transform("elements", lambda e: F.when(e["type"] == "image", e.withField("caption", F.try_element_at(F.col("captions"), e["src"]))).otherwise(e))
     return joined.select("id", "title", filled.alias("elements"), "is_vertical", "column_count", (rng.h("show_title", F.col("id")) % 4 == 0).alias("show_title"))
 
 
-@query(f"with {LABELLED} select id, pos, type, content, caption from lab")
+LABEL_BOXES = f"""{SPANNED}, node as (select id, pos::varchar as element, content, 0.0 as y0 from spanned where type = 'text'
+  union all select id, pos::varchar, 'caption of ' || src, height::double from spanned where type = 'image' union all select id, 'title', 'Title ' || id, 0.0 from corpus where {h('show_title', 'id')} % 4 = 0), {derived.SQL}, {CAPTION},
+box as (select id, element, 0 as kind, line as place, x, y, width, height, coalesce(text, '') as text from tight left join line_text using (id, element, line) where (id, element) not in (select (id, pos::varchar) from spanned where type = 'image')
+  union all select id, pos::varchar, 0, 0, 0.0, 0.0, width::double, height::double, '' from spanned where type = 'image'
+  union all select id, element, 0, 1, x, y, width, height, text from caption where (id, element) in (select (id, pos::varchar) from spanned where type = 'image')
+  union all select id, element, 1, ord, x, y, width, height, text from chars),
+listed as (select id, element, kind, count(*) as n, string_agg(text || '@' || (2 * x)::bigint || ',' || (2 * y)::bigint || ',' || (2 * width)::bigint || ',' || (2 * height)::bigint, ';' order by place) as list from box group by id, element, kind)"""
+
+
+def _label_boxes(spark, sf) -> tuple[DataFrame, DataFrame]:
+    """Lines and characters of texts, captions and shown titles; an image is a line without text before its caption."""
+    placed = elements.exploded(_placed(spark, sf))
+    width, height = _image_size(F.col("src"))
+    element, captions = F.col("pos").cast("string").alias("element"), _caption_nodes(spark, sf)
+    title = _corpus(spark, sf).where(rng.h("show_title", F.col("id")) % 4 == 0).select("id", F.lit("title").alias("element"), F.concat(F.lit("Title "), "id").alias("content"), F.lit(0.0).alias("y0"))
+    texts = placed.where("type = 'text'").select("id", element, "content", F.lit(0.0).alias("y0")).unionByName(title)
+    images = placed.where("type = 'image'").select("id", element, F.lit(0).alias("line"), F.lit(0.0).alias("x"), F.lit(0.0).alias("y"), width.cast("double").alias("width"), height.cast("double").alias("height"), F.lit("").alias("text"))
+    lines = boxes.line_records(derived.char_boxes(texts), derived.line_boxes(texts)).unionByName(images)
+    lines = lines.unionByName(boxes.caption_records(derived.char_boxes(captions), derived.line_boxes(captions)))
+    return lines, derived.char_boxes(texts.unionByName(captions))
+
+
+def _listed(array: str):
+    half = lambda b, k: (2 * b[k]).cast("bigint")
+    return F.array_join(F.transform(array, lambda b: F.concat(b["text"], F.lit("@"), F.concat_ws(",", *[half(b, k) for k in ("x", "y", "width", "height")]))), ";")
+
+
+@query(
+    f"""with {LABEL_BOXES}, part as (select id, pos::varchar as element, type, content, case when type = 'image' then 'caption of ' || src end as caption from spanned union all select id, 'title', 'title', 'Title ' || id, null from corpus)
+select p.id, p.element, p.type, p.content, p.caption, coalesce(l.n, 0)::int as n_lines, coalesce(l.list, '') as lines, coalesce(c.n, 0)::int as n_chars, md5(coalesce(c.list, '')) as chars_md5
+from part p left join listed l on l.id = p.id and l.element = p.element and l.kind = 0 left join listed c on c.id = p.id and c.element = p.element and c.kind = 1"""
+)
 def label_documents(spark, sf):
-    return elements.exploded(_labels(spark, sf)).select("id", "pos", "type", "content", "caption")
+    """Boxes as text@x,y,width,height in half units; those of characters as a digest."""
+    lines, chars = _label_boxes(spark, sf)
+    labels = boxes.with_boxes(_labels(spark, sf), lines, chars)
+    title = F.struct(F.lit("title").alias("element"), F.lit("title").alias("type"), F.col("title").alias("content"), F.lit(None).cast("string").alias("caption"), F.col("title_bboxes").alias("bboxes"), F.col("title_char_bboxes").alias("char_bboxes"))
+    parts = F.transform("elements", lambda e, i: F.struct(i.cast("string").alias("element"), *[e[k].alias(k) for k in ("type", "content", "caption", "bboxes", "char_bboxes")]))
+    rows = labels.select("id", F.explode(F.array_append(parts, title)).alias("p")).select("id", "p.*")
+    return rows.select("id", "element", "type", "content", "caption", F.size("bboxes").alias("n_lines"), _listed("bboxes").alias("lines"), F.size("char_bboxes").alias("n_chars"), F.md5(_listed("char_bboxes").cast("binary")).alias("chars_md5"))
 
 
 GROUND = f"""{LABELLED}, gt as (select id, is_vertical, num_columns, regexp_replace((case when any_value(show_title) then 'Title ' || id else '' end) || string_agg(chr(10) || chr(10) || coalesce(content, caption), '' order by pos), '^[\\s\\p{{Z}}]+|[\\s\\p{{Z}}]+$', '', 'g') as text
@@ -285,8 +344,9 @@ def ground_truth_text(spark, sf):
     return dataset.ground_truth(_labels(spark, sf))
 
 
-NOISE = f"""{CORPUS}, q as (select *, row_number() over (order by md5('noise:' || id), id) - 1 as r, count(*) over () as n from corpus),
+QUOTA = """q as (select *, row_number() over (order by md5('noise:' || id), id) - 1 as r, count(*) over () as n from corpus),
 noise as (select id, text, is_vertical, num_columns, case when r < n - 2 * floor(n * 0.3) then 0 when r < n - floor(n * 0.3) then 1 else 2 end::int as noise_type from q)"""
+NOISE = f"{CORPUS}, {QUOTA}"
 _PATH = "'{0}/' || case noise_type when 0 then 'image' when 1 then 'image_noise_scan' else 'image_noise_augraphy' end || '/' || substr(id, 1, 3) || '/' || id || case noise_type when 0 then '.png' when 1 then '_scan.png' else '_augraphy.png' end"
 
 
@@ -443,7 +503,8 @@ def _noise_sql() -> str:
     return ", ".join(out)
 
 
-NOISE_FIELDS = f"{CORPUS}, nf as (select id, {_noise_sql()} from corpus)"
+FIELDS = f"nf as (select id, {_noise_sql()} from corpus)"
+NOISE_FIELDS = f"{CORPUS}, {FIELDS}"
 
 
 @query(f"with {NOISE_FIELDS} select * from nf")
@@ -466,11 +527,54 @@ def lighting_mask(spark, sf):
     return n.select("id", "x", "y", F.round(a * b * c, 6).alias("brightness"))
 
 
-@query(f"with {CHARS} select id, min(x)::int as x1, min(y)::int as y1, (max(x) + 10)::int as x2, (max(y) + 10)::int as y2 from chars where pos = 0 and text <> ' ' group by id")
+RECTS = f"""{CAPTIONED}, {CAPTION}, rect as (select id, pos::int as pos, 0 as place, 0 as x1, 0 as y1, width::int as x2, height::int as y2, '' as text from spanned where type = 'image'
+  union all select id, element::int, 1, floor(x)::int, floor(y)::int, floor(x + width)::int, floor(y + height)::int, text from caption)"""
+
+
+def _image_metadata(spark, sf) -> DataFrame:
+    """Label documents with the boxes of their images and captions, and the figures' background."""
+    placed, nodes = elements.exploded(_placed(spark, sf)).where("type = 'image'"), _caption_nodes(spark, sf)
+    width, height = _image_size(F.col("src"))
+    images = placed.select("id", F.col("pos").cast("string").alias("element"), F.lit(0).alias("line"), F.lit(0.0).alias("x"), F.lit(0.0).alias("y"), width.cast("double").alias("width"), height.cast("double").alias("height"), F.lit("").alias("text"))
+    chars = derived.char_boxes(nodes)
+    labels = boxes.with_boxes(_labels(spark, sf), images.unionByName(boxes.caption_records(chars, derived.line_boxes(nodes))), chars)
+    return layout.with_style(labels.select("id", "is_vertical", "column_count", "elements")).select("id", "figure_bg_color", "elements")
+
+
+@query(
+    f"""with {RECTS}, t as (select unnest(['img', 'cap', 'img_cap']) as target)
+select id, target, x1, y1, x2, y2, text from rect, t where target = 'img_cap' or (target = 'img') = (text = '')"""
+)
 def mask_rects(spark, sf):
-    boxes = _char_boxes(spark, sf).where("pos = 0 and text <> ' '")
-    rects = noise.mask_targets(boxes, "cap")
-    return rects.groupBy("id").agg(F.min("x1").alias("x1"), F.min("y1").alias("y1"), F.max("x2").alias("x2"), F.max("y2").alias("y2"))
+    metadata = _image_metadata(spark, sf)
+    targets = F.array(*[F.struct(F.lit(t).alias("target"), replay.mask_rects("elements", t).alias("rects")) for t in ("img", "cap", "img_cap")])
+    rows = metadata.select("id", F.explode(targets).alias("t"))
+    return rows.select("id", "t.target", F.explode("t.rects").alias("r")).select("id", "target", "r.*")
+
+
+REPLAY = f"""{RECTS}, {QUOTA}, {FIELDS}, {STYLES},
+listed as (select id, count(*) as n, string_agg(x1 || ',' || y1 || ',' || x2 || ',' || y2, ';' order by pos, place) as rects from rect group by id),
+image as (select printf('%06d', doc_id) as id from labels)"""
+
+
+@query(
+    f"""with {REPLAY} select id, case when image.id is null then 'missing image' else 'ok' end as status, case when image.id is not null then viewport_width end as width,
+  coalesce(n, 0)::int as n_rects, coalesce(rects, '') as rects, ('0x' || case when len(figure_bg_color) = 4 then repeat(figure_bg_color[4], 2) else figure_bg_color[6:7] end)::int as blue,
+  ('0x' || case when len(figure_bg_color) = 4 then repeat(figure_bg_color[2], 2) else figure_bg_color[2:3] end)::int as red, angle, texture_seed as seed, blur
+from noise join style using (id) join nf using (id) left join listed using (id) left join image using (id) where noise_type = 1"""
+)
+def replay_inputs(spark, sf):
+    """Masks and logged noise of the scanned pages; images are there for labelled documents only."""
+    pages = layout.with_style(_corpus(spark, sf).select("id", "is_vertical", F.col("num_columns").alias("column_count")))
+    there = table(spark, sf, "labels").select(text.zero_pad(F.col("doc_id"), 6).alias("id")).distinct()
+    images = pages.join(there, "id", "left_semi").select("id", F.col("viewport_width").alias("width"), F.col("viewport_height").alias("height"))
+    ids = dataset.assign_noise(_corpus(spark, sf).select("id")).where("noise_type = 1").select("id")
+    log = _corpus(spark, sf).select("id", noise.noise_config(F.col("id"), F.lit(1000), F.lit(800)).alias("config"))
+    parts = {"ids": ids, "images": images, "metadata": _image_metadata(spark, sf), "log": log}
+    rows = replay.replay_rows(*[replay.bucketed(part, name, buckets=16) for name, part in parts.items()])
+    rects, color = replay.mask_rects("elements"), replay.blue_green_red(F.col("figure_bg_color"))
+    shown = F.array_join(F.transform(rects, lambda r: F.concat_ws(",", r["x1"], r["y1"], r["x2"], r["y2"])), ";")
+    return rows.select("id", "status", "width", F.size(rects).alias("n_rects"), shown.alias("rects"), color[0].alias("blue"), color[2].alias("red"), F.col("config.rotation.angle").alias("angle"), F.col("config.paper_texture.seed").alias("seed"), F.col("config.blur.applied").alias("blur"))
 
 
 @query()
