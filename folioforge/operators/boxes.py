@@ -8,11 +8,17 @@ spread over tasks by cell. Boxes without an area, or with nulls, take part in no
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Width and height of a cell, about a line's.
 CELL = (256.0, 32.0)
+BOXES = "array<struct<x:double,y:double,width:double,height:double,text:string>>"
 KEYS = ("id", "element")
 
 
@@ -26,30 +32,29 @@ def _cell(at: Column, size: float) -> Column:
 
 def _touched(boxes: DataFrame, cell: tuple[float, float]) -> DataFrame:
     """A row for every cell that a box touches, borders included."""
-    columns = F.sequence(_cell(F.col("x"), cell[0]), _cell(F.col("x") + F.col("width"), cell[0]))
-    rows = F.sequence(_cell(F.col("y"), cell[1]), _cell(F.col("y") + F.col("height"), cell[1]))
-    cells = F.flatten(F.transform(columns, lambda cx: F.transform(rows, lambda cy: F.struct(cx.alias("cx"), cy.alias("cy")))))
-    return boxes.withColumn("cell", F.explode(cells)).withColumns({"cx": F.col("cell.cx"), "cy": F.col("cell.cy")}).drop("cell")
+    (x, x2), (y, y2) = (_cell(F.col("x"), cell[0]), _cell(F.col("x") + F.col("width"), cell[0])), (_cell(F.col("y"), cell[1]), _cell(F.col("y") + F.col("height"), cell[1]))
+    wide = x2 - x + 1
+    at = boxes.withColumn("k", F.explode(F.sequence(F.lit(0).cast("bigint"), wide * (y2 - y + 1) - 1)))
+    return at.withColumns({"cx": x + F.col("k") % wide, "cy": y + F.floor(F.col("k") / wide)}).drop("k")
 
 
-def _lines(lines: DataFrame, keys: tuple[str, ...], cell: tuple[float, float]) -> DataFrame:
-    kept = positive(lines).select(*keys, "line", "x", "y", "width", "height")
-    at = _touched(kept, cell)
-    ends = {"lx": F.col("x"), "ly": F.col("y"), "lx2": F.col("x") + F.col("width"), "ly2": F.col("y") + F.col("height")}
-    # far fewer than characters: the side to hash
-    return at.select(*keys, "cx", "cy", "line", *[c.alias(n) for n, c in ends.items()]).hint("shuffle_hash")
+def _ends() -> list[Column]:
+    return [c.alias(n) for n, c in {"lx": F.col("x"), "ly": F.col("y"), "lx2": F.col("x") + F.col("width"), "ly2": F.col("y") + F.col("height")}.items()]
 
 
 def chars_to_lines(chars: DataFrame, lines: DataFrame, keys: tuple[str, ...] = KEYS, cell: tuple[float, float] = CELL) -> DataFrame:
     """keys, ord, text and line: the first line whose box holds a character's centre, borders included; characters in no line are left out.
 
-    Only the centre's cell is looked at, since every line around the centre touches it. The least
-    line of a character is found where the join left it, without another shuffle.
+    Only the centre's cell is looked at, since every line around the centre touches it. A cell's
+    lines, few as they overlap there, are one row; so a character meets one row and is not grouped.
     """
     mx, my = F.col("x") + F.col("width") / 2, F.col("y") + F.col("height") / 2
     c = positive(chars).select(*keys, "ord", "text", mx.alias("mx"), my.alias("my"), _cell(mx, cell[0]).alias("cx"), _cell(my, cell[1]).alias("cy"))
-    joined = c.join(_lines(lines, keys, cell), [*keys, "cx", "cy"]).where("mx >= lx and mx <= lx2 and my >= ly and my <= ly2")
-    return joined.groupBy(*keys, "cx", "cy", "ord", "text").agg(F.min("line").alias("line")).drop("cx", "cy")
+    at = _touched(positive(lines).select(*keys, "line", "x", "y", "width", "height"), cell)
+    in_cell = at.groupBy(*keys, "cx", "cy").agg(F.array_sort(F.collect_list(F.struct("line", *_ends()))).alias("lines"))
+    joined = c.join(in_cell.hint("shuffle_hash"), [*keys, "cx", "cy"])
+    inside = F.filter("lines", lambda ln: (F.col("mx") >= ln["lx"]) & (F.col("mx") <= ln["lx2"]) & (F.col("my") >= ln["ly"]) & (F.col("my") <= ln["ly2"]))
+    return joined.select(*keys, "ord", "text", F.get(inside, F.lit(0))["line"].alias("line")).where("line is not null")
 
 
 def cut_boxes(chars: DataFrame, lines: DataFrame, keys: tuple[str, ...] = KEYS, cell: tuple[float, float] = CELL) -> DataFrame:
@@ -58,7 +63,9 @@ def cut_boxes(chars: DataFrame, lines: DataFrame, keys: tuple[str, ...] = KEYS,
     A pair may share several cells; it counts in the one that holds the corner where the overlap begins.
     """
     c = _touched(positive(chars).select(*keys, "x", "y", "width", "height"), cell)
-    joined = c.join(_lines(lines, keys, cell), [*keys, "cx", "cy"])
+    # lines are far fewer than characters: the side to hash
+    at = _touched(positive(lines).select(*keys, "line", "x", "y", "width", "height"), cell).select(*keys, "cx", "cy", "line", *_ends()).hint("shuffle_hash")
+    joined = c.join(at, [*keys, "cx", "cy"])
     x2, y2 = F.col("x") + F.col("width"), F.col("y") + F.col("height")
     cut = (F.col("x") < F.col("lx2")) & (x2 > F.col("lx")) & (F.col("y") < F.col("ly2")) & (y2 > F.col("ly"))
     here = (_cell(F.greatest("x", "lx"), cell[0]) == F.col("cx")) & (_cell(F.greatest("y", "ly"), cell[1]) == F.col("cy"))
@@ -112,28 +119,163 @@ def caption_records(chars: DataFrame, lines: DataFrame, line: int = 1, keys: tup
     return rows.groupBy(*keys, "line").agg(*_tight({k: F.max(f"own_{k}") for k in ("x", "y", "width", "height")}), _ordered_text().alias("text"))
 
 
-def box_maps(lines: DataFrame, chars: DataFrame) -> DataFrame:
-    """id and a map from element to its boxes (lines and chars, in order), from narrow rows of (id, element).
-
-    Rows are dealt by id once; elements and documents are then grouped where they are.
+# --- boxes as arrays of one record: nothing is shuffled
+
+CHARS = BOXES
+LINES = "array<struct<x:double,y:double,width:double,height:double>>"
+RECORDS = "array<struct<line:int,x:double,y:double,width:double,height:double,text:string>>"
+
+
+class _Boxes:
+    """The boxes with an area of a batch of records, as numpy columns."""
+
+    def __init__(self, lists: pa.Array):
+        counts = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        self.flat = lists.flatten()
+        x, y, width, height = (pc.fill_null(self.flat.field(k), float("nan")).to_numpy(zero_copy_only=False) for k in range(4))
+        sized = (width > 0) & (height > 0) & np.isfinite(x + y + width + height)
+        if self.flat.null_count:
+            sized &= self.flat.is_valid().to_numpy(zero_copy_only=False)
+        owner = np.repeat(np.arange(len(counts)), counts)
+        self.kept = np.flatnonzero(sized)
+        self.place = (np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts))[self.kept]
+        self.owner, self.x, self.y = owner[self.kept], x[self.kept], y[self.kept]
+        self.x2, self.y2 = self.x + width[self.kept], self.y + height[self.kept]
+
+
+def _cells_of(owner: np.ndarray, x: np.ndarray, y: np.ndarray, x2: np.ndarray, y2: np.ndarray, cell: tuple[float, float]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Box number, cell column, cell row and key of every cell touched, in order of boxes."""
+    cx, cy = np.floor(x / cell[0]).astype(np.int64), np.floor(y / cell[1]).astype(np.int64)
+    wide, high = np.floor(x2 / cell[0]).astype(np.int64) - cx + 1, np.floor(y2 / cell[1]).astype(np.int64) - cy + 1
+    count = wide * high
+    box = np.repeat(np.arange(len(owner)), count)
+    k = np.arange(len(box)) - np.repeat(np.cumsum(count) - count, count)
+    cx, cy = cx[box] + k % wide[box], cy[box] + k // wide[box]
+    # a key only brings candidates together, so two cells may share one
+    key = (owner[box].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + cx.astype(np.uint64)) * np.uint64(0xD6E8FEB86659FD93) + cy.astype(np.uint64)
+    return box, cx, cy, key
+
+
+def _pairs(keys: np.ndarray, sorted_keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places in keys and in sorted_keys of all equal keys; neighbours of one key are looked up once."""
+    run = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, bool))
+    low, high = np.searchsorted(sorted_keys, keys[run], "left"), np.searchsorted(sorted_keys, keys[run], "right")
+    size = np.diff(np.append(run, len(keys)))
+    low, count = np.repeat(low, size), np.repeat(high - low, size)
+    left = np.repeat(np.arange(len(keys)), count)
+    return left, np.arange(len(left)) - np.repeat(np.cumsum(count) - count - low, count)
+
+
+def _records(chars: pa.Array, lines: pa.Array, cell: tuple[float, float]) -> pa.Array:
+    c, ln = _Boxes(chars), _Boxes(lines)
+    box, lcx, lcy, key = _cells_of(ln.owner, ln.x, ln.y, ln.x2, ln.y2, cell)
+    order = np.argsort(key, kind="stable")
+    box, lcx, lcy, key = box[order], lcx[order], lcy[order], key[order]
+    # the first line around a centre: candidates come in order of lines
+    mx, my = c.x + (c.x2 - c.x) / 2, c.y + (c.y2 - c.y) / 2
+    _, _, _, own = _cells_of(c.owner, mx, my, mx, my, cell)
+    i, k = _pairs(own, key)
+    j = box[k]
+    for inside in (lambda: (my[i] >= ln.y[j]) & (my[i] <= ln.y2[j]), lambda: (mx[i] >= ln.x[j]) & (mx[i] <= ln.x2[j]) & (c.owner[i] == ln.owner[j])):
+        keep = np.flatnonzero(inside())
+        i, j = i[keep], j[keep]
+    first = np.ones(len(i), bool)
+    first[1:] = i[1:] != i[:-1]
+    i, j = i[first], j[first]
+    by_line = np.argsort(j, kind="stable")
+    texts = pc.fill_null(c.flat.field(4), "").take(pa.array(c.kept[i[by_line]]))
+    ends = np.concatenate([[0], np.cumsum(np.bincount(j, minlength=len(ln.owner)))]).astype(np.int32)
+    text = pc.binary_join(pa.ListArray.from_arrays(pa.array(ends), texts.cast(pa.string())), "")
+    # every pair that overlaps, in the cell where the overlap begins
+    of, ccx, ccy, own = _cells_of(c.owner, c.x, c.y, c.x2, c.y2, cell)
+    a, k = _pairs(own, key)
+    i, j = of[a], box[k]
+    for cut in (
+        lambda: (c.y[i] < ln.y2[j]) & (c.y2[i] > ln.y[j]),
+        lambda: (c.x[i] < ln.x2[j]) & (c.x2[i] > ln.x[j]) & (c.owner[i] == ln.owner[j]) & (ccx[a] == lcx[k]) & (ccy[a] == lcy[k]),
+        lambda: (np.floor(np.maximum(c.x[i], ln.x[j]) / cell[0]) == lcx[k]) & (np.floor(np.maximum(c.y[i], ln.y[j]) / cell[1]) == lcy[k]),
+    ):
+        keep = np.flatnonzero(cut())
+        a, k, i, j = a[keep], k[keep], i[keep], j[keep]
+    tight = [np.full(len(ln.owner), far) for far in (np.inf, np.inf, -np.inf, -np.inf)]
+    for least, values, reduce in zip(tight, (c.x, c.y, c.x2, c.y2), (np.minimum, np.minimum, np.maximum, np.maximum)):
+        reduce.at(least, j, values[i])
+    any_ = np.isfinite(tight[0])
+    x, y, x2, y2 = (np.where(any_, t, o) for t, o in zip(tight, (ln.x, ln.y, ln.x2, ln.y2)))
+    rows = pa.StructArray.from_arrays([pa.array(ln.place.astype(np.int32)), pa.array(x), pa.array(y), pa.array(x2 - x), pa.array(y2 - y), text], ["line", "x", "y", "width", "height", "text"])
+    offsets = np.concatenate([[0], np.cumsum(np.bincount(ln.owner, minlength=len(lines)))]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), rows)
+
+
+def records_of(boxes: str | Column, cell: tuple[float, float] = CELL) -> Column:
+    """The lines of one record, each with its tight box and the text of its characters, as line_records finds them for rows.
+
+    boxes is a struct of two arrays in their order, chars and lines (see CHARS and LINES); line numbers are places in the array,
+    lines without an area are left out. A null array has no boxes. Records are joined by cells, many at once; nothing is shuffled,
+    and the work follows the number of boxes.
     """
-    box = F.struct("x", "y", "width", "height", "text")
-    rows = lines.select("id", "element", F.struct(F.lit(0).alias("kind"), F.col("line").cast("bigint").alias("place"), box.alias("box")).alias("b"))
-    rows = rows.unionByName(positive(chars).select("id", "element", F.struct(F.lit(1).alias("kind"), F.col("ord").cast("bigint").alias("place"), box.alias("box")).alias("b")))
-    by_element = rows.repartition("id").groupBy("id", "element").agg(F.array_sort(F.collect_list("b")).alias("b"))
-    of = lambda kind: F.transform(F.filter("b", lambda b: b["kind"] == kind), lambda b: b["box"])
-    return by_element.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("element", F.struct(of(0).alias("lines"), of(1).alias("chars"))))).alias("boxes"))
 
+    def run(rows: pa.Array) -> pa.Array:
+        at, done = 0, []
+        while at < len(rows):
+            n = min(4096, len(rows) - at)
+            while n > 1 and rows.slice(at, n).nbytes > 16 << 20:
+                n //= 2
+            part = rows.slice(at, n)
+            done.append(_records(*part.flatten(), cell))
+            at += n
+        return pa.concat_arrays(done) if done else _records(*rows.flatten(), cell)
 
-BOXES = "array<struct<x:double,y:double,width:double,height:double,text:string>>"
+    column = F.col(boxes) if isinstance(boxes, str) else boxes
+    return F.arrow_udf(run, RECORDS)(column)
+
+
+def paired(chars: str | Column, lines: str | Column) -> Column:
+    """Two arrays of boxes as records_of takes them."""
+    column = lambda x, kind: (F.col(x) if isinstance(x, str) else x).cast(kind)
+    return F.struct(column(chars, CHARS).alias("chars"), column(lines, LINES).alias("lines"))
+
+
+def nested(chars: DataFrame, lines: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:
+    """Rows of boxes as records: keys, chars (in order of ord) and lines (in order of line), by one shuffle of narrow rows."""
+    rows = chars.select(*keys, F.struct("ord", "x", "y", "width", "height", "text").alias("c")).unionByName(lines.select(*keys, F.struct("line", "x", "y", "width", "height").alias("l")), allowMissingColumns=True)
+    bare = lambda array: F.transform(F.array_sort(array), lambda b: b.dropFields("ord" if array == "c" else "line"))
+    return rows.groupBy(*keys).agg(F.collect_list("c").alias("c"), F.collect_list("l").alias("l")).select(*keys, bare("c").alias("chars"), bare("l").alias("lines"))
+
+
+def whole(lines: str) -> Column:
+    """The union of lines with an area as an array of one box, or of none."""
+    kept = F.filter(lines, lambda b: (b["width"] > 0) & (b["height"] > 0))
+    at = lambda f, end: f(F.transform(kept, end))
+    x, y = at(F.array_min, lambda b: b["x"]), at(F.array_min, lambda b: b["y"])
+    x2, y2 = at(F.array_max, lambda b: b["x"] + b["width"]), at(F.array_max, lambda b: b["y"] + b["height"])
+    return F.filter(F.array(F.struct(x.alias("x"), y.alias("y"), (x2 - x).alias("width"), (y2 - y).alias("height"))), lambda b: b["x"].isNotNull())
+
+
+def with_caption(records: DataFrame, chars: str = "chars", lines: str = "lines", out: str = "caption") -> DataFrame:
+    """Adds the caption as one line: the union of its lines, tight over the characters that it cuts, with their texts in line order; null where there is no line."""
+    found = records.withColumns({"folio_lines": records_of(paired(chars, lines)), "folio_whole": records_of(paired(chars, whole(lines)))})
+    box = F.get("folio_whole", F.lit(0))
+    text = F.array_join(F.transform("folio_lines", lambda ln: ln["text"]), "")
+    return found.withColumn(out, F.when(box.isNotNull(), F.struct(*[box[k].alias(k) for k in ("x", "y", "width", "height")], text.alias("text")))).drop("folio_lines", "folio_whole")
+
+
+# --- label records
+
+
+def box_maps(records: DataFrame) -> DataFrame:
+    """id and a map from element to its boxes, from one record (id, element, lines, chars) an element; characters without an area are left out."""
+    chars = F.filter("chars", lambda b: (b["width"] > 0) & (b["height"] > 0))
+    pair = F.struct("element", F.struct(F.col("lines").cast(BOXES).alias("lines"), chars.cast(BOXES).alias("chars")))
+    return records.groupBy("id").agg(F.map_from_entries(F.collect_list(pair)).alias("boxes"))
 
 
-def with_boxes(labels: DataFrame, lines: DataFrame, chars: DataFrame) -> DataFrame:
+def with_boxes(labels: DataFrame, records: DataFrame) -> DataFrame:
     """Adds bboxes and char_bboxes to every element, title_bboxes and title_char_bboxes to the record; empty arrays where there are no boxes.
 
-    The boxes name elements by their place as text, or title. Records meet them once, by id; nulls and records without any box stay.
+    records (id, element, lines, chars) name elements by their place as text, or title, each once. Labels meet them once, by id; nulls and labels without any box stay.
     """
-    joined = labels.join(box_maps(lines, chars).withColumnRenamed("boxes", "box_map"), "id", "left")
+    joined = labels.join(box_maps(records).withColumnRenamed("boxes", "box_map"), "id", "left")
     none = F.array().cast(BOXES)
     got = lambda element, kind: F.coalesce(F.try_element_at("box_map", element)[kind], none)
     filled = F.transform("elements", lambda e, i: e.withField("bboxes", got(i.cast("string"), "lines")).withField("char_bboxes", got(i.cast("string"), "chars")))

@@ -125,5 +125,6 @@ def with_matches(placed: DataFrame, matches: DataFrame) -> DataFrame:
 
 
 def exploded(elements: DataFrame) -> DataFrame:
-    """One row per element with its place."""
-    return elements.select("id", "is_vertical", "column_count", F.posexplode("elements").alias("pos", "e")).select("id", "is_vertical", "column_count", "pos", "e.*")
+    """One row per element with its place. The outer form is taken since Spark filters the other by its array, which computes elements twice."""
+    rows = elements.select("id", "is_vertical", "column_count", F.posexplode_outer("elements").alias("pos", "e")).where("pos is not null")
+    return rows.select("id", "is_vertical", "column_count", "pos", "e.*")

@@ -232,31 +232,36 @@ def _text_nodes(spark, sf) -> DataFrame:
     return elements.exploded(_elements(spark, sf)).select("id", F.col("pos").cast("string").alias("element"), "content", F.lit(0.0).alias("y0"))
 
 
-def _text_boxes(spark, sf) -> tuple[DataFrame, DataFrame]:
-    nodes = _text_nodes(spark, sf)
-    return derived.char_boxes(nodes), derived.line_boxes(nodes)
-
-
 @query(f"with {TEXT_BOXES} select id, element, count(*) as n_boxes, sum(x)::double as sum_x, sum(y)::double as sum_y, string_agg(text, '' order by ord) as text from chars group by id, element")
 def char_boxes(spark, sf):
-    chars = boxes.positive(_text_boxes(spark, sf)[0])
-    ordered = F.array_sort(F.collect_list(F.struct("ord", "text")))
-    return chars.groupBy("id", "element").agg(F.count("*").alias("n_boxes"), F.sum("x").alias("sum_x"), F.sum("y").alias("sum_y"), F.array_join(F.transform(ordered, lambda o: o["text"]), "").alias("text"))
+    kept = F.filter("chars", lambda c: (c["width"] > 0) & (c["height"] > 0))
+    total = lambda k: F.aggregate("chars", F.lit(0.0), lambda a, c: a + c[k])
+    rows = derived.box_records(_text_nodes(spark, sf)).select("id", "element", kept.alias("chars")).where("size(chars) > 0")
+    return rows.select("id", "element", F.size("chars").cast("bigint").alias("n_boxes"), total("x").alias("sum_x"), total("y").alias("sum_y"), F.array_join(F.transform("chars", lambda c: c["text"]), "").alias("text"))
+
+
+def _text_lines(spark, sf) -> DataFrame:
+    nodes = _text_nodes(spark, sf).where("content <> ''")
+    records = nodes.select("id", "element", boxes.records_of(derived.boxes_of(F.col("content"), F.col("y0"))).alias("records"))
+    # explode would add a filter that evaluates the records a second time
+    return records.select("id", "element", F.explode_outer("records").alias("r")).where("r is not null").select("id", "element", "r.*")
 
 
 @query(f"with {TEXT_BOXES} select id, element, line, text from line_text")
 def char_to_line(spark, sf):
-    return boxes.line_texts(boxes.chars_to_lines(*_text_boxes(spark, sf)))
+    return _text_lines(spark, sf).where("text <> ''").select("id", "element", "line", "text")
 
 
 @query(f"with {TEXT_BOXES} select id, element, line, x, y, width, height from tight")
 def line_tight_box(spark, sf):
-    return boxes.tight_lines(*_text_boxes(spark, sf))
+    return _text_lines(spark, sf).drop("text")
 
 
 @query(f"with {TEXT_BOXES} select id, element, line, x, y, width, height, coalesce(text, '') as text from tight left join line_text using (id, element, line)")
 def line_records(spark, sf):
-    return boxes.line_records(*_text_boxes(spark, sf))
+    """The same from tables of boxes, as joins."""
+    nodes = _text_nodes(spark, sf)
+    return boxes.line_records(derived.char_boxes(nodes), derived.line_boxes(nodes))
 
 
 CAPTIONED = f"{SPANNED}, node as (select id, pos::varchar as element, 'caption of ' || src as content, height::double as y0 from spanned where type = 'image'), {derived.SQL}"
@@ -271,13 +276,13 @@ caption as (select w.id, w.element, coalesce(min(c.x), any_value(w.x)) as x, coa
 def _caption_nodes(spark, sf) -> DataFrame:
     """Captions of images, below the image."""
     images = elements.exploded(_placed(spark, sf)).where("type = 'image'")
-    return images.select("id", F.col("pos").cast("string").alias("element"), F.concat(F.lit("caption of "), "src").alias("content"), _image_size(F.col("src"))[1].cast("double").alias("y0"))
+    width, height = _image_size(F.col("src"))
+    return images.select("id", F.col("pos").cast("string").alias("element"), F.concat(F.lit("caption of "), "src").alias("content"), height.cast("double").alias("y0"), width.alias("width"), height.alias("height"))
 
 
 @query(f"with {CAPTIONED}, {CAPTION} select * from caption")
 def caption_union_box(spark, sf):
-    nodes = _caption_nodes(spark, sf)
-    return boxes.caption_records(derived.char_boxes(nodes), derived.line_boxes(nodes)).drop("line")
+    return boxes.with_caption(derived.box_records(_caption_nodes(spark, sf))).where("caption is not null").select("id", "element", "caption.*")
 
 
 LABELLED = f"""{PLACED}, lab as (select p.*, case when type = 'image' then 'caption of ' || src end as caption, {h('show_title', 'id')} % 4 = 0 as show_title from placed p)"""
@@ -302,17 +307,20 @@ box as (select id, element, 0 as kind, line as place, x, y, width, height, coale
 listed as (select id, element, kind, count(*) as n, string_agg(text || '@' || (2 * x)::bigint || ',' || (2 * y)::bigint || ',' || (2 * width)::bigint || ',' || (2 * height)::bigint, ';' order by place) as list from box group by id, element, kind)"""
 
 
-def _label_boxes(spark, sf) -> tuple[DataFrame, DataFrame]:
-    """Lines and characters of texts, captions and shown titles; an image is a line without text before its caption."""
+def _image_boxes(spark, sf) -> DataFrame:
+    """Boxes of images: a line without text before the caption's."""
+    captions = boxes.with_caption(derived.box_records(_caption_nodes(spark, sf)))
+    image = F.struct(F.lit(0.0).alias("x"), F.lit(0.0).alias("y"), F.col("width").cast("double").alias("width"), F.col("height").cast("double").alias("height"), F.lit("").alias("text"))
+    return captions.select("id", "element", F.filter(F.array(image, "caption"), lambda b: b.isNotNull()).alias("lines"), "chars")
+
+
+def _label_boxes(spark, sf) -> DataFrame:
+    """Boxes of texts, images with captions, and shown titles."""
     placed = elements.exploded(_placed(spark, sf))
-    width, height = _image_size(F.col("src"))
-    element, captions = F.col("pos").cast("string").alias("element"), _caption_nodes(spark, sf)
     title = _corpus(spark, sf).where(rng.h("show_title", F.col("id")) % 4 == 0).select("id", F.lit("title").alias("element"), F.concat(F.lit("Title "), "id").alias("content"), F.lit(0.0).alias("y0"))
-    texts = placed.where("type = 'text'").select("id", element, "content", F.lit(0.0).alias("y0")).unionByName(title)
-    images = placed.where("type = 'image'").select("id", element, F.lit(0).alias("line"), F.lit(0.0).alias("x"), F.lit(0.0).alias("y"), width.cast("double").alias("width"), height.cast("double").alias("height"), F.lit("").alias("text"))
-    lines = boxes.line_records(derived.char_boxes(texts), derived.line_boxes(texts)).unionByName(images)
-    lines = lines.unionByName(boxes.caption_records(derived.char_boxes(captions), derived.line_boxes(captions)))
-    return lines, derived.char_boxes(texts.unionByName(captions))
+    texts = placed.where("type = 'text'").select("id", F.col("pos").cast("string").alias("element"), "content", F.lit(0.0).alias("y0")).unionByName(title)
+    lines = F.transform(boxes.records_of("boxes"), lambda ln: ln.dropFields("line"))
+    return derived.box_records(texts).select("id", "element", lines.alias("lines"), "chars").unionByName(_image_boxes(spark, sf))
 
 
 def _listed(array: str):
@@ -327,8 +335,7 @@ from part p left join listed l on l.id = p.id and l.element = p.element and l.ki
 )
 def label_documents(spark, sf):
     """Boxes as text@x,y,width,height in half units; those of characters as a digest."""
-    lines, chars = _label_boxes(spark, sf)
-    labels = boxes.with_boxes(_labels(spark, sf), lines, chars)
+    labels = boxes.with_boxes(_labels(spark, sf), _label_boxes(spark, sf))
     title = F.struct(F.lit("title").alias("element"), F.lit("title").alias("type"), F.col("title").alias("content"), F.lit(None).cast("string").alias("caption"), F.col("title_bboxes").alias("bboxes"), F.col("title_char_bboxes").alias("char_bboxes"))
     parts = F.transform("elements", lambda e, i: F.struct(i.cast("string").alias("element"), *[e[k].alias(k) for k in ("type", "content", "caption", "bboxes", "char_bboxes")]))
     rows = labels.select("id", F.explode(F.array_append(parts, title)).alias("p")).select("id", "p.*")
@@ -533,11 +540,7 @@ RECTS = f"""{CAPTIONED}, {CAPTION}, rect as (select id, pos::int as pos, 0 as pl
 
 def _image_metadata(spark, sf) -> DataFrame:
     """Label documents with the boxes of their images and captions, and the figures' background."""
-    placed, nodes = elements.exploded(_placed(spark, sf)).where("type = 'image'"), _caption_nodes(spark, sf)
-    width, height = _image_size(F.col("src"))
-    images = placed.select("id", F.col("pos").cast("string").alias("element"), F.lit(0).alias("line"), F.lit(0.0).alias("x"), F.lit(0.0).alias("y"), width.cast("double").alias("width"), height.cast("double").alias("height"), F.lit("").alias("text"))
-    chars = derived.char_boxes(nodes)
-    labels = boxes.with_boxes(_labels(spark, sf), images.unionByName(boxes.caption_records(chars, derived.line_boxes(nodes))), chars)
+    labels = boxes.with_boxes(_labels(spark, sf), _image_boxes(spark, sf))
     return layout.with_style(labels.select("id", "is_vertical", "column_count", "elements")).select("id", "figure_bg_color", "elements")
 
 

@@ -8,24 +8,68 @@ every seventh has no height.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.boxes import CHARS, LINES
+
+
+def _char(text: Column, k: Column, y0: Column) -> dict[str, Column]:
+    x = (k % 20) * 10 + k % 3 - 1
+    y = y0 + F.floor(k / 20) * 10 + F.when(k % 4 == 1, -5).when(k % 4 == 3, 5).otherwise(0)
+    return {"x": x.cast("double"), "y": y.cast("double"), "width": F.when(text == " ", 0.0).otherwise(10.0), "height": F.lit(10.0), "text": text}
+
+
+def _line(r: Column, y0: Column) -> dict[str, Column]:
+    height = F.when(r % 7 == 6, 0).otherwise(10 + 5 * (r % 3))
+    return {"x": F.lit(0.0), "y": (y0 + 10 * r).cast("double"), "width": F.when(r % 4 == 3, 160.0).otherwise(200.0), "height": height.cast("double")}
+
 
 def char_boxes(nodes: DataFrame) -> DataFrame:
     """id, element, ord, x, y, width, height, text of the characters of nodes (id, element, content, y0)."""
-    k = F.col("ord")
     chars = nodes.where("content <> ''").select("id", "element", "y0", F.posexplode(F.split("content", "")).alias("ord", "text")).where("text <> ''")
-    x = (k % 20) * 10 + k % 3 - 1
-    y = F.col("y0") + F.floor(k / 20) * 10 + F.when(k % 4 == 1, -5).when(k % 4 == 3, 5).otherwise(0)
-    return chars.select("id", "element", "ord", x.cast("double").alias("x"), y.cast("double").alias("y"), F.when(F.col("text") == " ", 0.0).otherwise(10.0).alias("width"), F.lit(10.0).alias("height"), "text")
+    return chars.select("id", "element", "ord", *[c.alias(name) for name, c in _char(F.col("text"), F.col("ord"), F.col("y0")).items()])
+
+
+def _rows() -> Column:
+    return F.sequence(F.lit(0), F.floor((F.length("content") - 1) / 20).cast("int"))
 
 
 def line_boxes(nodes: DataFrame) -> DataFrame:
-    r = F.col("line")
-    rows = nodes.where("content <> ''").select("id", "element", "y0", F.explode(F.sequence(F.lit(0), F.floor((F.length("content") - 1) / 20).cast("int"))).alias("line"))
-    height = F.when(r % 7 == 6, 0).otherwise(10 + 5 * (r % 3))
-    return rows.select("id", "element", "line", F.lit(0.0).alias("x"), (F.col("y0") + 10 * r).cast("double").alias("y"), F.when(r % 4 == 3, 160.0).otherwise(200.0).alias("width"), height.cast("double").alias("height"))
+    rows = nodes.where("content <> ''").select("id", "element", "y0", F.explode(_rows()).alias("line"))
+    return rows.select("id", "element", "line", *[c.alias(name) for name, c in _line(F.col("line"), F.col("y0")).items()])
+
+
+def _arrays(contents: pa.Array, y0: pa.Array) -> pa.Array:
+    """The same boxes as arrays, for many contents at once."""
+    listed = lambda counts, fields, names: pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), pa.StructArray.from_arrays([f if isinstance(f, pa.Array) else pa.array(f) for f in fields], names))
+    top = y0.to_numpy(zero_copy_only=False)
+    points = np.frombuffer("".join(contents.to_pylist()).encode("utf-32-le"), np.uint32)
+    unique = np.unique(points)
+    texts = pa.array([chr(p) for p in unique], pa.string()).take(pa.array(np.searchsorted(unique, points)))
+    counts = pc.utf8_length(contents).to_numpy(zero_copy_only=False).astype(np.int64)
+    number = lambda n: np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    k, ten = number(counts), np.full(len(points), 10.0)
+    y = np.repeat(top, counts) + k // 20 * 10 + np.array([0.0, -5.0, 0.0, 5.0])[k % 4]
+    chars = listed(counts, [(k % 20 * 10 + k % 3 - 1).astype(float), y, np.where(points == 32, 0.0, 10.0), ten, texts], ["x", "y", "width", "height", "text"])
+    rows = (counts + 19) // 20
+    r = number(rows)
+    lines = listed(rows, [np.zeros(len(r)), np.repeat(top, rows) + 10.0 * r, np.where(r % 4 == 3, 160.0, 200.0), np.where(r % 7 == 6, 0.0, 10.0 + 5 * (r % 3))], ["x", "y", "width", "height"])
+    return pa.StructArray.from_arrays([chars, lines], ["chars", "lines"])
+
+
+def boxes_of(content: Column, y0: Column) -> Column:
+    """The boxes of a content that is not empty as a struct of arrays, chars and lines."""
+    return F.arrow_udf(_arrays, f"struct<chars:{CHARS},lines:{LINES}>")(content, y0.cast("double"))
+
+
+def box_records(nodes: DataFrame) -> DataFrame:
+    """One record an element: the nodes with content, and arrays chars and lines."""
+    found = nodes.where("content <> ''").withColumn("boxes", boxes_of(F.col("content"), F.col("y0")))
+    return found.withColumns({"chars": F.col("boxes.chars"), "lines": F.col("boxes.lines")})
 
 
 #: Box tables over a table expression node (id, element, content, y0): all of them, then those with an area.

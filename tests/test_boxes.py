@@ -55,6 +55,9 @@ def test_joins_equal_all_pairs(spark, cell):
     got = {tuple(r)[:3]: tuple(r)[3:] for r in boxes.line_records(c, ln, cell=cell).collect()}
     assert got == want
     assert {tuple(r)[:3]: tuple(r)[3:] for r in boxes.tight_lines(c, ln, cell=cell).collect()} == {k: v[:4] for k, v in want.items()}
+    # the same boxes as arrays of one record; line numbers are places
+    found = boxes.nested(c, ln).select("id", "element", F.explode(boxes.records_of(boxes.paired("chars", "lines"), cell)).alias("r")).select("id", "element", "r.*")
+    assert {tuple(r)[:3]: tuple(r)[3:] for r in found.collect()} == want
 
 
 def test_a_huge_paragraph_is_linear(spark):
@@ -63,7 +66,7 @@ def test_a_huge_paragraph_is_linear(spark):
     k = F.col("ord")
     chars = spark.range(n).select(F.lit("a").alias("id"), F.lit("0").alias("element"), F.col("id").cast("int").alias("ord")).select("id", "element", "ord", (k % 20 * 10.0).alias("x"), (F.floor(k / 20) * 10.0).alias("y"), F.lit(10.0).alias("width"), F.lit(10.0).alias("height"), F.lit("x").alias("text"))
     lines = spark.range(n // 20).select(F.lit("a").alias("id"), F.lit("0").alias("element"), F.col("id").cast("int").alias("line"), F.lit(0.0).alias("x"), (F.col("id") * 10.0).alias("y"), F.lit(200.0).alias("width"), F.lit(10.0).alias("height"))
-    candidates = chars.select("id", "element", F.floor(F.col("x") / 256).alias("cx"), F.floor((F.col("y") + 5) / 32).alias("cy")).join(boxes._lines(lines, boxes.KEYS, boxes.CELL), ["id", "element", "cx", "cy"])
+    candidates = chars.select("id", "element", F.floor(F.col("x") / 256).alias("cx"), F.floor((F.col("y") + 5) / 32).alias("cy")).join(boxes._touched(lines, boxes.CELL), ["id", "element", "cx", "cy"])
     assert candidates.count() < 6 * n
     got = boxes.chars_to_lines(chars, lines)
     assert got.where("line = floor(ord / 20)").count() == got.count() == n
@@ -82,20 +85,33 @@ def test_the_least_line_needs_no_shuffle_of_its_own(spark):
     c, ln = spark.createDataFrame([("a", "0", 0, 0.0, 0.0, 1.0, 1.0, "x")], CHARS), spark.createDataFrame([("a", "0", 0, 0.0, 0.0, 9.0, 9.0)], LINES)
     plan = boxes.chars_to_lines(c, ln)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 2 and "ShuffledHashJoin" in plan
+    in_record = boxes.nested(c, ln).select("id", boxes.records_of(boxes.paired("chars", "lines")))._jdf.queryExecution().executedPlan().toString()
+    assert in_record.count("Exchange") == 1  # that of nested
 
 
 def test_caption_is_one_tight_line(spark):
     chars = spark.createDataFrame([("a", "0", i, 10.0 * (i % 2) + 2, 10.0 * (i // 2), 6.0, 8.0, t) for i, t in enumerate("abcd")], CHARS)
     lines = spark.createDataFrame([("a", "0", 0, 0.0, 0.0, 20.0, 9.0), ("a", "0", 1, 0.0, 9.0, 30.0, 11.0), ("a", "0", 2, 0.0, 9.0, 90.0, 0.0)], LINES)
     assert [tuple(r) for r in boxes.caption_records(chars, lines).collect()] == [("a", "0", 1, 2.0, 0.0, 16.0, 18.0, "abcd")]
+    records = boxes.nested(chars, lines).unionByName(spark.createDataFrame([("b", "0", None, None), ("c", "0", [], [])], f"id string, element string, chars {boxes.CHARS}, lines {boxes.LINES}"))
+    got = boxes.with_caption(records).select("id", "caption").collect()
+    assert {r.id: r.caption and tuple(r.caption) for r in got} == {"a": (2.0, 0.0, 16.0, 18.0, "abcd"), "b": None, "c": None}
+
+
+def test_records_of_odd_arrays(spark):
+    """Null arrays, null boxes, null fields, null texts, no rows."""
+    rows = spark.createDataFrame([(1, [(0.0, 0.0, 2.0, 2.0, None), None, (2.0, 0.0, 2.0, 2.0, "b"), (None, 0.0, 2.0, 2.0, "c"), (4.0, 0.0, float("nan"), 2.0, "d")], [None, (0.0, 0.0, 9.0, 2.0), (0.0, None, 9.0, 2.0)]), (2, None, [(0.0, 0.0, 9.0, 2.0)]), (3, [(0.0, 0.0, 2.0, 2.0, "é")], None)], f"id int, chars {boxes.CHARS}, lines {boxes.LINES}")
+    got = {r.id: [tuple(x) for x in r.r] for r in rows.select("id", boxes.records_of(boxes.paired("chars", "lines")).alias("r")).collect()}
+    assert got == {1: [(1, 0.0, 0.0, 4.0, 2.0, "b")], 2: [(0, 0.0, 0.0, 9.0, 2.0, "")], 3: []}
+    assert rows.limit(0).select(boxes.records_of(boxes.paired("chars", "lines"))).count() == 0
 
 
 def test_records_without_boxes_get_empty_arrays(spark):
     element = "type string, content string"
     labels = spark.createDataFrame([("a", [("text", "x"), ("image", None)]), ("b", []), ("c", None), (None, [("text", "y")])], f"id string, elements array<struct<{element.replace(' ', ':', 1).replace(', content ', ',content:')}>>")
-    lines = spark.createDataFrame([("a", "1", 1, 0.0, 0.0, 1.0, 1.0, "cap"), ("a", "1", 0, 0.0, 0.0, 5.0, 5.0, ""), ("a", "title", 0, 1.0, 1.0, 2.0, 2.0, "T"), ("z", "0", 0, 1.0, 1.0, 2.0, 2.0, "-")], f"{LINES}, text string")
-    chars = spark.createDataFrame([("a", "1", i, float(i), 0.0, float(i % 2), 1.0, str(i)) for i in range(4)], CHARS)
-    got = {r.id: r for r in boxes.with_boxes(labels, lines, chars).collect()}
+    box = lambda x, w, t: (x, 0.0, w, 1.0, t)
+    records = spark.createDataFrame([("a", "1", [box(0.0, 5.0, ""), box(0.0, 1.0, "cap")], [box(float(i), float(i % 2), str(i)) for i in range(4)]), ("a", "title", [box(1.0, 2.0, "T")], None), ("z", "0", [box(1.0, 2.0, "-")], [])], f"id string, element string, lines {boxes.BOXES}, chars {boxes.CHARS}")
+    got = {r.id: r for r in boxes.with_boxes(labels, records).collect()}
     assert set(got) == {"a", "b", "c", None}
     assert [(b.text, b.width) for b in got["a"].elements[1].bboxes] == [("", 5.0), ("cap", 1.0)] and [b.text for b in got["a"].elements[1].char_bboxes] == ["1", "3"]
     assert got["a"].elements[0].bboxes == [] and got["a"].title_bboxes[0].text == "T" and got["a"].title_char_bboxes == []
