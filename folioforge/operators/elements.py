@@ -60,56 +60,106 @@ def positions(elements: DataFrame) -> DataFrame:
     return elements.select("id", of(True).alias("images"), of(False).alias("texts"))
 
 
-def assign(images: list[int], texts: list[int]) -> list[int]:
-    """Texts for images, one to one, at the least sum of squared distances.
+#: Modulus and factors of the tie-break; SQL repeats them.
+PRIME, IMAGE_FACTOR, TEXT_FACTOR = 2147483647, 7919, 104729
 
-    Every optimum keeps the order, so a dynamic program over prefixes is exact;
-    at equal cost the later text is skipped.
+
+def tie_break(seed: int, image, text):
+    """A keyed number below 2 ** 31 for an image and a text, by place; arrays give arrays."""
+    x = (seed + image * IMAGE_FACTOR + text * TEXT_FACTOR) % PRIME
+    return x * x % PRIME
+
+
+_FAR = 1 << 61
+
+
+def _after(best: tuple[np.ndarray, np.ndarray], distance: np.ndarray, tie: np.ndarray, far: int) -> tuple[np.ndarray, np.ndarray]:
+    """Least (distance, tie) of one more image for every prefix of texts, from those without it; sums of ties stay below far.
+
+    The prefix minimum of pairs: ties of equal least distance form stretches, and a
+    stretch's least tie is found by a plain minimum once later stretches are put far below earlier ones.
+    """
+    d, t = best[0][:-1] + distance, best[1][:-1] + tie
+    least = np.minimum.accumulate(d)
+    base = np.cumsum(np.concatenate([[0], least[1:] < least[:-1]])) * (2 * far)
+    ties = np.minimum.accumulate(np.where(d == least, t, far) - base) + base
+    return np.concatenate([[_FAR], np.minimum(least, _FAR)]), np.concatenate([[0], ties])
+
+
+def _costs(images: np.ndarray, texts: np.ndarray, seed: int, backward: bool, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Least (distance, tie) of all images over every prefix of texts, or over every suffix."""
+    if backward:
+        images, texts = images[::-1], texts[::-1]
+    best = np.zeros(len(texts) + 1, np.int64), np.zeros(len(texts) + 1, np.int64)
+    for image in images:
+        best = _after(best, (image - texts) ** 2, tie_break(seed, image, texts) >> (31 - bits), len(images) << bits)
+    return (best[0][::-1], best[1][::-1]) if backward else best
+
+
+def assign(images: list[int], texts: list[int], seed: int = 0) -> list[int]:
+    """Texts for images, one to one, at the least sum of squared distances; among those, at the least sum of keyed tie-breaks.
+
+    Both lists rise. Every optimum keeps the order, so a program over prefixes is
+    exact. It is solved by halves: the costs of the first images over prefixes and of the last ones over
+    suffixes tell where the texts divide, so that memory grows with the texts alone.
     """
-    m, n = len(images), len(texts)
-    if m > n:
+    if len(images) > len(texts):
         raise ValueError("more images than texts")
-    cost = np.full((m + 1, n + 1), np.inf)
-    cost[0] = 0.0
-    t = np.asarray(texts, float)
-    for i in range(1, m + 1):
-        take = cost[i - 1, :-1] + (images[i - 1] - t) ** 2
-        cost[i, 1:] = np.minimum.accumulate(take)
-    chosen, j = [], n
-    for i in range(m, 0, -1):
-        while j > i and cost[i, j - 1] <= cost[i, j]:
-            j -= 1
-        chosen.append(texts[j - 1])
-        j -= 1
-    return chosen[::-1]
+    # whole bits of the tie-break, fewer for documents beyond some thousand million pairs
+    bits = max(8, min(31, 60 - len(images).bit_length() - len(texts).bit_length()))
+    out, todo = [0] * len(images), [(0, np.asarray(images, np.int64), np.asarray(texts, np.int64))]
+    while todo:
+        at, own, of = todo.pop()
+        if len(own) == 1:
+            distance = (own[0] - of) ** 2
+            near = np.flatnonzero(distance == distance.min())
+            out[at] = int(of[near[np.argmin(tie_break(seed, own[0], of[near]))]])
+        elif len(own):
+            half = len(own) // 2
+            first, last = _costs(own[:half], of, seed, False, bits), _costs(own[half:], of, seed, True, bits)
+            distance, tie = first[0] + last[0], first[1] + last[1]
+            near = np.flatnonzero(distance == distance.min())
+            cut = int(near[np.argmin(tie[near])])
+            todo += [(at, own[:half], of[:cut]), (at + half, own[half:], of[cut:])]
+    return out
 
 
 def match_images(placed: DataFrame) -> DataFrame:
-    """id, image_index, text_index, distance of every image (squared distance)."""
+    """id, image_index, text_index, distance of every image (squared distance); ties are broken by a key of the document. A document with more images than texts is an error."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
-            for doc, images, texts in zip(batch["id"], batch["images"], batch["texts"]):
+            for doc, images, texts, seed in zip(batch["id"], batch["images"], batch["texts"], batch["seed"]):
                 images = [int(x) for x in images]
-                for i, t in zip(images, assign(images, [int(x) for x in texts])):
+                for i, t in zip(images, assign(images, [int(x) for x in texts], int(seed))):
                     rows.append((doc, i, t, float((i - t) ** 2)))
             yield pd.DataFrame(rows, columns=["id", "image_index", "text_index", "distance"])
 
-    return positions(placed).where("size(images) > 0").mapInPandas(run, "id string, image_index int, text_index int, distance double")
+    keyed = positions(placed).where("size(images) > 0").withColumn("seed", rng.h("tie", F.coalesce("id", F.lit(""))) % PRIME)
+    return keyed.mapInPandas(run, "id string, image_index int, text_index int, distance double")
+
+
+def match_totals(matches: DataFrame) -> DataFrame:
+    """id, number of images and sum of their distances."""
+    return matches.groupBy("id").agg(F.count("*").alias("n_images"), F.sum("distance").alias("total_distance"))
 
 
-def match_native(images: Column, texts: Column) -> Column:
-    """The same program as nested folds: per image the least (cost, path) for every text prefix; for short arrays."""
-    start = F.transform(F.concat(F.array(F.lit(-1)), texts), lambda _: F.struct(F.lit(0.0).alias("cost"), F.array().cast("array<int>").alias("path")))
-    none = F.struct(F.lit(float("inf")).alias("cost"), F.array().cast("array<int>").alias("path"))
+def match_native(images: Column, texts: Column, seed: Column) -> Column:
+    """The same program as nested folds: per image the least (distance, tie, path) for every text prefix; for short arrays."""
+    long = lambda v: F.lit(v).cast("bigint")
+    state = lambda distance, tie, path: F.struct(distance.alias("distance"), tie.alias("tie"), path.alias("path"))
+    nothing = F.array().cast("array<int>")
+    start = F.transform(F.concat(F.array(F.lit(-1)), texts), lambda _: state(long(0), long(0), nothing))
+    none = state(long(_FAR), long(0), nothing)
 
     def row(before: Column, image: Column) -> Column:
         def cell(done: Column, j: Column) -> Column:
             last, old, text = F.element_at(done, -1), F.get(before, j), F.get(texts, j)
-            value = old["cost"] + F.pow(image - text, F.lit(2.0))
-            better = F.struct(value.alias("cost"), F.array_append(old["path"], text).alias("path"))
-            return F.array_append(done, F.when(value < last["cost"], better).otherwise(last))
+            x = (seed + image * IMAGE_FACTOR + text * TEXT_FACTOR) % PRIME
+            step = (image - text).cast("bigint")
+            better = state(old["distance"] + step * step, old["tie"] + x * x % PRIME, F.array_append(old["path"], text))
+            return F.array_append(done, F.least(better, last))
 
         return F.aggregate(F.sequence(F.lit(0), F.size(texts) - 1), F.array(none), cell)
 

@@ -51,8 +51,8 @@ el as (select id, is_vertical, num_columns, unnest(p) as content, (generate_subs
 SLOTS = f"""{PARTS}, imgs as (select id, is_vertical, num_columns, len(p) as n, {h('images', 'id')} % (len(p) // 2 + 1) as c from parts),
 drawn as (select id, is_vertical, num_columns, ({h('slot', "id || '/' || k")} % (n + 1))::int as slot from (select *, unnest(range(c)) as k from imgs)),
 slots as (select *, (row_number() over (partition by id order by slot) - 1)::int as k from drawn)"""
-PLACED = f"""{SLOTS}, merged as (select id, is_vertical, num_columns, pos as slot, 1 as kind, pos as ord, 'text' as type, content, null as src from el
-  union all select id, is_vertical, num_columns, slot, 0, k, 'image', null, substr(id, 1, 3) || '/' || id || '_' || printf('%03d', k) || '.jpg' from slots),
+PLACED = f"""{SLOTS}, merged as (select id, is_vertical, num_columns, pos as slot, 1 as kind, pos as ord, 'text' as type, content, null::varchar as src from el
+  union all select id, is_vertical, num_columns, slot, 0, k, 'image', null::varchar, substr(id, 1, 3) || '/' || id || '_' || printf('%03d', k) || '.jpg' from slots),
 placed as (select id, is_vertical, num_columns, (row_number() over (partition by id order by slot, kind, ord) - 1)::int as pos, type, content, src from merged)"""
 _SIZE = lambda i: "[" + ", ".join(str(s[i]) for s in batchapi.IMAGE_SIZES) + f"][1 + {h('size', 'src')} % {len(batchapi.IMAGE_SIZES)}]"
 SPANNED = f"""{PLACED}, sized as (select *, {_SIZE(0)} as width, {_SIZE(1)} as height from placed),
@@ -92,12 +92,27 @@ def elements_placed(spark, sf):
     return elements.exploded(_placed(spark, sf)).select("id", "pos", "type", "content", "src")
 
 
-@query()
+# every order-preserving choice of texts, image by image; the least (distance, tie) by the last text taken
+MATCHED = f"""recursive {PLACED}, im as (select id, pos as i, row_number() over (partition by id order by pos) as k from placed where type = 'image'),
+tx as (select id, pos as t, row_number() over (partition by id order by pos) as j from placed where type = 'text'),
+pair as (select id, k, i, j, t, (i - t) ** 2 as d, ({h('tie', 'id')} % 2147483647 + i * 7919::bigint + t * 104729::bigint) % 2147483647 as x from im join tx using (id)),
+rec as (select id, k, j, {{'d': d::bigint, 'tie': x * x % 2147483647, 'path': [t]}} as best from pair where k = 1
+  union all select p.id, p.k, p.j, min({{'d': (r.best.d + p.d)::bigint, 'tie': r.best.tie + p.x * p.x % 2147483647, 'path': list_append(r.best.path, p.t)}}) from rec r join pair p on p.id = r.id and p.k = r.k + 1 and p.j > r.j group by p.id, p.k, p.j),
+whole as (select id, min(best) as best from rec join (select id, max(k) as k from im group by id) using (id, k) group by id),
+match as (select id, i as image_index, best.path[k] as text_index, ((i - best.path[k]) ** 2)::double as distance from im join whole using (id))"""
+
+
+@query(f"with {MATCHED} select id, image_index, text_index, distance from match")
 def image_text_match(spark, sf):
     return elements.match_images(_placed(spark, sf))
 
 
-@query()
+@query(f"with {MATCHED} select id, count(*) as n_images, sum(distance) as total_distance from match group by id")
+def match_totals(spark, sf):
+    return elements.match_totals(elements.match_images(_placed(spark, sf)))
+
+
+@query(f"with {MATCHED} select i.src, '{batchapi.IMAGE_PROMPT}' || t.content as prompt from match m join placed i on i.id = m.id and i.pos = image_index join placed t on t.id = m.id and t.pos = text_index")
 def image_prompt_inputs(spark, sf):
     placed = _placed(spark, sf)
     rows = elements.exploded(elements.with_matches(placed, elements.match_images(placed)))

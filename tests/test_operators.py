@@ -4,6 +4,7 @@ import itertools
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from folioforge.functions import arrays, text
@@ -43,30 +44,50 @@ def test_paths(spark):
     assert (r.base, r.dir, r.stem, r.ext, r.mime, r.url) == ("c.png", "a/b", "a/b.c/d", ".JPG", "image/jpeg", "data:image/png;base64,AQID")
 
 
-def brute(images, texts):
-    return min((sum((i - t) ** 2 for i, t in zip(images, p)), p) for p in itertools.permutations(texts, len(images)))[0] if images else 0
+def brute(images, texts, seed):
+    """The least sum of squared distances, then of tie-breaks, over all choices, crossing ones too."""
 
+    def cost(path):
+        x = [(seed + i * 7919 + t * 104729) % 2147483647 for i, t in zip(images, path)]
+        return sum((i - t) ** 2 for i, t in zip(images, path)), sum(v * v % 2147483647 for v in x)
 
-def test_assignment_is_optimal_and_ordered():
-    r = random.Random(1)
-    assert elements.assign([1, 2], [0, 3, 4]) == [0, 3]
-    assert elements.assign([3], [0, 1, 2, 4]) == [2]
-    for _ in range(200):
+    return list(min(itertools.permutations(texts, len(images)), key=cost))
+
+
+def test_assignment_is_optimal_ordered_and_keyed():
+    r, differ = random.Random(1), 0
+    assert elements.assign([], [1]) == [] and elements.assign([3], [7]) == [7]
+    with pytest.raises(ValueError):
+        elements.assign([1, 2], [0])
+    for _ in range(300):
         n = r.randint(1, 8)
-        places = sorted(r.sample(range(20), n))
-        m = r.randint(0, n // 2)
-        images = sorted(r.sample(places, m))
-        texts = [p for p in places if p not in images]
-        got = elements.assign(images, texts)
-        assert got == sorted(set(got))
-        assert sum((i - t) ** 2 for i, t in zip(images, got)) == brute(images, texts)
+        places = sorted(r.sample(range(14), n))
+        images = sorted(r.sample(places, r.randint(0, n // 2)))
+        texts, seed = [p for p in places if p not in images], r.randrange(1 << 31)
+        got = elements.assign(images, texts, seed)
+        assert got == sorted(set(got)) and got == brute(images, texts, seed)
+        differ += got != elements.assign(images, texts, r.randrange(1 << 31))
+    assert differ > 20  # both sides of a tie are taken
+
+
+def test_assignment_of_a_long_document_in_little_memory():
+    """2,000 images by 40,000 texts: 80 million pairs; a matrix of them would take 1.3 GB."""
+    import tracemalloc
+
+    images = list(range(0, 60_000, 30))
+    texts = [p for p in range(42_000) if p % 30]
+    tracemalloc.start()
+    got = elements.assign(images, texts, 5)
+    assert tracemalloc.get_traced_memory()[1] < 32 << 20
+    tracemalloc.stop()
+    assert got == sorted(set(got)) and all(abs(i - t) == 1 for i, t in zip(images[1:1390], got[1:1390]))
 
 
 def test_native_fold_equals_program(spark):
-    cases = [([1, 2], [0, 3, 4]), ([3], [0, 1, 2, 4]), ([2, 3, 7], [0, 1, 4, 5, 6, 8])]
-    rows = spark.createDataFrame(cases, "images array<int>, texts array<int>").select("images", "texts", elements.match_native(F.col("images"), F.col("texts")).alias("path"))
+    cases = [([1, 2], [0, 3, 4], 9), ([3], [0, 1, 2, 4], 8), ([3], [0, 1, 2, 4], 1 << 30), ([2, 3, 7], [0, 1, 4, 5, 6, 8], 12345)]
+    rows = spark.createDataFrame(cases, "images array<int>, texts array<int>, seed long").select("images", "texts", "seed", elements.match_native(F.col("images"), F.col("texts"), F.col("seed")).alias("path"))
     for r in rows.collect():
-        assert r.path == elements.assign(r.images, r.texts)
+        assert r.path == elements.assign(r.images, r.texts, r.seed)
 
 
 def test_blocks(spark):
