@@ -10,7 +10,9 @@ from ..functions import arrays, text
 from ..operators import batchapi, boxes, dataset, elements, layout, noise, ordering, replay
 from ..rng import sql_h as h
 from ..rng import sql_u as u
+from ..sources import ordered_json, readers, writers
 from ..sources.readers import table
+from ..storage import new_path
 from . import derived
 
 QUERIES: dict = {}
@@ -606,3 +608,38 @@ def worker_chunks(spark, sf):
     rows = ordering.ordinals(_corpus(spark, sf).select("id"), "id")
     total = rows.agg(F.count("*").alias("total"))
     return rows.withColumn("total", total.scalar()).select("id", ordering.worker_chunk(F.col("ordinal"), F.col("total"), 7).alias("chunk"))
+
+
+@query("select doc_id, row_number() over (order by doc_id) - 1 as line, lang, n_chars from documents")
+def json_lines_in_order(spark, sf):
+    """Documents as JSON lines in order of id, read back from files in splits of 64 KB; lines are numbered by file and offset."""
+    path = new_path(spark, "jsonl")
+    writers.ordered_json_lines(table(spark, sf, "documents").select("doc_id", "lang", "n_chars"), path, "doc_id")
+    rows = ordered_json.ordered_json(spark, path, "doc_id bigint, lang string, n_chars bigint", split_bytes=64 << 10)
+    return ordering.ordinals(rows, "file", "offset", name="line").select("doc_id", "line", "lang", "n_chars")
+
+
+SHARD_BYTES = 200_000
+
+
+@query(
+    f"""with {CORPUS}, s as (select id, case when {h('split', 'id')} % 10 < 8 then 'train' when {h('split', 'id')} % 10 = 8 then 'validation' else 'test' end as split, strlen(id) + coalesce(strlen(text), 1) + 16 as bytes from corpus),
+p as (select *, sum(bytes) over (partition by split order by id) - bytes as before from s)
+select split, (before // {SHARD_BYTES})::int as shard, count(*) as n_rows, sum(bytes)::bigint as bytes, min(id) as first_id, max(id) as last_id from p group by all"""
+)
+def shard_plan(spark, sf):
+    part = rng.h("split", F.col("id")) % 10
+    corpus = _corpus(spark, sf)
+    rows = corpus.withColumn("split", F.when(part < 8, "train").when(part == 8, "validation").otherwise("test"))
+    sizes = writers.shard_numbers(rows, "id", SHARD_BYTES, size=writers.row_bytes(corpus))
+    return sizes.groupBy("split", "shard").agg(F.count("*").alias("n_rows"), F.sum("bytes").alias("bytes"), F.min("key").alias("first_id"), F.max("key").alias("last_id"))
+
+
+@query("select printf('%03d/%d.html', page_id % 7, page_id) as name, length(html) as n_chars, md5(html) as digest from pages where html <> ''")
+def page_files(spark, sf):
+    """Every page as a file of its own, committed, listed and read back."""
+    folder = new_path(spark, "pages")
+    pages = table(spark, sf, "pages").where("html <> ''").select(F.concat(text.zero_pad(F.col("page_id") % 7, 3), F.lit("/"), "page_id", F.lit(".html")).alias("name"), "html")
+    writers.files(pages, folder, "name", "html")
+    rows = readers.whole_texts(spark, folder, "*.html")
+    return rows.select(F.concat_ws("/", F.slice(F.split("path", "/"), -2, 2)).alias("name"), F.length("value").cast("bigint").alias("n_chars"), F.md5(F.col("value").cast("binary")).alias("digest"))

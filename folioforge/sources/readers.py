@@ -14,9 +14,8 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def json_lines(spark: SparkSession, path: str | list[str], schema: str) -> DataFrame:
-    """Rows of JSONL files (several files append) with the file and place that order them."""
-    rows = spark.read.schema(schema).json(path)
-    return rows.withColumn("_file", F.col("_metadata.file_path")).withColumn("_block", F.col("_metadata.file_block_start"))
+    """Rows of JSONL files; several files append. Rows have no order; ordered_json.ordered_json gives each its place."""
+    return spark.read.schema(schema).json(path)
 
 
 def json_documents(spark: SparkSession, path: str, schema: str, glob: str | None = None) -> DataFrame:
@@ -29,7 +28,7 @@ def json_documents(spark: SparkSession, path: str, schema: str, glob: str | None
 
 def whole_texts(spark: SparkSession, path: str, glob: str = "*.txt") -> DataFrame:
     """path and value, one file per row."""
-    rows = spark.read.option("wholetext", True).option("pathGlobFilter", glob).option("recursiveFileLookup", True).text(path)
+    rows = spark.read.option("pathGlobFilter", glob).option("recursiveFileLookup", True).text(path, wholetext=True)
     return rows.select(F.col("_metadata.file_path").alias("path"), "value")
 
 

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
 
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 
 #: Setting under which Spark removes an execution's shuffle files at its end.
@@ -54,3 +56,10 @@ def remove_tables(spark: SparkSession) -> None:
     """Delete what this application's operators left in the shared folder, once their results are stored elsewhere."""
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/folioforge-{spark.sparkContext.applicationId}")
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def resolve(uri: str) -> tuple[fs.FileSystem, str]:
+    """File system and path of a URI (file, hdfs, s3 or gs) or of a local path."""
+    if uri.startswith("file:") and not uri.startswith("file://"):
+        uri = "file://" + uri[5:]
+    return fs.FileSystem.from_uri(uri if "://" in uri else "file://" + os.path.abspath(uri))

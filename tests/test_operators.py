@@ -55,7 +55,7 @@ def brute(images, texts, seed):
 
 
 def test_assignment_is_optimal_ordered_and_keyed():
-    r, differ = random.Random(1), 0
+    r = random.Random(1)
     assert elements.assign([], [1]) == [] and elements.assign([3], [7]) == [7]
     with pytest.raises(ValueError):
         elements.assign([1, 2], [0])
@@ -66,21 +66,21 @@ def test_assignment_is_optimal_ordered_and_keyed():
         texts, seed = [p for p in places if p not in images], r.randrange(1 << 31)
         got = elements.assign(images, texts, seed)
         assert got == sorted(set(got)) and got == brute(images, texts, seed)
-        differ += got != elements.assign(images, texts, r.randrange(1 << 31))
-    assert differ > 20  # both sides of a tie are taken
+    sides = [elements.assign([3], [0, 2, 4], r.randrange(1 << 31))[0] for _ in range(200)]
+    assert 60 < sides.count(2) < 140 and sides.count(2) + sides.count(4) == 200
 
 
 def test_assignment_of_a_long_document_in_little_memory():
     """2,000 images by 40,000 texts: 80 million pairs; a matrix of them would take 1.3 GB."""
     import tracemalloc
 
-    images = list(range(0, 60_000, 30))
-    texts = [p for p in range(42_000) if p % 30]
+    images = list(range(0, 42_000, 21))
+    texts = [p for p in range(42_000) if p % 21]
     tracemalloc.start()
     got = elements.assign(images, texts, 5)
     assert tracemalloc.get_traced_memory()[1] < 32 << 20
     tracemalloc.stop()
-    assert got == sorted(set(got)) and all(abs(i - t) == 1 for i, t in zip(images[1:1390], got[1:1390]))
+    assert got == sorted(set(got)) and all(abs(i - t) == 1 for i, t in zip(images, got))
 
 
 def test_native_fold_equals_program(spark):
