@@ -52,8 +52,8 @@ def response_parts(results: DataFrame, column: str = "line") -> DataFrame:
 
 
 def job_status(state: Column) -> Column:
-    """Pending until terminal; only succeeded jobs have results."""
-    return F.when(~state.isin(TERMINAL), "pending").when(state == TERMINAL[0], "succeeded").otherwise("failed")
+    """Pending until terminal, or without a state; only succeeded jobs have results."""
+    return F.when(~F.coalesce(state.isin(TERMINAL), F.lit(False)), "pending").when(state == TERMINAL[0], "succeeded").otherwise("failed")
 
 
 def chat_template(messages: DataFrame, id_col: str, order_col: str) -> DataFrame:

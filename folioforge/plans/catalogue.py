@@ -13,6 +13,8 @@ from ..rng import sql_u as u
 from ..sources import ordered_json, readers, writers
 from ..sources.readers import table
 from ..storage import new_path
+from ..streaming import jobs
+from ..streaming.resume import run_once
 from . import derived
 
 QUERIES: dict = {}
@@ -457,13 +459,50 @@ def require_images(spark, sf):
     return dataset.require_all(_corpus(spark, sf).select("id"), table(spark, sf, "labels").select(text.zero_pad(F.col("doc_id"), 6).alias("id")), "id")
 
 
-STATES = [*batchapi.TERMINAL, "JOB_STATE_RUNNING", "JOB_STATE_PENDING"]
+#: States that event types stand for; other types have none.
+EVENT_STATES = {"purchase": "JOB_STATE_SUCCEEDED", "error": "JOB_STATE_FAILED", "view": "JOB_STATE_RUNNING", "click": "JOB_STATE_PENDING"}
+JOB_SECONDS, JOB_DELAY = 4 * 3600, 3600
 
 
-@query("select event_id, case event_id % 6 when 0 then 'succeeded' when 1 then 'failed' when 2 then 'failed' when 3 then 'failed' else 'pending' end as status from events")
+def _event_state():
+    state = F.lit(None).cast("string")
+    for kind, name in EVENT_STATES.items():
+        state = F.when(F.col("event_type") == kind, name).otherwise(state)
+    return state
+
+
+def _job_states(events: DataFrame) -> DataFrame:
+    """A user's events of one day as the observed states of one job."""
+    state, ts = _event_state(), F.col("ts").cast("timestamp")
+    return events.select(F.concat_ws("/", "user_id", F.date_format(ts, "yyyy-MM-dd")).alias("name"), state.alias("state"), ts.alias("ts"))
+
+
+JOBS = """job as (select user_id || '/' || strftime(ts, '%Y-%m-%d') as name, epoch_us(ts) as us, case event_type when 'purchase' then 'succeeded' when 'error' then 'failed' else 'pending' end as status from events where user_id is not null and ts is not null)"""
+
+
+@query("select event_id, case event_type when 'purchase' then 'succeeded' when 'error' then 'failed' else 'pending' end as status from events")
 def job_states(spark, sf):
-    state = F.get(F.array(*[F.lit(s) for s in STATES]), (F.col("event_id") % 6).cast("int"))
-    return table(spark, sf, "events").select("event_id", batchapi.job_status(state).alias("status"))
+    events = table(spark, sf, "events")
+    return events.select("event_id", F.coalesce(batchapi.job_status(_event_state()), F.lit("pending")).alias("status"))
+
+
+@query(
+    f"""with {JOBS}, f as (select name, min(us) + {JOB_SECONDS} * 1000000::bigint as due, min(us) filter (status <> 'pending') as ended, max(us) as last_us from job group by name),
+e as (select f.*, j.status from f left join (select distinct name, us, min(status) over (partition by name, us) as status from job where status <> 'pending') j on j.name = f.name and j.us = f.ended)
+select name, case when ended <= due then status else 'expired' end as status, case when ended <= due then ended else due end as at_us
+from e where ended <= due or last_us > due or due // 1000 < (select max(us) // 1000 - {JOB_DELAY} * 1000 from job)"""
+)
+def finished_jobs(spark, sf):
+    """The jobs' stream, started three times on one checkpoint while events come in: each time on those of one more third of the time."""
+    events = _job_states(table(spark, sf, "events"))
+    source, sink, checkpoint = (new_path(spark, f"jobs-{kind}") for kind in ("in", "out", "checkpoint"))
+    span = events.agg(F.min("ts").cast("double").alias("a"), F.max("ts").cast("double").alias("b")).first()
+    third = F.floor((F.col("ts").cast("double") - (span.a or 0)) / max(1.0, ((span.b or 0) - (span.a or 0)) / 3))
+    for k in range(3):
+        events.where(F.least(third, F.lit(2)) == k).write.mode("append").parquet(source)
+        states = spark.readStream.schema(events.schema).parquet(source)
+        run_once(jobs.finished_jobs(states, F.col("name"), F.col("state"), F.col("ts"), JOB_SECONDS, f"{JOB_DELAY} seconds"), sink, checkpoint)
+    return spark.read.schema("name string, status string, at_us bigint").parquet(sink)
 
 
 @query("select conv_id, string_agg('<|im_start|>' || role || chr(10) || text || '<|im_end|>' || chr(10), '' order by turn) || '<|im_start|>assistant' || chr(10) as prompt from conversations group by conv_id")

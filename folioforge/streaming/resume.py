@@ -12,3 +12,8 @@ def process_new(spark: SparkSession, source: str, schema: str, transform: Callab
     stream = spark.readStream.schema(schema).format(file_format).load(source)
     query = transform(stream).writeStream.format("parquet").option("path", sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
+
+
+def run_once(stream: DataFrame, sink: str, checkpoint: str) -> None:
+    """Take in what has come since the last call with this checkpoint, append the results to a table, stop."""
+    stream.writeStream.format("parquet").outputMode("append").option("path", sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
