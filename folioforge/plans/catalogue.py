@@ -160,38 +160,54 @@ def caption_styles(spark, sf):
     return _corpus(spark, sf).select("id", text.caption(style, F.col("is_vertical"), number, bare).alias("caption"))
 
 
-BRACKETED = ["「A」", "「A」と「B」", "「「A」B」", "「」", "　「A」\n", "「A", "A」", "", " x ", "「A「B」C」", "」「"]
+#: Every line of a document in one of these frames, by its place.
+FRAMES = [("「", "」"), ("「a」と「", "」"), ("", ""), ("「「", "」b」"), ("　「", "」\n"), ("「", ""), ("", "」"), ("」", "「"), ("「", "」「」")]
 
 
-def _values(spark, values: list[str], name: str = "t") -> DataFrame:
-    return spark.range(len(values)).select(F.col("id").alias("i"), F.get(F.array(*[F.lit(v) for v in values]), F.col("id").cast("int")).alias(name))
+def _framed(spark, sf, frames: list[tuple[str, str]]) -> DataFrame:
+    pick = lambda k: F.get(F.array(*[F.lit(f[k]) for f in frames]), F.col("pos") % len(frames))
+    return elements.exploded(_elements(spark, sf)).select("id", "pos", "content", F.concat(pick(0), "content", pick(1)).alias("t"))
+
+
+def _framed_sql(frames: list[tuple[str, str]]) -> str:
+    pick = lambda k: "[" + ", ".join("'" + f[k].replace("\n", "' || chr(10) || '") + "'" for f in frames) + f"][1 + pos % {len(frames)}]"
+    return f"{PARTS}, v as (select id, pos, content, {pick(0)} || content || {pick(1)} as t from el)"
 
 
 @query(
-    "with v as (select * from (values "
-    + ", ".join(f"({i}::bigint, '{v}')" for i, v in enumerate(BRACKETED))
-    + r""") x(i, t)), s as (select i, regexp_replace(t, '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g') as t from v),
-c as (select i, t, k, sum(case substr(t, k, 1) when '「' then 1 when '」' then -1 else 0 end) over (partition by i order by k) as depth from (select i, t, unnest(range(1, len(t))) as k from s)),
-d as (select i, bool_or(depth = 0 and k > 1) as closed from c group by i)
-select s.i, case when t like '「%」' and not coalesce(closed, false) then substr(t, 2, len(t) - 2) else t end as inner_text from s left join d using (i)"""
+    f"with {_framed_sql(FRAMES)}"
+    + r""", s as (select id, pos, regexp_replace(t, '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g') as t from v),
+c as (select id, pos, t, k, sum(case substr(t, k, 1) when '「' then 1 when '」' then -1 else 0 end) over (partition by id, pos order by k) as depth from (select id, pos, t, unnest(range(1, len(t))) as k from s)),
+d as (select id, pos, bool_or(depth = 0 and k > 1) as closed from c group by id, pos)
+select s.id, s.pos, case when t like '「%」' and not coalesce(closed, false) then substr(t, 2, len(t) - 2) else t end as inner_text from s left join d using (id, pos)"""
 )
 def strip_outer_brackets(spark, sf):
-    return _values(spark, BRACKETED).select("i", text.remove_outer_brackets(F.col("t")).alias("inner_text"))
+    return _framed(spark, sf, FRAMES).select("id", "pos", text.remove_outer_brackets(F.col("t")).alias("inner_text"))
 
 
-FIGURES = ["図1: 猫", "図１：猫", "図　2　犬", "図鳥", "A図1: x", "図: 魚", "図12. 34"]
+FIGURES = [("図1: ", ""), ("図１：", ""), ("図　2　", ""), ("図", ""), ("A図1: ", ""), ("図: ", ""), ("図12. 34", ""), ("図 ", "")]
 
 
-@query("select i, regexp_replace(t, '^図[\\s\\p{Z}]*(?:\\p{Nd}+[：:.\\s\\p{Z}]*|[：:.\\s\\p{Z}]+)', '') as bare from (values " + ", ".join(f"({i}::bigint, '{v}')" for i, v in enumerate(FIGURES)) + ") x(i, t)")
+@query(f"with {_framed_sql(FIGURES)}" + r" select id, pos, regexp_replace(t, '^図[\s\p{Z}]*(?:\p{Nd}+[：:.\s\p{Z}]*|[：:.\s\p{Z}]+)', '') as bare from v")
 def figure_prefix(spark, sf):
-    return _values(spark, FIGURES).select("i", text.strip_figure_prefix(F.col("t")).alias("bare"))
+    return _framed(spark, sf, FIGURES).select("id", "pos", text.strip_figure_prefix(F.col("t")).alias("bare"))
+
+
+DATES = [("12月", "年１２３日"), ("a12月", "は1234月"), ("年7月", "は12"), ("１月1", ""), ("", "月99999日9日")]
 
 
 @query(
-    """select i, r from (values (0::bigint, '<span class="tcy">12</span>月'), (1, 'a12月'), (2, '年<span class="tcy">12</span>月<span class="tcy">5</span>日'), (3, 'は1234月'), (4, 'は12')) x(i, r)"""
+    f"with {_framed_sql(DATES)}"
+    + rf""", c as (select id, pos, k, substr(t, k, 1) as ch, regexp_full_match(substr(t, k, 1), '\p{{Nd}}') as digit from (select *, unnest(range(1, len(t) + 1)) as k from v)),
+e as (select *, case when digit is distinct from lag(digit) over (partition by id, pos order by k) then 1 else 0 end as new from c), g as (select *, sum(new) over (partition by id, pos order by k) as run from e),
+r as (select id, pos, run, any_value(digit) as digit, string_agg(ch, '' order by k) as s from g group by id, pos, run),
+n as (select *, lag(s) over w as before, lead(s) over w as after from r window w as (partition by id, pos order by run)),
+m as (select id, pos, run, case when digit and len(s) <= 3 and (before is null or regexp_full_match(before[-1], '{text.JAPANESE}')) and regexp_full_match(after[1], '{text.JAPANESE}')
+  then '<span class="tcy">' || translate(s, '{text.FULL}', '{text.HALF}') || '</span>' else s end as s from n)
+select id, pos, string_agg(s, '' order by run) as upright from m group by id, pos"""
 )
 def vertical_digits(spark, sf):
-    return _values(spark, ["12月", "a12月", "年12月５日", "は1234月", "は12"]).select("i", text.vertical_digits(F.col("t")).alias("r"))
+    return _framed(spark, sf, DATES).where("t <> ''").select("id", "pos", text.vertical_digits(F.col("t")).alias("upright"))
 
 
 def _pick(purpose: str, values: list) -> str:
@@ -420,19 +436,27 @@ def api_requests(spark, sf):
     return rows.select(F.col("r.key").alias("key"), "batch_id", F.col("r.request.contents")[0]["parts"][0]["text"].alias("prompt"), F.col("r.request.generation_config.responseModalities")[1].alias("second_modality"))
 
 
-RESPONSES = [
-    '{"key":"a","response":{"candidates":[{"content":{"parts":[{"text":""},{"text":"hi"},{"inlineData":{"mimeType":"image/jpeg","data":"AQID"}}]}}]}}',
-    '{"key":"b","error":{"code":3}}',
-    '{"key":"c"}',
-]
+def _responses(spark, sf) -> DataFrame:
+    """Conversations as response lines: turns are empty, text or image parts in turn; some conversations failed, some have no answer."""
+    said = table(spark, sf, "conversations").select("conv_id", "turn", F.coalesce("text", F.lit("")).alias("text"))
+    kind = F.col("turn") % 3
+    inline = F.when(kind == 2, F.struct(F.when(F.col("turn") % 2 == 0, "image/png").otherwise("image/jpeg").alias("mimeType"), F.base64(F.col("text").cast("binary")).alias("data")))
+    part = F.struct(F.when(kind == 0, "").when(kind == 1, F.col("text")).alias("text"), inline.alias("inlineData"))
+    rows = said.groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", part.alias("part")))), lambda p: p["part"]).alias("parts"))
+    candidate = lambda parts: F.struct(F.struct(parts.alias("parts")).alias("content"))
+    response = F.struct(F.array(candidate(F.col("parts")), candidate(F.slice("parts", 1, 1))).alias("candidates"))
+    key, kind = F.col("conv_id").cast("string").alias("key"), F.col("conv_id") % 7
+    return rows.select(F.when(kind == 5, F.to_json(F.struct(key, F.struct(F.col("conv_id").alias("code")).alias("error")))).when(kind == 6, F.to_json(F.struct(key))).otherwise(F.to_json(F.struct(key, response.alias("response")))).alias("line"))
 
 
 @query(
-    """select * from (values ('a', 0::int, 'empty', null, null, null), ('a', 1, 'text', 'hi', null, null), ('a', 2, 'image', null, 'jpeg', '010203'),
-('b', -1, 'error', '{"code":3}', null, null), ('c', -1, 'unknown', null, null, null)) t(key, index, status, text, extension, data_hex)"""
+    """with said as (select conv_id::varchar as key, conv_id, (row_number() over (partition by conv_id order by turn) - 1)::int as index, turn, coalesce(text, '') as text from conversations)
+select key, index, case when turn % 3 = 2 then 'image' when turn % 3 = 1 and text <> '' then 'text' else 'empty' end as status, case when turn % 3 = 1 then nullif(text, '') end as text,
+  case when turn % 3 = 2 then case when turn % 2 = 0 then 'png' else 'jpeg' end end as extension, case when turn % 3 = 2 then hex(encode(text)) end as data_hex from said where conv_id % 7 < 5
+union all select distinct conv_id::varchar, -1, case when conv_id % 7 = 5 then 'error' else 'unknown' end, case when conv_id % 7 = 5 then '{"code":' || conv_id || '}' end, null, null from conversations where conv_id % 7 >= 5"""
 )
 def api_parts(spark, sf):
-    return batchapi.response_parts(_values(spark, RESPONSES, "line")).withColumn("data_hex", F.hex("data")).withColumn("index", F.coalesce("index", F.lit(-1))).drop("data")
+    return batchapi.response_parts(_responses(spark, sf)).withColumn("data_hex", F.hex("data")).withColumn("index", F.coalesce("index", F.lit(-1))).drop("data")
 
 
 @query(f"with {REQUESTS} select key, batch_id from req where key not in (select printf('%06d', doc_id) from labels where quality = 1)")
