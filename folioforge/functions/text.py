@@ -139,3 +139,13 @@ def data_url(data: Column, mime: Column) -> Column:
 
 def font_url(name: Column) -> Column:
     return F.concat(F.lit("https://fonts.googleapis.com/css2?family="), F.replace(name, F.lit(" "), F.lit("+")), F.lit(":wght@400&display=swap"))
+
+
+def drop_last(text: Column, n: int) -> Column:
+    """Without the last n characters; shorter texts become empty."""
+    return text.substr(F.lit(1), F.greatest(F.length(text) - n, F.lit(0)))
+
+
+def field(text: Column, delimiter: str, index: int) -> Column:
+    """The part of an index (from 0) between delimiters; null beyond the last."""
+    return F.get(split_parts(text, delimiter), F.lit(index))

@@ -215,21 +215,26 @@ def records_of(boxes: str | Column, cell: tuple[float, float] = CELL) -> Column:
     and the work follows the number of boxes.
     """
 
-    def run(rows: pa.Array) -> pa.Array:
-        at, done = 0, []
-        while at < len(rows):
-            n = min(4096, len(rows) - at)
-            while n > 1 and rows.slice(at, n).nbytes > 16 << 20:
-                n //= 2
-            part = rows.slice(at, n)
-            done.append(_records(*part.flatten(), cell))
-            at += n
-        return pa.concat_arrays(done) if done else _records(*rows.flatten(), cell)
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for rows in batches:
+            at, done = 0, []
+            while at < len(rows):
+                n = min(4096, len(rows) - at)
+                while n > 1 and rows.slice(at, n).nbytes > 16 << 20:
+                    n //= 2
+                done.append(records_in(rows.slice(at, n), cell))
+                at += n
+            yield pa.concat_arrays(done) if done else records_in(rows, cell)
 
     column = F.col(boxes) if isinstance(boxes, str) else boxes
     return F.arrow_udf(run, RECORDS)(column)
 
 
+def records_in(rows: pa.Array, cell: tuple[float, float] = CELL) -> pa.Array:
+    """records_of for an Arrow array of boxes, for functions over Arrow batches that make boxes themselves."""
+    return _records(*rows.flatten(), cell)
+
+
 def paired(chars: str | Column, lines: str | Column) -> Column:
     """Two arrays of boxes as records_of takes them."""
     column = lambda x, kind: (F.col(x) if isinstance(x, str) else x).cast(kind)

@@ -67,6 +67,12 @@ def with_style(docs: DataFrame) -> DataFrame:
     return out.withColumns({"viewport_width": F.when(F.col("is_vertical"), 100).otherwise(side).cast("int"), "viewport_height": F.when(F.col("is_vertical"), side).otherwise(100).cast("int")})
 
 
+def with_overrides(styled: DataFrame, **fields: Column) -> DataFrame:
+    """Style fields set from outside where the value is not null; the writing mode follows the orientation, limits drawn before stay."""
+    out = styled.withColumns({name: F.coalesce(value, F.col(name)) for name, value in fields.items()})
+    return out.withColumn("writing_mode", F.when(F.col("is_vertical"), "vertical-rl").otherwise("horizontal-tb"))
+
+
 def span_all(is_vertical: Column, width: Column, height: Column, key: Column) -> Column:
     """Portrait images of vertical and landscape images of horizontal documents span all columns half the time."""
     fits = (is_vertical & (height > width)) | (~is_vertical & (width > height))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import rng
-from ..functions import arrays, text
+from ..functions import arrays, images, text
 from ..operators import batchapi, boxes, dataset, elements, layout, noise, ordering, replay
 from ..rng import sql_h as h
 from ..rng import sql_u as u
@@ -246,9 +246,24 @@ def _spanned(spark, sf) -> DataFrame:
     return rows.withColumn("span_all", F.when(F.col("type") == "image", span))
 
 
+def _images(spark, sf) -> DataFrame:
+    """src and content of the images: headers of PNG, JPEG and BMP files of the drawn sizes."""
+    width, height = _image_size(F.col("src"))
+    return image_slots(spark, sf).select("src", derived.image_bytes(rng.h("kind", F.col("src")) % 3, width, height).alias("content"))
+
+
+@query(f"with {SLOTS}, s as (select substr(id, 1, 3) || '/' || id || '_' || printf('%03d', k) || '.jpg' as src from slots) select src, ['png', 'jpeg', 'bmp'][1 + {h('kind', 'src')} % 3] as type, {_SIZE(0)} as width, {_SIZE(1)} as height from s")
+def image_sizes(spark, sf):
+    return _images(spark, sf).select("src", images.image_size(F.col("content")).alias("s")).select("src", "s.*")
+
+
 @query(f"with {SPANNED} select id, pos, src, width, height, span_all from spanned where type = 'image'")
 def span_all(spark, sf):
-    return _spanned(spark, sf).where("type = 'image'").select("id", "pos", "src", "width", "height", "span_all")
+    """Elements meet their image by src; its header says the size."""
+    sizes = _images(spark, sf).select("src", images.image_size(F.col("content")).alias("s")).select("src", "s.width", "s.height")
+    placed = elements.exploded(_placed(spark, sf)).where("type = 'image'").select("id", "pos", "src", "is_vertical")
+    span = layout.span_all(F.col("is_vertical"), F.col("width"), F.col("height"), F.col("src"))
+    return placed.join(sizes, "src").select("id", "pos", "src", "width", "height", span.alias("span_all"))
 
 
 @query(
@@ -276,8 +291,7 @@ def char_boxes(spark, sf):
 
 
 def _text_lines(spark, sf) -> DataFrame:
-    nodes = _text_nodes(spark, sf).where("content <> ''")
-    records = nodes.select("id", "element", boxes.records_of(derived.boxes_of(F.col("content"), F.col("y0"))).alias("records"))
+    records = derived.line_records(_text_nodes(spark, sf))
     # explode would add a filter that evaluates the records a second time
     return records.select("id", "element", F.explode_outer("records").alias("r")).where("r is not null").select("id", "element", "r.*")
 
@@ -570,9 +584,10 @@ def pad_batch(spark, sf):
     return rows.join(longest, "batch").select("doc_id", arrays.pad_to(F.col("ids"), F.col("n"), 0).alias("ids"))
 
 
-@query("select page_id, rtrim('page_' || (page_id % 7) || 'g.jpg', '.jpg') as charset_id, 'page_' || (page_id % 7) || 'g' as suffix_id from pages")
+@query("with p as (select page_id, regexp_extract(coalesce(url, ''), '[^/]*$') || 'g.jpg' as name from pages) select page_id, rtrim(name, '.jpg') as charset_id, left(name, len(name) - 4) as suffix_id from p")
 def prediction_ids(spark, sf):
-    name = F.concat(F.lit("page_"), (F.col("page_id") % 7).cast("string"), F.lit("g.jpg"))
+    """Ids of image files named after the last part of a URL, by a set of characters and by suffix."""
+    name = F.concat(text.basename(F.coalesce("url", F.lit(""))), F.lit("g.jpg"))
     return table(spark, sf, "pages").select("page_id", text.rstrip_charset(name, ".jpg").alias("charset_id"), text.remove_suffix(name, ".jpg").alias("suffix_id"))
 
 
@@ -706,3 +721,32 @@ def page_files(spark, sf):
     writers.files(pages, folder, "name", "html")
     rows = readers.whole_texts(spark, folder, "*.html")
     return rows.select(F.concat_ws("/", F.slice(F.split("path", "/"), -2, 2)).alias("name"), F.length("value").cast("bigint").alias("n_chars"), F.md5(F.col("value").cast("binary")).alias("digest"))
+
+
+@query(
+    """with said as (select conv_id::varchar as key, (row_number() over (partition by conv_id order by turn) - 1) as index, turn from conversations where conv_id % 7 < 5)
+select 'nano_banana_' || key || '_' || printf('%03d', index) || case when turn % 3 = 2 then case when turn % 2 = 0 then '.png' else '.jpeg' end else '.txt' end as name, key, left(key, greatest(len(key) - 3, 0)) as folder from said"""
+)
+def result_keys(spark, sf):
+    """Names of result files and the keys read back from them; folders drop a key's last three characters."""
+    parts = batchapi.response_parts(_responses(spark, sf)).where("index is not null")
+    name = F.concat(F.lit("nano_banana_"), "key", F.lit("_"), text.zero_pad(F.col("index"), 3), F.lit("."), F.coalesce("extension", F.lit("txt")))
+    key = text.field(F.col("name"), "_", 2)
+    return parts.select(name.alias("name")).select("name", key.alias("key"), text.drop_last(key, 3).alias("folder"))
+
+
+@query(
+    f"""with {STYLE}, o as (select *, {h('override', 'id')} % 3 = 0 as turned from style)
+select id, case when turned then not is_vertical else is_vertical end as is_vertical, case when is_vertical <> turned then 'vertical-rl' else 'horizontal-tb' end as writing_mode, true as show_title, padding, max_img_limit from o"""
+)
+def style_overrides(spark, sf):
+    """Styles with some fields set from outside: titles are shown, a third of the pages is turned."""
+    styled = style_config(spark, sf)
+    turned = F.when(rng.h("override", F.col("id")) % 3 == 0, ~F.col("is_vertical"))
+    return layout.with_overrides(styled, is_vertical=turned, show_title=F.lit(True)).select("id", "is_vertical", "writing_mode", "show_title", "padding", "max_img_limit")
+
+
+@query(f"with {NOISE} select id, {_PATH.format('train')} as image, '{dataset.QUESTION}' as question, text, is_vertical, num_columns, noise_type from noise order by id limit 1")
+def published_head(spark, sf):
+    """The first published row."""
+    return published_rows(spark, sf).orderBy("id").limit(1)

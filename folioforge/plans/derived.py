@@ -8,13 +8,15 @@ every seventh has no height.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.boxes import CHARS, LINES
+from ..operators.boxes import CHARS, LINES, RECORDS, records_in
 
 
 def _char(text: Column, k: Column, y0: Column) -> dict[str, Column]:
@@ -61,15 +63,45 @@ def _arrays(contents: pa.Array, y0: pa.Array) -> pa.Array:
     return pa.StructArray.from_arrays([chars, lines], ["chars", "lines"])
 
 
-def boxes_of(content: Column, y0: Column) -> Column:
-    """The boxes of a content that is not empty as a struct of arrays, chars and lines."""
-    return F.arrow_udf(_arrays, f"struct<chars:{CHARS},lines:{LINES}>")(content, y0.cast("double"))
+def _over(nodes: DataFrame, columns: dict[str, str], of: Callable[[pa.Array], list[pa.Array]]) -> DataFrame:
+    """Columns made of the boxes of nodes with content, beside their other columns; a million characters at a time."""
+    rows = nodes.where("content <> ''").withColumn("y0", F.col("y0").cast("double"))
+    names = [c for c in nodes.columns if c not in ("content", "y0")]
+    kept = rows.select(*names, "content", "y0")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = 0
+            while at < batch.num_rows:
+                n = min(4096, batch.num_rows - at)
+                while n > 1 and batch.slice(at, n).column("content").nbytes > 1 << 20:
+                    n //= 2
+                part = batch.slice(at, n)
+                yield pa.RecordBatch.from_arrays([*part.columns[:-2], *of(_arrays(part.column("content"), part.column("y0")))], names=[*names, *columns])
+                at += n
+
+    kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema if f.name in names] + [f"{k} {v}" for k, v in columns.items()]
+    return kept.mapInArrow(run, ", ".join(kinds))
 
 
 def box_records(nodes: DataFrame) -> DataFrame:
-    """One record an element: the nodes with content, and arrays chars and lines."""
-    found = nodes.where("content <> ''").withColumn("boxes", boxes_of(F.col("content"), F.col("y0")))
-    return found.withColumns({"chars": F.col("boxes.chars"), "lines": F.col("boxes.lines")})
+    """One record an element with content: the nodes' other columns and boxes, a struct of the arrays chars and lines."""
+    return _over(nodes, {"chars": CHARS, "lines": LINES}, lambda boxes: boxes.flatten()).withColumn("boxes", F.struct("chars", "lines"))
+
+
+def line_records(nodes: DataFrame) -> DataFrame:
+    """Lines with tight boxes and texts of nodes with content, as records_of finds them."""
+    return _over(nodes, {"records": RECORDS}, lambda boxes: [records_in(boxes)])
+
+
+def image_bytes(kind: Column, width: Column, height: Column) -> Column:
+    """The first bytes of a PNG (kind 0), a JPEG with two segments before its frame (1) or a BMP (2) of a size."""
+    big = lambda n, size: F.lpad(F.hex(n.cast("bigint")), 2 * size, "0")
+    little = lambda n: F.concat(*[F.substring(big(n, 4), at, 2) for at in (7, 5, 3, 1)])
+    png = F.concat(F.lit("89504E470D0A1A0A0000000D49484452"), big(width, 4), big(height, 4), F.lit("0802000000"))
+    jpeg = F.concat(F.lit("FFD8FFE000104A46494600010100000100010000FFDB0043" + "01" * 65 + "FFC0001108"), big(height, 2), big(width, 2), F.lit("03012200021101031101"))
+    bmp = F.concat(F.lit("424D" + "00" * 8 + "3600000028000000"), little(width), little(height), F.lit("01001800"))
+    return F.unhex(F.when(kind == 0, png).when(kind == 1, jpeg).otherwise(bmp))
 
 
 #: Box tables over a table expression node (id, element, content, y0): all of them, then those with an area.
