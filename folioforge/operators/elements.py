@@ -156,7 +156,7 @@ def match_native(images: Column, texts: Column, seed: Column) -> Column:
     def row(before: Column, image: Column) -> Column:
         def cell(done: Column, j: Column) -> Column:
             last, old, text = F.element_at(done, -1), F.get(before, j), F.get(texts, j)
-            x = (seed + image * IMAGE_FACTOR + text * TEXT_FACTOR) % PRIME
+            x = (seed + image * long(IMAGE_FACTOR) + text * long(TEXT_FACTOR)) % PRIME
             step = (image - text).cast("bigint")
             better = state(old["distance"] + step * step, old["tie"] + x * x % PRIME, F.array_append(old["path"], text))
             return F.array_append(done, F.least(better, last))

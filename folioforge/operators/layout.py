@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .. import rng
-from ..functions.text import font_url
+from ..functions.text import font_url, vertical_digits
 
 # Fixed style values.
 FONTS = [
@@ -91,14 +93,68 @@ def layout_blocks(elements: DataFrame) -> DataFrame:
     return keyed.withColumn("block", block).withColumn("kind", F.when(F.col("full") == 1, "fullwidth").otherwise("multicolumn")).drop("full", "island")
 
 
-def render_html(style: DataFrame) -> DataFrame:
-    """id and html of styled documents with elements; contents are inserted unescaped, the heading has twice the base size."""
-    body = F.array_join(F.transform("elements", lambda e: F.when(e["type"] == "text", F.concat(F.lit("<p>"), e["content"], F.lit("</p>"))).otherwise(F.concat(F.lit('<figure><img src="'), e["src"], F.lit('"><figcaption>'), F.coalesce(e["caption"], F.lit("")), F.lit("</figcaption></figure>")))), "\n")
-    head = F.concat(
-        F.lit('<!DOCTYPE html><html lang="ja"><head><meta charset="utf-8"><link rel="stylesheet" href="'), F.col("font_url"), F.lit('"><style>body{writing-mode:'), F.col("writing_mode"), F.lit(";column-count:"), F.col("column_count").cast("string"),
-        F.lit(";column-gap:"), F.col("column_gap").cast("string"), F.lit("px;column-rule:"), F.col("rule_style"), F.lit(";padding:"), F.col("padding").cast("string"), F.lit("px;font-family:"), F.col("font_family"), F.lit(";font-size:"), F.col("base_font_size").cast("string"),
-        F.lit("px;line-height:"), F.col("line_height").cast("string"), F.lit(";color:"), F.col("text_color"), F.lit(";background:"), F.col("bg_color"), F.lit("}h1{font-size:"), (2 * F.col("base_font_size")).cast("string"),
-        F.lit("px}figure{background:"), F.col("figure_bg_color"), F.lit(";text-align:"), F.col("image_alignment"), F.lit("}img{max-inline-size:"), F.col("max_img_limit").cast("string"), F.lit("px}</style></head><body>"),
-    )
-    title = F.when(F.col("show_title"), F.concat(F.lit("<h1>"), F.col("title"), F.lit("</h1>"))).otherwise("")
-    return style.select("id", F.concat(head, title, body, F.lit("</body></html>")).alias("html"))
+#: Rules of a page; names in braces are style fields or the derived ones of page_fields.
+PAGE_RULES = """html{height:100%;margin:0}
+body{margin:0;padding:{padding}px;background-color:{bg_color};color:{text_color};font-family:{font_family};writing-mode:{writing_mode};text-orientation:mixed;box-sizing:border-box;{page_size}}
+h1{font-size:{title_size}px;font-weight:700;margin-left:10px;margin-bottom:30px;flex-shrink:0;{title_line}}
+.content-body{column-count:{column_count};column-gap:{column_gap}px;column-rule:{rule_style};font-size:{base_font_size}px;line-height:{line_height};text-align:justify;column-fill:balance;{body_size}}
+p{margin-top:0;margin-bottom:1em;text-indent:1em}
+.tcy{text-combine-upright:all;font-family:{font_family};margin:2px 0}
+figure{display:block;margin:0;padding:5px;background-color:{figure_bg_color};text-align:{image_alignment};break-inside:avoid;box-sizing:border-box;{figure_size}}
+figure.span-all{text-align:center;{span_size}}
+.content-image{display:block;max-width:100%;max-height:100%;width:auto;height:auto;object-fit:contain;margin-inline:{image_margin}}
+figure.span-all .content-image{margin-inline:auto}
+figcaption{font-size:0.9em;margin-top:5px;margin-bottom:5px;line-height:1.4}"""
+
+
+def page_fields() -> dict[str, Column]:
+    """What the rules need beside the style: sizes by orientation, the heading's line, the images' margin."""
+    tall, px = F.col("is_vertical"), lambda c: F.concat(c.cast("string"), F.lit("px"))
+    inner = F.concat(F.lit("height:calc(100vh - "), px(2 * F.col("padding")), F.lit(");width:auto"))
+    line = F.concat_ws(" ", px(F.col("h1_border_width")), "h1_border_style", "text_color")
+    side = lambda edge, pad: F.concat(F.lit(f"border-{edge}:"), line, F.lit(f";padding-{edge}:{pad}px"))
+    left, bottom = F.when(tall, side("top", 15)).otherwise(side("left", 15)), F.when(tall, side("left", 10)).otherwise(side("bottom", 10))
+    spanning = F.concat(inner, F.lit(";margin:0 "), px(F.col("column_gap")), F.lit(";display:flex;flex-direction:column;align-items:center;justify-content:center;padding:20px"))
+    return {
+        "page_size": F.when(tall, "height:100%;width:auto").otherwise("height:auto;min-height:100%;width:100%"),
+        "title_size": (2 * F.col("base_font_size")).cast("string"),
+        "title_line": F.when(F.col("h1_decoration") == "left", left).when(F.col("h1_decoration") == "bottom", bottom).otherwise(""),
+        "body_size": F.when(tall, inner).otherwise("width:100%;display:block"),
+        "figure_size": F.when(tall, "max-height:100%;max-width:100%;width:auto;height:auto;margin-left:auto;margin-right:auto").otherwise("width:100%;height:auto"),
+        "span_size": F.when(tall, spanning).otherwise("column-span:all;width:100%;height:auto;margin:30px 0;padding:10px"),
+        "image_margin": F.when(F.col("image_alignment") == "center", "auto").otherwise("0"),
+    }
+
+
+def _filled(template: str, fields: dict[str, Column]) -> Column:
+    """A template with its names in braces replaced."""
+    parts = re.split(r"\{([a-z_0-9]+)\}", template)
+    return F.concat(*[F.lit(p) if k % 2 == 0 else fields.get(p, F.col(p)).cast("string") for k, p in enumerate(parts)])
+
+
+def page_body(elements: str = "elements") -> Column:
+    """Paragraphs and figures with their places as data-id, in blocks: in vertical documents a spanning image ends the columns and stands between them.
+
+    Contents and captions are inserted as they are, in vertical documents with short numbers upright; a figure without a caption has no caption line.
+    """
+    tall, limit = F.col("is_vertical"), F.concat(F.col("max_img_limit").cast("string"), F.lit("px"))
+    upright = lambda c: F.when(tall, vertical_digits(c)).otherwise(c)
+    spans = lambda e: (e["type"] == "image") & F.coalesce(e["span_all"], F.lit(False))
+    alone = lambda i: F.get(elements, i).isNull() | (tall & spans(F.get(elements, i)))  # noqa: E731  beyond either end, too
+
+    def piece(e: Column, i: Column) -> Column:
+        caption = F.when(F.coalesce(e["caption"], F.lit("")) != "", F.concat(F.lit("<figcaption>"), upright(e["caption"]), F.lit("</figcaption>"))).otherwise("")
+        bound = F.when(tall & spans(e), F.concat(F.lit("max-height:90%;max-width:"), limit)).when(tall, F.concat(F.lit("max-width:"), limit)).otherwise(F.concat(F.lit("max-height:"), limit))
+        figure = F.concat(F.lit('<figure class="'), F.when(spans(e), "span-all").otherwise("normal"), F.lit('" data-id="'), i.cast("string"), F.lit('"><img src="'), F.coalesce(e["src"], F.lit("")), F.lit('" class="content-image" style="'), bound, F.lit('">'), caption, F.lit("</figure>"))
+        inner = F.when(e["type"] == "text", F.concat(F.lit('<p data-id="'), i.cast("string"), F.lit('">'), upright(F.coalesce(e["content"], F.lit(""))), F.lit("</p>"))).otherwise(figure)
+        opening, closing = F.when(alone(i - 1), '<div class="content-body">').otherwise(""), F.when(alone(i + 1), "</div>").otherwise("")
+        return F.when(tall & spans(e), inner).otherwise(F.concat(opening, inner, closing))
+
+    return F.array_join(F.transform(elements, piece), "\n")
+
+
+def render_html(pages: DataFrame) -> DataFrame:
+    """id and html of styled documents (see with_style) with title and elements; null elements make an empty body."""
+    head = F.concat(F.lit('<!DOCTYPE html>\n<html lang="ja">\n<head><meta charset="UTF-8"><link href="'), F.col("font_url"), F.lit('" rel="stylesheet"><style>\n'), _filled(PAGE_RULES, page_fields()), F.lit("\n</style></head>\n<body>\n"))
+    title = F.when(F.col("show_title"), F.concat(F.lit('<h1 data-id="title">'), F.coalesce("title", F.lit("")), F.lit("</h1>\n"))).otherwise("")
+    return pages.select("id", F.concat(head, title, F.coalesce(page_body(), F.lit("")), F.lit("\n</body>\n</html>")).alias("html"))

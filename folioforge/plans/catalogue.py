@@ -675,10 +675,44 @@ def replay_inputs(spark, sf):
     return rows.select("id", "status", "width", F.size(rects).alias("n_rects"), shown.alias("rects"), color[0].alias("blue"), color[2].alias("red"), F.col("config.rotation.angle").alias("angle"), F.col("config.paper_texture.seed").alias("seed"), F.col("config.blur.applied").alias("blur"))
 
 
-@query()
+def _page_sql() -> str:
+    """The page's rules filled by replacing one name after the other, its body by aggregation over numbered elements."""
+    line = "h1_border_width || 'px ' || h1_border_style || ' ' || text_color"
+    inner = "'height:calc(100vh - ' || 2 * padding || 'px);width:auto'"
+    side = lambda edge, pad: f"'border-{edge}:' || {line} || ';padding-{edge}:{pad}px'"
+    fields = {
+        "page_size": "case when is_vertical then 'height:100%;width:auto' else 'height:auto;min-height:100%;width:100%' end",
+        "title_size": "2 * base_font_size",
+        "title_line": f"case when h1_decoration = 'left' then case when is_vertical then {side('top', 15)} else {side('left', 15)} end when h1_decoration = 'bottom' then case when is_vertical then {side('left', 10)} else {side('bottom', 10)} end else '' end",
+        "body_size": f"case when is_vertical then {inner} else 'width:100%;display:block' end",
+        "figure_size": "case when is_vertical then 'max-height:100%;max-width:100%;width:auto;height:auto;margin-left:auto;margin-right:auto' else 'width:100%;height:auto' end",
+        "span_size": f"case when is_vertical then {inner} || ';margin:0 ' || column_gap || 'px;display:flex;flex-direction:column;align-items:center;justify-content:center;padding:20px' else 'column-span:all;width:100%;height:auto;margin:30px 0;padding:10px' end",
+        "image_margin": "case when image_alignment = 'center' then 'auto' else '0' end",
+        **{k: k for k in ("padding", "bg_color", "text_color", "font_family", "writing_mode", "column_count", "column_gap", "rule_style", "base_font_size", "line_height", "figure_bg_color", "image_alignment")},
+    }
+    rules = "'" + layout.PAGE_RULES + "'"
+    for name, value in fields.items():
+        rules = f"replace({rules}, '{{{name}}}', ({value})::varchar)"
+    return rules
+
+
+# texts of lines hold no short numbers between Japanese characters, so vertical ones stay as they are
+PAGES = f"""{SPANNED}, {STYLES},
+near as (select *, is_vertical and coalesce(span_all, false) as alone from spanned), ends as (select *, coalesce(lag(alone) over w, true) as opens, coalesce(lead(alone) over w, true) as closes from near window w as (partition by id order by pos)),
+piece as (select e.id, pos, case when alone then '' when opens then '<div class="content-body">' else '' end || case when type = 'text' then '<p data-id="' || pos || '">' || content || '</p>'
+  else '<figure class="' || case when e.span_all then 'span-all' else 'normal' end || '" data-id="' || pos || '"><img src="' || src || '" class="content-image" style="' || case when alone then 'max-height:90%;max-width:' when e.is_vertical then 'max-width:' else 'max-height:' end || max_img_limit || 'px"><figcaption>caption of ' || src || '</figcaption></figure>' end
+  || case when alone then '' when closes then '</div>' else '' end as s from ends e join style using (id)),
+body as (select id, string_agg(s, chr(10) order by pos) as body from piece group by id)"""
+
+
+@query(
+    f"""with {PAGES} select id, '<!DOCTYPE html>' || chr(10) || '<html lang="ja">' || chr(10) || '<head><meta charset="UTF-8"><link href="' || font_url || '" rel="stylesheet"><style>' || chr(10) || {_page_sql()} || chr(10) || '</style></head>' || chr(10) || '<body>' || chr(10)
+  || case when show_title then '<h1 data-id="title">Title ' || id || '</h1>' || chr(10) else '' end || body || chr(10) || '</body>' || chr(10) || '</html>' as html from style join body using (id)"""
+)
 def render_html(spark, sf):
-    labels = _labels(spark, sf)
-    return layout.render_html(layout.with_style(labels.drop("show_title")))
+    sized = lambda e: layout.span_all(F.col("is_vertical"), *_image_size(e["src"]), e["src"])
+    spanned = F.transform("elements", lambda e: F.when(e["type"] == "image", e.withField("span_all", sized(e))).otherwise(e))
+    return layout.render_html(layout.with_style(_labels(spark, sf).drop("show_title").withColumn("elements", spanned)))
 
 
 @query(f"with {CORPUS}, n as (select id, row_number() over (order by id) - 1 as r, count(*) over () as c from corpus) select id, r // ((c + 6) // 7) as chunk from n")

@@ -165,3 +165,28 @@ def test_stream_resumes(spark, tmp_path):
     spark.range(5, 8).withColumn("x", F.lit("b")).write.parquet(f"{tmp_path}/in/2")
     call()
     assert sorted(r.id for r in spark.read.parquet(f"{tmp_path}/out").collect()) == list(range(8))
+
+
+def test_pages_have_blocks(spark):
+    style = layout.with_style(spark.createDataFrame([("v", True, 2), ("h", False, 1), ("n", True, 1)], "id string, is_vertical boolean, column_count int"))
+    element = "array<struct<type:string,content:string,src:string,caption:string,span_all:boolean>>"
+    parts = [("text", "年12月", None, None, None), ("image", None, "s", "図3月", True), ("image", None, "t", None, True), ("text", None, None, None, None), ("image", None, "u", "", False)]
+    docs = spark.createDataFrame([("v", "T", parts), ("h", "T", parts), ("n", None, None)], f"id string, title string, elements {element}")
+    pages = layout.with_overrides(style.join(docs, "id"), show_title=F.lit(True), max_img_limit=F.lit(300))
+    got = {r.id: r.html.partition("<body>\n")[2].partition("\n</body>")[0].split("\n") for r in layout.render_html(pages).collect()}
+    figure = '<figure class="{}" data-id="{}"><img src="{}" class="content-image" style="{}300px">{}</figure>'.format
+    assert got["v"] == [
+        '<h1 data-id="title">T</h1>',
+        '<div class="content-body"><p data-id="0">年<span class="tcy">12</span>月</p></div>',
+        figure("span-all", 1, "s", "max-height:90%;max-width:", '<figcaption>図<span class="tcy">3</span>月</figcaption>'),
+        figure("span-all", 2, "t", "max-height:90%;max-width:", ""),
+        '<div class="content-body"><p data-id="3"></p>',
+        figure("normal", 4, "u", "max-width:", "") + "</div>",
+    ]
+    assert got["h"][1:3] == ['<div class="content-body"><p data-id="0">年12月</p>', figure("span-all", 1, "s", "max-height:", "<figcaption>図3月</figcaption>")]
+    assert got["h"][-1] == figure("normal", 4, "u", "max-height:", "") + "</div>" and got["n"] == ['<h1 data-id="title"></h1>', ""]
+
+
+def test_names_and_keys(spark):
+    r = one(spark, a=text.drop_last(F.lit("000123"), 3), b=text.drop_last(F.lit("ab"), 3), c=text.field(F.lit("nano_banana_7_001.png"), "_", 2), d=text.field(F.lit("x"), "_", 2))
+    assert (r.a, r.b, r.c, r.d) == ("000", "", "7", None)
