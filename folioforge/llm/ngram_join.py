@@ -32,7 +32,8 @@ Exact copies collapse to one set beforehand, inside each task and over all.
 
 Defined cases: null texts and texts without words have an empty set, link with
 nothing and are their own component; a text of fewer than k words has one
-shingle, the whole sequence; repeated rows and ids fall into one component; rows
+shingle, the whole sequence; every row is judged by its text, so rows of one id
+and different texts may be in different components, named by their least ids; rows
 without an id take part, and a component of such rows alone has no id; an empty
 table gives an empty result; other columns are not read by the join. Ids are integers.
 """
@@ -183,7 +184,7 @@ def _classes(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             sets = shingle_sets(batch.column(1), k)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_id(s) for s in sets], pa.int64())], names=["doc_id", "n", "set"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_id(s) for s in sets], pa.int64()), *batch.columns[2:]], names=["doc_id", "n", "set", *batch.schema.names[2:]])
 
     return run
 
@@ -510,7 +511,8 @@ def shingle_components(docs: DataFrame, k: int = 3, num: int = 90, den: int = 10
 
 def _components(texts: DataFrame, k: int, num: int, den: int, hot: int = HOT) -> DataFrame:
     bands = Bands(num, den)
-    classes = save(texts.mapInArrow(lean(_classes(k)), "doc_id long, n long, set long"), "sets")
+    more = [c for c in texts.columns if c == "mark"]
+    classes = save(texts.mapInArrow(lean(_classes(k)), "doc_id long, n long, set long" + ", mark long" * len(more)), "sets")
     index = _index(texts.select("text").mapInArrow(lean(_keys(k, bands)), "key long, set long"), "segment-index")
     first = classes.where("n > 0").groupBy("set").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"))
     # stored first, as the ends of pairs are: while its size is unknown, all texts are dealt by id beside it
@@ -529,10 +531,10 @@ def _components(texts: DataFrame, k: int, num: int, den: int, hot: int = HOT) ->
 
     named = first.join(state.parts, "set", "left").select("set", "doc_id", F.coalesce("part", "set").alias("part"))
     least = named.groupBy("part").agg(F.min("doc_id").alias("component_id"))
-    of_set = save(named.join(least, "part").select("set", "component_id"), "set-components")
+    of_set = save(named.join(least, "part").select("set", "part", "component_id"), "set-components")
     joined = classes.join(of_set, "set", "left")
     component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-    return joined.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
+    return joined.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), *more, *["part" for _ in more])
 
 
 def near_duplicate_filter(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -542,9 +544,15 @@ def near_duplicate_filter(docs: DataFrame, k: int = 5, num: int = 80, den: int =
     where no row with an id is in their component, equal texts of them once; null
     and empty texts stay. Input columns may have any names.
     """
-    found = _components(_numbered(docs, id_col, text_col), k, num, den)
-    kept = save(found.where(F.col("doc_id") == F.col("component_id")).select("doc_id"), "kept-ids")
-    ids = kept.groupBy("doc_id").agg(F.count("*").alias("times"))
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), _numbered_id(id_col, text_col).alias("at"))
-    out = rows.join(ids.select(F.col("doc_id").alias("at")), "at", "left_semi").select("row.*")
+    # rows are told apart by their id and a hash of their text, since an id may have several texts
+    mark = F.xxhash64(F.col(f"`{text_col}`"))
+    texts = docs.select(_numbered_id(id_col, text_col).alias("doc_id"), F.col(f"`{text_col}`").alias("text"), mark.alias("mark"))
+    found = save(_components(texts, k, num, den).where(F.col("doc_id") == F.col("component_id")), "kept-rows")
+    # of a component with several texts of its least id, one stays; components of one least id are told apart by part
+    texts_of = found.where("n_shingles > 0").groupBy("part", "doc_id", "mark").agg(F.count("*").alias("times"))
+    least = texts_of.groupBy("part").agg(F.min("mark").alias("mark"))
+    kept = texts_of.join(least, ["part", "mark"], "left_semi").select("doc_id", "mark", "times").unionByName(found.where("n_shingles = 0").groupBy("doc_id", "mark").agg(F.count("*").alias("times")))
+    ids = save(kept, "kept-ids")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), _numbered_id(id_col, text_col).alias("at"), mark.alias("mark"))
+    out = rows.join(ids.select(F.col("doc_id").alias("at"), "mark"), ["at", "mark"], "left_semi").select("row.*")
     return out if ids.where("times > 1").isEmpty() else out.dropDuplicates([id_col, text_col])

@@ -288,6 +288,17 @@ def test_near_duplicate_filter_keeps_one(spark):
     assert ngram_join.near_duplicate_filter(rows.limit(0)).count() == 0
 
 
+def test_near_duplicate_filter_goes_by_row(spark):
+    """One id with several texts: an exact copy of another row goes, a text of its own stays, of two texts of the least id one stays."""
+    a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    docs = spark.createDataFrame([(5, a), (5, b), (3, b), (7, c), (7, c + " more"), (8, c), (9, None), (9, "")], "doc_id long, text string")
+    kept = [tuple(r) for r in ngram_join.near_duplicate_filter(docs).collect()]
+    assert sorted(kept, key=repr)[:2] == [(3, b), (5, a)] and len(kept) == 5
+    assert {(9, None), (9, "")} <= set(kept) and len([t for i, t in kept if i == 7]) == 1
+    found = sorted((r.doc_id, r.component_id) for r in ngram_join.shingle_components(docs, 5, 80, 100).collect())
+    assert found == [(3, 3), (5, 3), (5, 5), (7, 7), (7, 7), (8, 7), (9, 9), (9, 9)]
+
+
 @pytest.mark.parametrize("chunk,turns", [(250_000, 32), (7, 2), (1, 1)])
 def test_components(spark, chunk, turns, monkeypatch):
     monkeypatch.setattr(components, "CHUNK", chunk)
