@@ -100,13 +100,14 @@ def scan_licenses(files: DataFrame, templates: dict[str, list[str]] | None = Non
     spark = files.sparkSession
     template, idf, other = _tables(spark, wordings() if templates is None else templates)
     rows = files.select(F.col(id_col).alias("id"), F.col(path_col).alias("path"), F.col(text_col).alias("text"), F.coalesce(F.col(file_col), F.lit(False)).alias("whole"))
+    rows = rows.withColumn("content", F.xxhash64("text"))  # rows of one id and path may have different texts
     marked = rows.where(F.col("text").rlike(MARKER))
     marked = marked.withColumn("lines", F.split("text", "\n", -1)).withColumn("hits", F.transform("lines", lambda x: x.rlike(MARKER)))
     first, size = F.array_position("hits", True).cast("int"), F.size("hits")
     span = F.array_join(F.slice("lines", first, size - F.array_position(F.reverse("hits"), True).cast("int") + 2 - first), "\n")
     blocks = F.filter(F.concat("lines", F.split("text", BLANK, -1)), lambda x: x.rlike(MARKER))
     parts = F.array_distinct(F.concat(blocks, F.array(span), F.when(F.col("whole"), F.array("text")).otherwise(F.array().cast("array<string>"))))
-    units = save(marked.select("id", "path", "whole", F.explode(parts).alias("t")).withColumn("unit", F.md5("t")), "license-units")
+    units = save(marked.select("id", "path", "whole", "content", F.explode(parts).alias("t")).withColumn("unit", F.md5("t")), "license-units")
     # equal units are scored once; all sums stay within the partition of their unit
     texts = units.groupBy("unit").agg(F.first("t").alias("t"))
     terms = texts.select("unit", F.explode(F.regexp_extract_all(F.lower("t"), F.lit(TERM), F.lit(0))).alias("term"))
@@ -117,7 +118,7 @@ def scan_licenses(files: DataFrame, templates: dict[str, list[str]] | None = Non
     scored = dots.select("unit", "license", F.round(F.col("dot") / F.col("norm"), 6).alias("score")).where(F.col("score") >= least)
     best = F.min_by(F.struct("license", "score"), F.struct(-F.col("score"), F.col("license")))
     of_unit = scored.groupBy("unit").agg(best.alias("b")).select("unit", "b.license", "b.score")
-    own = save(units.select("id", "path", "whole", "unit").join(of_unit, "unit").groupBy("id", "path", "whole").agg(best.alias("b")).select("id", "path", "whole", "b.license", "b.score"), "own-licenses")
+    own = save(units.select("id", "path", "whole", "content", "unit").join(of_unit, "unit").groupBy("id", "path", "whole", "content").agg(best.alias("b")).select("id", "path", "whole", "content", "b.license", "b.score"), "own-licenses")
 
     folder = F.regexp_extract("path", r"^(.*)/[^/]*$", 1)
     licensed = own.where("whole and path is not null").groupBy(folder.alias("dir")).agg(F.min_by(F.struct("license", "score", "path"), F.struct(-F.col("score"), F.col("path"), F.col("license"))).alias("l"))
@@ -125,8 +126,9 @@ def scan_licenses(files: DataFrame, templates: dict[str, list[str]] | None = Non
     parts = F.split("of", "/")
     ancestors = dirs.select("of", F.explode(F.concat(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, 1, i), "/")), F.array(F.lit("")))).alias("dir")).distinct()
     nearest = ancestors.join(licensed, "dir").groupBy("of").agg(F.max_by("l", F.length("dir")).alias("l"))
-    mine = own.select(F.col("id").alias("i"), F.col("path").alias("p"), F.col("whole").alias("w"), "license", "score")
-    out = rows.select("id", "path", "whole", folder.alias("folder")).join(mine, F.col("id").eqNullSafe(F.col("i")) & F.col("path").eqNullSafe(F.col("p")) & (F.col("whole") == F.col("w")), "left").join(nearest, F.col("folder") == F.col("of"), "left")
+    mine = own.select(F.col("id").alias("i"), F.col("path").alias("p"), F.col("whole").alias("w"), F.col("content").alias("c"), "license", "score")
+    same = F.col("id").eqNullSafe(F.col("i")) & F.col("path").eqNullSafe(F.col("p")) & (F.col("whole") == F.col("w")) & (F.col("content") == F.col("c"))
+    out = rows.select("id", "path", "whole", "content", folder.alias("folder")).join(mine, same, "left").join(nearest, F.col("folder") == F.col("of"), "left")
     has = F.col("license").isNotNull()
     return out.select(
         F.col("id").alias(id_col),

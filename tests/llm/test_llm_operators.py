@@ -288,6 +288,13 @@ def test_near_duplicate_filter_keeps_one(spark):
     assert ngram_join.near_duplicate_filter(rows.limit(0)).count() == 0
 
 
+def test_licenses_of_rows_with_one_id_and_path(spark):
+    mit, apache = (licenses.wordings()[k][0] for k in ("MIT", "Apache-2.0"))
+    rows = [("1", "a/x", mit, False), ("1", "a/x", apache, False), ("1", "a/x", apache, False), ("1", "a/x", "nothing", False)]
+    got = licenses.scan_licenses(spark.createDataFrame(rows, "id string, path string, text string, is_license_file boolean")).collect()
+    assert sorted((r.license or "", r.origin or "") for r in got) == [("", ""), ("Apache-2.0", "own"), ("Apache-2.0", "own"), ("MIT", "own")]
+
+
 def test_near_duplicate_filter_goes_by_row(spark):
     """One id with several texts: an exact copy of another row goes, a text of its own stays, of two texts of the least id one stays."""
     a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
