@@ -118,15 +118,28 @@ def _per_document(path: str, head):
     return run
 
 
+def _least_frequency(vocabulary: DataFrame, head: int) -> int:
+    """The frequency from which on there are at most head pieces, from counts by eighths of a power of two (some hundred rows, whatever the vocabulary)."""
+    eighth = F.floor(8 * F.log2("n"))
+    bins = vocabulary.groupBy(eighth.alias("bin")).agg(F.count("*").alias("pieces"), F.min("n").alias("least"), F.max("n").alias("most")).collect()
+    least, rest = max((b["most"] for b in bins), default=0) + 1, head
+    for b in sorted(bins, key=lambda b: -b["bin"]):
+        rest -= b["pieces"]
+        if rest < 0:
+            break
+        least = b["least"]
+    return least
+
+
 def count_tokens(docs: DataFrame, model: str = "piece_bpe_32k.model", limit: int = 4096, head: int = HEAD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit for every row of docs."""
     spark, path = docs.sparkSession, tokenizer_path(model)
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     freq = texts.select("text").mapInArrow(lean(_frequencies), "piece string, n long").groupBy("piece").agg(F.sum("n").alias("n"))
     vocabulary = save(freq.mapInArrow(lean(_piece_counter(path)), "piece string, n long, n_pieces long"), "piece-counts")
-    top = vocabulary.where(F.length("piece") <= HEAD_CHARS).orderBy(F.desc("n"), "piece").limit(head)
-    known = {r.piece: r.n_pieces for r in top.select("piece", "n_pieces").toLocalIterator()} if head else {}
-    sent = spark.sparkContext.broadcast(known)
+    short = vocabulary.where(F.length("piece") <= HEAD_CHARS)
+    top = short.where(F.col("n") >= _least_frequency(short, head)).select("piece", "n_pieces").toArrow()  # at most head rows
+    sent = spark.sparkContext.broadcast(dict(zip(top.column(0).to_pylist(), top.column(1).to_pylist())))
     per_doc = save(texts.mapInArrow(lean(_per_document(path, sent)), _PER_DOC), "piece-frequencies")
     rest = (
         per_doc.select("uid", F.explode("rest").alias("r"))

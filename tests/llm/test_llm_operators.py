@@ -288,6 +288,17 @@ def test_near_duplicate_filter_keeps_one(spark):
     assert ngram_join.near_duplicate_filter(rows.limit(0)).count() == 0
 
 
+def test_broadcast_pieces_are_the_most_frequent_ones_and_bounded(spark):
+    counts = [1] * 500 + [2] * 100 + [3] * 40 + [50] * 7 + [1000, 40_000]
+    rows = spark.createDataFrame([(str(i), n) for i, n in enumerate(counts)], "piece string, n long")
+    for head in (0, 1, 2, 5, 9, 10, 60, 149, 648, 649, 10_000):
+        least = token_counts._least_frequency(rows, head)
+        taken = sum(n >= least for n in counts)
+        below = max((n for n in counts if n < least), default=None)
+        assert taken <= head and (below is None or taken + counts.count(below) > head)
+    assert token_counts._least_frequency(rows.limit(0), 10) == 1
+
+
 def test_licenses_of_rows_with_one_id_and_path(spark):
     mit, apache = (licenses.wordings()[k][0] for k in ("MIT", "Apache-2.0"))
     rows = [("1", "a/x", mit, False), ("1", "a/x", apache, False), ("1", "a/x", apache, False), ("1", "a/x", "nothing", False)]
