@@ -163,8 +163,9 @@ def judge_urls(pages: DataFrame, rules: list[tuple[str, str]], edges: DataFrame
     said = decisions.where("address is not null and rule_verdict is not null").groupBy("address").agg(F.max((F.col("rule_verdict") == "allow")).alias("allowed"), F.max((F.col("rule_verdict") == "block")).alias("blocked"))
     of_class = said.join(classes, said.address == classes.node, "left").groupBy(F.coalesce("component", "address").alias("class")).agg(F.max("allowed").alias("allowed"), F.max("blocked").alias("blocked"))
     decided = of_class.where("blocked and not allowed").select("class")
-    # back to addresses: members of the classes with edges, and classes without any
-    blocked = decided.join(classes, decided["class"] == classes.component, "left").select(F.coalesce("node", "class").alias("blocked_address")).distinct()
+    # back to addresses: members of the classes with edges, whose large classes an inner join lets Spark split, and what the class is named after
+    members = classes.join(decided, classes.component == decided["class"]).select(F.col("node").alias("blocked_address"))
+    blocked = members.union(decided).distinct()
     open_rows = rows.where("rule_verdict is null").join(blocked, F.col("address") == F.col("blocked_address"), "left")
     verdict = F.when(F.col("blocked_address").isNotNull(), "block").otherwise("allow")
     found = open_rows.select("_id", "host", "path", "rule", verdict.alias("verdict"))
