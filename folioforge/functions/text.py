@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# Digits, and the characters beside which short digit runs are set upright.
 HALF, FULL = "0123456789", "０１２３４５６７８９"
 KANJI_DIGITS = "〇一二三四五六七八九"
-#: Characters beside which short digit runs are set upright.
 JAPANESE = r"[ 　-〿぀-ゟ゠-ヿ一-鿿！-／：-￯]"
 
 # Fixed caption templates (vertical, horizontal); h half-width, f full-width, k kanji numeral, t caption text.
@@ -64,6 +64,7 @@ def remove_outer_brackets(text: Column, start: str = "「", end: str = "」") ->
 
 def strip_figure_prefix(text: Column) -> Column:
     """Without a leading figure word, its number and separators."""
+    # fixed pattern
     return F.regexp_replace(text, r"(?U)^図\s*(?:\d+[：:\.\s]*|[：:\.\s]+)", "")
 
 

@@ -10,10 +10,10 @@ from pyspark.sql import functions as F
 
 from ..schemas import API_RESPONSE
 
+# Batch size, final states, image sizes, prompts.
 BATCH_SIZE = 500
 TERMINAL = ["JOB_STATE_SUCCEEDED", "JOB_STATE_FAILED", "JOB_STATE_CANCELLED", "JOB_STATE_EXPIRED"]
 IMAGE_SIZES = [(1024, 1024), (1152, 896), (896, 1152), (1152, 864), (864, 1152), (1248, 832), (832, 1248), (1280, 720), (720, 1280), (1344, 576), (576, 1344)]
-# Fixed prompts.
 IMAGE_PROMPT = "この段落のテキストに関連した画像を、画像生成モデルによって生成したいです。その画像を描写する、適切なプロンプトを日本語の文章として出力してください。出力はプロンプトのみとしてください。\n\n対象となる段落:\n"
 TITLE_PROMPT = ("このテキストに関して、適切な日本語タイトルを出力してください。出力はタイトルのみとしてください。\n\n対象となるテキスト:\n```\n", "\n```\n")
 DOCUMENT_PROMPT = (

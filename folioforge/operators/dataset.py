@@ -11,6 +11,7 @@ from .. import rng
 from ..functions.text import strip
 from .ordering import kth_keys
 
+# Question, file names and folders by noise class.
 QUESTION = "この画像内のテキストを日本語の読み順に従って全て出力してください。出力は画像内のテキストのみとしてください。"
 NOISE_SUFFIX = {0: ".png", 1: "_scan.png", 2: "_augraphy.png"}
 NOISE_DIR = {0: "image", 1: "image_noise_scan", 2: "image_noise_augraphy"}
@@ -74,5 +75,5 @@ def done_everywhere(key: str, *tables: DataFrame) -> DataFrame:
 
 def require_all(rows: DataFrame, needed: DataFrame, key: str) -> DataFrame:
     """Rows with a status instead of a failed assertion: ok, or missing."""
-    marked = needed.select(key).distinct().withColumn("_ok", F.lit(True))
-    return rows.join(marked, key, "left").withColumn("status", F.when(F.col("_ok"), "ok").otherwise("missing")).drop("_ok")
+    marked = needed.select(key).distinct().withColumn("folio_found", F.lit(True))
+    return rows.join(marked, key, "left").withColumn("status", F.when(F.col("folio_found"), "ok").otherwise("missing")).drop("folio_found")

@@ -168,10 +168,10 @@ def match_native(images: Column, texts: Column, seed: Column) -> Column:
 
 def with_matches(placed: DataFrame, matches: DataFrame) -> DataFrame:
     """Set text_index of the image elements."""
-    of = matches.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("image_index", "text_index"))).alias("_m"))
+    of = matches.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("image_index", "text_index"))).alias("folio_matches"))
     joined = placed.join(of, "id", "left")
-    found = F.transform("elements", lambda e, i: F.when(e["type"] == "image", e.withField("text_index", F.try_element_at(F.col("_m"), i))).otherwise(e))
-    return joined.withColumn("elements", found).drop("_m")
+    found = F.transform("elements", lambda e, i: F.when(e["type"] == "image", e.withField("text_index", F.try_element_at(F.col("folio_matches"), i))).otherwise(e))
+    return joined.withColumn("elements", found).drop("folio_matches")
 
 
 def exploded(elements: DataFrame) -> DataFrame:

@@ -88,9 +88,9 @@ def layout_blocks(elements: DataFrame) -> DataFrame:
     """
     w = Window.partitionBy("id").orderBy("pos")
     full = (F.col("is_vertical") & (F.col("type") == "image") & F.coalesce("span_all", F.lit(False))).cast("int")
-    keyed = elements.withColumn("full", full).withColumn("island", 2 * F.sum("full").over(w) - F.col("full"))
-    block = (F.dense_rank().over(Window.partitionBy("id").orderBy("island")) - 1).cast("int")
-    return keyed.withColumn("block", block).withColumn("kind", F.when(F.col("full") == 1, "fullwidth").otherwise("multicolumn")).drop("full", "island")
+    keyed = elements.withColumn("folio_full", full).withColumn("folio_island", 2 * F.sum("folio_full").over(w) - F.col("folio_full"))
+    block = (F.dense_rank().over(Window.partitionBy("id").orderBy("folio_island")) - 1).cast("int")
+    return keyed.withColumn("block", block).withColumn("kind", F.when(F.col("folio_full") == 1, "fullwidth").otherwise("multicolumn")).drop("folio_full", "folio_island")
 
 
 #: Rules of a page; names in braces are style fields or the derived ones of page_fields.
