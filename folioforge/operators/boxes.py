@@ -143,68 +143,133 @@ class _Boxes:
         self.x2, self.y2 = self.x + width[self.kept], self.y + height[self.kept]
 
 
+def _key(owner: np.ndarray, cx: np.ndarray, cy: np.ndarray) -> np.ndarray:
+    """A cell's key; it only brings candidates together, so two cells may share one."""
+    return (owner.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + cx.astype(np.uint64)) * np.uint64(0xD6E8FEB86659FD93) + cy.astype(np.uint64)
+
+
 def _cells_of(owner: np.ndarray, x: np.ndarray, y: np.ndarray, x2: np.ndarray, y2: np.ndarray, cell: tuple[float, float]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Box number, cell column, cell row and key of every cell touched, in order of boxes."""
     cx, cy = np.floor(x / cell[0]).astype(np.int64), np.floor(y / cell[1]).astype(np.int64)
     wide, high = np.floor(x2 / cell[0]).astype(np.int64) - cx + 1, np.floor(y2 / cell[1]).astype(np.int64) - cy + 1
     count = wide * high
     box = np.repeat(np.arange(len(owner)), count)
-    k = np.arange(len(box)) - np.repeat(np.cumsum(count) - count, count)
-    cx, cy = cx[box] + k % wide[box], cy[box] + k // wide[box]
-    # a key only brings candidates together, so two cells may share one
-    key = (owner[box].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + cx.astype(np.uint64)) * np.uint64(0xD6E8FEB86659FD93) + cy.astype(np.uint64)
-    return box, cx, cy, key
+    several = np.flatnonzero((count > 1)[box])
+    cx, cy, of, many = cx[box], cy[box], box[several], count > 1
+    k = np.arange(len(several)) - np.repeat(np.cumsum(count[many]) - count[many], count[many])
+    cx[several] += k % wide[of]
+    cy[several] += k // wide[of]
+    return box, cx, cy, _key(owner[box], cx, cy)
 
 
-def _pairs(keys: np.ndarray, sorted_keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Places in keys and in sorted_keys of all equal keys; neighbours of one key are looked up once."""
+def _ranges(keys: np.ndarray, sorted_keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First place and end of every key in sorted_keys; neighbours of one key are looked up once."""
     run = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, bool))
-    low, high = np.searchsorted(sorted_keys, keys[run], "left"), np.searchsorted(sorted_keys, keys[run], "right")
     size = np.diff(np.append(run, len(keys)))
-    low, count = np.repeat(low, size), np.repeat(high - low, size)
-    left = np.repeat(np.arange(len(keys)), count)
-    return left, np.arange(len(left)) - np.repeat(np.cumsum(count) - count - low, count)
+    return tuple(np.repeat(np.searchsorted(sorted_keys, keys[run], side), size) for side in ("left", "right"))
+
+
+class _Grid:
+    """Lines by the cells that they touch, in order of lines within a cell."""
+
+    def __init__(self, ln: _Boxes, cell: tuple[float, float]):
+        box, _, _, key = _cells_of(ln.owner, ln.x, ln.y, ln.x2, ln.y2, cell)
+        order = np.argsort(key, kind="stable")
+        self.cell, self.box, self.key = cell, box[order], key[order]
+        self.owner, self.x, self.y, self.x2, self.y2 = (v[self.box] for v in (ln.owner, ln.x, ln.y, ln.x2, ln.y2))
+
+    def first_around(self, c: _Boxes) -> np.ndarray:
+        """The first line around every centre, or -1: all centres try the next line of their cell until they are in one."""
+        mx, my = c.x + (c.x2 - c.x) / 2, c.y + (c.y2 - c.y) / 2
+        at, end = _ranges(_key(c.owner, np.floor(mx / self.cell[0]).astype(np.int64), np.floor(my / self.cell[1]).astype(np.int64)), self.key)
+        line, left = np.full(len(mx), -1), np.flatnonzero(at < end)
+        at, end = at[left], end[left]
+        while len(left):
+            px, py = mx[left], my[left]
+            in_ = (py >= self.y[at]) & (py <= self.y2[at]) & (px >= self.x[at]) & (px <= self.x2[at])
+            in_ &= c.owner[left] == self.owner[at]
+            line[left[in_]] = self.box[at[in_]]
+            at += 1
+            more = np.flatnonzero(~in_ & (at < end))
+            left, at, end = left[more], at[more], end[more]
+        return line
+
+    def tight(self, c: _Boxes, ends: list[np.ndarray]) -> list[np.ndarray]:
+        """Least ends over the boxes that every line overlaps, or its own; a pair that meets in several cells changes nothing."""
+        least = [np.full(len(ends[0]), far) for far in (np.inf, np.inf, -np.inf, -np.inf)]
+        who, _, _, own = _cells_of(c.owner, c.x, c.y, c.x2, c.y2, self.cell)
+        at, end = _ranges(own, self.key)
+        left = np.flatnonzero(at < end)
+        who, at, end = who[left], at[left], end[left]
+        while len(who):
+            cut = np.flatnonzero((c.y[who] < self.y2[at]) & (c.y2[who] > self.y[at]))
+            i, k = who[cut], at[cut]
+            cut = np.flatnonzero((c.x[i] < self.x2[k]) & (c.x2[i] > self.x[k]) & (c.owner[i] == self.owner[k]))
+            i, j = i[cut], self.box[k[cut]]
+            for found, values, reduce in zip(least, (c.x, c.y, c.x2, c.y2), (np.minimum, np.minimum, np.maximum, np.maximum)):
+                reduce.at(found, j, values[i])
+            at += 1
+            more = np.flatnonzero(at < end)
+            who, at, end = who[more], at[more], end[more]
+        any_ = np.isfinite(least[0])
+        return [np.where(any_, found, own) for found, own in zip(least, ends)]
+
+
+def _joined(texts: pa.Array, counts: np.ndarray, between: str = "") -> pa.Array:
+    """Texts end to end, so many for every row."""
+    return pc.binary_join(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), texts), between)
+
+
+def lines_in(chars: pa.Array, lines: pa.Array, cell: tuple[float, float] = CELL, text: bool = True, box: bool = True) -> tuple[np.ndarray, dict[str, pa.Array]]:
+    """The lines with an area of many records: the record of each, and its number, tight box and text, of which only those asked for are made."""
+    c, ln = _Boxes(chars), _Boxes(lines)
+    grid = _Grid(ln, cell)
+    out = {"line": pa.array(ln.place.astype(np.int32))}
+    if box:
+        x, y, x2, y2 = grid.tight(c, [ln.x, ln.y, ln.x2, ln.y2])
+        out |= {"x": pa.array(x), "y": pa.array(y), "width": pa.array(x2 - x), "height": pa.array(y2 - y)}
+    if text:
+        line = grid.first_around(c)
+        held = np.flatnonzero(line >= 0)
+        line = line[held]
+        texts = pc.fill_null(c.flat.field(4), "").take(pa.array(c.kept[held[np.argsort(line, kind="stable")]]))
+        out["text"] = _joined(texts.cast(pa.string()), np.bincount(line, minlength=len(ln.owner)))
+    return ln.owner, out
 
 
 def _records(chars: pa.Array, lines: pa.Array, cell: tuple[float, float]) -> pa.Array:
-    c, ln = _Boxes(chars), _Boxes(lines)
-    box, lcx, lcy, key = _cells_of(ln.owner, ln.x, ln.y, ln.x2, ln.y2, cell)
-    order = np.argsort(key, kind="stable")
-    box, lcx, lcy, key = box[order], lcx[order], lcy[order], key[order]
-    # the first line around a centre: candidates come in order of lines
-    mx, my = c.x + (c.x2 - c.x) / 2, c.y + (c.y2 - c.y) / 2
-    _, _, _, own = _cells_of(c.owner, mx, my, mx, my, cell)
-    i, k = _pairs(own, key)
-    j = box[k]
-    for inside in (lambda: (my[i] >= ln.y[j]) & (my[i] <= ln.y2[j]), lambda: (mx[i] >= ln.x[j]) & (mx[i] <= ln.x2[j]) & (c.owner[i] == ln.owner[j])):
-        keep = np.flatnonzero(inside())
-        i, j = i[keep], j[keep]
-    first = np.ones(len(i), bool)
-    first[1:] = i[1:] != i[:-1]
-    i, j = i[first], j[first]
-    by_line = np.argsort(j, kind="stable")
-    texts = pc.fill_null(c.flat.field(4), "").take(pa.array(c.kept[i[by_line]]))
-    ends = np.concatenate([[0], np.cumsum(np.bincount(j, minlength=len(ln.owner)))]).astype(np.int32)
-    text = pc.binary_join(pa.ListArray.from_arrays(pa.array(ends), texts.cast(pa.string())), "")
-    # every pair that overlaps, in the cell where the overlap begins
-    of, ccx, ccy, own = _cells_of(c.owner, c.x, c.y, c.x2, c.y2, cell)
-    a, k = _pairs(own, key)
-    i, j = of[a], box[k]
-    for cut in (
-        lambda: (c.y[i] < ln.y2[j]) & (c.y2[i] > ln.y[j]),
-        lambda: (c.x[i] < ln.x2[j]) & (c.x2[i] > ln.x[j]) & (c.owner[i] == ln.owner[j]) & (ccx[a] == lcx[k]) & (ccy[a] == lcy[k]),
-        lambda: (np.floor(np.maximum(c.x[i], ln.x[j]) / cell[0]) == lcx[k]) & (np.floor(np.maximum(c.y[i], ln.y[j]) / cell[1]) == lcy[k]),
-    ):
-        keep = np.flatnonzero(cut())
-        a, k, i, j = a[keep], k[keep], i[keep], j[keep]
-    tight = [np.full(len(ln.owner), far) for far in (np.inf, np.inf, -np.inf, -np.inf)]
-    for least, values, reduce in zip(tight, (c.x, c.y, c.x2, c.y2), (np.minimum, np.minimum, np.maximum, np.maximum)):
-        reduce.at(least, j, values[i])
-    any_ = np.isfinite(tight[0])
-    x, y, x2, y2 = (np.where(any_, t, o) for t, o in zip(tight, (ln.x, ln.y, ln.x2, ln.y2)))
-    rows = pa.StructArray.from_arrays([pa.array(ln.place.astype(np.int32)), pa.array(x), pa.array(y), pa.array(x2 - x), pa.array(y2 - y), text], ["line", "x", "y", "width", "height", "text"])
-    offsets = np.concatenate([[0], np.cumsum(np.bincount(ln.owner, minlength=len(lines)))]).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(offsets), rows)
+    owner, found = lines_in(chars, lines, cell)
+    offsets = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=len(lines)))]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays(list(found.values()), list(found)))
+
+
+def sized_in(boxes: pa.Array) -> tuple[np.ndarray, list[np.ndarray], pa.Array]:
+    """The boxes with an area of many records: how many every record has, their x, y, width and height, and their texts."""
+    b = _Boxes(boxes)
+    sides = [b.flat.field(k).to_numpy(zero_copy_only=False)[b.kept] for k in range(4)]
+    return np.bincount(b.owner, minlength=len(boxes)), sides, pc.fill_null(b.flat.field(4), "").take(pa.array(b.kept)).cast(pa.string())
+
+
+def totals_in(chars: pa.Array) -> dict[str, pa.Array]:
+    """Number, sums of x and y and text of the boxes with an area of every record."""
+    counts, (x, y, _, _), texts = sized_in(chars)
+    owner = np.repeat(np.arange(len(counts)), counts)
+    sums = [np.bincount(owner, v, minlength=len(counts)).astype(float) for v in (x, y)]
+    return {"n_boxes": pa.array(counts), "sum_x": pa.array(sums[0]), "sum_y": pa.array(sums[1]), "text": _joined(texts, counts)}
+
+
+def captions_in(chars: pa.Array, lines: pa.Array, cell: tuple[float, float] = CELL) -> tuple[np.ndarray, dict[str, pa.Array]]:
+    """with_caption for Arrow arrays: the records that have a caption, and its box and text."""
+    ln, n = _Boxes(lines), len(lines)
+    counts = np.bincount(ln.owner, minlength=n)
+    some = np.flatnonzero(counts)
+    first = (np.cumsum(counts) - counts)[some]
+    x, y, x2, y2 = (f.reduceat(v, first) if len(first) else v for f, v in ((np.minimum, ln.x), (np.minimum, ln.y), (np.maximum, ln.x2), (np.maximum, ln.y2)))
+    offsets = np.concatenate([[0], np.cumsum(counts > 0)]).astype(np.int32)
+    whole = pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays([pa.array(v) for v in (x, y, x2 - x, y2 - y)], ["x", "y", "width", "height"]))
+    owner, found = lines_in(chars, whole, cell, text=False)
+    texts = _joined(lines_in(chars, lines, cell, box=False)[1]["text"], counts)
+    return owner, {k: found[k] for k in ("x", "y", "width", "height")} | {"text": texts.take(pa.array(owner))}
 
 
 def records_of(boxes: str | Column, cell: tuple[float, float] = CELL) -> Column:

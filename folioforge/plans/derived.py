@@ -8,6 +8,7 @@ every seventh has no height.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -16,7 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.boxes import CHARS, LINES, RECORDS, records_in
+from ..operators.boxes import CHARS, LINES, captions_in, lines_in, sized_in, totals_in
 
 
 def _char(text: Column, k: Column, y0: Column) -> dict[str, Column]:
@@ -49,49 +50,125 @@ def _arrays(contents: pa.Array, y0: pa.Array) -> pa.Array:
     """The same boxes as arrays, for many contents at once."""
     listed = lambda counts, fields, names: pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), pa.StructArray.from_arrays([f if isinstance(f, pa.Array) else pa.array(f) for f in fields], names))
     top = y0.to_numpy(zero_copy_only=False)
-    points = np.frombuffer("".join(contents.to_pylist()).encode("utf-32-le"), np.uint32)
-    unique = np.unique(points)
-    texts = pa.array([chr(p) for p in unique], pa.string()).take(pa.array(np.searchsorted(unique, points)))
+    data = "".join(contents.to_pylist()).encode()
+    points = np.frombuffer(data, np.uint8)
+    starts = np.flatnonzero(points & 0xC0 != 0x80)
+    texts = pa.StringArray.from_buffers(len(starts), pa.py_buffer(np.append(starts, len(data)).astype(np.int32)), pa.py_buffer(data))
     counts = pc.utf8_length(contents).to_numpy(zero_copy_only=False).astype(np.int64)
     number = lambda n: np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-    k, ten = number(counts), np.full(len(points), 10.0)
+    k, ten = number(counts), np.full(len(starts), 10.0)
     y = np.repeat(top, counts) + k // 20 * 10 + np.array([0.0, -5.0, 0.0, 5.0])[k % 4]
-    chars = listed(counts, [(k % 20 * 10 + k % 3 - 1).astype(float), y, np.where(points == 32, 0.0, 10.0), ten, texts], ["x", "y", "width", "height", "text"])
+    chars = listed(counts, [(k % 20 * 10 + k % 3 - 1).astype(float), y, np.where(points[starts] == 32, 0.0, 10.0), ten, texts], ["x", "y", "width", "height", "text"])
     rows = (counts + 19) // 20
     r = number(rows)
     lines = listed(rows, [np.zeros(len(r)), np.repeat(top, rows) + 10.0 * r, np.where(r % 4 == 3, 160.0, 200.0), np.where(r % 7 == 6, 0.0, 10.0 + 5 * (r % 3))], ["x", "y", "width", "height"])
     return pa.StructArray.from_arrays([chars, lines], ["chars", "lines"])
 
 
-def _over(nodes: DataFrame, columns: dict[str, str], of: Callable[[pa.Array], list[pa.Array]]) -> DataFrame:
-    """Columns made of the boxes of nodes with content, beside their other columns; a million characters at a time."""
+def _over(nodes: DataFrame, columns: dict[str, str], of: Callable[[pa.Array], tuple[np.ndarray | None, list[pa.Array]]]) -> DataFrame:
+    """Columns made of the boxes of nodes with content, beside their other columns, or rows of nodes by number; 256,000 characters at a time."""
     rows = nodes.where("content <> ''").withColumn("y0", F.col("y0").cast("double"))
     names = [c for c in nodes.columns if c not in ("content", "y0")]
     kept = rows.select(*names, "content", "y0")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at = 0
-            while at < batch.num_rows:
-                n = min(4096, batch.num_rows - at)
-                while n > 1 and batch.slice(at, n).column("content").nbytes > 1 << 20:
-                    n //= 2
-                part = batch.slice(at, n)
-                yield pa.RecordBatch.from_arrays([*part.columns[:-2], *of(_arrays(part.column("content"), part.column("y0")))], names=[*names, *columns])
-                at += n
+        for part in _parts(batches):
+            which, made = of(_arrays(part.column("content"), part.column("y0")))
+            beside = part.columns[:-2] if which is None else [c.take(pa.array(which)) for c in part.columns[:-2]]
+            yield pa.RecordBatch.from_arrays([*beside, *made], names=[*names, *columns])
 
     kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema if f.name in names] + [f"{k} {v}" for k, v in columns.items()]
     return kept.mapInArrow(run, ", ".join(kinds))
 
 
+def _parts(batches: Iterator[pa.RecordBatch], column: str = "content") -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        at = 0
+        while at < batch.num_rows:
+            n = min(4096, batch.num_rows - at)
+            while n > 1 and batch.slice(at, n).column(column).nbytes > 1 << 18:
+                n //= 2
+            yield batch.slice(at, n)
+            at += n
+
+
 def box_records(nodes: DataFrame) -> DataFrame:
     """One record an element with content: the nodes' other columns and boxes, a struct of the arrays chars and lines."""
-    return _over(nodes, {"chars": CHARS, "lines": LINES}, lambda boxes: boxes.flatten()).withColumn("boxes", F.struct("chars", "lines"))
+    return _over(nodes, {"chars": CHARS, "lines": LINES}, lambda boxes: (None, boxes.flatten())).withColumn("boxes", F.struct("chars", "lines"))
+
+
+def box_totals(nodes: DataFrame) -> DataFrame:
+    """Number, sums and text of the characters with an area of nodes with content."""
+    return _over(nodes, {"n_boxes": "bigint", "sum_x": "double", "sum_y": "double", "text": "string"}, lambda boxes: (None, list(totals_in(boxes.field("chars")).values())))
+
+
+def line_rows(nodes: DataFrame, text: bool = True, box: bool = True) -> DataFrame:
+    """A row for every line with an area of nodes with content: line, tight box and text as records_of finds them, of which only those asked for are made."""
+    sides = {k: "double" for k in ("x", "y", "width", "height")} if box else {}
+
+    def rows(boxes: pa.Array) -> tuple[np.ndarray, list[pa.Array]]:
+        owner, found = lines_in(*boxes.flatten(), text=text, box=box)
+        return owner, list(found.values())
+
+    return _over(nodes, {"line": "int", **sides, **({"text": "string"} if text else {})}, rows)
+
+
+def _halves(values: np.ndarray) -> pa.Array:
+    """Numbers in half units as texts."""
+    n = (2 * values).astype(np.int64)
+    low, high = (int(n.min()), int(n.max())) if len(n) else (0, 0)
+    if high - low > len(n) + 1000:
+        return pa.array(n).cast(pa.string())
+    return pa.array(np.arange(low, high + 1)).cast(pa.string()).take(pa.array(n - low))
 
 
-def line_records(nodes: DataFrame) -> DataFrame:
-    """Lines with tight boxes and texts of nodes with content, as records_of finds them."""
-    return _over(nodes, {"records": RECORDS}, lambda boxes: [records_in(boxes)])
+def _shown(sides: list[np.ndarray], texts: pa.Array) -> pa.Array:
+    """Every box as text@x,y,width,height in half units."""
+    return pc.binary_join_element_wise(texts, pc.binary_join_element_wise(*map(_halves, sides), ","), "@")
+
+
+def _listed(sides: list[np.ndarray], texts: pa.Array, counts: np.ndarray) -> pa.Array:
+    return pc.binary_join(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), _shown(sides, texts)), ";")
+
+
+def _sides(found: dict[str, pa.Array]) -> list[np.ndarray]:
+    return [found[k].to_numpy(zero_copy_only=False) for k in ("x", "y", "width", "height")]
+
+
+def label_lists(parts: DataFrame) -> DataFrame:
+    """Adds n_lines, lines, n_chars and chars_md5 to the parts of label documents: their boxes as texts, those of characters as a digest.
+
+    boxed is the text that has boxes (null: none) from y0 down; parts with a width and a height are images, whose own box
+    without text comes before the caption's one line. boxed, y0, width and height are dropped. A part's boxes are made, joined and listed in one place.
+    """
+    names = [c for c in parts.columns if c not in ("boxed", "y0", "width", "height")]
+    kept = parts.select(*names, F.coalesce("boxed", F.lit("")).alias("boxed"), *[F.col(k).cast("double").alias(k) for k in ("y0", "width", "height")])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _parts(batches, "boxed"):
+            image = batch.column("width").is_valid()
+            for part, of_images in ((batch.filter(pc.invert(image)), False), (batch.filter(image), True)):
+                if not part.num_rows:
+                    continue
+                chars, lines = _arrays(part.column("boxed"), part.column("y0")).flatten()
+                if of_images:
+                    owner, found = captions_in(chars, lines)
+                    size = [part.column(k).to_numpy(zero_copy_only=False) for k in ("width", "height")]
+                    own = _shown([np.zeros(len(part)), np.zeros(len(part)), *size], pa.array([""] * len(part)))
+                    listed = own.to_pylist()
+                    for at, caption in zip(owner.tolist(), _shown(_sides(found), found["text"]).to_pylist()):
+                        listed[at] += ";" + caption
+                    listed, n_lines = pa.array(listed, pa.string()), 1 + np.bincount(owner, minlength=len(part))
+                else:
+                    owner, found = lines_in(chars, lines)
+                    n_lines = np.bincount(owner, minlength=len(part))
+                    listed = _listed(_sides(found), found["text"], n_lines)
+                n_chars, sides, texts = sized_in(chars)
+                digests = [hashlib.md5(t).hexdigest() for t in _listed(sides, texts, n_chars).cast(pa.binary()).to_pylist()]
+                yield pa.RecordBatch.from_arrays([*part.columns[:-4], pa.array(n_lines.astype(np.int32)), listed, pa.array(n_chars.astype(np.int32)), pa.array(digests, pa.string())], names=[*names, "n_lines", "lines", "n_chars", "chars_md5"])
+
+    kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema if f.name in names]
+    return kept.mapInArrow(run, ", ".join([*kinds, "n_lines int", "lines string", "n_chars int", "chars_md5 string"]))
 
 
 def image_bytes(kind: Column, width: Column, height: Column) -> Column:
