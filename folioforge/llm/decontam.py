@@ -51,6 +51,8 @@ RATE = 0.15
 BITS, RECALL = 2, 0.9999
 #: Simulated pairs for the number of walks of a length.
 TRIALS = 32
+#: Walks that are taken at once (bits of a byte), and most bytes of a worker's table of their turns.
+TOGETHER, TURNS_BYTES = 8, 64 << 20
 #: Words of the windows that are embedded together.
 CELLS = 1 << 20
 #: Most rows and bytes of one chunk of the benchmark.
@@ -115,6 +117,7 @@ def walk(windows: np.ndarray, number: int, steps: np.ndarray) -> np.ndarray:
     return out
 
 
+@lru_cache(maxsize=1 << 16)
 def steps_of(n: int, number: int) -> np.ndarray:
     """The steps that walk `number` samples for items of n words, in the part that walks of whole windows reach."""
     draws = np.random.default_rng([20240607, n, number]).permutation(2 * n)[: min(BITS, n)]
@@ -165,6 +168,10 @@ class Index:
     recall: float = RECALL
     codes: dict[str, int] = field(default_factory=dict)
     items: list[tuple[int, list[int]]] = field(default_factory=list)
+    #: What a worker finds out as it goes: words of texts, turns of walks, copies of items.
+    known: dict[str, int] = field(default_factory=dict)
+    turns: dict[tuple[int, range], np.ndarray] = field(default_factory=dict)
+    copies: dict[tuple[int, range], np.ndarray] = field(default_factory=dict)
 
     @classmethod
     def build(cls, items: list[tuple[int, str]], rate: float, recall: float = RECALL) -> Index:
@@ -185,9 +192,51 @@ class Index:
         self.need = np.array([self.least(len(c)) for _, c in self.items], np.int64)
         self.tiny = [i for i, (_, c) in enumerate(self.items) if self.least(len(c)) == 0]
         self.masks = [masks_of(c) for _, c in self.items]
+        of_size: dict[int, list[int]] = defaultdict(list)
+        for i, size in enumerate(self.sizes.tolist()):
+            of_size[size].append(i)
+        self.of_size = dict(of_size)
+        self.rank = np.zeros(len(self.items), np.int64)
+        for numbers in of_size.values():
+            self.rank[numbers] = np.arange(len(numbers))
         self.walks = {n: walks_for(on_grid(n), self.edits(on_grid(n)), recall) for n in set(self.sizes.tolist())}
+        self.tabled = bool(self.walks) and (len(self.codes) + 2) * 2 * max(self.walks) * max(self.walks.values()) // TOGETHER <= TURNS_BYTES
         return self
 
+    def _turns(self, step: int, numbers: range, code: np.ndarray) -> np.ndarray:
+        """Whether each walk (a row of code) moves on from its word at a step; a used-up window stays."""
+        seeds = (step << 20 | np.arange(numbers.start, numbers.stop, dtype=np.uint64))[:, None]
+        with np.errstate(over="ignore"):
+            if not self.tabled:
+                return (mix(code.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + seeds) >> np.uint64(63)).astype(np.uint8) * (code >= 0)
+            if (step, numbers) not in self.turns:  # a bit for each walk and word, the last one for the code -1
+                every = mix(np.arange(len(self.codes) + 2, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + seeds) >> np.uint64(63)
+                every[:, -1] = 0
+                self.turns[step, numbers] = np.packbits(every.astype(np.uint8), axis=0, bitorder="little")[0]
+        return self.turns[step, numbers][code] >> np.arange(len(numbers), dtype=np.uint8)[:, None] & 1
+
+    def copied(self, windows: np.ndarray, numbers: range) -> np.ndarray:
+        """What several walks copy at their sampled steps from each row of word codes, as walk does one by one: walks, rows, steps."""
+        rows, n = windows.shape
+        flat = np.concatenate([windows, np.full((rows, 1), -1, windows.dtype)], axis=1).ravel()
+        out, wanted = np.empty((len(numbers), rows, min(BITS, n)), np.int64), defaultdict(list)
+        for w, number in enumerate(numbers):
+            for i, step in enumerate(steps_of(n, number).tolist()):
+                wanted[step].append((w, i))
+        at = np.tile(np.arange(rows) * (n + 1), (len(numbers), 1))
+        for step in range(max(wanted) + 1):
+            code = flat[at]
+            for w, i in wanted.get(step, ()):
+                out[w, :, i] = code[w]
+            at += self._turns(step, numbers, code)
+        return out
+
+    def _keys(self, n: int, numbers: range) -> np.ndarray:
+        """What the walks copy from all items of n words, once per worker."""
+        if (n, numbers) not in self.copies:
+            self.copies[n, numbers] = self.copied(np.array([self.items[i][1] for i in self.of_size[n]], np.int64), numbers)
+        return self.copies[n, numbers]
+
     def edits(self, n: int) -> int:
         return int(self.rate * n)
 
@@ -256,7 +305,7 @@ class Index:
         return found
 
     def _meet(self, docs, n: int, places: list, owner: np.ndarray, start: np.ndarray, found: list[set[int]], verified: set[int]) -> None:
-        """Walk by walk: windows that share a bucket with their item have their place verified; each place is verified once."""
+        """Some walks after the other: windows that share a bucket with their item have their place verified; each place is verified once."""
         left = np.array([p not in verified and places[p][1] not in found[places[p][0]] for p in owner.tolist()])
         owner, start = owner[left], start[left]
         windows = np.full((len(owner), n), -1, np.int64)
@@ -264,14 +313,13 @@ class Index:
             piece = docs[places[p][0]][a : a + n]
             windows[row, : len(piece)] = np.where(piece < 0, len(self.codes), piece)  # words that no item has share one code
         item = np.array([places[p][1] for p in owner.tolist()], np.int64)
-        for number in range(self.walks[n]):
+        for first in range(0, self.walks[n], TOGETHER):
             if not len(owner):
                 return
-            steps = steps_of(n, number)
-            known, at = np.unique(item, return_inverse=True)
-            keys = walk(np.array([self.items[i][1] for i in known.tolist()], np.int64), number, steps)
+            numbers = range(first, min(first + TOGETHER, self.walks[n]))
+            met = (self.copied(windows, numbers) == self._keys(n, numbers)[:, self.rank[item]]).all(axis=2).any(axis=0)
             before = len(verified)
-            for p in dict.fromkeys(owner[(walk(windows, number, steps) == keys[at]).all(axis=1)].tolist()):
+            for p in dict.fromkeys(owner[met].tolist()):
                 d, i, a, b = places[p]
                 verified.add(p)
                 if i not in found[d] and masks_within(self.masks[i], n, docs[d][a:b].tolist(), self.edits(n)):
@@ -281,8 +329,9 @@ class Index:
                 windows, owner, item = windows[left], owner[left], item[left]
 
 
-def _text_codes(texts: pa.Array, index: Index, known: dict[str, int]) -> list[np.ndarray]:
+def _text_codes(texts: pa.Array, index: Index) -> list[np.ndarray]:
     """Word codes of every text of a batch; words of a batch are looked up once."""
+    known = index.known
     lists = pc.utf8_split_whitespace(pc.fill_null(texts.cast(pa.large_string()), ""))
     coded = lists.flatten().dictionary_encode()
     table = np.empty(len(coded.dictionary), np.int64)
@@ -319,10 +368,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, max_
         sent = spark.sparkContext.broadcast(Index.build(items, rate))
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            index, known = sent.value, {}
+            index = sent.value
             for batch in slices(batches, rows=20_000, bytes_=32 << 20):
                 ids, found = [], []
-                for doc, items in zip(batch.column(0).to_pylist(), index.matches(_text_codes(batch.column(1), index, known))):
+                for doc, items in zip(batch.column(0).to_pylist(), index.matches(_text_codes(batch.column(1), index))):
                     for i in sorted({index.items[m][0] for m in items}, key=lambda x: (x is None, x)):
                         ids.append(doc), found.append(i)
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(found, pa.int64())], names=["doc_id", "item_id"])
@@ -339,8 +388,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, max
         sent = spark.sparkContext.broadcast(Index.build(items, rate))
 
         def judge(sent=sent):
-            index, known = sent.value, {}
-            return lambda texts: pa.array([not x for x in index.matches(_text_codes(texts, index, known))], pa.bool_())
+            index = sent.value
+            return lambda texts: pa.array([not x for x in index.matches(_text_codes(texts, index))], pa.bool_())
 
         docs = docs.where(of_text(judge, "boolean")(F.col(f"`{text_col}`")))
     return docs
