@@ -12,7 +12,7 @@ wholly in one of them (pigeonhole).
 Allocation by cost: a key whose c sets would meet costs about c * c / 2 sketch
 comparisons, refining it about 1 + n / m rows for each set. Segments of `LIGHT`
 elements or fewer are met by chance, so they are refined at once; other keys
-when more than `hot` sets share them. The budget of a refined segment moves to
+when more than `CROSS` * `hot` sets share them. The budget of a refined segment moves to
 the next segment, which is matched up to one element: the key is joined with the
 one-deletion neighbourhood of that segment. This loses no link: let z of the K'
 common segments agree and be refined, and no other agree. If every follower of
@@ -27,7 +27,8 @@ the symmetric difference from below) tell which sets may still link, and a
 spanning forest of those pairs over the components is verified with the texts;
 pairs that fail are left out of the next round. The last round verifies all pairs
 that are left, so no link between components is lost. Each block has a set once:
-a bucket of several blocks is dealt anew every round, and refined if it stays open.
+a bucket of several blocks is dealt anew every round. If it stays open, its blocks
+meet in pairs, or its key is refined where there are more than `CROSS` of them.
 Exact copies collapse to one set beforehand, inside each task and over all.
 
 Defined cases: null texts and texts without words have an empty set, link with
@@ -54,10 +55,14 @@ from .components import connected_components
 
 #: Sets that may share a key before it is refined, and most sets of a block that meets in a task: 130,000 comparisons of sketches.
 HOT = 512
+#: Blocks of a bucket up to which all its pairs of blocks meet; a set goes to so many of them at most. Beyond, refining a key (some six rows for each, in three rounds) costs less.
+CROSS = 8
 #: Segments of up to this many elements are never keys alone.
 LIGHT = 0
 #: Most sets that one group verifies against its hub.
 STAR_SETS = 250
+#: Most places of a bitmap that tells which rows a join may want: 4 MB.
+SIEVE = 1 << 25
 #: Rounds of forests before all pairs that are left are verified.
 ROUNDS = 2
 #: Rows without an id are numbered from here by a hash of their text, behind all ids.
@@ -241,8 +246,24 @@ def _index(rows: DataFrame, name: str) -> DataFrame:
     return save(rows.repartition("key").sortWithinPartitions("key", "set").mapInArrow(lean(_shared), "key long, set long, hub long"), name)
 
 
+def _sifted(rows: DataFrame, wanted: DataFrame, column: str) -> DataFrame:
+    """The rows whose column may be one of wanted's values, and few others: what is not asked for need not be dealt for the join that follows.
+
+    The values are marked in a bitmap of 64 places each, of SIEVE at most, whose
+    pieces are broadcast; a larger wanted only lets more rows pass.
+    """
+    places = min(SIEVE, 1 << max(15, (64 * wanted.count()).bit_length()))
+    place = F.pmod(F.xxhash64(column), F.lit(places)) + 1
+    marked = wanted.select(F.bitmap_bucket_number(place).alias("_piece"), F.bitmap_bit_position(place).alias("_bit"))
+    pieces = marked.repartition("_piece").groupBy("_piece").agg(F.bitmap_construct_agg("_bit").alias("_bits"))
+    bit = F.bitmap_bit_position(place)
+    byte = F.conv(F.hex(F.substring("_bits", (bit / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("long")
+    here = F.getbit(byte, (bit % 8).cast("int")) == 1
+    return rows.join(F.broadcast(pieces), F.bitmap_bucket_number(place) == F.col("_piece")).where(here).select(*rows.columns)
+
+
 def _candidates(k: int):
-    """Texts of the wanted sets with their sizes and sketches; texts travel instead of shingles, which don't compress."""
+    """Texts of the wanted sets with their sizes, sketches and what else is told of them; texts travel instead of shingles, which don't compress."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         done: set[int] = set()
@@ -255,7 +276,8 @@ def _candidates(k: int):
                     if len(done) < 200_000:
                         done.add(want)
             at = pa.array(right, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(1).take(at), pa.array([len(sets[i]) for i in right], pa.int64()), pa.array([sketch(sets[i]) for i in right], pa.binary()), batch.column(0).take(at)], names=["set", "n", "sketch", "text"])
+            made = [batch.column(1).take(at), pa.array([len(sets[i]) for i in right], pa.int64()), pa.array([sketch(sets[i]) for i in right], pa.binary()), batch.column(0).take(at)]
+            yield pa.RecordBatch.from_arrays(made + [c.take(at) for c in batch.columns[2:]], names=["set", "n", "sketch", "text", *batch.schema.names[2:]])
 
     return run
 
@@ -405,6 +427,12 @@ def _pairs(num: int, den: int, whole: bool, sided: bool):
     return run
 
 
+def _grouped(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Pairs (set, hub) with the hub's group g in which a set is met, and the number c of each hub's groups."""
+    hubs = pairs.groupBy("hub").agg(F.ceil(F.count("*") / STAR_SETS).cast("int").alias("c"))
+    return pairs.join(hubs, "hub").select("set", "hub", F.pmod(F.xxhash64("set"), F.col("c")).cast("int").alias("g")), hubs
+
+
 class _Join:
     """The join's state: texts and sketches of candidate sets, links found, pairs that failed, components."""
 
@@ -414,14 +442,23 @@ class _Join:
         self.parts: DataFrame | None = None
         self.moved = False
 
+    def verify_first(self) -> None:
+        """Verify each set with its hub: what a set does in these groups was stored beside its text, so texts are dealt by group only."""
+        group = lambda hub: F.xxhash64(hub, "g").alias("group")
+        members = self.found.where("hub is not null").select(group("hub"), "hub", "set", "text")
+        centers = self.found.where("leads > 0").select("set", "text", F.explode(F.sequence(F.lit(0), F.col("leads") - 1)).alias("g"))
+        self._verify(members.union(centers.select(group("set"), F.col("set").alias("hub"), "set", "text")))
+
     def verify(self, pairs: DataFrame) -> bool:
         """Verify (set, hub) pairs with the texts; a hub of many sets is met in several groups. Whether components may have changed."""
-        hubs = pairs.groupBy("hub").agg(F.ceil(F.count("*") / STAR_SETS).cast("int").alias("c"))
-        members = pairs.join(hubs, "hub").select("hub", "set", F.pmod(F.xxhash64("set"), F.col("c")).cast("int").alias("g"))
+        pairs, hubs = _grouped(pairs)
         centers = hubs.select("hub", F.col("hub").alias("set"), F.explode(F.sequence(F.lit(0), F.col("c") - 1)).alias("g"))
-        # stored first: their size is known when the join with the texts is planned, so that the texts of all candidates aren't dealt by set for few pairs
-        ends = save(members.union(centers), "pair-ends")
-        stars = ends.join(self.found.select("set", "text"), "set").select(F.xxhash64("hub", "g").alias("group"), "hub", "set", "text")
+        # stored first, as they are read twice: only texts that they ask for are dealt by set
+        ends = save(pairs.select("hub", "set", "g").union(centers), "pair-ends")
+        texts = _sifted(self.found.select("set", "text"), ends.select("set"), "set")
+        return self._verify(ends.join(texts, "set").select(F.xxhash64("hub", "g").alias("group"), "hub", "set", "text"))
+
+    def _verify(self, stars: DataFrame) -> bool:
         new = save(stars.repartition("group").sortWithinPartitions("group", F.col("set") != F.col("hub")).mapInArrow(lean(_star(self.k, self.num, self.den)), "a long, b long, same boolean"), "verified")
         self.checked = new if self.checked is None else self.checked.union(new)
         links = new.where("same").select("a", "b")
@@ -515,17 +552,22 @@ def _components(texts: DataFrame, k: int, num: int, den: int, hot: int = HOT) ->
     classes = save(texts.mapInArrow(lean(_classes(k)), "doc_id long, n long, set long" + ", mark long" * len(more)), "sets")
     index = _index(texts.select("text").mapInArrow(lean(_keys(k, bands)), "key long, set long"), "segment-index")
     first = classes.where("n > 0").groupBy("set").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"))
-    # stored first, as the ends of pairs are: while its size is unknown, all texts are dealt by id beside it
-    wanted = save(index.select("set").distinct().join(first.select("set", F.col("doc_id").alias("_rep")), "set"), "wanted-sets")
-    found = save(texts.join(wanted, F.col("doc_id") == F.col("_rep")).select("text", "set").mapInArrow(lean(_candidates(k)), "set long, n long, sketch binary, text string"), "candidate-texts")
-
     # every set with the hub (least set of a bucket) that it shares most keys with
-    state = _Join(found, k, num, den, hot)
     shared = index.where("set <> hub").groupBy("set", "hub").agg(F.count("*").alias("keys"))
-    state.verify(shared.groupBy("set").agg(F.max_by("hub", F.struct("keys", -F.col("hub"))).alias("hub")))
+    nearest, hubs = _grouped(save(shared.groupBy("set").agg(F.max_by("hub", F.struct("keys", -F.col("hub"))).alias("hub")), "nearest-hubs"))
+    roles = nearest.withColumn("leads", F.lit(0)).unionByName(hubs.select(F.col("hub").alias("set"), F.lit(None).cast("long").alias("hub"), F.lit(None).cast("int").alias("g"), F.col("c").alias("leads")))
+    roles = roles.groupBy("set").agg(F.max("hub").alias("hub"), F.max("g").alias("g"), F.max("leads").alias("leads"))
+    wanted = save(roles.join(first.select("set", F.col("doc_id").alias("_rep")), "set"), "wanted-sets")
+    asked = _sifted(texts.select("doc_id", "text"), wanted.select(F.col("_rep").alias("doc_id")), "doc_id")
+    found = save(asked.join(wanted, F.col("doc_id") == F.col("_rep")).select("text", "set", "hub", "g", "leads").mapInArrow(lean(_candidates(k)), "set long, n long, sketch binary, text string, hub long, g int, leads int"), "candidate-texts")
+
+    state = _Join(found, k, num, den, hot)
+    state.verify_first()
     large = state.settle(index.select("key", "set"))
-    if not large.isEmpty():
-        hot_sets = large.groupBy("set").agg(F.collect_set("key").alias("hot"))
+    state.cross(large.where(F.col("c") <= CROSS * hot))
+    huge = large.where(F.col("c") > CROSS * hot)
+    if not huge.isEmpty():
+        hot_sets = huge.groupBy("set").agg(F.collect_set("key").alias("hot"))
         refined = _index(hot_sets.join(found.select("set", "text"), "set").select("set", "hot", "text").mapInArrow(lean(_refine(k, bands)), "key long, set long"), "refined-index")
         state.cross(state.settle(refined.select("key", "set")))
 

@@ -257,6 +257,56 @@ def test_join_equals_brute_force(spark, k, num, hot, light, monkeypatch):
     assert got == components_brute(rows, k, num, 100)
 
 
+@pytest.fixture
+def tables_of_join(monkeypatch):
+    """Rows that the join stores, by the name of the table."""
+    rows, save = defaultdict(int), ngram_join.save
+
+    def counted(df, name):
+        out = save(df, name)
+        rows[name] += out.count()
+        return out
+
+    monkeypatch.setattr(ngram_join, "save", counted)
+    return rows
+
+
+def test_few_blocks_meet_in_pairs_without_refining(spark, tables_of_join):
+    """200 near copies that do not link: a key of several blocks is not turned into several keys of each set."""
+    base = [f"w{i}" for i in range(60)]
+    rows = [(i, " ".join(base[: 10 + i % 5] + [f"x{i}"] + base[11 + i % 5 : 40] + [f"y{i}"] + base[41:])) for i in range(200)]
+    rows += [(200 + i, t.replace("w59", "last")) for i, t in rows[:40]]
+    got = {x.doc_id: (x.n_shingles, x.component_id) for x in ngram_join.shingle_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), hot=48).collect()}
+    assert got == components_brute(rows, 3, 90, 100) and len(set(got.values())) > 100
+    assert tables_of_join["open-buckets"] and not tables_of_join["refined-index"]
+
+
+def test_sifted_keeps_what_is_wanted(spark):
+    rows = spark.range(-3000, 3000).select(F.col("id").alias("doc_id"), F.lit("t").alias("text"))
+    wanted = spark.createDataFrame([(i,) for i in range(-3000, 3000, 10)] + [(1 << 62,)], "doc_id long")
+    kept = {r.doc_id for r in ngram_join._sifted(rows, wanted, "doc_id").collect()}
+    assert kept >= set(range(-3000, 3000, 10)) and len(kept) < 600 + 300
+    assert ngram_join._sifted(rows, wanted.limit(0), "doc_id").count() == 0
+
+
+def test_texts_that_no_one_shares_keys_with_are_not_dealt(spark, monkeypatch):
+    """Few texts have partners; the join by id gets little more than those."""
+    asked, sifted = [], ngram_join._sifted
+
+    def counted(rows, wanted, column):
+        out = sifted(rows, wanted, column)
+        asked.append(out.count())
+        return out
+
+    monkeypatch.setattr(ngram_join, "_sifted", counted)
+    r = random.Random(4)
+    rows = [(i, " ".join(f"w{r.randrange(5000)}" for _ in range(40))) for i in range(900)]
+    rows += [(900 + i, t + " end") for i, t in rows[:20]]
+    got = {x.doc_id: (x.n_shingles, x.component_id) for x in ngram_join.shingle_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == components_brute(rows, 3, 90, 100)
+    assert 40 <= asked[0] < 120
+
+
 def test_sketches_rule_out_no_link():
     r = random.Random(8)
     for n in (1, 5, 17, 64, 400):
