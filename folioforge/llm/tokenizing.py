@@ -58,11 +58,12 @@ class ChunkEncoder:
         # a word chunk has no letter behind its punctuation, so it can't hold such special tokens
         self.usual = self.simple and all(re.search(r"[!-/:-@\[-`{-~][A-Za-z]", a) for a in self.added)
         self.alphabet = _byte_alphabet()
+        self.words: dict[str, list[int]] = {}
         self.clear()
 
     def clear(self) -> None:
         self.rows: dict[str, int] = {}
-        self.words: dict[str, list[int]] = {}
+        self.seen = np.zeros(0, np.int32)  # in how many batches each row was wanted
         self._flat, self._lengths = array("I"), array("q")
         self.flat, self.starts, self.lengths = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
@@ -100,10 +101,25 @@ class ChunkEncoder:
             self.lengths = np.concatenate([self.lengths, new])
             self.flat = np.concatenate([self.flat, np.array(self._flat[len(self.flat) :], np.uint32)])
 
+    def _renew(self) -> None:
+        """A table of the chunks that came in several batches, of the commonest half of a full table at most; most chunks come once."""
+        seen, rows, flat, starts, lengths = self.seen, self.rows, self.flat, self.starts, self.lengths
+        least = max(2, int(np.partition(seen, -(self.most // 2))[-(self.most // 2)]) + 1)
+        self.clear()
+        kept = [(chunk, row) for chunk, row in rows.items() if seen[row] >= least]
+        self.rows = {chunk: i for i, (chunk, _) in enumerate(kept)}
+        at = np.array([row for _, row in kept], np.int64)
+        self.lengths, ends = lengths[at], np.cumsum(lengths[at])
+        self.starts = ends - self.lengths
+        self.flat = flat[np.repeat(starts[at] - self.starts, self.lengths) + np.arange(self.lengths.sum())]
+        self._flat.extend(self.flat.tolist())
+        self._lengths.extend(self.lengths.tolist())
+        self.seen = seen[at] // 2  # what was common long ago makes room
+
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of a batch end to end, and the number of ids of each text."""
         if len(self.rows) > self.most:
-            self.clear()
+            self._renew()
         plain = texts.to_pylist()
         odd = [i for i, t in enumerate(plain) if _ODD_SPACE.search(t)]
         if odd:  # few texts hold runs of spaces; cut those by hand
@@ -126,6 +142,8 @@ class ChunkEncoder:
             row = get(text)
             rows[at] = self._row(text) if row is None else row
         self._settle()
+        self.seen = np.concatenate([self.seen, np.zeros(len(self.lengths) - len(self.seen), np.int32)])
+        self.seen[table] += 1
         lengths = self.lengths[rows]
         ends = np.cumsum(lengths)
         at = np.repeat(self.starts[rows] - (ends - lengths), lengths)

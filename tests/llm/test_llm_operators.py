@@ -118,6 +118,20 @@ def test_token_files_round_trip(spark):
     assert token_binary.read_tokens(token_binary.write_tokens(frame(spark, []))).count() == 0
 
 
+def test_common_chunks_outlive_a_full_table(monkeypatch):
+    """Chunks that come in every batch are encoded once, also when rare ones fill the table again and again."""
+    enc, made = tokenizing.ChunkEncoder(tokenizing.tokenizer_path("byte_bpe_50k.json"), most=100), Counter()
+    encode = enc._encode
+    monkeypatch.setattr(enc, "_encode", lambda chunk: (made.update([chunk]), encode(chunk))[1])
+    common = " ".join(f"word{i}, naïve" for i in range(20))
+    for batch in range(12):
+        texts = [common, "", f"{batch} " + " ".join(f"rare{batch}x{i}" for i in range(70)) + "  end ", common]
+        ids, counts = enc.encode(pa.array(texts))
+        assert ids.tolist() == [i for e in encoded(texts) for i in e[:-1]] and counts.tolist() == [len(e) - 1 for e in encoded(texts)]
+        assert len(enc.rows) < 300
+    assert max(made[" " + w] for w in common.split()) == 1
+
+
 def test_packing_is_whole_and_tight(spark):
     texts = [*ODD, "many words here " * 2000]
     rows = packing.pack(frame(spark, texts).repartition(3), capacity=64).collect()
