@@ -2,9 +2,11 @@
 
 A byte-level BPE never merges across pre-tokens, and a space that is followed by
 a character that is no white space always begins a pre-token. Texts are therefore
-cut at those spaces; every distinct chunk is encoded once per worker and looked
-up afterwards. Splitting and the chunk dictionary of a batch run in Arrow's
-compiled kernels.
+cut at those spaces, and a batch's distinct chunks, where they are words and ASCII
+punctuation, into pieces of one pre-token: words, marks, single line ends. The
+library encodes a piece once, for as long as the worker's table keeps it. Cutting,
+the dictionaries of a batch and look-ups in the table run in Arrow's compiled
+kernels, so Python handles new pieces only.
 """
 
 from __future__ import annotations
@@ -12,6 +14,7 @@ from __future__ import annotations
 import re
 import zlib
 from array import array
+from collections.abc import Callable
 from functools import lru_cache
 
 import numpy as np
@@ -23,8 +26,11 @@ _ODD_SPACE = re.compile(r" (?:[\s\x1c-\x1f\x85᠎​﻿]|\Z)")
 _CHUNK_SPACE = re.compile(r" (?=[^\s\x1c-\x1f\x85᠎​﻿])")
 #: Chunks of these characters are split here; every engine classes them alike. Others go through the library's own splitter.
 _PLAIN = re.compile(r"[ \n!-~À-ÖØ-öø-ſ]*")
-#: The usual chunk, one word and perhaps ASCII punctuation: its pre-tokens are the two groups.
-_WORD_CHUNK = re.compile(r"( ?[A-Za-zÀ-ÖØ-öø-ſ]+)([!-/:-@\[-`{-~]+)?")
+_LETTERS, _MARKS = "A-Za-zÀ-ÖØ-öø-ſ", r"!-/:-@\[-`{-~"
+#: The usual chunk, in Arrow's syntax: lines of one word and perhaps ASCII punctuation, or of punctuation, one line end between them.
+_USUAL = rf"\A ?(?:[{_LETTERS}]+[{_MARKS}]*|[{_MARKS}]+)(?:\n(?:[{_LETTERS}]+[{_MARKS}]*|[{_MARKS}]+))*\z"
+_LETTER_LIST, _MARK_LIST = ("".join(c for c in map(chr, range(0x180)) if re.match(f"[{group}]", c)) for group in (_LETTERS, _MARKS))
+_NONE, _SPACE, _TURN = (pa.scalar(c, pa.large_string()) for c in ("", " ", "\n"))
 _PRE_TOKENS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-zÀ-ÖØ-öø-ſ]+| ?[0-9]+| ?[^\sA-Za-z0-9À-ÖØ-öø-ſ]+|\s+(?!\S)|\s+")
 
 
@@ -45,7 +51,7 @@ def _byte_alphabet() -> list[str]:
 
 
 class ChunkEncoder:
-    """Ids of chunks by way of a growing table: chunk -> row of a ragged id array."""
+    """Ids of pieces by way of a growing table: piece -> row of a ragged id array."""
 
     def __init__(self, path: str, most: int = 400_000):
         os_parallel_off()
@@ -55,102 +61,131 @@ class ChunkEncoder:
         self.added = tuple(t.content for t in self.tokenizer.get_added_tokens_decoder().values())
         self.model = self.tokenizer.model
         self.simple = type(self.model).__name__ == "BPE" and self.tokenizer.normalizer is None
-        # a word chunk has no letter behind its punctuation, so it can't hold such special tokens
-        self.usual = self.simple and all(re.search(r"[!-/:-@\[-`{-~][A-Za-z]", a) for a in self.added)
-        self.alphabet = _byte_alphabet()
+        # a usual chunk has no letter right behind its punctuation, so it can't hold such special tokens
+        self.usual = self.simple and all(re.search(rf"[{_MARKS}][A-Za-z]", a) for a in self.added)
+        self.shown = dict(enumerate(_byte_alphabet()))
         self.words: dict[str, list[int]] = {}
         self.clear()
 
     def clear(self) -> None:
-        self.rows: dict[str, int] = {}
+        self.rows = pa.array([], pa.large_string())  # the piece of each row
         self.seen = np.zeros(0, np.int32)  # in how many batches each row was wanted
-        self._flat, self._lengths = array("I"), array("q")
         self.flat, self.starts, self.lengths = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
+    def _word(self, piece: str) -> list[int]:
+        """Ids of one pre-token."""
+        return [t.id for t in self.model.tokenize(piece.encode().decode("latin-1").translate(self.shown))]
+
     def _piece(self, piece: str) -> list[int]:
         ids = self.words.get(piece)
         if ids is None:
-            shown = piece.replace(" ", self.alphabet[32]) if piece.isascii() and piece.isprintable() else "".join([self.alphabet[b] for b in piece.encode()])
-            ids = [t.id for t in self.model.tokenize(shown)]
+            ids = self._word(piece)
             if len(piece) <= 9 and len(self.words) < 150_000:
                 self.words[piece] = ids
         return ids
 
     def _encode(self, chunk: str) -> list[int]:
-        if self.usual and (found := _WORD_CHUNK.fullmatch(chunk)):
-            word, mark = found.groups()
-            return self._piece(word) + self._piece(mark) if mark else self._piece(word)
         if not self.simple or not _PLAIN.fullmatch(chunk) or any(a in chunk for a in self.added):
             return self.tokenizer.encode(chunk, add_special_tokens=False).ids
         return [i for piece in _PRE_TOKENS.findall(chunk) for i in self._piece(piece)]
 
-    def _row(self, chunk: str) -> int:
-        ids = self._encode(chunk)
-        row = len(self._lengths)
-        self._flat.extend(ids)
-        self._lengths.append(len(ids))
-        self.rows[chunk] = row
-        return row
-
-    def _settle(self) -> None:
-        """The table as arrays, after new rows; only what is new is copied."""
-        if len(self._lengths) > len(self.lengths):
-            new = np.array(self._lengths[len(self.lengths) :], np.int64)
-            ends = len(self.flat) + np.cumsum(new)
-            self.starts = np.concatenate([self.starts, ends - new])
-            self.lengths = np.concatenate([self.lengths, new])
-            self.flat = np.concatenate([self.flat, np.array(self._flat[len(self.flat) :], np.uint32)])
+    def _add(self, pieces: pa.Array, encode: Callable[[str], list[int]]) -> None:
+        """New rows, of distinct pieces that the table doesn't have."""
+        flat, lengths = array("I"), array("q")
+        for piece in pieces.to_numpy(zero_copy_only=False):
+            ids = encode(piece)
+            flat.extend(ids)
+            lengths.append(len(ids))
+        new = np.array(lengths, np.int64)
+        self.rows = pa.concat_arrays([self.rows, pieces])
+        self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(new) - new])
+        self.lengths = np.concatenate([self.lengths, new])
+        self.flat = np.concatenate([self.flat, np.array(flat, np.uint32)])
+        self.seen = np.concatenate([self.seen, np.zeros(len(new), np.int32)])
 
     def _renew(self) -> None:
-        """A table of the chunks that came in several batches, of the commonest half of a full table at most; most chunks come once."""
-        seen, rows, flat, starts, lengths = self.seen, self.rows, self.flat, self.starts, self.lengths
-        least = max(2, int(np.partition(seen, -(self.most // 2))[-(self.most // 2)]) + 1)
-        self.clear()
-        kept = [(chunk, row) for chunk, row in rows.items() if seen[row] >= least]
-        self.rows = {chunk: i for i, (chunk, _) in enumerate(kept)}
-        at = np.array([row for _, row in kept], np.int64)
-        self.lengths, ends = lengths[at], np.cumsum(lengths[at])
-        self.starts = ends - self.lengths
-        self.flat = flat[np.repeat(starts[at] - self.starts, self.lengths) + np.arange(self.lengths.sum())]
-        self._flat.extend(self.flat.tolist())
-        self._lengths.extend(self.lengths.tolist())
-        self.seen = seen[at] // 2  # what was common long ago makes room
+        """A table of the pieces that came in several batches, of the commonest half of a full table at most; most pieces come once."""
+        least = max(2, int(np.partition(self.seen, -(self.most // 2))[-(self.most // 2)]) + 1)
+        kept = self.seen >= least
+        self.flat = self.flat[np.repeat(kept, self.lengths)]
+        self.rows, self.lengths = self.rows.filter(pa.array(kept)), self.lengths[kept]
+        self.starts = np.cumsum(self.lengths) - self.lengths
+        self.seen = self.seen[kept] // 2  # what was common long ago makes room
+
+    def _rows(self, words: pa.Array, others: pa.Array) -> np.ndarray:
+        """Rows of distinct words, which are one pre-token each, and of distinct other chunks; new ones are added."""
+        wanted = pa.concat_arrays([words, others])
+        rows = pc.index_in(wanted, value_set=self.rows)
+        if rows.null_count:
+            new = pc.is_null(rows)
+            new_words = words.filter(new.slice(0, len(words)))
+            new_others = others.filter(new.slice(len(words)))
+            had = len(self.rows)
+            self._add(new_words, self._word)
+            self._add(new_others.filter(pc.invert(pc.is_in(new_others, value_set=new_words))), self._encode)
+            added = pc.index_in(wanted.filter(new), value_set=self.rows.slice(had))
+            rows = rows.to_numpy(zero_copy_only=False)
+            rows[new.to_numpy(zero_copy_only=False)] = added.to_numpy() + had
+        rows = np.asarray(rows).astype(np.int64)
+        self.seen[rows] += 1
+        return rows
+
+    def _chunks(self, chunks: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of a batch's distinct chunks end to end, and the number of ids of each."""
+        usual = pc.match_substring_regex(chunks, _USUAL) if self.usual else pa.array(np.zeros(len(chunks), bool))
+        by_line = pc.split_pattern(chunks.filter(usual), "\n")
+        lines, n_lines = by_line.flatten(), pc.list_value_length(by_line).to_numpy().astype(np.int64)
+        body = pc.ascii_rtrim(lines, " " + _MARK_LIST)
+        bare = pc.equal(pc.binary_length(body), 0)  # punctuation alone, one piece with the space before it
+        mark = pc.if_else(bare, _NONE, pc.utf8_ltrim(lines, " " + _LETTER_LIST))
+        turn = np.ones(len(lines), bool)
+        turn[np.cumsum(n_lines) - n_lines] = False
+        coded = pa.concat_arrays([pc.if_else(pa.array(turn), _TURN, _NONE), pc.if_else(bare, lines, body), mark]).dictionary_encode()
+        usual = usual.to_numpy(zero_copy_only=False)
+        rows = self._rows(coded.dictionary, chunks.filter(pa.array(~usual)))
+        n_words = len(coded.dictionary)
+        n_pieces = np.ones(len(chunks), np.int64)
+        n_pieces[usual] = 3 * n_lines
+        owner = np.repeat(usual, n_pieces)
+        pieces = np.empty(len(owner), np.int64)
+        pieces[owner] = rows[:n_words][coded.indices.to_numpy().reshape(3, -1).T.ravel()]
+        pieces[~owner] = rows[n_words:]
+        ends = np.concatenate([[0], np.cumsum(self.lengths[pieces])])
+        stops = np.cumsum(n_pieces)
+        return ragged(self.flat, self.starts, self.lengths, pieces), ends[stops] - ends[stops - n_pieces]
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of a batch end to end, and the number of ids of each text."""
+        if len(texts) == 0:
+            return np.zeros(0, np.uint32), np.zeros(0, np.int64)
         if len(self.rows) > self.most:
             self._renew()
-        plain = texts.to_pylist()
-        odd = [i for i, t in enumerate(plain) if _ODD_SPACE.search(t)]
-        if odd:  # few texts hold runs of spaces; cut those by hand
-            parts = [_CHUNK_SPACE.split(t) for t in plain]
-            counts = np.fromiter(map(len, parts), np.int64, len(parts))
-            words = pa.array([p for ps in parts for p in ps], pa.large_string())
-        else:
-            lists = pc.split_pattern(texts.cast(pa.large_string()), " ")
-            words = lists.flatten()
-            counts = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
-        firsts = np.concatenate([[0], np.cumsum(counts)[:-1]]).astype(np.int64) if len(counts) else np.zeros(0, np.int64)
+        lists = pc.split_pattern(texts.cast(pa.large_string()), " ")
+        words = lists.flatten()
+        counts = pc.list_value_length(lists).to_numpy().astype(np.int64)
         coded = words.dictionary_encode()
-        get = self.rows.get
-        table = np.empty(len(coded.dictionary), np.int64)
-        for i, word in enumerate(coded.dictionary.to_pylist()):
-            row = get(key := " " + word)
-            table[i] = self._row(key) if row is None else row
-        rows = table[coded.indices.to_numpy(zero_copy_only=False)] if len(words) else np.zeros(0, np.int64)
-        for at, text in zip(firsts, words.take(pa.array(firsts)).to_pylist()):  # the first chunk has no space before it
-            row = get(text)
-            rows[at] = self._row(text) if row is None else row
-        self._settle()
-        self.seen = np.concatenate([self.seen, np.zeros(len(self.lengths) - len(self.seen), np.int32)])
-        self.seen[table] += 1
-        lengths = self.lengths[rows]
-        ends = np.cumsum(lengths)
-        at = np.repeat(self.starts[rows] - (ends - lengths), lengths)
-        at += np.arange(len(at))
-        sums = np.concatenate([[0], ends])
-        stops = firsts + counts
-        return self.flat[at], sums[stops] - sums[firsts]
+        if any(_ODD_SPACE.search(" " + c) for c in pc.utf8_slice_codeunits(coded.dictionary, 0, 1).unique().to_pylist()):
+            plain = texts.to_pylist()
+            if any(map(_ODD_SPACE.search, plain)):  # few texts hold runs of spaces; cut those by hand
+                parts = [_CHUNK_SPACE.split(t) for t in plain]
+                counts = np.fromiter(map(len, parts), np.int64, len(parts))
+                words = pa.array([p for ps in parts for p in ps], pa.large_string())
+                coded = words.dictionary_encode()
+        firsts = np.cumsum(counts) - counts
+        heads = words.take(pa.array(firsts)).dictionary_encode()  # the first chunk has no space before it
+        flat, lengths = self._chunks(pa.concat_arrays([pc.binary_join_element_wise(_NONE, coded.dictionary, _SPACE), heads.dictionary]))
+        rows = coded.indices.to_numpy().astype(np.int64)
+        rows[firsts] = len(coded.dictionary) + heads.indices.to_numpy()
+        ends = np.concatenate([[0], np.cumsum(lengths[rows])])
+        return ragged(flat, np.cumsum(lengths) - lengths, lengths, rows), ends[firsts + counts] - ends[firsts]
+
+
+def ragged(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """The values of rows of a ragged array end to end."""
+    n = lengths[rows]
+    at = np.repeat(starts[rows] - (np.cumsum(n) - n), n)
+    at += np.arange(len(at))
+    return flat[at]
 
 
 def os_parallel_off() -> None:

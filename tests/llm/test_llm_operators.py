@@ -132,6 +132,17 @@ def test_common_chunks_outlive_a_full_table(monkeypatch):
     assert max(made[" " + w] for w in common.split()) == 1
 
 
+def test_words_and_marks_share_rows():
+    """A word is encoded once, whatever punctuation and line ends follow it; the ids stay the library's."""
+    enc = tokenizing.ChunkEncoder(tokenizing.tokenizer_path("byte_bpe_50k.json"))
+    words, marks = [f"{a}{b}ſühn" for a in "aÉñ" for b in "abcdefghij"], ["", ",", ".", "###", "'", "|>", "!?", '"', "...", "&&&"]
+    texts = [" ".join(w + m for w in words) for m in marks] + ["\n".join(words), " " + ".\n".join(words) + ".", " ### \"\n###\nword '\ns", "<|endoftext|>\nword<|endoftext|>", "don't 's\n\nword\n word \n", "×\na÷ ª"]
+    for batch in (texts, texts[::-1], ["", "\n", " ", *texts]):
+        ids, counts = enc.encode(pa.array(batch))
+        assert ids.tolist() == [i for e in encoded(batch) for i in e[:-1]] and counts.tolist() == [len(e) - 1 for e in encoded(batch)]
+    assert len(enc.rows) < 3 * len(words)  # with and without a space, marks and the odd chunks; not each word with each mark
+
+
 def test_packing_is_whole_and_tight(spark):
     texts = [*ODD, "many words here " * 2000]
     rows = packing.pack(frame(spark, texts).repartition(3), capacity=64).collect()
